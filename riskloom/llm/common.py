@@ -124,7 +124,7 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 def sequence_hash(words: np.ndarray, n: int) -> np.ndarray:
     """Hash of each run of `n` consecutive word hashes; element i covers words i to i+n-1."""
     size = max(len(words) - n + 1, 0)
-    h = np.full(size, np.uint64(n) * np.uint64(0xA0761D6478BD642F), dtype=np.uint64)
+    h = np.full(size, n * 0xA0761D6478BD642F & 0xFFFFFFFFFFFFFFFF, dtype=np.uint64)
     for k in range(n):
         h = (h ^ (h >> np.uint64(29))) * np.uint64(0xE7037ED1A0B428DB) + words[k : k + size]
     return mix(h)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import compression_quality, exact_dedup
+from . import compression_quality, exact_dedup, near_join
 from .common import id_remainder
 
 
@@ -13,6 +13,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_join.near_components(_table(spark, sf_dir, "documents"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_table(spark, sf_dir, "documents"))
 
@@ -26,6 +30,7 @@ def op8_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_near_join": op3_near_join,
     "op6_exact_dedup": op6_exact_dedup,
     "op8_compression_quality": op8_compression_quality,
 }
