@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,9 +40,29 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """`df` written once to the shared checkpoint folder, with its lineage cut; survives the loss of any executor."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    """`df` written once as a table in the shared checkpoint folder and read back.
+
+    It survives the loss of any executor and cuts the lineage. Against checkpoint() the table is columnar, compressed and
+    has true sizes, and the reader's plan doesn't inherit the writer's constraints. Tables go when the driver ends.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/riskloom-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+_written: list[tuple[SparkSession, str]] = []
+
+
+@atexit.register
+def _drop_tables() -> None:
+    for spark, path in _written:
+        try:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        except Exception:  # the session has ended already
+            return
 
 
 def broadcast_if_small(df: DataFrame, rows: int, row_bytes: int, limit_bytes: int = 32 << 20) -> DataFrame:
@@ -105,13 +127,24 @@ def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
+def byte_class(characters: bytes) -> np.ndarray:
+    """Lookup table of 256 truth values: the bytes in `characters`."""
+    table = np.zeros(256, dtype=bool)
+    table[list(characters)] = True
+    return table
+
+
 def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Words (runs without ASCII white space, never across texts): starts, ends and the index of each one's text."""
-    if not len(data):
+    return runs(~_SPACE[data], offsets)
+
+
+def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Maximal runs of true values, never across texts: starts, ends and the index of each one's text."""
+    if not len(inside):
         empty = np.zeros(0, dtype=np.int64)
         return empty, empty, empty
-    inside = ~_SPACE[data]
-    first = np.zeros(len(data) + 1, dtype=bool)
+    first = np.zeros(len(inside) + 1, dtype=bool)
     first[offsets] = True
     starts = inside.copy()
     starts[1:] &= ~inside[:-1] | first[1:-1]

@@ -6,8 +6,10 @@ Jaccard distance is a metric on finite sets of word shingles. Two kinds of point
 1. Single shingles. A set S has distance 1 - 1/|S| to {s} if it holds s, else 1, so its nearest pivots are its own
    shingles, and a total order on shingles (frequent ones last) breaks the ties. A set within distance e of S shares a
    shingle among the first |S| - ceil((1-e)|S|) + 1 of either one's order; these are the regions into whose windows a
-   set is replicated, and the distance to the shared pivot bounds the partner's size. Whole documents as pivots don't
-   work on this level: almost all pairs of documents have a distance near 1, so every window would hold everything.
+   set is replicated. A pair must meet in the region of its first shared pivot, and what both sets have from there on
+   bounds their intersection: pairs whose bound is too low aren't compared there. For the smaller set this leaves the
+   regions where it is at home, about half of its windows. Whole documents as pivots don't work on this level: almost
+   all pairs of documents have a distance near 1, so every window would hold everything.
 2. Documents. Inside a region where many documents meet, documents are pivots: distances to them are computed, those
    within the threshold are links at once, and documents of one component need no further comparison. What is left goes
    to the Voronoi cell of its nearest pivot, and by the triangle inequality also to every cell whose pivot is at most
@@ -39,8 +41,9 @@ from .components import components
 HEAVY = 1 << 16
 #: Shingles counted at a time; one in at least 8 and 0.1 % of the documents of such a block is a frequent one there.
 BLOCK = 1 << 22
-#: Regions of at most so many documents compare all pairs; larger ones use document pivots.
-SMALL = 24
+#: Regions of at most so many documents compare all pairs that may link; larger ones use so many documents as pivots.
+SMALL = 128
+PIVOTS = 8
 
 
 def shingle_sets(column: pa.Array, words: int) -> Iterator[np.ndarray]:
@@ -144,12 +147,16 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("doc_id"), F.col(text_col).alias("text"))
     known = durable(_prefixes(source, words, percent, _frequent(source, words)))
     classes = known.where("n > 0").groupBy("key").agg(
-        F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("rare").alias("rare"), F.first("light").alias("light"), F.first("heavy").alias("heavy")
+        F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("rare").alias("rare"), F.first("light").alias("light"), F.first("heavy").alias("heavy")
     )
-    rows = classes.select(F.explode("light").alias("region"), "rep")
-    rows = rows.withColumn("m", F.count("*").over(Window.partitionBy("region"))).where("m > 1").drop("m")
-    often = classes.select(F.explode("heavy").alias("region"), "rep")
-    rows = durable(rows.unionByName(often))
+    # `rest`: how many of its shingles a set has from the pivot on; negative where the set isn't at home
+    home = F.expr(f"if((100 + {percent}) * rest >= 2 * {percent} * n, rest, -rest)").alias("rest")
+    rows = classes.select("rep", "n", F.posexplode("light").alias("at", "region")).select("region", "rep", "n", (F.col("n") - F.col("at")).alias("rest")).select("region", "rep", home)
+    region = Window.partitionBy("region")
+    rows = rows.withColumn("m", F.count("*").over(region)).withColumn("most", F.max("rest").over(region)).where("m > 1 AND most > 0").drop("m", "most")
+    often = classes.select("rep", "n", "rare", F.posexplode("heavy").alias("at", "region")).select("region", "rep", "n", (F.col("n") - F.col("rare") - F.col("at")).alias("rest")).select("region", "rep", home)
+    peopled = often.groupBy("region").agg(F.count("*").alias("m"), F.max("rest").alias("most")).where("m > 1 AND most > 0").select("region")
+    rows = durable(rows.unionByName(often.join(F.broadcast(peopled), "region", "left_semi")))
     meet = durable(rows.select("rep").distinct())
     n_meet = meet.count()
     copies = durable(known.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).where("copies > 1").select("key", "rep"))
@@ -161,8 +168,9 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     chosen = broadcast_if_small(meet, n_meet, 16)
     sets = durable(_sets(source.join(chosen, source["doc_id"] == meet["rep"], "left_semi"), words))
     facts = durable(known.join(chosen, known["doc_id"] == meet["rep"], "left_semi").groupBy(F.col("doc_id").alias("rep")).agg(F.max("n").alias("n"), F.min("rare").alias("rare")))
-    regions = durable(rows.join(broadcast_if_small(facts, n_meet, 32), "rep").withColumn("home", F.lit(True)))
-    comps, links, first, pivots = None, None, True, 8
+    regions = durable(rows.join(broadcast_if_small(facts, n_meet, 32), "rep").withColumn("home", F.col("rest") > 0).withColumn("rest", F.abs("rest")))
+    regions = regions.withColumn("flat", F.lit(False))
+    comps, links, first, many = None, None, True, 256
     while True:
         live = regions.withColumn("comp", F.col("rep"))
         if comps is not None:
@@ -173,46 +181,48 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             break
         # the most central documents come first: those with the fewest shingles of their own
         order = Window.partitionBy("region").orderBy("rare", "rep")
-        least = 1 if first else pivots
-        heads = live.select("region", "rep", "rare", "n", "comp", "m", F.row_number().over(order).alias("k")).where(f"k <= {least}")
+        heads = live if first else live.where(f"m > {SMALL}")
+        heads = heads.withColumn("k", F.row_number().over(order)).where("k <= 1" if first else f"k <= {many}").where(f"flat OR k <= {PIVOTS}")
+        heads = durable(heads.select("region", "flat", F.col("rep").alias("p"), F.col("n").alias("pn"), F.col("rest").alias("prest"), F.col("comp").alias("pcomp"), F.col("home").alias("phome")))
+        may_link = F.expr(f"comp <> pcomp AND (home OR phome) AND (100 + {percent}) * least(rest, prest) >= {percent} * (n + pn)")
+        met = live.drop("flat").join(heads, "region").where(F.col("rep") != F.col("p"))
+        pairs = met.where(may_link if first else may_link | ~F.col("flat")).select("rep", "p")
         if not first:
-            heads = heads.where(f"m > {SMALL}")
-        heads = durable(heads.select("region", F.col("rep").alias("p"), F.col("n").alias("pn"), F.col("comp").alias("pcomp")))
-        fits = F.expr(f"100 * least(n, pn) >= {percent} * greatest(n, pn)")
-        met = live.join(heads, "region")
-        if first:
-            met = met.where(fits)
-        pairs = met.where("rep <> p").where((F.col("comp") != F.col("pcomp")) | F.lit(not first)).select(F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b"))
-        if not first:
-            few = live.where(f"m <= {SMALL}").select("region", "rep", "n", "comp", "home")
-            other = few.select("region", F.col("rep").alias("p"), F.col("n").alias("pn"), F.col("comp").alias("pcomp"), F.col("home").alias("phome"))
-            small = few.join(other, "region").where("rep < p AND comp <> pcomp AND (home OR phome)").where(fits)
-            pairs = pairs.unionByName(small.select(F.col("rep").alias("a"), F.col("p").alias("b")))
-        distances = durable(_measured(pairs.distinct(), sets))
+            few = live.where(f"m <= {SMALL}").drop("flat", "m", "rare")
+            other = few.select("region", F.col("rep").alias("p"), F.col("n").alias("pn"), F.col("rest").alias("prest"), F.col("comp").alias("pcomp"), F.col("home").alias("phome"))
+            pairs = pairs.unionByName(few.join(other, "region").where("rep < p").where(may_link).select("rep", "p"))
+        pairs = pairs.select(F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b")).distinct()
+        distances = durable(_measured(pairs, sets))
         found = distances.where(f"100 * shared >= {percent} * either").select("a", "b")
-        links = found if links is None else links.unionByName(found)
-        comps = components(links) if found.limit(1).count() else comps
-        rest = live.drop("comp", "m") if first else live.where(f"m > {SMALL}").drop("comp", "m")
-        rest = durable(rest.join(heads.select("region", F.col("p").alias("rep")), ["region", "rep"], "left_anti"))
+        if found.limit(1).count():
+            links = found if links is None else links.unionByName(found)
+            comps = components(links)
+        left = live.drop("comp", "m") if first else live.where(f"m > {SMALL}").drop("comp", "m")
+        left = left.join(heads.select("region", F.col("p").alias("rep")), ["region", "rep"], "left_anti")
         if not first:
-            rest = _cells(rest, heads, distances, reach)
-            pivots *= 2
-        regions, first = durable(rest), False
+            whole = durable(left)
+            if not whole.limit(1).count():
+                break
+            left = whole.where("flat").unionByName(_cells(whole.where("NOT flat"), heads, distances, reach))
+            many *= 4
+        regions, first = durable(left), False
     if comps is None:
         return final.select("doc_id", "n_shingles", F.col("rep").alias("component_id"))
     result = final.join(broadcast_if_small(comps, n_meet, 16), F.col("rep") == F.col("node"), "left")
     return result.select("doc_id", "n_shingles", F.coalesce("comp", "rep").alias("component_id"))
 
 
-def _cells(rest: DataFrame, heads: DataFrame, distances: DataFrame, reach: float) -> DataFrame:
-    """The documents of each region dealt to the cells of its pivots; a region that its pivots don't part stays whole."""
+def _cells(left: DataFrame, heads: DataFrame, distances: DataFrame, reach: float) -> DataFrame:
+    """The documents of each region dealt to the cells of its pivots; a region that its pivots don't part stays whole
+    and is flat: its further pivots meet it only where the bound on the intersection lets them."""
     far = distances.select("a", "b", (1 - F.col("shared") / F.col("either")).alias("d"))
     far = far.unionByName(far.select(F.col("b").alias("a"), F.col("a").alias("b"), "d")).select(F.col("a").alias("rep"), F.col("b").alias("p"), "d")
-    dealt = rest.join(heads.select("region", "p"), "region").join(far, ["rep", "p"])
+    dealt = left.join(heads.select("region", "p"), "region").join(far, ["rep", "p"])
     nearest = dealt.groupBy("region", "rep").agg(F.min(F.struct("d", "p")).alias("near"))
     dealt = dealt.join(nearest, ["region", "rep"]).where(F.col("d") <= F.col("near.d") + 2 * reach + 1e-9)
-    dealt = durable(dealt.select("region", "rep", "n", "rare", (F.col("home") & (F.col("p") == F.col("near.p"))).alias("home"), F.xxhash64("region", "p").alias("cell")))
-    parted = dealt.groupBy("region").agg((F.count("*") <= 2 * F.sum(F.col("home").cast("int"))).alias("parted"))
-    cells = dealt.join(parted.where("parted"), "region").select(F.col("cell").alias("region"), "rep", "n", "rare", "home")
-    whole = rest.join(parted.where("parted"), "region", "left_anti").select("region", "rep", "n", "rare", "home")
+    dealt = durable(dealt.select("region", "rep", "n", "rare", "rest", (F.col("home") & (F.col("p") == F.col("near.p"))).alias("home"), F.xxhash64("region", "p").alias("cell")))
+    parted = dealt.groupBy("region").agg((F.count("*") <= 2 * F.sum(F.col("home").cast("int"))).alias("parted")).where("parted")
+    kept = ["rep", "n", "rare", "rest", "home"]
+    cells = dealt.join(parted, "region").select(F.col("cell").alias("region"), *kept, F.lit(False).alias("flat"))
+    whole = left.join(parted, "region", "left_anti").select("region", *kept, F.lit(True).alias("flat"))
     return cells.unionByName(whole)
