@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import compression_quality, exact_dedup, near_join
+from . import compression_quality, exact_dedup, near_join, packing, repetition, secret_scan
 from .common import id_remainder
 
 
@@ -17,10 +17,20 @@ def op3_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_join.near_components(_table(spark, sf_dir, "documents"))
 
 
+def op4_island_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_table(spark, sf_dir, "documents"))
 
 
+def op7_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    measured = repetition.measures(_table(spark, sf_dir, "documents"))
+    kept = (~repetition.base_failed() & ~repetition.repetitive()).alias("kept")
+    return measured.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", repetition.base_failed().alias("base_failed"), kept)
+
+
 def op8_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = compression_quality.fit(docs, _table(spark, sf_dir, "labels"), id_remainder("doc_id", 3) != 1)
@@ -29,10 +39,17 @@ def op8_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest(secret_scan.scan(_table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     "op3_near_join": op3_near_join,
+    "op4_island_packing": op4_island_packing,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_repetition": op7_repetition,
     "op8_compression_quality": op8_compression_quality,
+    "op10_secret_scan": op10_secret_scan,
 }
 
 ORACLES = {"op6_exact_dedup": exact_dedup.ORACLE}
