@@ -165,5 +165,5 @@ def joined(spans, kinds: tuple[str, ...]):
 
 def digest(scanned: DataFrame) -> DataFrame:
     """The contract's columns from the rows of `scan`."""
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
+    counts = [F.expr(f"cast(size(filter(spans, s -> s.kind = '{k}')) as long)").alias(f"n_{k}") for k in KINDS]
     return scanned.select("doc_id", *counts, F.sha2(joined(F.col("spans"), KINDS[:3]).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans"), KINDS).alias("spans"))
