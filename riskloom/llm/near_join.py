@@ -40,7 +40,7 @@ from .components import components
 #: At most so many frequent shingles are moved to the end of the order.
 HEAVY = 1 << 16
 #: Shingles counted at a time; one in at least 8 and 0.1 % of the documents of such a block is a frequent one there.
-BLOCK = 1 << 22
+BLOCK = 1 << 21
 #: Regions of at most so many documents compare all pairs that may link; larger ones use so many documents as pivots.
 SMALL = 128
 PIVOTS = 8
@@ -129,11 +129,19 @@ def _sets(source: DataFrame, words: int) -> DataFrame:
     return source.mapInArrow(run, "rep long, items array<long>")
 
 
-def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, shared, either) of each pair: sizes of the intersection and of the union."""
+def _measured(pairs: DataFrame, source: DataFrame, words: int) -> DataFrame:
+    """(a, b, shared, either) of each pair: sizes of the intersection and of the union.
+
+    Sets are made again from the texts of the documents that are in pairs; all other texts stay where they are.
+    """
+    pairs = durable(pairs)
+    n = pairs.count()
+    ids = broadcast_if_small(pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct(), 2 * n, 16)
+    sets = durable(_sets(source.join(ids, F.col("doc_id") == F.col("rep"), "left_semi"), words))
     left, right = sets.select(F.col("rep").alias("a"), F.col("items").alias("x")), sets.select(F.col("rep").alias("b"), F.col("items").alias("y"))
+    right = right.join(broadcast_if_small(pairs.select("b").distinct(), n, 16), "b", "left_semi")
     shared = F.size(F.array_intersect("x", "y")).cast("long")
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", shared.alias("shared"), (F.size("x") + F.size("y")).alias("sizes"))
+    joined = left.join(broadcast_if_small(pairs, n, 24), "a").join(right, "b").select("a", "b", shared.alias("shared"), (F.size("x") + F.size("y")).alias("sizes"))
     return joined.select("a", "b", "shared", (F.col("sizes") - F.col("shared")).alias("either"))
 
 
@@ -166,7 +174,6 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return final.select("doc_id", "n_shingles", F.col("rep").alias("component_id"))
 
     chosen = broadcast_if_small(meet, n_meet, 16)
-    sets = durable(_sets(source.join(chosen, source["doc_id"] == meet["rep"], "left_semi"), words))
     facts = durable(known.join(chosen, known["doc_id"] == meet["rep"], "left_semi").groupBy(F.col("doc_id").alias("rep")).agg(F.max("n").alias("n"), F.min("rare").alias("rare")))
     regions = durable(rows.join(broadcast_if_small(facts, n_meet, 32), "rep").withColumn("home", F.col("rest") > 0).withColumn("rest", F.abs("rest")))
     regions = regions.withColumn("flat", F.lit(False))
@@ -192,7 +199,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             other = few.select("region", F.col("rep").alias("p"), F.col("n").alias("pn"), F.col("rest").alias("prest"), F.col("comp").alias("pcomp"), F.col("home").alias("phome"))
             pairs = pairs.unionByName(few.join(other, "region").where("rep < p").where(may_link).select("rep", "p"))
         pairs = pairs.select(F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b")).distinct()
-        distances = durable(_measured(pairs, sets))
+        distances = durable(_measured(pairs, source, words))
         found = distances.where(f"100 * shared >= {percent} * either").select("a", "b")
         if found.limit(1).count():
             links = found if links is None else links.unionByName(found)
