@@ -44,6 +44,8 @@ BLOCK = 1 << 21
 #: Regions of at most so many documents compare all pairs that may link; larger ones use so many documents as pivots.
 SMALL = 128
 PIVOTS = 8
+#: Classes of the shingle hash that a signature counts.
+BUCKETS = 128
 
 
 def shingle_sets(column: pa.Array, words: int) -> Iterator[np.ndarray]:
@@ -65,58 +67,82 @@ def shingle_sets(column: pa.Array, words: int) -> Iterator[np.ndarray]:
                 yield sequence_hash(hashes[word_at[i] : word_at[i + 1]], int(n)) if n else np.zeros(0, np.uint64)
 
 
-def _frequent(source: DataFrame, words: int) -> np.ndarray:
-    """Frequent shingles, the rarest first. One that is in 0.1 % of all documents is so in some block, and is found there."""
+def _described(source: DataFrame, words: int) -> DataFrame:
+    """Per document its number of shingles, a key of its set, and its signature; and rows (s, often) of frequent shingles.
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    A shingle that is in 0.1 % of all documents is so in some block of documents, and is found there. The signature
+    counts a set's shingles in `BUCKETS` classes of the hash, that is, its distances to as many fixed pivots.
+    """
+    names = ["doc_id", "n", "key", "signature", "s", "often"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         size = 0
 
         def found() -> pa.RecordBatch:
-            values, n = np.unique(np.concatenate(held), return_counts=True)
-            often = n >= max(8, len(held) // 1000)
-            return pa.RecordBatch.from_arrays([pa.array(values[often].view(np.int64)), pa.array(n[often].astype(np.int64))], names=["s", "n"])
+            values, count = np.unique(np.concatenate(held), return_counts=True)
+            much = count >= max(8, len(held) // 1000)
+            m = int(much.sum())
+            nothing = [pa.nulls(m, t) for t in (pa.int64(), pa.int32(), pa.binary(), pa.binary())]
+            return pa.RecordBatch.from_arrays([*nothing, pa.array(values[much].view(np.int64)), pa.array(count[much].astype(np.int64))], names=names)
 
         for batch in batches:
+            n, keys, signatures = [], [], []
             for s in shingle_sets(batch.column(1), words):
+                n.append(len(s))
+                keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+                signatures.append(np.minimum(np.bincount((s % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS), 255).astype(np.uint8).tobytes())
                 held.append(s)
                 size += len(s)
                 if size >= BLOCK:
                     yield found()
                     held, size = [], 0
+            m = batch.num_rows
+            columns = [batch.column(0), pa.array(n, pa.int32()), pa.array(keys, pa.binary()), pa.array(signatures, pa.binary()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
         if held:
             yield found()
 
-    counted = source.mapInArrow(count, "s long, n long").groupBy("s").agg(F.sum("n").alias("n"))
-    rows = counted.orderBy(F.desc("n"), "s").limit(HEAVY).collect()
-    return np.array([r["s"] for r in reversed(rows)], dtype=np.int64).view(np.uint64)
+    return source.mapInArrow(run, "doc_id long, n int, key binary, signature binary, s long, often long")
+
 
+def _windows(source: DataFrame, words: int, percent: int, frequent: np.ndarray) -> DataFrame:
+    """(region, rep, rest, common): the shingle pivots into whose windows each document goes, in the order of pivots.
 
-def _prefixes(source: DataFrame, words: int, percent: int, frequent: np.ndarray) -> DataFrame:
-    """Per document its number of shingles, a key of its set, and the pivots into whose windows it goes."""
-    by_hash = np.sort(frequent)
-    rank = np.argsort(frequent)
+    rest: how many of its shingles a set has from the pivot on; negative where the set isn't at home. common: the pivot
+    is a frequent shingle.
+    """
+    # `frequent` has the rarest first; rank: the place there of each one in hash order
+    by_hash, rank = np.sort(frequent), np.argsort(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, keys, rare, light, heavy = [], [], [], [], []
+            regions, rests, lights, lengths = [], [], [], []
             for s in shingle_sets(batch.column(1), words):
                 m = len(s)
-                at = np.minimum(np.searchsorted(by_hash, s), max(len(by_hash) - 1, 0))
-                often = by_hash[at] == s if len(by_hash) else np.zeros(m, bool)
                 window = m - (percent * m + 99) // 100 + 1 if m else 0
-                few = s[~often]
-                n.append(m)
-                rare.append(len(few))
-                keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                light.append(few[:window].view(np.int64))
-                heavy.append(by_hash[at[often][np.argsort(rank[at[often]])][: window - len(light[-1])]].view(np.int64) if len(light[-1]) < window else few[:0].view(np.int64))
-            lists = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in side])]).astype(np.int32)), pa.array(np.concatenate(side) if side else np.zeros(0, np.int64))) for side in (light, heavy)]
+                if len(by_hash):
+                    at = np.minimum(np.searchsorted(by_hash, s), len(by_hash) - 1)
+                    often = by_hash[at] == s
+                    first, last = s[~often], at[often]
+                else:
+                    first, last = s, None
+                light = min(len(first), window)
+                chosen = first[:light]
+                if light < window:
+                    chosen = np.concatenate([chosen, by_hash[last[np.argsort(rank[last])][: window - light]]])
+                rest = m - np.arange(len(chosen))
+                regions.append(chosen)
+                rests.append(np.where((100 + percent) * rest >= 2 * percent * m, rest, -rest))
+                lights.append(np.arange(len(chosen)) >= light)
+                lengths.append(len(chosen))
+            rep = batch.column(0).take(pa.array(np.repeat(np.arange(len(lengths)), lengths)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int32()), pa.array(keys, pa.binary()), pa.array(rare, pa.int32()), *lists], names=["doc_id", "n", "key", "rare", "light", "heavy"]
+                [pa.array(np.concatenate(regions).view(np.int64)), rep, pa.array(np.concatenate(rests).astype(np.int32)), pa.array(np.concatenate(lights))],
+                names=["region", "rep", "rest", "common"],
             )
 
-    return source.mapInArrow(run, "doc_id long, n int, key binary, rare int, light array<long>, heavy array<long>")
+    return source.mapInArrow(run, "region long, rep long, rest int, common boolean")
 
 
 def _sets(source: DataFrame, words: int) -> DataFrame:
@@ -136,15 +162,39 @@ def _measured(pairs: DataFrame, source: DataFrame, words: int) -> DataFrame:
     """
     pairs = durable(pairs)
     n = pairs.count()
-    ids = broadcast_if_small(pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct(), 2 * n, 16)
-    sets = durable(_sets(source.join(ids, F.col("doc_id") == F.col("rep"), "left_semi"), words))
-    left, right = sets.select(F.col("rep").alias("a"), F.col("items").alias("x")), sets.select(F.col("rep").alias("b"), F.col("items").alias("y"))
-    right = right.join(broadcast_if_small(pairs.select("b").distinct(), n, 16), "b", "left_semi")
+
+    def sets(side: str, items: str) -> DataFrame:
+        ids = broadcast_if_small(pairs.select(F.col(side).alias("rep")).distinct(), n, 16)
+        return _sets(source.join(ids, F.col("doc_id") == F.col("rep"), "left_semi"), words).select(F.col("rep").alias(side), F.col("items").alias(items))
+
     shared = F.size(F.array_intersect("x", "y")).cast("long")
-    joined = left.join(broadcast_if_small(pairs, n, 24), "a").join(right, "b").select("a", "b", shared.alias("shared"), (F.size("x") + F.size("y")).alias("sizes"))
+    joined = sets("a", "x").join(broadcast_if_small(pairs, n, 24), "a").join(sets("b", "y"), "b").select("a", "b", shared.alias("shared"), (F.size("x") + F.size("y")).alias("sizes"))
     return joined.select("a", "b", "shared", (F.col("sizes") - F.col("shared")).alias("either"))
 
 
+def _near_enough(pairs: DataFrame, facts: DataFrame, n_facts: int, percent: int) -> DataFrame:
+    """The pairs that may link by their signatures: the smaller counts of all buckets bound the intersection.
+
+    By the triangle inequality, no bucket's share of the symmetric difference is below the difference of the two counts.
+    """
+    bound = broadcast_if_small(facts.select("rep", "n", "signature"), n_facts, 32 + BUCKETS)
+    left = bound.select(F.col("rep").alias("a"), F.col("n").alias("an"), F.col("signature").alias("sa"))
+    right = bound.select(F.col("rep").alias("b"), F.col("n").alias("bn"), F.col("signature").alias("sb"))
+    both = pairs.join(left, "a").join(right, "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), dtype=np.uint8).reshape(-1, BUCKETS) for k in (4, 5))
+            n = batch.column(2).to_numpy().astype(np.int64), batch.column(3).to_numpy().astype(np.int64)
+            least = np.minimum(x, y)
+            most = np.where((least == 255).any(axis=1), np.minimum(*n), least.sum(axis=1, dtype=np.int64))
+            yield batch.select([0, 1]).filter(pa.array(100 * most >= percent * (n[0] + n[1] - most)))
+
+    return both.select("a", "b", "an", "bn", "sa", "sb").mapInArrow(run, "a long, b long")
+
+
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of `docs`: doc_id, n_shingles, component_id.
 
@@ -153,29 +203,36 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     reach = 1 - percent / 100
     source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("doc_id"), F.col(text_col).alias("text"))
-    known = durable(_prefixes(source, words, percent, _frequent(source, words)))
-    classes = known.where("n > 0").groupBy("key").agg(
-        F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("rare").alias("rare"), F.first("light").alias("light"), F.first("heavy").alias("heavy")
-    )
-    # `rest`: how many of its shingles a set has from the pivot on; negative where the set isn't at home
-    home = F.expr(f"if((100 + {percent}) * rest >= 2 * {percent} * n, rest, -rest)").alias("rest")
-    rows = classes.select("rep", "n", F.posexplode("light").alias("at", "region")).select("region", "rep", "n", (F.col("n") - F.col("at")).alias("rest")).select("region", "rep", home)
+    described = durable(_described(source, words))
+    counted = described.where("s IS NOT NULL").groupBy("s").agg(F.sum("often").alias("often")).orderBy(F.desc("often"), "s").limit(HEAVY).collect()
+    frequent = np.array([r["s"] for r in reversed(counted)], dtype=np.int64).view(np.uint64)
+    known = described.where("s IS NULL").select("doc_id", "n", "key", "signature")
+
+    # equal sets are one class; its smallest id stands for it
+    classes = known.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).where("copies > 1")
+    classes = durable(classes.select("key", "rep"))
+    n_classes = classes.count()
+    final = known.select("doc_id", "n", "key").join(broadcast_if_small(classes, n_classes, 64), "key", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("rep"))
+    copies = durable(final.where("doc_id <> rep").select("doc_id"))
+    alone = source.join(broadcast_if_small(copies, copies.count(), 16), "doc_id", "left_anti")
+
+    windows = _windows(alone, words, percent, frequent)
     region = Window.partitionBy("region")
-    rows = rows.withColumn("m", F.count("*").over(region)).withColumn("most", F.max("rest").over(region)).where("m > 1 AND most > 0").drop("m", "most")
-    often = classes.select("rep", "n", "rare", F.posexplode("heavy").alias("at", "region")).select("region", "rep", "n", (F.col("n") - F.col("rare") - F.col("at")).alias("rest")).select("region", "rep", home)
-    peopled = often.groupBy("region").agg(F.count("*").alias("m"), F.max("rest").alias("most")).where("m > 1 AND most > 0").select("region")
-    rows = durable(rows.unionByName(often.join(F.broadcast(peopled), "region", "left_semi")))
-    meet = durable(rows.select("rep").distinct())
-    n_meet = meet.count()
-    copies = durable(known.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).where("copies > 1").select("key", "rep"))
-    n_copies = copies.count()
-    final = known.select("doc_id", "n", "key").join(broadcast_if_small(copies, n_copies, 64), "key", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("rep"))
+    rows = windows.where("NOT common").select("region", "rep", "rest").withColumn("m", F.count("*").over(region)).withColumn("most", F.max("rest").over(region))
+    rows = rows.where("m > 1 AND most > 0").drop("m", "most")
+    if len(frequent):
+        often = durable(windows.where("common").select("region", "rep", "rest"))
+        peopled = often.groupBy("region").agg(F.count("*").alias("m"), F.max("rest").alias("most")).where("m > 1 AND most > 0").select("region")
+        rows = rows.unionByName(often.join(F.broadcast(peopled), "region", "left_semi"))
+    rows = durable(rows)
+    # those that share most of their pivots are the most central ones of their neighbourhood
+    met = durable(rows.groupBy("rep").agg(F.count("*").alias("met")))
+    n_meet = met.count()
     if not n_meet:
         return final.select("doc_id", "n_shingles", F.col("rep").alias("component_id"))
-
-    chosen = broadcast_if_small(meet, n_meet, 16)
-    facts = durable(known.join(chosen, known["doc_id"] == meet["rep"], "left_semi").groupBy(F.col("doc_id").alias("rep")).agg(F.max("n").alias("n"), F.min("rare").alias("rare")))
-    regions = durable(rows.join(broadcast_if_small(facts, n_meet, 32), "rep").withColumn("home", F.col("rest") > 0).withColumn("rest", F.abs("rest")))
+    facts = durable(known.join(broadcast_if_small(met, n_meet, 24), F.col("doc_id") == F.col("rep")).groupBy("rep").agg(F.max("n").alias("n"), F.max("signature").alias("signature"), F.max("met").alias("met")))
+    facts = facts.withColumn("rare", -F.col("met") / F.col("n"))
+    regions = rows.join(broadcast_if_small(facts.drop("signature", "met"), n_meet, 40), "rep").withColumn("home", F.col("rest") > 0).withColumn("rest", F.abs("rest"))
     regions = regions.withColumn("flat", F.lit(False))
     comps, links, first, many = None, None, True, 256
     while True:
@@ -183,7 +240,8 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if comps is not None:
             live = regions.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
         state = live.groupBy("region").agg(F.count("*").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("home").alias("any_home")).where("lo < hi AND any_home")
-        live = durable(live.join(state.select("region", "m"), "region"))
+        live = live.join(state.select("region", "m"), "region") if not first else live.withColumn("m", F.lit(2))
+        live = durable(live)
         if not live.limit(1).count():
             break
         # the most central documents come first: those with the fewest shingles of their own
@@ -193,12 +251,14 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         heads = durable(heads.select("region", "flat", F.col("rep").alias("p"), F.col("n").alias("pn"), F.col("rest").alias("prest"), F.col("comp").alias("pcomp"), F.col("home").alias("phome")))
         may_link = F.expr(f"comp <> pcomp AND (home OR phome) AND (100 + {percent}) * least(rest, prest) >= {percent} * (n + pn)")
         met = live.drop("flat").join(heads, "region").where(F.col("rep") != F.col("p"))
-        pairs = met.where(may_link if first else may_link | ~F.col("flat")).select("rep", "p")
+        pairs = met.where(may_link).select("rep", "p")
         if not first:
             few = live.where(f"m <= {SMALL}").drop("flat", "m", "rare")
             other = few.select("region", F.col("rep").alias("p"), F.col("n").alias("pn"), F.col("rest").alias("prest"), F.col("comp").alias("pcomp"), F.col("home").alias("phome"))
             pairs = pairs.unionByName(few.join(other, "region").where("rep < p").where(may_link).select("rep", "p"))
-        pairs = pairs.select(F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b")).distinct()
+        pairs = _near_enough(_distinct(pairs), facts, n_meet, percent)
+        if not first:  # cells need the distances to their pivots, near or far
+            pairs = pairs.unionByName(_distinct(met.where("NOT flat").select("rep", "p"))).distinct()
         distances = durable(_measured(pairs, source, words))
         found = distances.where(f"100 * shared >= {percent} * either").select("a", "b")
         if found.limit(1).count():
@@ -219,6 +279,10 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return result.select("doc_id", "n_shingles", F.coalesce("comp", "rep").alias("component_id"))
 
 
+def _distinct(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b")).distinct()
+
+
 def _cells(left: DataFrame, heads: DataFrame, distances: DataFrame, reach: float) -> DataFrame:
     """The documents of each region dealt to the cells of its pivots; a region that its pivots don't part stays whole
     and is flat: its further pivots meet it only where the bound on the intersection lets them."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import compression_quality, exact_dedup, near_join, packing, repetition, secret_scan
+from . import compression_quality, contextual_pii, exact_dedup, near_join, packing, repetition, secret_scan, simple8b
 from .common import id_remainder
 
 
@@ -21,6 +21,11 @@ def op4_island_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op5_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    place = simple8b.folder(spark, "token-ids")
+    return simple8b.digests(simple8b.write(_table(spark, sf_dir, "documents"), place), place)
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_table(spark, sf_dir, "documents"))
 
@@ -39,6 +44,10 @@ def op8_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contextual_pii.digest(contextual_pii.find(_table(spark, sf_dir, "documents")))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan(_table(spark, sf_dir, "documents")))
 
@@ -46,9 +55,11 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op3_near_join": op3_near_join,
     "op4_island_packing": op4_island_packing,
+    "op5_simple8b": op5_simple8b,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_repetition": op7_repetition,
     "op8_compression_quality": op8_compression_quality,
+    "op9_contextual_pii": op9_contextual_pii,
     "op10_secret_scan": op10_secret_scan,
 }
 
