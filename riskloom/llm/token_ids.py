@@ -1,9 +1,10 @@
 """Token ids by the tokenizers library's byte-level BPE, fast on large corpora.
 
-A byte-level BPE pre-tokenizer never joins a character that isn't white space to white space after it. So texts are cut
-before each run of ASCII white space, units are hashed in numpy, and each distinct unit of a worker is encoded once;
-its ids are then gathered for all its places. Texts with other white space are encoded whole, as cutting them could
-change a run of white space.
+A byte-level BPE pre-tokenizer never joins a character that isn't white space to white space after it, nor letters,
+digits and other characters to one another. So texts are cut at these places, units are hashed in numpy, and each
+distinct unit of a worker is encoded once; its ids are then gathered for all its places. No cut is made beside an
+apostrophe (contractions) or a character whose class isn't known here; such units go through the pre-tokenizer's
+pattern. Texts with white space other than ASCII are encoded whole, as cutting them could change a run of white space.
 """
 
 from __future__ import annotations
@@ -15,9 +16,15 @@ import numpy as np
 import pyarrow as pa
 import regex
 
-from .common import byte_class, prefix_hash, span_hash, text_chunks
+from .common import prefix_hash, span_hash, text_chunks
 
-_SPACE = byte_class(b" \t\n\x0b\x0c\r")
+#: Classes of bytes: white space 0, letters 1, digits 2, other ASCII 3; 9 is an apostrophe or unknown.
+_CLASS = np.full(256, 9, dtype=np.uint8)
+_CLASS[:128] = 3
+_CLASS[39] = 9
+_CLASS[[0x20, *range(0x09, 0x0E)]] = 0
+_CLASS[[*range(65, 91), *range(97, 123)]] = 1
+_CLASS[48:58] = 2
 _OTHER_SPACE = re.compile(rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 #: The pre-tokenizer's published pattern (fixed value).
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -46,25 +53,26 @@ class Encoder:
 
     def _forget(self) -> None:
         self.places: dict[int, int] = {}
-        self.starts: list[int] = []
-        self.lengths: list[int] = []
+        self.starts = np.zeros(1 << 16, dtype=np.int64)
+        self.lengths = np.zeros(1 << 16, dtype=np.int64)
         self.flat = np.zeros(1 << 16, dtype=np.uint32)
         self.used = 0
 
-    def _unit(self, text: bytes) -> list[int]:
-        tokenize = self.tokenizer.model.tokenize
-        return [t.id for part in self.pattern.findall(text.decode()) for t in tokenize(part.encode().decode("latin-1").translate(self.letters))]
-
-    def _learn(self, key: int, text: bytes) -> int:
-        ids = self._unit(text)
-        while self.used + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.flat[self.used : self.used + len(ids)] = ids
-        self.places[key] = place = len(self.starts)
-        self.starts.append(self.used)
-        self.lengths.append(len(ids))
-        self.used += len(ids)
-        return place
+    def _learn(self, keys: list[int], units: list[list[int]]) -> None:
+        """Add new units with their ids."""
+        lengths = np.fromiter(map(len, units), np.int64, len(units))
+        known, total = len(self.places), int(lengths.sum())
+        for name, need in (("flat", self.used + total), ("starts", known + len(units)), ("lengths", known + len(units))):
+            old = getattr(self, name)
+            if need > len(old):
+                grown = np.zeros(max(need, 2 * len(old)), dtype=old.dtype)
+                grown[: len(old)] = old
+                setattr(self, name, grown)
+        self.flat[self.used : self.used + total] = np.fromiter((i for unit in units for i in unit), np.uint32, total)
+        self.lengths[known : known + len(units)] = lengths
+        self.starts[known : known + len(units)] = self.used + np.cumsum(lengths) - lengths
+        self.places.update(zip(keys, range(known, known + len(units))))
+        self.used += total
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a column's texts in order, and the offsets of the texts among them; null counts as empty."""
@@ -83,9 +91,13 @@ class Encoder:
         if self.used > self.most:
             self._forget()
         raw = data.tobytes()
-        space = _SPACE[data]
+        kind = _CLASS[data]
+        lead = np.flatnonzero(data == 0xC3)
+        lead = lead[(data[lead + 1] != 0x97) & (data[lead + 1] != 0xB7)]  # all but two of these are letters
+        kind[lead] = kind[lead + 1] = 1
         cut = np.zeros(len(data) + 1, dtype=bool)
-        cut[1:-1] = space[1:] & ~space[:-1]
+        now, before = kind[1:], kind[:-1]
+        cut[1:-1] = (now != before) & (before > 0) & (before < 9) & (now < 9) | (now == 0) & (before == 9)
         cut[offsets] = True
         cut[-1] = True
         edges = np.flatnonzero(cut)
@@ -93,12 +105,26 @@ class Encoder:
         keys, first, back = np.unique(span_hash(prefix_hash(data), begin, end), return_index=True, return_inverse=True)
         get = self.places.get
         listed = keys.tolist()
-        places = [get(k) for k in listed]
-        for i, place in enumerate(places):
-            if place is None:
-                places[i] = self._learn(listed[i], raw[begin[first[i]] : end[first[i]]])
-        lengths = np.fromiter((self.lengths[p] for p in places), np.int64, len(places))[back]
-        starts = np.fromiter((self.starts[p] for p in places), np.int64, len(places))[back]
+        places = np.fromiter((get(k, -1) for k in listed), np.int64, len(listed))
+        fresh = np.flatnonzero(places < 0)
+        if len(fresh):
+            unknown = np.concatenate([[0], np.cumsum(kind == 9)])
+            b, e = begin[first[fresh]], end[first[fresh]]
+            second = kind[np.minimum(b + 1, len(kind) - 1)]
+            # one pre-token: letters, digits or others, with at most one space before
+            simple = (unknown[e] == unknown[b]) & ((kind[b] > 0) | (data[b] == 32) & (e - b > 1) & (second > 0))
+            mapped, tokenize, find = raw.decode("latin-1").translate(self.letters), self.tokenizer.model.tokenize, self.pattern.findall
+            units = []
+            for x, y, one in zip(b.tolist(), e.tolist(), simple.tolist()):
+                if one:
+                    units.append([t.id for t in tokenize(mapped[x:y])])
+                else:
+                    units.append([t.id for part in find(raw[x:y].decode()) for t in tokenize(part.encode().decode("latin-1").translate(self.letters))])
+            known = len(self.places)
+            self._learn([listed[i] for i in fresh.tolist()], units)
+            places[fresh] = known + np.arange(len(fresh))
+        lengths = self.lengths[places][back]
+        starts = self.starts[places][back]
         upto = np.concatenate([[0], np.cumsum(lengths)])
         ids = self.flat[np.repeat(starts - upto[:-1], lengths) + np.arange(upto[-1])]
         bounds = upto[np.searchsorted(begin, offsets)]
