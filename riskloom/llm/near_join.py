@@ -10,10 +10,10 @@ Jaccard distance is a metric on finite sets of word shingles. Two kinds of point
    bounds their intersection: pairs whose bound is too low aren't compared there. For the smaller set this leaves the
    regions where it is at home, about half of its windows. Whole documents as pivots don't work on this level: almost
    all pairs of documents have a distance near 1, so every window would hold everything.
-2. Documents. Inside a region where many documents meet, documents are pivots: distances to them are computed, those
-   within the threshold are links at once, and documents of one component need no further comparison. What is left goes
+2. Documents. Inside a region where many documents meet, documents are pivots: those within the threshold of a pivot
+   are links at once, and documents of one component need no further comparison. What is left goes
    to the Voronoi cell of its nearest pivot, and by the triangle inequality also to every cell whose pivot is at most
-   2e further away than the nearest. Cells are regions of the next round. A pivot has then met its whole region and
+   twice the reach of a link further away than the nearest. Cells are regions of the next round. A pivot has then met its whole region and
    leaves it, so the recursion ends; small regions compare all pairs that are not yet in one component.
 
 Sets that are equal are collapsed first. All counts cover all documents. No cap applies to regions or partners.
@@ -200,8 +200,6 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Documents link when 100 * shared >= percent * union of their shingle sets; component_id is the smallest id reachable.
     """
-    spark = docs.sparkSession
-    reach = 1 - percent / 100
     source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("doc_id"), F.col(text_col).alias("text"))
     described = durable(_described(source, words))
     counted = described.where("s IS NOT NULL").groupBy("s").agg(F.sum("often").alias("often")).orderBy(F.desc("often"), "s").limit(HEAVY).collect()
@@ -257,8 +255,6 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             other = few.select("region", F.col("rep").alias("p"), F.col("n").alias("pn"), F.col("rest").alias("prest"), F.col("comp").alias("pcomp"), F.col("home").alias("phome"))
             pairs = pairs.unionByName(few.join(other, "region").where("rep < p").where(may_link).select("rep", "p"))
         pairs = _near_enough(_distinct(pairs), facts, n_meet, percent)
-        if not first:  # cells need the distances to their pivots, near or far
-            pairs = pairs.unionByName(_distinct(met.where("NOT flat").select("rep", "p"))).distinct()
         distances = durable(_measured(pairs, source, words))
         found = distances.where(f"100 * shared >= {percent} * either").select("a", "b")
         if found.limit(1).count():
@@ -270,7 +266,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             whole = durable(left)
             if not whole.limit(1).count():
                 break
-            left = whole.where("flat").unionByName(_cells(whole.where("NOT flat"), heads, distances, reach))
+            left = whole.where("flat").unionByName(_cells(whole.where("NOT flat"), heads, facts, n_meet, percent))
             many *= 4
         regions, first = durable(left), False
     if comps is None:
@@ -283,14 +279,29 @@ def _distinct(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b")).distinct()
 
 
-def _cells(left: DataFrame, heads: DataFrame, distances: DataFrame, reach: float) -> DataFrame:
+def _cells(left: DataFrame, heads: DataFrame, facts: DataFrame, n_facts: int, percent: int) -> DataFrame:
     """The documents of each region dealt to the cells of its pivots; a region that its pivots don't part stays whole
-    and is flat: its further pivots meet it only where the bound on the intersection lets them."""
-    far = distances.select("a", "b", (1 - F.col("shared") / F.col("either")).alias("d"))
-    far = far.unionByName(far.select(F.col("b").alias("a"), F.col("a").alias("b"), "d")).select(F.col("a").alias("rep"), F.col("b").alias("p"), "d")
-    dealt = left.join(heads.select("region", "p"), "region").join(far, ["rep", "p"])
+    and is flat: its further pivots meet it only where the bound on the intersection lets them.
+
+    Distances are those of the signatures: the city-block distance, a lower bound of the symmetric difference. Of sets that
+    link, it is at most (100 - percent) / (100 + percent) of their sizes' sum, and sizes differ by 100 / percent at most.
+    """
+    reach = (100 - percent) / (100 + percent) * (1 + 100 / percent)
+    marks = broadcast_if_small(facts.select("rep", "signature"), n_facts, 24 + BUCKETS)
+    dealt = left.drop("flat").join(heads.select("region", "p"), "region").join(marks, "rep").join(marks.select(F.col("rep").alias("p"), F.col("signature").alias("mark")), "p")
+    columns = ["region", "rep", "p", "n", "rare", "rest", "home"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), dtype=np.uint8).reshape(-1, BUCKETS).astype(np.int16) for k in (7, 8))
+            d = pa.array(np.abs(x - y).sum(axis=1, dtype=np.int64))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:7], d], names=[*columns, "d"])
+
+    dealt = durable(dealt.select(*columns, "signature", "mark").mapInArrow(run, "region long, rep long, p long, n int, rare double, rest int, home boolean, d long"))
     nearest = dealt.groupBy("region", "rep").agg(F.min(F.struct("d", "p")).alias("near"))
-    dealt = dealt.join(nearest, ["region", "rep"]).where(F.col("d") <= F.col("near.d") + 2 * reach + 1e-9)
+    dealt = dealt.join(nearest, ["region", "rep"]).where(F.col("d") <= F.col("near.d") + 2 * reach * F.col("n"))
     dealt = durable(dealt.select("region", "rep", "n", "rare", "rest", (F.col("home") & (F.col("p") == F.col("near.p"))).alias("home"), F.xxhash64("region", "p").alias("cell")))
     parted = dealt.groupBy("region").agg((F.count("*") <= 2 * F.sum(F.col("home").cast("int"))).alias("parted")).where("parted")
     kept = ["rep", "n", "rare", "rest", "home"]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import compression_quality, contextual_pii, exact_dedup, near_join, packing, repetition, secret_scan, simple8b
+from . import brown_lm, compression_quality, contextual_pii, exact_dedup, near_join, packing, repetition, sampled_pieces, secret_scan, simple8b
 from .common import id_remainder
 
 
@@ -13,6 +13,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampled_pieces.segmentations(_table(spark, sf_dir, "documents"), with_ids=False)
+
+
+def op2_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown_lm.score(_table(spark, sf_dir, "documents"), id_remainder("doc_id", 7) == 2)
+
+
 def op3_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_join.near_components(_table(spark, sf_dir, "documents"))
 
@@ -53,6 +61,8 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_sampled_pieces": op1_sampled_pieces,
+    "op2_brown_lm": op2_brown_lm,
     "op3_near_join": op3_near_join,
     "op4_island_packing": op4_island_packing,
     "op5_simple8b": op5_simple8b,
