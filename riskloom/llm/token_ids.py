@@ -37,9 +37,9 @@ def default_path() -> str:
 
 
 class Encoder:
-    """Encodes Arrow columns of text; keeps the ids of the units it has seen, up to `most` ids."""
+    """Encodes Arrow columns of text; keeps the ids of the units it has seen, up to `most` units (some 40 bytes each)."""
 
-    def __init__(self, path: str, most: int = 6_000_000) -> None:
+    def __init__(self, path: str, most: int = 1_200_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -52,16 +52,19 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.places: dict[int, int] = {}
-        self.starts = np.zeros(1 << 16, dtype=np.int64)
-        self.lengths = np.zeros(1 << 16, dtype=np.int64)
+        self.sorted = np.zeros(0, dtype=np.uint64)  # keys of most units, and their places
+        self.sorted_places = np.zeros(0, dtype=np.int32)
+        self.recent: dict[int, int] = {}  # of the others
+        self.units = 0
+        self.starts = np.zeros(1 << 16, dtype=np.int32)
+        self.lengths = np.zeros(1 << 16, dtype=np.int32)
         self.flat = np.zeros(1 << 16, dtype=np.uint32)
         self.used = 0
 
     def _learn(self, keys: list[int], units: list[list[int]]) -> None:
         """Add new units with their ids."""
         lengths = np.fromiter(map(len, units), np.int64, len(units))
-        known, total = len(self.places), int(lengths.sum())
+        known, total = self.units, int(lengths.sum())
         for name, need in (("flat", self.used + total), ("starts", known + len(units)), ("lengths", known + len(units))):
             old = getattr(self, name)
             if need > len(old):
@@ -71,13 +74,31 @@ class Encoder:
         self.flat[self.used : self.used + total] = np.fromiter((i for unit in units for i in unit), np.uint32, total)
         self.lengths[known : known + len(units)] = lengths
         self.starts[known : known + len(units)] = self.used + np.cumsum(lengths) - lengths
-        self.places.update(zip(keys, range(known, known + len(units))))
+        self.recent.update(zip(keys, range(known, known + len(units))))
+        self.units += len(units)
         self.used += total
+        if len(self.recent) > 100_000:
+            joined = np.concatenate([self.sorted, np.fromiter(self.recent, np.uint64, len(self.recent))])
+            order = np.argsort(joined)
+            self.sorted_places = np.concatenate([self.sorted_places, np.fromiter(self.recent.values(), np.int32, len(self.recent))])[order]
+            self.sorted, self.recent = joined[order], {}
+
+    def _find(self, keys: np.ndarray) -> np.ndarray:
+        """Places of the units with these keys; -1 for new ones."""
+        places = np.full(len(keys), -1, dtype=np.int64)
+        if len(self.sorted):
+            at = np.minimum(np.searchsorted(self.sorted, keys), len(self.sorted) - 1)
+            same = self.sorted[at] == keys
+            places[same] = self.sorted_places[at[same]]
+        missing = np.flatnonzero(places < 0)
+        get = self.recent.get
+        places[missing] = np.fromiter((get(k, -1) for k in keys[missing].tolist()), np.int64, len(missing))
+        return places
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a column's texts in order, and the offsets of the texts among them; null counts as empty."""
         ids, counts = [], []
-        for _, _, data, offsets in text_chunks(column, 2 << 20):
+        for _, _, data, offsets in text_chunks(column):
             part, n = self._chunk(data, offsets)
             ids.append(part)
             counts.append(n)
@@ -88,7 +109,7 @@ class Encoder:
         n_texts = len(offsets) - 1
         if not len(data):
             return np.zeros(0, np.uint32), np.zeros(n_texts, np.int64)
-        if self.used > self.most:
+        if self.units > self.most:
             self._forget()
         raw = data.tobytes()
         kind = _CLASS[data]
@@ -103,9 +124,7 @@ class Encoder:
         edges = np.flatnonzero(cut)
         begin, end = edges[:-1], edges[1:]
         keys, first, back = np.unique(span_hash(prefix_hash(data), begin, end), return_index=True, return_inverse=True)
-        get = self.places.get
-        listed = keys.tolist()
-        places = np.fromiter((get(k, -1) for k in listed), np.int64, len(listed))
+        places = self._find(keys)
         fresh = np.flatnonzero(places < 0)
         if len(fresh):
             unknown = np.concatenate([[0], np.cumsum(kind == 9)])
@@ -120,11 +139,11 @@ class Encoder:
                     units.append([t.id for t in tokenize(mapped[x:y])])
                 else:
                     units.append([t.id for part in find(raw[x:y].decode()) for t in tokenize(part.encode().decode("latin-1").translate(self.letters))])
-            known = len(self.places)
-            self._learn([listed[i] for i in fresh.tolist()], units)
+            known = self.units
+            self._learn(keys[fresh].tolist(), units)
             places[fresh] = known + np.arange(len(fresh))
-        lengths = self.lengths[places][back]
-        starts = self.starts[places][back]
+        lengths = self.lengths[places][back].astype(np.int64)
+        starts = self.starts[places][back].astype(np.int64)
         upto = np.concatenate([[0], np.cumsum(lengths)])
         ids = self.flat[np.repeat(starts - upto[:-1], lengths) + np.arange(upto[-1])]
         bounds = upto[np.searchsorted(begin, offsets)]
