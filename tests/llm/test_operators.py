@@ -1,0 +1,345 @@
+import hashlib
+import math
+import random
+import zlib
+from collections import Counter
+
+import brute
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from riskloom.llm import brown_lm, compression_quality, contextual_pii, exact_dedup, near_join, packing, repetition, sampled_pieces, secret_scan, simple8b, token_ids
+from riskloom.llm.common import id_remainder, text_chunks
+from riskloom.llm.queries import QUERIES
+
+LONG = " ".join(f"word{i}" for i in range(3000))
+ODD = [None, "", " ", "a", "A a", "one two three four five six", "One two three four five six", "one  two\nthree four five six", LONG, LONG + " tail", "x" * 5000, "é日 本\t\n", "the the the the the the",
+       "password = \"abcdefgh1234\"", "call +1 (222) 555-1234 or 4111 1111 1111 1111", "same", "same"]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    rows = [(i, t, "en", None, 0, "clash") for i, t in enumerate(ODD)] + [(3, "a", "en", "s", 1, "repeat")]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, key string")
+
+
+@pytest.fixture(scope="module")
+def empty(odd):
+    return odd.where("doc_id < 0")
+
+
+@pytest.fixture(scope="module")
+def docs(spark, small):
+    return spark.read.parquet(f"{small}/documents.parquet")
+
+
+def words(seed, n, vocabulary=400):
+    rng = random.Random(seed)
+    return [f"w{rng.randrange(vocabulary)}" for _ in range(n)]
+
+
+def family(spark, copies=60):
+    """Copies of one text with a few words changed, and others that share a passage only."""
+    rng, base, rows = random.Random(1), words(7, 120, 10**6), []
+    for i in range(copies):
+        text = list(base)
+        for _ in range(rng.randrange(0, 6)):
+            text[rng.randrange(len(text))] = f"new{rng.randrange(10**6)}"
+        rows.append((i, " ".join(text)))
+    passage = words(8, 40, 10**6)
+    rows += [(1000 + i, " ".join(passage + words(100 + i, 30 + i, 10**6))) for i in range(60)]
+    return rows, spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+
+
+def test_near_join_equals_brute_force(spark, docs, monkeypatch):
+    rows, df = family(spark)
+    expected = brute.near_components(rows)
+    for small_regions, pivots in ((128, 8), (3, 2)):
+        monkeypatch.setattr(near_join, "SMALL", small_regions)
+        monkeypatch.setattr(near_join, "PIVOTS", pivots)
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_join.near_components(df).collect()} == expected
+    monkeypatch.undo()
+    real = [(r.doc_id, r.text) for r in docs.collect()]
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_join.near_components(docs).collect()} == brute.near_components(real)
+
+
+def test_near_join_odd_rows(odd, empty):
+    got = near_join.near_components(odd).collect()
+    assert len(got) == len(ODD) + 1
+    of = {r.doc_id: r.component_id for r in got}
+    assert of[0] == 0 and of[1] == 1 and of[2] == 2 and of[4] == 4 and of[6] == 5 == of[7] and of[9] == 8 and of[16] == 15
+    assert near_join.near_components(empty).count() == 0
+
+
+@pytest.mark.parametrize("hash_bytes", [16, 1])
+def test_exact_groups(odd, docs, hash_bytes):
+    for df in (odd.where("key <> 'repeat'"), docs):
+        rows = [(r.doc_id, r.text or "") for r in df.collect()]
+        groups = {}
+        for i, t in rows:
+            groups.setdefault("".join(brute.WORD.findall(t)), []).append((-len(t), i))
+        expected = {i: (min(groups[n])[1], len(groups[n]), min(groups[n])[1] == i, hashlib.sha256(n.encode()).hexdigest()) for i, t in rows for n in ["".join(brute.WORD.findall(t))]}
+        got = {r.doc_id: (r.keep_id, r.group_size, r.kept, r.text_sha256) for r in exact_dedup.exact_groups(df, hash_bytes=hash_bytes).collect()}
+        assert got == expected
+
+
+def test_deduplicate_leaves_one_row_each(odd, empty):
+    left = exact_dedup.deduplicate(odd)
+    assert left.columns == odd.columns
+    assert sorted(r.doc_id for r in left.collect()) == [2, 3, 4, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15]
+    assert exact_dedup.deduplicate(empty).count() == 0 and exact_dedup.exact_groups(empty).count() == 0
+
+
+def test_repetition_equals_brute_force(odd, docs, empty):
+    for df in (odd, docs):
+        got = repetition.measures(df).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words").collect()
+        expected = Counter((r.doc_id, *brute.repetition(r.text)) for r in df.collect())
+        assert Counter(map(tuple, got)) == expected
+    assert repetition.measures(empty).count() == 0
+
+
+def test_repetition_verdict():
+    lines = "\n".join(["the same line of text here"] * 30).encode()
+    clean = " ".join(words(3, 300, 10**6)).encode()
+    data, offsets = np.frombuffer(lines + clean, np.uint8), np.array([0, len(lines), len(lines) + len(clean)])
+    out = dict(zip(repetition.NAMES, repetition.measure(data, offsets).T))
+    assert out["n_dup_lines"].tolist() == [29, 0] and out["repeated_5"][0] > 0.9 * out["word_chars"][0] and out["repeated_5"][1] == 0
+
+
+def test_secrets_equal_brute_force(spark, odd, docs, empty):
+    rng = random.Random(4)
+    parts = ["password", "TOKEN", "apikey", "api_key", "=", ":", " ", '"', "abcdefgh", "12345678", "AKIA", "ABCDEFGH12345678", "0123456789abcdef", "é", "\n", ".", "ſecret", "deadbeef"]
+    fuzz = spark.createDataFrame([(i, "".join(rng.choice(parts) for _ in range(rng.randrange(12)))) for i in range(1500)], "doc_id long, text string")
+    for df in (odd, docs, fuzz):
+        texts = {r.doc_id: r.text for r in df.collect()}
+        for r in secret_scan.scan(df).collect():
+            assert [tuple(s) for s in r.spans if s.kind != "entropy"] == brute.secrets(texts[r.doc_id])
+    assert secret_scan.scan(empty).count() == 0
+
+
+def test_entropy_finds_and_allows(spark):
+    texts = ["key Zx8kQ2vN7bR4tY1mW9pL3sD6f end", "id 123e4567-e89b-12d3-a456-426614174000", "see sha256: 9f86d081884c7d659a2feaa0", "averyveryverylongplainword here", "AbCd0000000example1234567890"]
+    found = {r.doc_id: r.spans for r in secret_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [s.kind for s in found[0]] == ["entropy"] and not any(found[i] for i in (1, 2, 3, 4))
+    assert texts[0][found[0][0].start : found[0][0].end] in texts[0].split()[1]
+
+
+def test_entropy_windows_equal_direct_computation():
+    rng = random.Random(2)
+    for _ in range(50):
+        text = bytes(rng.choice(b"abcdef0123456789XYZ") for _ in range(rng.randrange(20, 60)))
+        inside = set()
+        for i in range(len(text) - 19):
+            h = -sum(n / 20 * math.log2(n / 20) for n in Counter(text[i : i + 20]).values())
+            inside |= set(range(i, i + 20)) if h >= 3.4 - 1e-9 else set()
+        assert {k for a, b in secret_scan.entropy_windows(text, 3.4) for k in range(a, b)} == inside
+
+
+def test_redaction(odd, empty):
+    out = secret_scan.redact(odd)
+    assert out.columns == odd.columns and out.count() == odd.count() and secret_scan.redact(empty).count() == 0
+    rows = {r.doc_id: r for r in out.collect()}
+    assert rows[13].text == "[SECRET]\"" and rows[13].n_chars == len(rows[13].text) and rows[0].text is None
+
+
+def test_pii_equals_brute_force(spark, odd, docs, empty):
+    rng = random.Random(3)
+    chars = ["".join(rng.choice("a@.+ -()0123456789é%_=\n") for _ in range(rng.randrange(60))) for _ in range(800)]
+    bits = ["a@b.c", "..", "_x@y.org", "1.2.3.4", ".5", "4111 1111 1111 1111", "-", "+1 (2", "12345678", "é", " ", "@", "999.1.1.1", "0001.2.3.4"]
+    joined = ["".join(rng.choice(bits) for _ in range(rng.randrange(9))) for _ in range(800)]
+    fuzz = spark.createDataFrame(list(enumerate(chars + joined)), "doc_id long, text string")
+    for df in (odd, docs, fuzz):
+        texts = {r.doc_id: r.text for r in df.collect()}
+        for r in contextual_pii.find(df).collect():
+            assert [tuple(x)[:3] for x in r.base] == brute.pii(texts[r.doc_id])
+            assert set(map(tuple, r.base)) <= set(map(tuple, r.spans))
+    assert contextual_pii.find(empty).count() == 0
+
+
+def test_pii_long_runs_take_linear_time(spark):
+    df = spark.createDataFrame([(1, "a" * 200_000), (2, "a.b" * 60_000 + "@" + "a." * 60_000 + "a"), (3, "1" * 100_000)], "doc_id long, text string")
+    assert contextual_pii.find(df).count() == 3
+
+
+def test_pii_contexts_discover(spark):
+    rows = [(i, f"please mail: user{i}@host.example.com now") for i in range(12)] + [(100, "just mail: someone@internal now"), (101, "the price is 55 someone@internal")]
+    got = {r.doc_id: [tuple(s)[:3] for s in r.spans] for r in contextual_pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[100] == [("email", 11, 27)] and got[101] == []
+
+
+def test_compression_classifier_separates(spark, empty):
+    rng = random.Random(5)
+    good = [" ".join(rng.choice(["river", "mountain", "quiet", "evening", "walked", "slowly", "home", "and", "the", "bright"]) for _ in range(150)) for _ in range(120)]
+    bad = [" ".join(rng.choice(["BUY!!", "$$$", "CLICK", "NOW!!!", "WIN", "FREE***", "###", "CASH"]) for _ in range(150)) for _ in range(120)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(good + bad)] + [(9999, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 120)) for i in range(240)] + [(1, None)], "doc_id long, quality int")
+    model = compression_quality.fit(df, labels, id_remainder("doc_id", 3) != 1)
+    got = {r.doc_id: r.score for r in compression_quality.score(df, model).collect()}
+    assert all((got[i] >= 0.5) == (i < 120) for i in range(240)) and 0 <= got[9999] <= 1
+    kept = compression_quality.good_documents(df, model).collect()
+    assert {r.doc_id for r in kept} == {i for i, s in got.items() if s >= 0.5}
+    nothing = compression_quality.fit(df, labels.where("quality = 1"), F.lit(True))
+    assert compression_quality.score(df, nothing).where("score < 0.5").count() == 0 and compression_quality.score(empty, model).count() == 0
+
+
+def test_encoder_equals_the_library():
+    e = token_ids.encoder(token_ids.default_path())
+    rng = random.Random(5)
+    parts = ["a", "B", "é", "×", "÷", "ß", " ", "  ", "\n", "'s", "'re", "'", "1", "22", ".", "...", "…", "日", "\t", "don't", "\xa0", "Ã", "💡", "_", "\x00", "’s", "<|endoftext|>"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(40))) for _ in range(2500)] + [None, LONG]
+    ids, offsets = e.encode(pa.array(texts))
+    for i, t in enumerate(texts):
+        assert ids[offsets[i] : offsets[i + 1]].tolist() == e.tokenizer.encode(t or "", add_special_tokens=False).ids
+
+
+def test_packing_is_whole_and_tight(odd, docs, empty):
+    e = token_ids.encoder(token_ids.default_path())
+    for df, slack in ((odd, 0), (docs, 2)):
+        expected = []
+        for r in df.collect():
+            ids = np.array([*e.tokenizer.encode(r.text or "", add_special_tokens=False).ids, 2], dtype="<u4")
+            at, k, cut = 0, 0, len(ids) % 1024 or 1024
+            while at < len(ids):
+                expected.append((r.doc_id, k, at, cut - at, zlib.crc32(ids[at:cut].tobytes())))
+                at, k, cut = cut, k + 1, cut + 1024
+        got = packing.pack(df).collect()
+        assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == Counter(expected)
+        bins = {}
+        for r in got:
+            bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
+        for b in bins.values():
+            at = 0
+            for offset, length in sorted(b):
+                assert offset == at
+                at += length
+            assert at <= 1024
+        assert len(bins) <= -(-sum(x[3] for x in expected) // 1024) + slack
+    assert packing.pack(empty).count() == 0
+
+
+def test_genetic_operators_keep_all_pieces():
+    rng = np.random.default_rng(1)
+    sizes = rng.integers(1, 1000, 200).tolist()
+    one = packing.best_fit(sizes, list(range(200)), [], 1024)
+    two = packing.mutate(sizes, one, 1024, rng)
+    child = packing.crossover(sizes, one, two, 1024, rng)
+    for bins in (one, two, child, packing.evolve(sizes, [one, two], 1024, 3)):
+        assert sorted(i for b in bins for i in b) == list(range(200)) and all(sum(sizes[i] for i in b) <= 1024 for b in bins)
+
+
+def test_simple8b_round_trip():
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 5, 239, 240, 241, 1000, 20000):
+        for values in (rng.integers(0, 50257, n), rng.integers(0, 2, n), np.zeros(n, int), rng.integers(0, 2**63, n) * (rng.random(n) < 0.1)):
+            values = values.astype(np.uint64)
+            if n > 2:
+                values[1], values[2] = 2**64 - 1, 2**60
+            ids, counts, back = simple8b.decode_shard(simple8b.encode_shard([7], [n], values, block=777))
+            assert ids.tolist() == [7] and counts.tolist() == [n] and (back == values).all()
+
+
+def test_token_files(spark, odd, docs, empty):
+    e = token_ids.encoder(token_ids.default_path())
+    for df in (odd, docs):
+        place = simple8b.folder(spark, "test-ids")
+        index = simple8b.write(df, place, shards=3)
+        rows = sorted(((r.doc_id, r.text or "") for r in df.collect()))
+        at, expected = 0, []
+        for i, t in rows:
+            ids = [*e.tokenizer.encode(t, add_special_tokens=False).ids, 0]
+            expected.append((i, at, len(ids), zlib.crc32(np.array(ids, dtype="<u4").tobytes())))
+            at += len(ids)
+        assert sorted(map(tuple, simple8b.digests(index, place).collect())) == sorted(expected)
+        assert {(r.doc_id, r.start): len(r.ids) for r in simple8b.read(index, place).collect()} == {(x[0], x[1]): x[2] for x in expected}
+    place = simple8b.folder(spark, "test-ids")
+    assert simple8b.digests(simple8b.write(empty, place), place).count() == 0
+
+
+def test_brown_counts_and_probabilities(spark, docs, odd, empty):
+    held = id_remainder("doc_id", 7) == 2
+    texts = {r.doc_id: brute.WORD.findall((r.text or "").translate(brute.LOWER)) + [None] for r in docs.collect()}
+    count = Counter()
+    for i, w in texts.items():
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            count.update(w)
+    n, v = sum(count.values()), len(count)
+    rows = brown_lm.score(docs, held).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        w = texts[r.doc_id]
+        assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (len(w), sum(count[x] > 0 for x in w), n, zlib.crc32(str(r.doc_id).encode()) % 7 == 2)
+        assert r.base_score == pytest.approx(sum(math.log10((count[x] + 1) / (n + v + 1)) for x in w))
+        assert r.score < 0
+    out = [r for r in rows if r.held_out]
+    assert sum(r.score for r in out) > sum(r.base_score for r in out)
+    assert brown_lm.score(odd, held).count() == odd.count() and brown_lm.score(empty, held).count() == 0
+
+
+def test_exchange_gain_equals_likelihood_difference():
+    rng = np.random.default_rng(2)
+    symbols, classes = 12, 4
+    pairs = rng.integers(0, 9, (symbols, symbols)).astype(float)
+    of = rng.integers(0, classes, symbols)
+    table = lambda c: np.array([[pairs[np.ix_(c == a, c == b)].sum() for b in range(classes)] for a in range(classes)])
+    for w in range(symbols):
+        right, left = np.bincount(of, pairs[w], classes), np.bincount(of, pairs[:, w], classes)
+        best, gain = brown_lm.best_class(table(of), int(of[w]), left, right, pairs[w, w], classes)
+        moved = of.copy()
+        values = []
+        for c in range(classes):
+            moved[w] = c
+            values.append(brown_lm.likelihood(table(moved)))
+        assert gain == pytest.approx(max(values) - values[of[w]], abs=1e-6) and (gain == 0 or values[best] == pytest.approx(max(values)))
+
+
+def searched(texts, keys, k):
+    v, out = sampled_pieces.vocabulary(sampled_pieces.default_path()), []
+    for first, end, data, offsets in text_chunks(pa.array(texts)):
+        out += [(first + r[0], *r[1:]) for r in sampled_pieces.search(v, data, offsets, keys[first:end], k)]
+    return v, out
+
+
+def test_segmentations_decode_and_differ():
+    texts = ["", "the theory", "a", "x  y\n é日💡", "hello world foo bar", " lead", LONG, None]
+    v, rows = searched(texts, np.arange(len(texts)).astype(np.uint64), 3)
+    by = {}
+    for text, _, ids, *_ in rows:
+        assert v.decode(ids.tolist()) == (texts[text] or "") if len(ids) else not texts[text]
+        by.setdefault(text, []).append(tuple(ids.tolist()))
+    assert all(len(set(x)) == len(x) for x in by.values()) and len(by[1]) == 3 and len(by[0]) == 1 and len(by[2]) == 2
+
+
+def test_segmentation_sample_has_the_exact_distribution():
+    n = 6000
+    _, rows = searched(["the cat"] * n, np.arange(n).astype(np.uint64), 2)
+    p = {tuple(r[2].tolist()): math.exp(r[3]) for r in rows}
+    first, second = (Counter(tuple(r[2].tolist()) for r in rows if r[1] == k) for k in (0, 1))
+    for s, share in p.items():
+        assert first[s] / n == pytest.approx(share, abs=0.025)
+        assert second[s] / n == pytest.approx(sum(p[a] * share / (1 - p[a]) for a in p if a != s), abs=0.025)
+
+
+def test_segmentations_follow_the_row_only(odd, empty):
+    one = Counter((r.doc_id, r.sample, r.ids_crc32) for r in sampled_pieces.segmentations(odd).collect())
+    assert one == Counter((r.doc_id, r.sample, r.ids_crc32) for r in sampled_pieces.segmentations(odd.repartition(3)).collect())
+    assert sampled_pieces.segmentations(empty).count() == 0
+
+
+def test_all_queries_are_registered():
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+
+
+def test_pipeline(spark, small, docs):
+    import corpus_pipeline
+
+    step, columns = docs, docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = step.count()
+        step = stage(spark, step, small)
+        assert step.columns == columns and 0 < step.count() <= before, name
+    kept = {r.doc_id for r in step.select("doc_id").collect()}
+    assert {r.doc_id for r in corpus_pipeline.run(spark, small).select("doc_id").distinct().collect()} == kept
+    texts = ["".join(brute.WORD.findall(r.text)) for r in step.collect()]
+    assert len(texts) == len(set(texts))
