@@ -44,8 +44,10 @@ BLOCK = 1 << 21
 #: Regions of at most so many documents compare all pairs that may link; larger ones use so many documents as pivots.
 SMALL = 128
 PIVOTS = 8
-#: Classes of the shingle hash that a signature counts.
+#: Least number of classes of the shingle hash that a signature counts.
 BUCKETS = 128
+#: Of the pairs that may link, each document's best ones are measured first; pairs of one component need no measuring then.
+BEST = 2
 
 
 def shingle_sets(column: pa.Array, words: int) -> Iterator[np.ndarray]:
@@ -67,11 +69,35 @@ def shingle_sets(column: pa.Array, words: int) -> Iterator[np.ndarray]:
                 yield sequence_hash(hashes[word_at[i] : word_at[i + 1]], int(n)) if n else np.zeros(0, np.uint64)
 
 
+def _signature(s: np.ndarray) -> bytes:
+    """Counts of a set's shingles in classes of the hash, two in each class on average, at most 255 each."""
+    classes = max(BUCKETS, 1 << (len(s) // 2).bit_length())
+    return np.minimum(np.bincount((s & np.uint64(classes - 1)).astype(np.int64), minlength=classes), 255).astype(np.uint8).tobytes()
+
+
+def _folded(signatures: list[bytes]) -> np.ndarray:
+    """Signatures as rows of `BUCKETS` counts; classes are powers of two, so larger ones fold onto them."""
+    out = np.zeros((len(signatures), BUCKETS), dtype=np.int32)
+    for i, x in enumerate(signatures):
+        out[i] = np.frombuffer(x, np.uint8).reshape(-1, BUCKETS).sum(axis=0, dtype=np.int32)
+    return out
+
+
+def _most_shared(x: bytes, y: bytes, n: int) -> int:
+    """Upper bound of the intersection of two sets, the smaller of which has `n` shingles."""
+    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    if a.max(initial=0) == 255 or b.max(initial=0) == 255:
+        return n
+    size = min(len(a), len(b))
+    a, b = (v if len(v) == size else v.reshape(-1, size).sum(axis=0, dtype=np.int32) for v in (a, b))
+    return int(np.minimum(a, b).sum(dtype=np.int64))
+
+
 def _described(source: DataFrame, words: int) -> DataFrame:
     """Per document its number of shingles, a key of its set, and its signature; and rows (s, often) of frequent shingles.
 
     A shingle that is in 0.1 % of all documents is so in some block of documents, and is found there. The signature
-    counts a set's shingles in `BUCKETS` classes of the hash, that is, its distances to as many fixed pivots.
+    counts a set's shingles in classes of the hash, that is, its distances to as many fixed pivots.
     """
     names = ["doc_id", "n", "key", "signature", "s", "often"]
 
@@ -91,7 +117,7 @@ def _described(source: DataFrame, words: int) -> DataFrame:
             for s in shingle_sets(batch.column(1), words):
                 n.append(len(s))
                 keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                signatures.append(np.minimum(np.bincount((s % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS), 255).astype(np.uint8).tobytes())
+                signatures.append(_signature(s))
                 held.append(s)
                 size += len(s)
                 if size >= BLOCK:
@@ -160,7 +186,6 @@ def _measured(pairs: DataFrame, source: DataFrame, words: int) -> DataFrame:
 
     Sets are made again from the texts of the documents that are in pairs; all other texts stay where they are.
     """
-    pairs = durable(pairs)
     n = pairs.count()
 
     def sets(side: str, items: str) -> DataFrame:
@@ -173,26 +198,24 @@ def _measured(pairs: DataFrame, source: DataFrame, words: int) -> DataFrame:
 
 
 def _near_enough(pairs: DataFrame, facts: DataFrame, n_facts: int, percent: int) -> DataFrame:
-    """The pairs that may link by their signatures: the smaller counts of all buckets bound the intersection.
+    """(a, b, bound) of the pairs that may link by their signatures: the smaller counts of all classes bound the intersection.
 
-    By the triangle inequality, no bucket's share of the symmetric difference is below the difference of the two counts.
+    By the triangle inequality, no class's share of the symmetric difference is below the difference of the two counts.
     """
-    bound = broadcast_if_small(facts.select("rep", "n", "signature"), n_facts, 32 + BUCKETS)
+    bound = broadcast_if_small(facts.select("rep", "n", "signature"), n_facts, 600)
     left = bound.select(F.col("rep").alias("a"), F.col("n").alias("an"), F.col("signature").alias("sa"))
     right = bound.select(F.col("rep").alias("b"), F.col("n").alias("bn"), F.col("signature").alias("sb"))
     both = pairs.join(left, "a").join(right, "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), dtype=np.uint8).reshape(-1, BUCKETS) for k in (4, 5))
-            n = batch.column(2).to_numpy().astype(np.int64), batch.column(3).to_numpy().astype(np.int64)
-            least = np.minimum(x, y)
-            most = np.where((least == 255).any(axis=1), np.minimum(*n), least.sum(axis=1, dtype=np.int64))
-            yield batch.select([0, 1]).filter(pa.array(100 * most >= percent * (n[0] + n[1] - most)))
+            m, n = batch.column(2).to_numpy().astype(np.int64), batch.column(3).to_numpy().astype(np.int64)
+            least = np.minimum(m, n).tolist()
+            most = np.array([_most_shared(x, y, k) for x, y, k in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), least)], dtype=np.int64)
+            columns = [*batch.columns[:2], pa.array(most / np.maximum(m + n - most, 1), pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "bound"]).filter(pa.array(100 * most >= percent * (m + n - most)))
 
-    return both.select("a", "b", "an", "bn", "sa", "sb").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "an", "bn", "sa", "sb").mapInArrow(run, "a long, b long, bound double")
 
 
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
@@ -232,7 +255,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     facts = facts.withColumn("rare", -F.col("met") / F.col("n"))
     regions = rows.join(broadcast_if_small(facts.drop("signature", "met"), n_meet, 40), "rep").withColumn("home", F.col("rest") > 0).withColumn("rest", F.abs("rest"))
     regions = regions.withColumn("flat", F.lit(False))
-    comps, links, first, many = None, None, True, 256
+    comps, links, first, many = None, None, True, 16
     while True:
         live = regions.withColumn("comp", F.col("rep"))
         if comps is not None:
@@ -254,12 +277,25 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             few = live.where(f"m <= {SMALL}").drop("flat", "m", "rare")
             other = few.select("region", F.col("rep").alias("p"), F.col("n").alias("pn"), F.col("rest").alias("prest"), F.col("comp").alias("pcomp"), F.col("home").alias("phome"))
             pairs = pairs.unionByName(few.join(other, "region").where("rep < p").where(may_link).select("rep", "p"))
-        pairs = _near_enough(_distinct(pairs), facts, n_meet, percent)
-        distances = durable(_measured(pairs, source, words))
-        found = distances.where(f"100 * shared >= {percent} * either").select("a", "b")
-        if found.limit(1).count():
-            links = found if links is None else links.unionByName(found)
-            comps = components(links)
+        pairs = durable(_near_enough(_distinct(pairs), facts, n_meet, percent))
+        for best in (True, False):
+            if best:
+                ranks = {f"r{side}": F.row_number().over(Window.partitionBy(side).orderBy(F.desc("bound"), "a", "b")) for side in "ab"}
+                batch = pairs.withColumns(ranks).where(f"ra <= {BEST} or rb <= {BEST}").select("a", "b")
+                chosen = batch = durable(batch)
+            else:
+                batch = pairs.select("a", "b").join(chosen, ["a", "b"], "left_anti")
+                if comps is not None:
+                    for side in "ab":
+                        batch = batch.join(comps.select(F.col("node").alias(side), F.col("comp").alias(f"c{side}")), side, "left").withColumn(f"c{side}", F.coalesce(f"c{side}", side))
+                    batch = batch.where("ca <> cb")
+                batch = durable(batch.select("a", "b"))
+            if not batch.limit(1).count():
+                continue
+            found = durable(_measured(batch, source, words).where(f"100 * shared >= {percent} * either").select("a", "b"))
+            if found.limit(1).count():
+                links = found if links is None else links.unionByName(found)
+                comps = components(links)
         left = live.drop("comp", "m") if first else live.where(f"m > {SMALL}").drop("comp", "m")
         left = left.join(heads.select("region", F.col("p").alias("rep")), ["region", "rep"], "left_anti")
         if not first:
@@ -287,7 +323,7 @@ def _cells(left: DataFrame, heads: DataFrame, facts: DataFrame, n_facts: int, pe
     link, it is at most (100 - percent) / (100 + percent) of their sizes' sum, and sizes differ by 100 / percent at most.
     """
     reach = (100 - percent) / (100 + percent) * (1 + 100 / percent)
-    marks = broadcast_if_small(facts.select("rep", "signature"), n_facts, 24 + BUCKETS)
+    marks = broadcast_if_small(facts.select("rep", "signature"), n_facts, 600)
     dealt = left.drop("flat").join(heads.select("region", "p"), "region").join(marks, "rep").join(marks.select(F.col("rep").alias("p"), F.col("signature").alias("mark")), "p")
     columns = ["region", "rep", "p", "n", "rare", "rest", "home"]
 
@@ -295,7 +331,7 @@ def _cells(left: DataFrame, heads: DataFrame, facts: DataFrame, n_facts: int, pe
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), dtype=np.uint8).reshape(-1, BUCKETS).astype(np.int16) for k in (7, 8))
+            x, y = (_folded(batch.column(k).to_pylist()) for k in (7, 8))
             d = pa.array(np.abs(x - y).sum(axis=1, dtype=np.int64))
             yield pa.RecordBatch.from_arrays([*batch.columns[:7], d], names=[*columns, "d"])
 
