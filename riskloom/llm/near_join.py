@@ -42,12 +42,10 @@ HEAVY = 1 << 16
 #: Shingles counted at a time; one in at least 8 and 0.1 % of the documents of such a block is a frequent one there.
 BLOCK = 1 << 21
 #: Regions of at most so many documents compare all pairs that may link; larger ones use so many documents as pivots.
-SMALL = 128
-PIVOTS = 8
-#: Least number of classes of the shingle hash that a signature counts.
-BUCKETS = 128
-#: Of the pairs that may link, each document's best ones are measured first; pairs of one component need no measuring then.
-BEST = 2
+SMALL = 256
+PIVOTS = 16
+#: Least number of classes of the shingle hash in a signature; a power of two.
+CLASSES = 512
 
 
 def shingle_sets(column: pa.Array, words: int) -> Iterator[np.ndarray]:
@@ -70,34 +68,31 @@ def shingle_sets(column: pa.Array, words: int) -> Iterator[np.ndarray]:
 
 
 def _signature(s: np.ndarray) -> bytes:
-    """Counts of a set's shingles in classes of the hash, two in each class on average, at most 255 each."""
-    classes = max(BUCKETS, 1 << (len(s) // 2).bit_length())
-    return np.minimum(np.bincount((s & np.uint64(classes - 1)).astype(np.int64), minlength=classes), 255).astype(np.uint8).tobytes()
+    """For each class of the shingle hash, one bit: whether the set has an odd number of shingles in it.
+
+    A shingle that only one of two sets has changes one bit, so the bits that differ are a metric that never exceeds the
+    symmetric difference. There are as many classes as shingles or more.
+    """
+    classes = max(CLASSES, 1 << len(s).bit_length())
+    return np.packbits(np.bincount((s & np.uint64(classes - 1)).astype(np.int64), minlength=classes) & 1).tobytes()
 
 
-def _folded(signatures: list[bytes]) -> np.ndarray:
-    """Signatures as rows of `BUCKETS` counts; classes are powers of two, so larger ones fold onto them."""
-    out = np.zeros((len(signatures), BUCKETS), dtype=np.int32)
-    for i, x in enumerate(signatures):
-        out[i] = np.frombuffer(x, np.uint8).reshape(-1, BUCKETS).sum(axis=0, dtype=np.int32)
-    return out
+def _folded(signature: bytes, size: int) -> int:
+    """The signature over the fewest classes, `size` bytes of them, as a number; numbers of classes are powers of two."""
+    value = np.frombuffer(signature, np.uint8)
+    return int.from_bytes(np.bitwise_xor.reduce(value.reshape(-1, size), axis=0).tobytes() if len(value) > size else signature)
 
 
-def _most_shared(x: bytes, y: bytes, n: int) -> int:
-    """Upper bound of the intersection of two sets, the smaller of which has `n` shingles."""
-    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
-    if a.max(initial=0) == 255 or b.max(initial=0) == 255:
-        return n
-    size = min(len(a), len(b))
-    a, b = (v if len(v) == size else v.reshape(-1, size).sum(axis=0, dtype=np.int32) for v in (a, b))
-    return int(np.minimum(a, b).sum(dtype=np.int64))
+def _apart(x: bytes, y: bytes, size: int | None = None) -> int:
+    """Lower bound of the symmetric difference of two sets: how many bits of their signatures differ."""
+    size = size or min(len(x), len(y))
+    return (_folded(x, size) ^ _folded(y, size)).bit_count()
 
 
 def _described(source: DataFrame, words: int) -> DataFrame:
     """Per document its number of shingles, a key of its set, and its signature; and rows (s, often) of frequent shingles.
 
-    A shingle that is in 0.1 % of all documents is so in some block of documents, and is found there. The signature
-    counts a set's shingles in classes of the hash, that is, its distances to as many fixed pivots.
+    A shingle that is in 0.1 % of all documents is so in some block of documents, and is found there.
     """
     names = ["doc_id", "n", "key", "signature", "s", "often"]
 
@@ -198,24 +193,21 @@ def _measured(pairs: DataFrame, source: DataFrame, words: int) -> DataFrame:
 
 
 def _near_enough(pairs: DataFrame, facts: DataFrame, n_facts: int, percent: int) -> DataFrame:
-    """(a, b, bound) of the pairs that may link by their signatures: the smaller counts of all classes bound the intersection.
-
-    By the triangle inequality, no class's share of the symmetric difference is below the difference of the two counts.
+    """(a, b) of the pairs that may link by their signatures: of sets that link, the symmetric difference is at most
+    (100 - percent) / (100 + percent) of the sum of their sizes.
     """
-    bound = broadcast_if_small(facts.select("rep", "n", "signature"), n_facts, 600)
+    bound = broadcast_if_small(facts.select("rep", "n", "signature"), n_facts, 200)
     left = bound.select(F.col("rep").alias("a"), F.col("n").alias("an"), F.col("signature").alias("sa"))
     right = bound.select(F.col("rep").alias("b"), F.col("n").alias("bn"), F.col("signature").alias("sb"))
     both = pairs.join(left, "a").join(right, "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            m, n = batch.column(2).to_numpy().astype(np.int64), batch.column(3).to_numpy().astype(np.int64)
-            least = np.minimum(m, n).tolist()
-            most = np.array([_most_shared(x, y, k) for x, y, k in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), least)], dtype=np.int64)
-            columns = [*batch.columns[:2], pa.array(most / np.maximum(m + n - most, 1), pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "bound"]).filter(pa.array(100 * most >= percent * (m + n - most)))
+            sizes = batch.column(2).to_numpy().astype(np.int64) + batch.column(3).to_numpy()
+            apart = np.array([_apart(x, y) for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist())], dtype=np.int64)
+            yield batch.select([0, 1]).filter(pa.array((100 + percent) * apart <= (100 - percent) * sizes))
 
-    return both.select("a", "b", "an", "bn", "sa", "sb").mapInArrow(run, "a long, b long, bound double")
+    return both.select("a", "b", "an", "bn", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
@@ -255,7 +247,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     facts = facts.withColumn("rare", -F.col("met") / F.col("n"))
     regions = rows.join(broadcast_if_small(facts.drop("signature", "met"), n_meet, 40), "rep").withColumn("home", F.col("rest") > 0).withColumn("rest", F.abs("rest"))
     regions = regions.withColumn("flat", F.lit(False))
-    comps, links, first, many = None, None, True, 16
+    comps, links, first, many = None, None, True, 64
     while True:
         live = regions.withColumn("comp", F.col("rep"))
         if comps is not None:
@@ -266,30 +258,33 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if not live.limit(1).count():
             break
         # the most central documents come first: those with the fewest shingles of their own
-        order = Window.partitionBy("region").orderBy("rare", "rep")
-        heads = live if first else live.where(f"m > {SMALL}")
-        heads = heads.withColumn("k", F.row_number().over(order)).where("k <= 1" if first else f"k <= {many}").where(f"flat OR k <= {PIVOTS}")
+        if first:
+            head = live.groupBy("region", "flat").agg(F.min(F.struct("rare", "rep", "n", "rest", "comp", "home")).alias("head"))
+            heads = head.select("region", "flat", "head.*")
+        else:
+            order = Window.partitionBy("region").orderBy("rare", "rep")
+            heads = live.where(f"m > {SMALL}").withColumn("k", F.row_number().over(order)).where(f"k <= {many}").where(f"flat OR k <= {PIVOTS}")
         heads = durable(heads.select("region", "flat", F.col("rep").alias("p"), F.col("n").alias("pn"), F.col("rest").alias("prest"), F.col("comp").alias("pcomp"), F.col("home").alias("phome")))
         may_link = F.expr(f"comp <> pcomp AND (home OR phome) AND (100 + {percent}) * least(rest, prest) >= {percent} * (n + pn)")
-        met = live.drop("flat").join(heads, "region").where(F.col("rep") != F.col("p"))
-        pairs = met.where(may_link).select("rep", "p")
+        pairs = live.drop("flat").join(heads, "region").where(F.col("rep") != F.col("p")).where(may_link).select("rep", "p")
         if not first:
             few = live.where(f"m <= {SMALL}").drop("flat", "m", "rare")
             other = few.select("region", F.col("rep").alias("p"), F.col("n").alias("pn"), F.col("rest").alias("prest"), F.col("comp").alias("pcomp"), F.col("home").alias("phome"))
             pairs = pairs.unionByName(few.join(other, "region").where("rep < p").where(may_link).select("rep", "p"))
-        pairs = durable(_near_enough(_distinct(pairs), facts, n_meet, percent))
-        for best in (True, False):
-            if best:
-                ranks = {f"r{side}": F.row_number().over(Window.partitionBy(side).orderBy(F.desc("bound"), "a", "b")) for side in "ab"}
-                batch = pairs.withColumns(ranks).where(f"ra <= {BEST} or rb <= {BEST}").select("a", "b")
-                chosen = batch = durable(batch)
-            else:
-                batch = pairs.select("a", "b").join(chosen, ["a", "b"], "left_anti")
+        pairs = durable(pairs.groupBy(F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b")).agg(F.count("*").alias("regions")))
+        # each document's pair in the most regions is measured first: most other pairs are inside one component then
+        own = pairs.select(F.explode(F.array("a", "b")).alias("one"), F.struct("regions", "a", "b").alias("pair")).groupBy("one").agg(F.max("pair").alias("pair"))
+        chosen = durable(own.select("pair.a", "pair.b").distinct())
+        n_chosen = chosen.count()
+        for batch in (chosen, None):
+            if batch is None:
+                batch = pairs.select("a", "b").join(broadcast_if_small(chosen, n_chosen, 24), ["a", "b"], "left_anti")
                 if comps is not None:
                     for side in "ab":
-                        batch = batch.join(comps.select(F.col("node").alias(side), F.col("comp").alias(f"c{side}")), side, "left").withColumn(f"c{side}", F.coalesce(f"c{side}", side))
-                    batch = batch.where("ca <> cb")
-                batch = durable(batch.select("a", "b"))
+                        names = broadcast_if_small(comps.select(F.col("node").alias(side), F.col("comp").alias(f"c{side}")), n_meet, 16)
+                        batch = batch.join(names, side, "left").withColumn(f"c{side}", F.coalesce(f"c{side}", side))
+                    batch = batch.where("ca <> cb").select("a", "b")
+            batch = durable(_near_enough(batch, facts, n_meet, percent))
             if not batch.limit(1).count():
                 continue
             found = durable(_measured(batch, source, words).where(f"100 * shared >= {percent} * either").select("a", "b"))
@@ -303,7 +298,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             if not whole.limit(1).count():
                 break
             left = whole.where("flat").unionByName(_cells(whole.where("NOT flat"), heads, facts, n_meet, percent))
-            many *= 4
+            many *= 8
         regions, first = durable(left), False
     if comps is None:
         return final.select("doc_id", "n_shingles", F.col("rep").alias("component_id"))
@@ -311,28 +306,21 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return result.select("doc_id", "n_shingles", F.coalesce("comp", "rep").alias("component_id"))
 
 
-def _distinct(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b")).distinct()
-
-
 def _cells(left: DataFrame, heads: DataFrame, facts: DataFrame, n_facts: int, percent: int) -> DataFrame:
     """The documents of each region dealt to the cells of its pivots; a region that its pivots don't part stays whole
     and is flat: its further pivots meet it only where the bound on the intersection lets them.
 
-    Distances are those of the signatures: the city-block distance, a lower bound of the symmetric difference. Of sets that
-    link, it is at most (100 - percent) / (100 + percent) of their sizes' sum, and sizes differ by 100 / percent at most.
+    Distances are those of the signatures over the fewest classes. Of sets that link, it is at most
+    (100 - percent) / (100 + percent) of their sizes' sum, and sizes differ by 100 / percent at most.
     """
     reach = (100 - percent) / (100 + percent) * (1 + 100 / percent)
-    marks = broadcast_if_small(facts.select("rep", "signature"), n_facts, 600)
+    marks = broadcast_if_small(facts.select("rep", "signature"), n_facts, 200)
     dealt = left.drop("flat").join(heads.select("region", "p"), "region").join(marks, "rep").join(marks.select(F.col("rep").alias("p"), F.col("signature").alias("mark")), "p")
     columns = ["region", "rep", "p", "n", "rare", "rest", "home"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x, y = (_folded(batch.column(k).to_pylist()) for k in (7, 8))
-            d = pa.array(np.abs(x - y).sum(axis=1, dtype=np.int64))
+            d = pa.array([_apart(x, y, CLASSES // 8) for x, y in zip(batch.column(7).to_pylist(), batch.column(8).to_pylist())], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns[:7], d], names=[*columns, "d"])
 
     dealt = durable(dealt.select(*columns, "signature", "mark").mapInArrow(run, "region long, rep long, p long, n int, rare double, rest int, home boolean, d long"))
