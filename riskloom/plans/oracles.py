@@ -202,6 +202,12 @@ ORACLES: dict[str, str] = {
       SELECT CAST(sum(n) AS BIGINT) AS n, CAST(sum(pos) AS BIGINT) AS positives, round(sum(pos * hits / seen) / sum(pos), 6) AS average_precision FROM c""",
     "brier": FRAME + " SELECT count(*) AS n, round(avg(pow(p_abuse - abuse_label, 2)), 6) AS brier FROM fr WHERE abuse_label IS NOT NULL",
     "reliability": FRAME + " SELECT bin, count(*) AS n, round(avg(p_abuse), 6) AS mean_p, round(avg(abuse_label), 6) AS rate FROM (SELECT *, ntile(10) OVER (ORDER BY p_abuse, t0, k) AS bin FROM fr WHERE abuse_label IS NOT NULL) GROUP BY bin",
+    "calibration_error": FRAME + """ , r AS (SELECT bin, count(*) AS n, round(avg(p_abuse), 6) AS mean_p, round(avg(abuse_label), 6) AS rate FROM (SELECT *, ntile(10) OVER (ORDER BY p_abuse, t0, k) AS bin FROM fr WHERE abuse_label IS NOT NULL) GROUP BY bin)
+      SELECT CAST(sum(n) AS BIGINT) AS n, round(sum(n * abs(mean_p - rate)) / sum(n), 5) AS ece FROM r""",
+    "label_sensitivity": FRAME + """ , v AS (SELECT p_abuse, unnest([{'v': 'excluded', 'l': abuse_label}, {'v': 'as_0', 'l': CASE WHEN abuse_status = 'UNRESOLVED' THEN 0 ELSE abuse_label END}, {'v': 'as_1', 'l': CASE WHEN abuse_status = 'UNRESOLVED' THEN 1 ELSE abuse_label END}]) AS x FROM fr)
+      , s AS (SELECT x.v AS variant, p_abuse, count(*) AS n, sum(x.l) AS pos FROM v WHERE x.l IS NOT NULL GROUP BY ALL)
+      , c AS (SELECT variant, n, pos, sum(pos) OVER w AS hits, sum(n) OVER w AS seen FROM s WINDOW w AS (PARTITION BY variant ORDER BY p_abuse DESC ROWS UNBOUNDED PRECEDING))
+      SELECT variant, CAST(sum(n) AS BIGINT) AS n, CAST(sum(pos) AS BIGINT) AS positives, round(sum(pos * hits / seen) / sum(pos), 6) AS average_precision FROM c GROUP BY variant""",
     "backtest": FRAME + _KNOWN + f"""
       , st AS (SELECT *, unnest([{{'s': 'POLICY', 'a': action}}, {{'s': 'FIXED_THRESHOLD', 'a': CASE WHEN p_abuse >= 0.7 THEN 'BLOCK' WHEN p_abuse >= 0.4 THEN 'MANUAL_REVIEW' ELSE 'ALLOW' END}},
           {{'s': 'RULE_BASED', 'a': CASE WHEN return_rate >= 0.5 AND matured_returns >= 5 THEN 'BLOCK' WHEN account_age_days < 30 AND value >= 15000 THEN 'MANUAL_REVIEW' WHEN payment_method = 'COD' AND value >= 5000 THEN 'PREPAID_ONLY' ELSE 'ALLOW' END}},
