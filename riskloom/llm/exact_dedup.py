@@ -6,8 +6,9 @@ group of copies of any size is only a counter. Bytes are compared by a second pa
 alone, again through partial aggregation: a group whose texts are all equal arrives as one row per task.
 
 Defined results: null text counts as empty; empty texts form one group; of rows that repeat an id inside a group all
-are marked kept if the id is the one that stays (`deduplicate` then leaves one of them); a null id never wins a tie
-against another id. Further columns don't matter. An empty table gives an empty result.
+are marked kept if the id is the one that stays; a null id never wins a tie against another id. `deduplicate` works by
+row, not by id: it leaves exactly one row of each group, whatever ids repeat or are null. Further columns don't matter. An
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,19 +24,22 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), f"{JAVA_SPACE}+", "")
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hash_bytes: int = 16) -> DataFrame:
-    """One row per row of `docs`: its id, keep_id, group_size, kept, text_sha256.
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hash_bytes: int = 16, row_col: str | None = None) -> DataFrame:
+    """One row per row of `docs`: its id, keep_id, group_size, kept, text_sha256; with `row_col`, a unique key of rows, also row, keep_row.
 
     Of the rows with equal normalised texts, the one with the most code points in its text stays, then the smallest id.
     `hash_bytes` is the length of the grouping hash, a prefix of the text's SHA-256; tests shorten it to force collisions.
     """
-    source = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    row = [F.col(row_col).alias("row")] if row_col else []
+    keys = ["doc_id", *(["row"] if row_col else [])]
+    source = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *row)
     digest = F.unhex(F.sha2(normalised(F.col("text")).cast("binary"), 256))
-    prints = durable(source.select("doc_id", F.length("text").alias("points"), digest.alias("sha")))
+    prints = durable(source.select(*keys, F.length("text").alias("points"), digest.alias("sha")))
     prints = prints.withColumn("h", F.substring("sha", 1, hash_bytes))
-    best = F.max(F.struct("points", (-F.col("doc_id")).alias("order")))
+    best = F.max(F.struct("points", (-F.col("doc_id")).alias("order"), *([(-F.col("row")).alias("row_order")] if row_col else [])))
+    kept = [(-F.col("best.order")).alias("keep_id"), *([(-F.col("best.row_order")).alias("keep_row")] if row_col else [])]
     repeated = prints.groupBy("h").agg(F.count("*").alias("group_size"), best.alias("best")).where("group_size > 1")
-    repeated = durable(repeated.select("h", "group_size", (-F.col("best.order")).alias("keep_id")))
+    repeated = durable(repeated.select("h", "group_size", *kept))
     n = repeated.count()
 
     candidates = source.withColumn("norm", normalised(F.col("text")))
@@ -52,29 +56,29 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         exact = exact.withColumn("points", F.length("text"))
         groups = exact.groupBy("h", "norm").agg(F.count("*").alias("group_size"), best.alias("best"))
         split = exact.join(groups, ["h", "norm"]).select(
-            "doc_id", (-F.col("best.order")).alias("keep_id"), "group_size", F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256")
+            *keys, *kept, "group_size", F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256")
         )
         result = result.join(broadcast_if_small(collided, clashes, 48), "h", "left_anti")
     result = result.select(
-        "doc_id",
-        F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
+        *keys,
+        *(F.when(F.col("group_size").isNull(), F.col(own)).otherwise(F.col(keep)).alias(keep) for own, keep in zip(keys, ("keep_id", "keep_row"))),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
         F.lower(F.hex("sha")).alias("text_sha256"),
     )
     if clashes:
         result = result.unionByName(split)
-    return result.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    rows = ["row", "keep_row"] if row_col else []
+    return result.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", *rows)
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs` that stay, with all their columns: one row of each group of equal texts."""
-    groups = durable(exact_groups(docs, id_col, text_col))
-    dropped = groups.where(~F.col("kept")).select(F.col("doc_id").alias("_dropped"))
-    n, repeats = groups.agg(
-        F.count(F.when(~F.col("kept"), 1)), F.count(F.when(F.col("kept"), 1)) - F.count_distinct(F.when(F.col("kept"), F.coalesce("doc_id", F.lit(-1))))
-    ).first()
-    left = docs.join(broadcast_if_small(dropped, n, 16), docs[id_col] == F.col("_dropped"), "left_anti")
-    return left.dropDuplicates([id_col]) if repeats else left
+    # written once: the keys must be the same in every pass
+    rows = durable(docs.withColumn("_row", F.monotonically_increasing_id()))
+    groups = exact_groups(rows, id_col, text_col, row_col="_row")
+    dropped = durable(groups.where("row <> keep_row").select(F.col("row").alias("_dropped")))
+    left = rows.join(broadcast_if_small(dropped, dropped.count(), 16), rows["_row"] == F.col("_dropped"), "left_anti")
+    return left.select(*docs.columns)
 
 
 ORACLE = r"""

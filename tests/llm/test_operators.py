@@ -92,6 +92,13 @@ def test_deduplicate_leaves_one_row_each(odd, empty):
     assert exact_dedup.deduplicate(empty).count() == 0 and exact_dedup.exact_groups(empty).count() == 0
 
 
+def test_deduplicate_works_by_row(spark):
+    rows = [(7, "T1"), (3, "T1"), (7, "T2"), (7, "T3"), (None, "T3"), (None, "T4"), (None, "T5"), (None, "T5"), (8, "T6"), (8, "T6")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    left = [tuple(r) for r in exact_dedup.deduplicate(df).collect()]
+    assert Counter(left) == Counter([(3, "T1"), (7, "T2"), (7, "T3"), (None, "T4"), (None, "T5"), (8, "T6")])
+
+
 def test_repetition_equals_brute_force(odd, docs, empty):
     for df in (odd, docs):
         got = repetition.measures(df).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words").collect()
