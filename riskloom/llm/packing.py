@@ -4,8 +4,8 @@ Documents become pieces (tokenized once, only their lengths are kept); pieces of
 own. The others are dealt by hash to subproblems of about `ITEMS` pieces. For each one, several islands evolve
 populations of packings: crossover injects whole well-filled bins of another parent, removes the bins that hold a piece
 twice, and best-fits the displaced pieces; mutation dissolves the worst bins. Between epochs each island's elite migrates
-to its neighbour. Bins that are filled are final; the pieces of the others go to the next level's fewer
-subproblems, until one is left. So the loss doesn't grow with the number of subproblems.
+to its neighbour. Bins that are filled are final; where few fill exactly, the better-filled half of each subproblem's bins is
+final too. The pieces of the others go to the next level's fewer subproblems, until one is left. So the loss doesn't grow with the number of subproblems.
 
 Every group has a bounded size at any scale, and only lengths, ids and places are shuffled. All randomness is seeded by the
 subproblem, so a lost task gives the same result again.
@@ -31,8 +31,9 @@ from .token_ids import default_path, encoder
 LENGTH = 1024
 END_ID = 2
 ITEMS = 3000
-ISLANDS, EPOCHS, GENERATIONS, POPULATION = 2, 2, 3, 3
-#: Bins with at most so many free tokens are final before the last level.
+ISLANDS, EPOCHS, GENERATIONS, POPULATION = 2, 2, 4, 4
+#: Bins with at most so many free tokens are final before the last level. Where they hold under a tenth of the pieces, the
+#: better-filled half of each subproblem's bins is final as well.
 SLACK = 0
 
 
@@ -158,7 +159,8 @@ def _as_bins(number: np.ndarray) -> list[list[int]]:
 
 
 def _level(items: DataFrame, subproblems: int, level: int, capacity: int) -> DataFrame:
-    """pid, bin (the smallest pid in it), place (tokens before it), free: the best packing of each subproblem."""
+    """pid, sequence_id (the smallest pid of its bin), offset, free, late (whether its bin is in the worse-filled half of the
+    subproblem's), length: the best packing of each subproblem."""
     group = F.pmod(F.xxhash64("pid", F.lit(level)), F.lit(subproblems))
     groups = items.groupBy(group.alias("part")).agg(F.sort_array(F.collect_list(F.struct("pid", "length"))).alias("items"))
     state = groups.select("part", F.col("items.pid").alias("pids"), F.col("items.length").alias("sizes"), F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island"))
@@ -187,17 +189,19 @@ def _level(items: DataFrame, subproblems: int, level: int, capacity: int) -> Dat
             for row in frame.itertuples():
                 sizes = [int(x) for x in row.sizes]
                 best = max((_as_bins(np.asarray(e)) for e in row.all), key=lambda b: fitness(sizes, b, capacity))
-                pid, of, place, free = [], [], [], []
-                for members in best:
+                pid, of, place, free, late = [], [], [], [], []
+                best.sort(key=lambda b: -sum(sizes[i] for i in b))
+                for rank, members in enumerate(best):
                     at, name = 0, min(int(row.pids[i]) for i in members)
                     for i in members:
                         pid.append(int(row.pids[i])), of.append(name), place.append(at)
                         at += sizes[i]
                     free += [capacity - at] * len(members)
-                yield pd.DataFrame({"pid": pid, "sequence_id": of, "offset": place, "free": free, "length": [sizes[i] for members in best for i in members]})
+                    late += [2 * rank >= len(best) + 1] * len(members)
+                yield pd.DataFrame({"pid": pid, "sequence_id": of, "offset": place, "free": free, "late": late, "length": [sizes[i] for members in best for i in members]})
 
     last = evolved.groupBy("part").agg(F.first("pids").alias("pids"), F.first("sizes").alias("sizes"), F.collect_list("elite").alias("all"))
-    return durable(last.mapInPandas(bins, "pid long, sequence_id long, offset long, free long, length long"))
+    return durable(last.mapInPandas(bins, "pid long, sequence_id long, offset long, free long, late boolean, length long"))
 
 
 def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -209,15 +213,15 @@ def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, end_id:
     while n := items.count():
         subproblems = -(-n // ITEMS)
         found = _level(items, subproblems, level, length)
-        final = found if subproblems == 1 else found.where(F.col("free") <= SLACK)
-        placed.append(final.select("pid", "sequence_id", "offset"))
         if subproblems == 1:
+            placed.append(found.select("pid", "sequence_id", "offset"))
             break
-        items = found.where(F.col("free") > SLACK).select("pid", "length")
+        loose = F.col("free") > SLACK
+        if found.where(loose).count() > 0.9 * n:  # hardly anything fills a bin: only the worst-filled ones go on
+            loose = loose & F.col("late")
+        placed.append(found.where(~loose).select("pid", "sequence_id", "offset"))
+        items = found.where(loose).select("pid", "length")
         level += 1
-        if items.count() > 0.9 * n:  # hardly anything fills a bin: more levels wouldn't help
-            placed.append(found.where(F.col("free") > SLACK).select("pid", "sequence_id", "offset"))
-            break
     places = placed[0]
     for more in placed[1:]:
         places = places.unionByName(more)

@@ -243,6 +243,15 @@ def test_packing_is_whole_and_tight(odd, docs, empty):
     assert packing.pack(empty).count() == 0
 
 
+def test_packing_without_full_bins_loses_nothing_by_subproblem(spark, monkeypatch):
+    monkeypatch.setattr(packing, "ITEMS", 30)
+    df = spark.createDataFrame([(i, "the cat") for i in range(300)], "doc_id long, text string")
+    size = packing.pieces(df).first().length
+    got = packing.pack(df, length=3 * size + 1).select("doc_id", "sequence_id").collect()
+    assert Counter(r.doc_id for r in got) == Counter(range(300))
+    assert len({r.sequence_id for r in got}) == 100
+
+
 def test_genetic_operators_keep_all_pieces():
     rng = np.random.default_rng(1)
     sizes = rng.integers(1, 1000, 200).tolist()
