@@ -20,7 +20,7 @@ def as_of(w: World) -> int:
     return (w.orders.agg(F.max("t0")).first()[0] or 0) + DAY
 
 
-def frame(w: World, split: str | None = None, with_component: bool = False) -> DataFrame:
+def frame(w: World, split: str | None = None, with_component: bool = True) -> DataFrame:
     """Decided orders with their labels: one row per order (of a split)."""
     df = policy.decide(policy.contexts(w, with_component)).join(history.labels(w, as_of(w)), "k").join(w.splits, "k")
     return df.where(F.col("split") == split) if split else df
@@ -172,7 +172,7 @@ def cost_sensitivity(w: World, df: DataFrame) -> DataFrame:
     return out
 
 
-def bootstrap_interval(df: DataFrame, resamples: int = 50, score: str = "p_abuse", label: str = "abuse_label") -> DataFrame:
+def bootstrap_interval(df: DataFrame, resamples: int = 1000, score: str = "p_abuse", label: str = "abuse_label") -> DataFrame:
     """low, high of the average precision: Poisson resamples drawn by hash, all in one grouped pass."""
     u = (F.pmod(F.xxhash64("k", "r"), F.lit(1 << 30)) + 0.5) / float(1 << 30)
     times = F.lit(0)

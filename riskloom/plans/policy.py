@@ -120,7 +120,8 @@ def contexts(w: World, with_component: bool = True) -> DataFrame:
     rates = history.return_rates(h).select("k", "return_rate_smoothed", "return_rate")
     df = w.orders.select("k", "c", "t0", "value", "discount_pct", "payment_method").join(h, "k").join(rates, "k").join(history.customer_value(w), "k").join(links.evidence(w), "k")
     if with_component:
-        df = df.join(component.burst_features(w), "k")
+        # written once: each use would walk the components' levels again
+        df = df.join(component._kept(component.burst_features(w)), "k")
     else:
         df = df.withColumns({"linked_orders_24h": F.lit(0), "same_sku_7d": F.lit(0), "burst_weight": F.lit(0.0), "burst_kinds": F.array().cast("array<string>")})
     return scores(df)
@@ -168,13 +169,19 @@ def rule_based() -> Column:
     )
 
 
-def slope_check(w: World, y: Policy = Policy(), steps: int = 61) -> DataFrame:
-    """pair, violations, least_gap: whether costs fall ever more slowly with p from action to action, over a grid of values and CLVs."""
+def slope_check(w: World, y: Policy = Policy(), steps: int = 61, least: float = 500.0, most: float = 200000.0) -> DataFrame:
+    """pair, violations, least_gap: whether costs fall ever more slowly with p from action to action; equal slopes are in order.
+
+    The grid has values from `least` to `most` in equal ratios, and CLVs from the floor to the cap in equal steps.
+    """
     spark = w.spark
     axis = spark.range(steps).select(F.col("id").alias("i"))
-    grid = axis.crossJoin(F.broadcast(axis.withColumnRenamed("i", "j"))).select((F.lit(500.0) + F.col("i") * 1000).alias("value"), (F.lit(y.clv_floor) + F.col("j") * 1600).alias("clv"))
+    grid = axis.crossJoin(F.broadcast(axis.withColumnRenamed("i", "j"))).select(
+        F.when(F.col("i") == steps - 1, most).otherwise(least * F.pow(F.lit(most / least), F.col("i") / (steps - 1))).alias("value"),
+        F.when(F.col("j") == steps - 1, y.clv_cap).otherwise(y.clv_floor + (y.clv_cap - y.clv_floor) * F.col("j") / (steps - 1)).alias("clv"),
+    )
     at = lambda p: totals(F.lit(p), F.col("value"), F.col("clv"), y)
     zero, one = at(0.0), at(1.0)
     slope = {a: one[a] - zero[a] for a in ACTIONS}
     pairs = F.array(*(F.struct(F.lit(f"{a}>{b}").alias("pair"), F.round(slope[a] - slope[b], 2).alias("gap")) for a, b in zip(ACTIONS, ACTIONS[1:])))
-    return grid.select(F.explode(pairs).alias("x")).select("x.*").groupBy("pair").agg(F.count_if(F.col("gap") <= 0).alias("violations"), F.min("gap").alias("least_gap"))
+    return grid.select(F.explode(pairs).alias("x")).select("x.*").groupBy("pair").agg(F.count_if(F.col("gap") < 0).alias("violations"), F.min("gap").alias("least_gap"))

@@ -143,3 +143,42 @@ def test_stream_equals_batch(spark, small, tmp_path):
     found = attempts.run_once(attempts.attempts_by_window(attempts.event_stream(spark, str(folder))), "attempts", str(tmp_path / "state"), "complete")
     batch = attempts.attempts_by_window(events.withColumn("ts", F.col("ts").cast("timestamp")))
     assert found.exceptAll(batch).count() == 0 and batch.exceptAll(found).count() == 0
+
+
+def test_whole_policy_is_the_default(monkeypatch):
+    from riskloom.plans import registry
+
+    class Asked(Exception):
+        pass
+
+    def contexts(w, with_component=True):
+        raise Asked(with_component)
+
+    monkeypatch.setattr(policy, "contexts", contexts)
+    whole = [registry._decided, evaluation.frame, *(registry._WORLD[n] for n in ("activity_metrics", "cost_sensitivity", "guardrails_with_bursts", "backtest_with_bursts", "queue_with_bursts", "chain_verify_with_bursts"))]
+    for build in whole:
+        with pytest.raises(Asked) as asked:
+            build(None)
+        assert asked.value.args == (True,)
+
+
+def test_slope_grid_has_the_whole_range(spark):
+    world = type("W", (), {"spark": spark})()
+    y, (v, c) = policy.Policy(), (200000.0, 100000.0)
+    got = {r.pair: (r.violations, r.least_gap) for r in policy.slope_check(world, y).collect()}
+    slope = {}
+    for value in [500 * 400 ** (i / 60) for i in range(60)] + [v]:
+        for clv in [2000 + (c - 2000) * j / 60 for j in range(60)] + [c]:
+            m = 0.3 * value
+            block = m + 0.6 * clv + 100
+            at = {"ALLOW": 0.85 * value + 150, "PREPAID_ONLY": 0.7 * (0.5 * value + 150) - (0.08 * m + 0.02 * clv + 30), "MANUAL_REVIEW": 0.2 * (0.85 * value + 150) - (0.05 * m + 0.03 * block), "BLOCK": -block}
+            for a, b in zip(policy.ACTIONS, policy.ACTIONS[1:]):
+                slope.setdefault(f"{a}>{b}", []).append(at[a] - at[b])
+    for pair, gaps in slope.items():
+        assert got[pair][1] == pytest.approx(min(gaps), abs=0.05) and got[pair][0] == sum(g < -0.005 for g in gaps)
+
+
+def test_bootstrap_has_a_thousand_resamples():
+    import inspect
+
+    assert inspect.signature(evaluation.bootstrap_interval).parameters["resamples"].default == 1000
