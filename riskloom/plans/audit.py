@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.component import _kept
+
 GENESIS = "0" * 64
 
 
@@ -14,13 +16,24 @@ def payload(df: DataFrame) -> DataFrame:
     return df.select("k", "t0", text.alias("payload"))
 
 
+def ranked(df: DataFrame, *order: str) -> DataFrame:
+    """`df` with rank, from 0 by these columns: ranges are sorted in parallel, and only the ranges' sizes meet in one task."""
+    place = F.monotonically_increasing_id()
+    placed = _kept(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_place", place)).withColumn("_part", F.shiftright("_place", 33))
+    sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"))
+    upto = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_offset"))
+    rank = F.col("_offset") + F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))
+    return placed.join(F.broadcast(offsets), "_part").withColumn("rank", rank).drop("_part", "_place", "_offset")
+
+
 def chained(records: DataFrame, block: int = 1000) -> DataFrame:
     """seq, prev_hash, event_hash: each record's hash covers the one before it.
 
     A chain is serial by definition. Records are hashed into blocks that chain inside, in parallel over blocks; the first
     record of a block is linked to the number of its block, and `roots` chains the blocks' last hashes.
     """
-    numbered = records.withColumn("seq", F.row_number().over(Window.orderBy("t0", "k")) - 1).withColumn("block", F.expr(f"cast(seq div {block} as long)"))
+    numbered = ranked(records, "t0", "k").withColumnRenamed("rank", "seq").withColumn("block", F.expr(f"cast(seq div {block} as long)"))
     rows = numbered.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("seq", "k", "payload"))).alias("r"))
     start = F.sha2(F.concat(F.lit(GENESIS), F.col("block").cast("string")), 256)
     hashes = F.expr("aggregate(r, named_struct('h', s, 'out', cast(array() as array<string>)), (a, x) -> named_struct('h', sha2(concat(a.h, x.payload), 256), 'out', array_append(a.out, sha2(concat(a.h, x.payload), 256))), a -> a.out)")
@@ -30,19 +43,44 @@ def chained(records: DataFrame, block: int = 1000) -> DataFrame:
 
 
 def roots(chain: DataFrame) -> DataFrame:
-    """block and the hash that covers all blocks up to it: one row per block."""
-    last = chain.groupBy("block").agg(F.max_by("event_hash", "seq").alias("h"))
-    one = last.agg(F.sort_array(F.collect_list(F.struct("block", "h"))).alias("r"))
+    """block, the hash that covers all blocks up to it, and the block's first and last seq: one row per block.
+
+    To be kept apart from the chain: they show what the chain alone can't, such as a lost end or a block hashed anew.
+    """
+    last = chain.groupBy("block").agg(F.max_by("event_hash", "seq").alias("h"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
+    one = last.agg(F.sort_array(F.collect_list(F.struct("block", "h", "first_seq", "last_seq"))).alias("r"))
     hashes = F.expr(f"aggregate(r, named_struct('h', '{GENESIS}', 'out', cast(array() as array<string>)), (a, x) -> named_struct('h', sha2(concat(a.h, x.h), 256), 'out', array_append(a.out, sha2(concat(a.h, x.h), 256))), a -> a.out)")
-    return one.select(F.explode(F.arrays_zip("r", hashes.alias("root"))).alias("z")).select("z.r.block", "z.root")
+    return one.select(F.explode(F.arrays_zip("r", hashes.alias("root"))).alias("z")).select("z.r.block", "z.root", "z.r.first_seq", "z.r.last_seq")
 
 
-def verify(chain: DataFrame) -> DataFrame:
-    """rows_checked, broken, first_broken_seq: rows whose hash or link to the row before doesn't hold; parallel over blocks."""
-    before = F.lag("event_hash").over(Window.partitionBy("block").orderBy("seq"))
+def verify(chain: DataFrame, recorded: DataFrame | None = None) -> DataFrame:
+    """rows_checked, broken, first_broken_seq: broken rows and blocks; parallel over blocks.
+
+    A row is broken if its hash, its link to the row before or its number doesn't hold. A block is if it doesn't go on where
+    the one before ends, or, given the `recorded` roots, if it isn't what was recorded, or is missing. Rows lost at the end
+    of the chain show only against recorded roots.
+    """
+    order = Window.partitionBy("block").orderBy("seq")
+    before, number = F.lag("event_hash").over(order), F.lag("seq").over(order)
     expected = F.coalesce(before, F.sha2(F.concat(F.lit(GENESIS), F.col("block").cast("string")), 256))
-    bad = (F.col("prev_hash") != expected) | (F.sha2(F.concat("prev_hash", "payload"), 256) != F.col("event_hash"))
-    return chain.withColumn("bad", bad).agg(F.count("*").alias("rows_checked"), F.count_if("bad").alias("broken"), F.min(F.when(F.col("bad"), F.col("seq"))).alias("first_broken_seq"))
+    bad = (F.col("prev_hash") != expected) | (F.sha2(F.concat("prev_hash", "payload"), 256) != F.col("event_hash")) | F.coalesce(F.col("seq") != number + 1, F.lit(False))
+    blocks = chain.withColumn("bad", bad).groupBy("block").agg(
+        F.count("*").alias("n"), F.count_if("bad").alias("bad_rows"), F.min(F.when(F.col("bad"), F.col("seq"))).alias("bad_seq"),
+        F.min("seq").alias("first"), F.max("seq").alias("last"), F.max_by("event_hash", "seq").alias("h"),
+    )
+    ends = blocks.select((F.col("block") + 1).alias("block"), (F.col("last") + 1).alias("next"))
+    blocks = blocks.join(ends, "block", "left").withColumn("wrong", F.col("first") != F.coalesce("next", F.lit(0)))
+    at = F.col("first")
+    if recorded is not None:
+        linked = recorded.join(recorded.select((F.col("block") + 1).alias("block"), F.col("root").alias("prev_root")), "block", "left")
+        blocks = blocks.join(linked, "block", "full")
+        same = (F.sha2(F.concat(F.coalesce("prev_root", F.lit(GENESIS)), "h"), 256) == F.col("root")) & (F.col("first") == F.col("first_seq")) & (F.col("last") == F.col("last_seq"))
+        blocks = blocks.withColumn("wrong", F.coalesce("wrong", F.lit(True)) | ~F.coalesce(same, F.lit(False)))
+        at = F.coalesce("first_seq", "first")
+    return blocks.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("rows_checked"), F.coalesce(F.sum(F.coalesce("bad_rows", F.lit(0)) + F.col("wrong").cast("long")), F.lit(0)).alias("broken"),
+        F.min(F.least("bad_seq", F.when(F.col("wrong"), at))).alias("first_broken_seq"),
+    )
 
 
 def score_batch(requests: DataFrame, decisions: DataFrame, fingerprint: list[str]) -> DataFrame:

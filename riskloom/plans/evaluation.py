@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import history
 from ..sources.world import DAY, World
-from . import policy
+from . import audit, policy
 from .policy import ACTIONS, Policy
 
 Z = 1.959963984540054
@@ -41,7 +41,10 @@ def brier(df: DataFrame, score: str = "p_abuse", label: str = "abuse_label") ->
 
 def reliability(df: DataFrame, score: str = "p_abuse", label: str = "abuse_label", bins: int = 10) -> DataFrame:
     """bin, n, mean_p, rate: equal-count bins by score; rows with equal scores split by time and id."""
-    known = df.where(F.col(label).isNotNull()).withColumn("bin", F.ntile(bins).over(Window.orderBy(score, "t0", "k")))
+    known = audit.ranked(df.where(F.col(label).isNotNull()).select(score, label, "t0", "k"), score, "t0", "k")
+    # the bins of ntile: the first ones have one row more
+    known = known.crossJoin(F.broadcast(known.agg(F.count("*").alias("_all"))))
+    known = known.withColumn("bin", F.expr(f"cast(if(rank < (_all % {bins}) * (_all div {bins} + 1), rank div (_all div {bins} + 1), (rank - _all % {bins}) div greatest(_all div {bins}, 1)) as int) + 1"))
     return known.groupBy("bin").agg(F.count("*").alias("n"), F.round(F.avg(score), 6).alias("mean_p"), F.round(F.avg(label), 6).alias("rate"))
 
 

@@ -28,6 +28,11 @@ def _middle(w: World) -> int:
     return row[0] or 0
 
 
+def _chain_verified(decided: DataFrame) -> DataFrame:
+    chain = component._kept(audit.chained(audit.payload(decided)))
+    return audit.verify(chain, component._kept(audit.roots(chain)))
+
+
 def _current_actions(w: World, with_component: bool = True) -> DataFrame:
     d = _decided(w, with_component)
     overrides = d.where("k % 101 = 0 or (k % 103 = 0 and action <> 'BLOCK')").select("k", F.col("k").alias("seq"), F.expr("if(k % 101 = 0, 'ALLOW', 'MANUAL_REVIEW')").alias("new_action"))
@@ -112,7 +117,7 @@ _WORLD: dict[str, Callable[[World], DataFrame]] = {
     "attempt_log": lambda w: review.attempt_log(w.table("events")),
     "as_of_snapshot": lambda w: review.snapshot(w, _middle(w)),
     "world_validation": review.validation,
-    "chain_verify": lambda w: audit.verify(audit.chained(audit.payload(_decided(w, False)))),
+    "chain_verify": lambda w: _chain_verified(_decided(w, False)),
     "idempotent_scoring": _idempotent,
     "current_actions": lambda w: _current_actions(w, False),
     "placeholders": lambda w: w.table("customer").select("c_custkey", (money.is_placeholder("c_mktsegment") | money.is_placeholder((F.col("c_custkey") % 10).cast("string"))).alias("placeholder")),
@@ -131,7 +136,7 @@ _WORLD: dict[str, Callable[[World], DataFrame]] = {
     "queue_with_bursts": lambda w: review.queue(_decided(w).where("action <> 'ALLOW'"), sort="p_abuse").select("k", "t0", "value", "p_abuse", "action"),
     "queue_counts_with_bursts": lambda w: review.queue_counts(_decided(w)),
     "checkout_with_bursts": lambda w: review.checkout(_decided(w)),
-    "chain_verify_with_bursts": lambda w: audit.verify(audit.chained(audit.payload(_decided(w)))),
+    "chain_verify_with_bursts": lambda w: _chain_verified(_decided(w)),
     "current_actions_with_bursts": _current_actions,
 }
 

@@ -182,3 +182,26 @@ def test_bootstrap_has_a_thousand_resamples():
     import inspect
 
     assert inspect.signature(evaluation.bootstrap_interval).parameters["resamples"].default == 1000
+
+
+def test_chain_finds_lost_and_replaced_blocks(spark):
+    records = spark.createDataFrame([(i, i // 2, f"p{i}") for i in range(35)], "k long, t0 long, payload string").repartition(4)
+    chain = audit.chained(records, block=10).persist()
+    kept = audit.roots(chain).persist()
+    assert [r.k for r in chain.orderBy("seq").collect()] == list(range(35)) and tuple(audit.verify(chain, kept).first()) == (35, 0, None)
+    assert audit.verify(chain.where("block <> 1")).first().broken > 0
+    assert audit.verify(chain.where("seq not in (18, 19)")).first().first_broken_seq == 20
+    other = audit.chained(records.withColumn("payload", F.when(F.col("k") == 13, "x").otherwise(F.col("payload"))), block=10)
+    replaced = chain.where("block <> 1").unionByName(other.where("block = 1"))
+    assert audit.verify(replaced).first().broken == 0 and audit.verify(replaced, kept).first().first_broken_seq == 10
+    assert audit.verify(chain.where("seq < 33"), kept).first().broken == 1 and audit.verify(chain.where("block < 3"), kept).first().first_broken_seq == 30
+
+
+def test_reliability_bins_equal_ntile(spark):
+    from pyspark.sql import Window
+
+    for n in (0, 7, 10, 103):
+        df = spark.range(n).select((F.col("id") * 37 % 101).alias("k"), F.col("id").alias("t0"), (F.col("id") % 9 / 9).alias("p_abuse"), (F.col("id") % 2).alias("abuse_label"))
+        want = df.withColumn("bin", F.ntile(10).over(Window.orderBy("p_abuse", "t0", "k"))).groupBy("bin").agg(F.count("*").alias("n"), F.round(F.avg("p_abuse"), 6).alias("mean_p"), F.round(F.avg("abuse_label"), 6).alias("rate"))
+        got = evaluation.reliability(df)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.dtypes == want.dtypes
