@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import history
+from ..operators import component, history
 from ..sources.world import DAY, World
 from . import audit, policy
 from .policy import ACTIONS, Policy
@@ -27,10 +27,15 @@ def frame(w: World, split: str | None = None, with_component: bool = True) -> Da
 
 
 def average_precision(df: DataFrame, score: str = "p_abuse", label: str = "abuse_label") -> DataFrame:
-    """One row: n, positives, average_precision; one step per distinct score. The window runs over distinct scores only."""
+    """One row: n, positives, average_precision; one step per distinct score. Running sums are taken inside ranges of scores, with the ranges' offsets."""
     by_score = df.where(F.col(label).isNotNull()).groupBy(score).agg(F.count("*").alias("n"), F.sum(label).alias("pos"))
-    upto = Window.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    steps = by_score.select("n", "pos", F.sum("pos").over(upto).alias("hits"), F.sum("n").over(upto).alias("seen"))
+    placed = component._kept(by_score.repartitionByRange(F.desc(score)).withColumn("_part", F.spark_partition_id()))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = placed.groupBy("_part").agg(F.sum("n").alias("_n"), F.sum("pos").alias("_pos"))
+    offsets = sums.select("_part", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in ("_n", "_pos")))
+    upto = Window.partitionBy("_part").orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
+    steps = placed.join(F.broadcast(offsets), "_part")
+    steps = steps.select("n", "pos", (F.sum("pos").over(upto) + F.col("_pos_before")).alias("hits"), (F.sum("n").over(upto) + F.col("_n_before")).alias("seen"))
     out = steps.agg(F.sum("n").alias("n"), F.sum("pos").alias("positives"), F.sum(F.col("pos") * F.col("hits") / F.col("seen")).alias("s"))
     return out.select("n", "positives", F.round(F.try_divide("s", "positives"), 6).alias("average_precision"))
 

@@ -205,3 +205,15 @@ def test_reliability_bins_equal_ntile(spark):
         want = df.withColumn("bin", F.ntile(10).over(Window.orderBy("p_abuse", "t0", "k"))).groupBy("bin").agg(F.count("*").alias("n"), F.round(F.avg("p_abuse"), 6).alias("mean_p"), F.round(F.avg("abuse_label"), 6).alias("rate"))
         got = evaluation.reliability(df)
         assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.dtypes == want.dtypes
+
+
+def test_average_precision_over_ranges(spark):
+    rows = [((i * 37 % 211) / 211, i * 53 % 7 == 0) for i in range(400)]
+    pos, hits, seen, want = sum(y for _, y in rows), 0, 0, 0.0
+    for p in sorted({p for p, _ in rows}, reverse=True):
+        new = [y for q, y in rows if q == p]
+        hits, seen = hits + sum(new), seen + len(new)
+        want += sum(new) * hits / seen
+    found = evaluation.average_precision(spark.createDataFrame([(p, int(y)) for p, y in rows], "p_abuse double, abuse_label int"))
+    assert tuple(found.first()) == (400, pos, round(want / pos, 6))
+    assert "SinglePartition" not in "".join(x for x in found._jdf.queryExecution().executedPlan().toString().split("\n") if "p_abuse" in x)
