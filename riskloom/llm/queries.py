@@ -14,7 +14,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sampled_pieces.segmentations(_table(spark, sf_dir, "documents"), with_ids=False)
+    return sampled_pieces.segmentations(_table(spark, sf_dir, "documents"))
 
 
 def op2_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,9 @@
 """Distinct sampled SentencePiece segmentations: Gumbel top-k without replacement, by perturbed A-star over the lattice.
 
 The lattice of a text has all pieces of the vocabulary as arcs, with weights by rank (Zipf's law over the model's order
-of merges), and bytes for characters that have no piece. Pieces don't cross word starts, so the lattice is a chain of
-word lattices; each distinct word of a run of texts is built once, with its backward sums.
+of merges), and bytes for characters that have no piece. A word begins with its run of spaces, and pieces don't cross word
+starts, so the lattice is a chain of word lattices; each distinct word of a run of about `RUN` bytes of whole texts is built
+once, with its backward sums, and freed with the run. The distinct words of a long text bound its lattices, not its length.
 
 The search keeps, per text, a queue of sets of segmentations with their perturbed log probabilities. The root's is a
 Gumbel draw. Expanding a set samples the path that attains its maximum, and splits the rest by the first word that
@@ -12,8 +13,9 @@ taking sets in order of their bounds emits distinct segmentations in order: a sa
 kappa the bound of the next one, a segmentation's inclusion score is 1 - exp(-exp(log p - kappa)).
 
 All draws are hashes of (key of the row, number of the sample, word, step): the same row gives the same result in any
-partitioning. Defined results: null and empty texts have one segmentation, without pieces; a text with fewer than k
-segmentations gives all it has, with score 1; rows that repeat an id are sampled alike; an empty table gives no rows.
+partitioning. `decoded` turns ids back into texts. Defined results: null and empty texts have one segmentation, without
+pieces; a text with fewer than k segmentations gives all it has, with score 1; rows that repeat an id are sampled alike; further
+columns of the table don't matter; a literal U+2581 is decoded as a space; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,12 +28,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import mix, prefix_hash, span_hash, text_chunks
 
 START = 0x2581
 LONGEST = 16
-SAMPLES = 2
+SAMPLES = 4
+#: Bytes of text whose lattices are in memory at once, but for a longer text.
+RUN = 1 << 20
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
@@ -64,6 +69,10 @@ class Vocabulary:
         ends = np.cumsum([len(c) for c in codes])
         heads = span_hash(prefix_hash(joined), ends - [len(c) for c in codes], ends)
         self.begins[(heads & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
+        byte = {int(i): bytes([b]) for b, i in enumerate(self.bytes)}
+        spelled = [byte.get(i, piece.replace(chr(START), " ").encode()) for i, piece in enumerate(self.pieces)]
+        self.spelled_at = np.concatenate([[0], np.cumsum([len(x) for x in spelled])])
+        self.spelled = np.frombuffer(b"".join(spelled), np.uint8)
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Indices of the hashes that are pieces, and the places of these."""
@@ -72,13 +81,22 @@ class Vocabulary:
         same = self.keys[at] == hashes[there]
         return there[same], at[same]
 
+    def decode_many(self, ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """UTF-8 bytes of the segmentations that follow one another in `ids`, and the offsets of their texts.
+
+        The inverse of any segmentation but for a literal U+2581, which becomes a space. The start that was put before a text
+        is taken off.
+        """
+        begin = self.spelled_at[ids]
+        lengths = self.spelled_at[ids + 1] - begin
+        first = offsets[:-1][np.diff(offsets) > 0]
+        begin[first] += 1
+        lengths[first] -= 1
+        upto = np.concatenate([[0], np.cumsum(lengths)])
+        return self.spelled[np.repeat(begin - upto[:-1], lengths) + np.arange(upto[-1])], upto[offsets]
+
     def decode(self, ids: list[int]) -> str:
-        """The text of a segmentation; the inverse of any of them but for a literal U+2581, which becomes a space."""
-        out = bytearray()
-        byte = {int(i): b for b, i in enumerate(self.bytes)}
-        for i in ids:
-            out += bytes([byte[i]]) if i in byte else self.pieces[i].replace(chr(START), " ").encode()
-        return out.decode()[1:]
+        return self.decode_many(np.array(ids, np.int64), np.array([0, len(ids)]))[0].tobytes().decode()
 
 
 @lru_cache(maxsize=2)
@@ -150,7 +168,7 @@ class Lattices:
         node, live, steps, taken = self.first[word[order]], order, [], 0
         count = np.zeros(n, dtype=np.int64)
         while len(live):
-            draw = _uniform(seed[live] + np.uint64(taken) * _C)
+            draw = _uniform(seed[live] + np.uint64(taken * int(_C) & 0xFFFFFFFFFFFFFFFF))
             arc = np.searchsorted(self.reach, node + draw, side="right")
             log[live] += self.log[arc]
             count[live] += 1
@@ -213,10 +231,13 @@ def search(vocab: Vocabulary, data: np.ndarray, offsets: np.ndarray, keys: np.nd
     points = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), dtype=np.uint32)
     counts = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[offsets]
     points = np.insert(np.where(points == 32, START, points), counts[filled], START)
-    begin = np.flatnonzero(points == START)
-    end = np.append(begin[1:], len(points))
-    # each filled text begins with an inserted start
+    # each filled text begins with an inserted start; a word begins with the first of a run of starts
     text_begin = counts[filled] + np.arange(len(filled))
+    starts = points == START
+    starts[1:] &= points[:-1] != START
+    starts[text_begin] = True
+    begin = np.flatnonzero(starts)
+    end = np.append(begin[1:], len(points))
     owner = np.searchsorted(text_begin, begin, side="right") - 1
     edges = np.searchsorted(owner, np.arange(len(filled) + 1))
     if len(begin):
@@ -267,8 +288,7 @@ def search(vocab: Vocabulary, data: np.ndarray, offsets: np.ndarray, keys: np.nd
         go = np.isfinite(bound)
         if not go.any():
             break
-        log, arcs, at = lattices.sample(back, seeds(sample, 0))
-        path = {"branch": {}, "live": go, "log": log}
+        path = {"branch": {}, "live": go, "log": (log := np.zeros(len(begin)))}
         since = np.zeros(n_filled, dtype=np.int64)
         words: dict[int, int] = {}
         replaced: dict[int, np.ndarray] = {}
@@ -283,15 +303,19 @@ def search(vocab: Vocabulary, data: np.ndarray, offsets: np.ndarray, keys: np.nd
             replaced[w] = lattices.other(int(back[w]), out, apart[w])
             excluded[t][(sample, i)] = [*out, replaced[w]]
             log[edges[t] : w], log[w] = old["log"][edges[t] : w], lattices.log[replaced[w]].sum()
+        # only the words after the one that differs are drawn anew
+        tail = np.flatnonzero(go[owner] & (place > since[owner]))
+        log[tail], arcs, at = lattices.sample(back[tail], seeds(sample, 0)[tail])
+        tail_at = np.searchsorted(tail, edges)
         parts, sizes = [], []
         for t in range(n_filled):
             if not go[t]:
                 continue
             old, w = paths[parent[t]], words[t]
-            mine = [old["arcs"][old["at"][edges[t]] : old["at"][w]], replaced[w], arcs[at[w + 1] : at[edges[t + 1]]]]
+            mine = [old["arcs"][old["at"][edges[t]] : old["at"][w]], replaced[w], arcs[at[tail_at[t]] : at[tail_at[t + 1]]]]
             parts += mine
             head = np.diff(old["at"][edges[t] : w + 1])
-            sizes += [head, [len(replaced[w])], np.diff(at[w + 1 : edges[t + 1] + 1])]
+            sizes += [head, [len(replaced[w])], np.diff(at[tail_at[t] : tail_at[t + 1] + 1])]
             path["branch"][t] = int(since[t])
             emitted[t].append((sample, float(bound[t])))
         # arcs of texts that don't go on are left out; their words have none
@@ -329,28 +353,53 @@ def _spelled(vocab: Vocabulary, ids: np.ndarray) -> np.ndarray:
     return np.array(out)
 
 
-def segmentations(docs: DataFrame, k: int = SAMPLES, path: str | None = None, with_ids: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, sample (from 0), n_tokens, log_prob, perturbed, inclusion, ids_crc32, and ids: `k` distinct segmentations of each text."""
+def segmentations(docs: DataFrame, k: int = SAMPLES, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, sample (from 0), n_tokens, log_prob, perturbed, inclusion, ids, text_crc32: `k` distinct segmentations of each text.
+
+    text_crc32 is the checksum of the text that the ids decode to.
+    """
     path = path or default_path()
     source = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(id_col)).alias("key"), F.col(text_col).alias("text"))
+    names = ["doc_id", "sample", "n_tokens", "log_prob", "perturbed", "inclusion", "ids", "text_crc32"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path)
         for batch in batches:
-            for first, end, data, offsets in text_chunks(batch.column(2), 8 << 20):
+            for first, end, data, offsets in text_chunks(batch.column(2), RUN):
                 keys = batch.column(1).slice(first, end - first).to_numpy().view(np.uint64)
-                rows = list(search(vocab, data, offsets, keys, k))
-                scores = np.array([(lp, g, kap) for _, _, _, lp, g, kap in rows]).reshape(-1, 3)
-                inclusion = -np.expm1(-np.exp(np.minimum(scores[:, 0] - scores[:, 2], 700)))
+                rows, samples, ids, scores = [], [], [], []
+                for text, sample, own, *score in search(vocab, data, offsets, keys, k):
+                    rows.append(first + text), samples.append(sample), ids.append(own), scores.append(score)
+                at = np.concatenate([[0], np.cumsum([len(x) for x in ids])])
+                flat = np.concatenate(ids)
+                decoded, ends = vocab.decode_many(flat.astype(np.int64), at)
+                scores = np.array(scores)
                 columns = [
-                    batch.column(0).take(pa.array([first + r[0] for r in rows], pa.int64())), pa.array([r[1] for r in rows], pa.int32()), pa.array([len(r[2]) for r in rows], pa.int64()),
-                    pa.array(scores[:, 0]), pa.array(scores[:, 1]), pa.array(inclusion), pa.array([zlib.crc32(r[2].astype("<u4").tobytes()) for r in rows], pa.int64()),
+                    batch.column(0).take(pa.array(rows, pa.int64())), pa.array(samples, pa.int32()), pa.array(np.diff(at)), pa.array(scores[:, 0]), pa.array(scores[:, 1]),
+                    pa.array(-np.expm1(-np.exp(np.minimum(scores[:, 0] - scores[:, 2], 700)))), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat, pa.int32())),
+                    pa.array([zlib.crc32(decoded[a:b]) for a, b in zip(ends[:-1], ends[1:])], pa.int64()),
                 ]
-                names = ["doc_id", "sample", "n_tokens", "log_prob", "perturbed", "inclusion", "ids_crc32"]
-                if with_ids:
-                    columns.append(pa.array([r[2] for r in rows], pa.list_(pa.int64())))
-                    names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     kind = source.schema["doc_id"].dataType.simpleString()
-    return source.mapInArrow(run, f"doc_id {kind}, sample int, n_tokens long, log_prob double, perturbed double, inclusion double, ids_crc32 long" + (", ids array<long>" if with_ids else ""))
+    return source.mapInArrow(run, f"doc_id {kind}, sample int, n_tokens long, log_prob double, perturbed double, inclusion double, ids array<int>, text_crc32 long")
+
+
+def decoded(segments: DataFrame, path: str | None = None, ids_col: str = "ids", name: str = "text") -> DataFrame:
+    """`segments` and the text of each row's ids as column `name`; null ids have a null text, and without ids it is empty."""
+    path = path or default_path()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab = vocabulary(path)
+        for batch in batches:
+            for a in range(0, batch.num_rows, 256):
+                part = batch.slice(a, 256)
+                lists = part.column(part.schema.get_field_index(ids_col))
+                flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+                at = np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]).astype(np.int64)
+                data, ends = vocab.decode_many(flat, at)
+                raw = data.tobytes()
+                out = [raw[x:y].decode() if ok else None for x, y, ok in zip(ends[:-1], ends[1:], lists.is_valid().to_pylist())]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.string())], names=[*part.schema.names, name])
+
+    return segments.mapInArrow(run, T.StructType([*segments.schema.fields, T.StructField(name, T.StringType())]))
