@@ -65,7 +65,7 @@ def _drop_tables() -> None:
             return
 
 
-def broadcast_if_small(df: DataFrame, rows: int, row_bytes: int, limit_bytes: int = 32 << 20) -> DataFrame:
+def broadcast_if_small(df: DataFrame, rows: int, row_bytes: int, limit_bytes: int = 8 << 20) -> DataFrame:
     """`df` with a broadcast hint if its checked size is within `limit_bytes`; otherwise Spark shuffles it."""
     return F.broadcast(df) if rows * row_bytes <= limit_bytes else df
 

@@ -1,27 +1,30 @@
 """Exact n-gram Jaccard join in metric space: pivots create regions, windows replicate boundary documents, regions join
 recursively.
 
-Jaccard distance is a metric on finite sets of word shingles. Two kinds of points serve as pivots.
-
-1. Single shingles. A set S has distance 1 - 1/|S| to {s} if it holds s, else 1, so its nearest pivots are its own
-   shingles, and a total order on shingles (frequent ones last) breaks the ties. A set within distance e of S shares a
-   shingle among the first |S| - ceil((1-e)|S|) + 1 of either one's order; these are the regions into whose windows a
-   set is replicated. A pair must meet in the region of its first shared pivot, and what both sets have from there on
-   bounds their intersection: pairs whose bound is too low aren't compared there. For the smaller set this leaves the
-   regions where it is at home, about half of its windows. Whole documents as pivots don't work on this level: almost
-   all pairs of documents have a distance near 1, so every window would hold everything.
-2. Documents. Inside a region where many documents meet, documents are pivots: those within the threshold of a pivot
-   are links at once, and documents of one component need no further comparison. What is left goes
-   to the Voronoi cell of its nearest pivot, and by the triangle inequality also to every cell whose pivot is at most
-   twice the reach of a link further away than the nearest. Cells are regions of the next round. A pivot has then met its whole region and
-   leaves it, so the recursion ends; small regions compare all pairs that are not yet in one component.
+Jaccard distance is a metric on finite sets of word shingles; sets link within distance e = 1 - percent / 100.
+
+1. Regions. Pivots are the sets of a single shingle. A set S has distance 1 - 1/|S| to {s} if it holds s, else 1, so its
+   nearest pivots are its own shingles, and a total order on shingles (frequent ones last) breaks the ties. A set
+   within distance e of S shares a shingle among the first |S| - ceil((1-e)|S|) + 1 of either one's order; these are the
+   regions into whose windows a set is replicated. A pair must meet in the region of its first shared pivot, and what
+   both sets have from there on bounds their intersection. Whole documents as pivots don't part a corpus: almost all
+   pairs have a distance near 1, so every window would hold everything; inside a region they do.
+2. Document pivots. The most central document of each region is its pivot. Each document is measured against the pivot
+   it shares most regions with: exact distances within e are links, and most of a region is one component then.
+3. Documents of one component need no comparison, nor do regions of one component. Small regions compare all pairs that
+   may link. In a large region all documents outside its largest component become pivots, which meet the whole region, and
+   the region is done; if there are too many of them, some are pivots of Voronoi cells: by exact Jaccard distances a document
+   goes to the cell of its nearest pivot, and by the triangle inequality to every cell whose pivot is at most 2e further
+   away. Cells are regions of the next round. A region that its pivots don't part stays whole, without the pivots that it has met,
+   and takes more of them each round, so the recursion ends.
 
 Sets that are equal are collapsed first. All counts cover all documents. No cap applies to regions or partners.
 Shingles are 64-bit hashes. `HEAVY` bounds only how many frequent shingles get a place at the end of the order (any
 order is exact).
 
-Defined results: null text counts as empty; a text without words is linked with nothing; a text of fewer words than a
-shingle is one shingle of all its words; rows that share an id count as one document, null ids as id -1 in links only.
+Defined results: ids are numbers, a null id counts as -1; null text counts as empty; a text without words is linked with
+nothing; a text of fewer words than a shingle is one shingle of all its words; rows that share an id are documents of their
+own, each with its own set; further columns don't matter; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -41,8 +44,10 @@ from .components import components
 HEAVY = 1 << 16
 #: Shingles counted at a time; one in at least 8 and 0.1 % of the documents of such a block is a frequent one there.
 BLOCK = 1 << 21
-#: Regions of at most so many documents compare all pairs that may link; larger ones use so many documents as pivots.
+#: Regions of at most so many documents compare all pairs that may link; larger ones use at most so many documents as
+#: pivots at first, and so many of these as pivots of cells.
 SMALL = 256
+FIRST = 512
 PIVOTS = 16
 #: Least number of classes of the shingle hash in a signature; a power of two.
 CLASSES = 512
@@ -128,17 +133,17 @@ def _described(source: DataFrame, words: int) -> DataFrame:
 
 
 def _windows(source: DataFrame, words: int, percent: int, frequent: np.ndarray) -> DataFrame:
-    """(region, rep, rest, common): the shingle pivots into whose windows each document goes, in the order of pivots.
+    """(region, rep, n, rest, common): the shingle pivots into whose windows each document goes, in the order of pivots.
 
-    rest: how many of its shingles a set has from the pivot on; negative where the set isn't at home. common: the pivot
-    is a frequent shingle.
+    n: size of the set; rest: how many of its shingles a set has from the pivot on; negative where the set isn't at home.
+    common: the pivot is a frequent shingle.
     """
     # `frequent` has the rarest first; rank: the place there of each one in hash order
     by_hash, rank = np.sort(frequent), np.argsort(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            regions, rests, lights, lengths = [], [], [], []
+            regions, rests, lights, lengths, sizes = [], [], [], [], []
             for s in shingle_sets(batch.column(1), words):
                 m = len(s)
                 window = m - (percent * m + 99) // 100 + 1 if m else 0
@@ -157,13 +162,14 @@ def _windows(source: DataFrame, words: int, percent: int, frequent: np.ndarray)
                 rests.append(np.where((100 + percent) * rest >= 2 * percent * m, rest, -rest))
                 lights.append(np.arange(len(chosen)) >= light)
                 lengths.append(len(chosen))
+                sizes.append(m)
             rep = batch.column(0).take(pa.array(np.repeat(np.arange(len(lengths)), lengths)))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(regions).view(np.int64)), rep, pa.array(np.concatenate(rests).astype(np.int32)), pa.array(np.concatenate(lights))],
-                names=["region", "rep", "rest", "common"],
+                [pa.array(np.concatenate(regions).view(np.int64)), rep, pa.array(np.repeat(sizes, lengths).astype(np.int32)), pa.array(np.concatenate(rests).astype(np.int32)), pa.array(np.concatenate(lights))],
+                names=["region", "rep", "n", "rest", "common"],
             )
 
-    return source.mapInArrow(run, "region long, rep long, rest int, common boolean")
+    return source.mapInArrow(run, "region long, rep long, n int, rest int, common boolean")
 
 
 def _sets(source: DataFrame, words: int) -> DataFrame:
@@ -176,29 +182,26 @@ def _sets(source: DataFrame, words: int) -> DataFrame:
     return source.mapInArrow(run, "rep long, items array<long>")
 
 
-def _measured(pairs: DataFrame, source: DataFrame, words: int) -> DataFrame:
-    """(a, b, shared, either) of each pair: sizes of the intersection and of the union.
+def _measured(pairs: DataFrame, n: int, source: DataFrame, words: int) -> DataFrame:
+    """(a, b, shared, either) of each of the `n` pairs: sizes of the intersection and of the union.
 
     Sets are made again from the texts of the documents that are in pairs; all other texts stay where they are.
     """
-    n = pairs.count()
-
-    def sets(side: str, items: str) -> DataFrame:
-        ids = broadcast_if_small(pairs.select(F.col(side).alias("rep")).distinct(), n, 16)
-        return _sets(source.join(ids, F.col("doc_id") == F.col("rep"), "left_semi"), words).select(F.col("rep").alias(side), F.col("items").alias(items))
-
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    sets = durable(_sets(source.join(broadcast_if_small(ids, n, 32), F.col("doc_id") == F.col("rep"), "left_semi"), words))
+    left, right = (sets.select(F.col("rep").alias(side), F.col("items").alias(items)) for side, items in (("a", "x"), ("b", "y")))
+    joined = pairs.select("a", "b").join(left, "a").join(right, "b")
     shared = F.size(F.array_intersect("x", "y")).cast("long")
-    joined = sets("a", "x").join(broadcast_if_small(pairs, n, 24), "a").join(sets("b", "y"), "b").select("a", "b", shared.alias("shared"), (F.size("x") + F.size("y")).alias("sizes"))
-    return joined.select("a", "b", "shared", (F.col("sizes") - F.col("shared")).alias("either"))
+    measured = joined.select("a", "b", shared.alias("shared"), (F.size("x") + F.size("y")).alias("sizes"))
+    return measured.select("a", "b", "shared", (F.col("sizes") - F.col("shared")).alias("either"))
 
 
-def _near_enough(pairs: DataFrame, facts: DataFrame, n_facts: int, percent: int) -> DataFrame:
+def _near_enough(pairs: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
     """(a, b) of the pairs that may link by their signatures: of sets that link, the symmetric difference is at most
     (100 - percent) / (100 + percent) of the sum of their sizes.
     """
-    bound = broadcast_if_small(facts.select("rep", "n", "signature"), n_facts, 200)
-    left = bound.select(F.col("rep").alias("a"), F.col("n").alias("an"), F.col("signature").alias("sa"))
-    right = bound.select(F.col("rep").alias("b"), F.col("n").alias("bn"), F.col("signature").alias("sb"))
+    left = marks.select(F.col("rep").alias("a"), F.col("n").alias("an"), F.col("signature").alias("sa"))
+    right = marks.select(F.col("rep").alias("b"), F.col("n").alias("bn"), F.col("signature").alias("sb"))
     both = pairs.join(left, "a").join(right, "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,6 +213,65 @@ def _near_enough(pairs: DataFrame, facts: DataFrame, n_facts: int, percent: int)
     return both.select("a", "b", "an", "bn", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
+def _own_ids(source: DataFrame, known: DataFrame, words: int) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """`source` and `known` with ids of their own for rows that share an id; and the ids that these had (doc_id, was)."""
+    odd = durable(known.groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    n = odd.count()
+    if not n:
+        return source, known, None
+    odd = broadcast_if_small(odd, n, 16)
+    # written once: the ids must be the same in every pass
+    own = F.lit(-(1 << 63)) + F.monotonically_increasing_id()
+    apart = durable(source.join(odd, "doc_id", "left_semi").select(own.alias("own"), "doc_id", "text"))
+    texts = apart.select(F.col("own").alias("doc_id"), "text")
+    again = durable(_described(texts, words).where("s IS NULL").select(*known.columns))
+    return source.join(odd, "doc_id", "left_anti").unionByName(texts), known.join(odd, "doc_id", "left_anti").unionByName(again), apart.select(F.col("own").alias("doc_id"), F.col("doc_id").alias("was"))
+
+
+class _Links:
+    """The links found so far, and the components that they make."""
+
+    def __init__(self, source: DataFrame, marks: DataFrame, words: int, percent: int) -> None:
+        self.source, self.marks, self.words, self.percent = source, marks, words, percent
+        self.links: DataFrame | None = None
+        self.comps: DataFrame | None = None
+        self.nodes = 0
+
+    def add(self, pairs: DataFrame) -> None:
+        """Measure pairs (a, b) and keep those that link."""
+        close = durable(_near_enough(pairs, self.marks, self.percent))
+        n = close.count()
+        if not n:
+            return
+        found = durable(_measured(close, n, self.source, self.words).where(f"100 * shared >= {self.percent} * either").select("a", "b"))
+        if found.limit(1).count():
+            self.links = found if self.links is None else self.links.unionByName(found)
+            self.comps = components(self.links)
+            self.nodes = self.comps.count()
+
+    def label(self, df: DataFrame, column: str = "rep") -> DataFrame:
+        """`df` with column comp: the component of `column`."""
+        if self.comps is None:
+            return df.withColumn("comp", F.col(column))
+        names = broadcast_if_small(self.comps.withColumnRenamed("node", column).withColumnRenamed("comp", "found"), self.nodes, 32)
+        return df.join(names, column, "left").withColumn("comp", F.coalesce("found", column)).drop("found")
+
+
+def _met(live: DataFrame, others: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of the pairs of a document and another one of its region that may link and are in different components."""
+    other = others.select("region", F.col("rep").alias("p"), F.col("n").alias("pn"), F.col("rest").alias("prest"), F.col("comp").alias("pcomp"), F.col("home").alias("phome"))
+    may_link = f"rep <> p AND comp <> pcomp AND (home OR phome) AND (100 + {percent}) * least(rest, prest) >= {percent} * (n + pn)"
+    met = live.select("region", "rep", "n", "rest", "comp", "home").join(other, "region").where(may_link)
+    return met.select(F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b"))
+
+
+def _live(regions: DataFrame, links: _Links) -> DataFrame:
+    """The documents of the regions that hold several components, with their component and m, the region's size."""
+    live = links.label(regions)
+    state = live.groupBy("region").agg(F.count("*").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("home").alias("any_home")).where("lo < hi AND any_home")
+    return durable(live.join(state.select("region", "m"), "region"))
+
+
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of `docs`: doc_id, n_shingles, component_id.
 
@@ -217,118 +279,82 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("doc_id"), F.col(text_col).alias("text"))
     described = durable(_described(source, words))
-    counted = described.where("s IS NOT NULL").groupBy("s").agg(F.sum("often").alias("often")).orderBy(F.desc("often"), "s").limit(HEAVY).collect()
+    counted = described.where("s IS NOT NULL").groupBy("s").agg(F.sum("often").alias("often")).orderBy(F.desc("often"), "s").limit(HEAVY).select("s").collect()
     frequent = np.array([r["s"] for r in reversed(counted)], dtype=np.int64).view(np.uint64)
-    known = described.where("s IS NULL").select("doc_id", "n", "key", "signature")
+    source, known, was = _own_ids(source, described.where("s IS NULL").select("doc_id", "n", "key", "signature"), words)
 
     # equal sets are one class; its smallest id stands for it
     classes = known.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).where("copies > 1")
     classes = durable(classes.select("key", "rep"))
-    n_classes = classes.count()
-    final = known.select("doc_id", "n", "key").join(broadcast_if_small(classes, n_classes, 64), "key", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("rep"))
+    final = known.select("doc_id", "n", "key").join(broadcast_if_small(classes, classes.count(), 64), "key", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("rep"))
     copies = durable(final.where("doc_id <> rep").select("doc_id"))
     alone = source.join(broadcast_if_small(copies, copies.count(), 16), "doc_id", "left_anti")
 
-    windows = _windows(alone, words, percent, frequent)
-    region = Window.partitionBy("region")
-    rows = windows.where("NOT common").select("region", "rep", "rest").withColumn("m", F.count("*").over(region)).withColumn("most", F.max("rest").over(region))
-    rows = rows.where("m > 1 AND most > 0").drop("m", "most")
+    # regions of one document are dropped; those of frequent shingles are spread over tasks here and looked at below
+    spread = F.when(F.col("common"), F.pmod(F.xxhash64("rep"), F.lit(256))).otherwise(F.lit(0))
+    region = Window.partitionBy("region", "part")
+    rows = _windows(alone, words, percent, frequent).withColumn("part", spread).withColumn("m", F.count("*").over(region)).withColumn("most", F.max("rest").over(region))
+    rows = durable(rows.where("common OR (m > 1 AND most > 0)").select("region", "rep", "n", F.abs("rest").alias("rest"), (F.col("rest") > 0).alias("home"), "common"))
     if len(frequent):
-        often = durable(windows.where("common").select("region", "rep", "rest"))
-        peopled = often.groupBy("region").agg(F.count("*").alias("m"), F.max("rest").alias("most")).where("m > 1 AND most > 0").select("region")
-        rows = rows.unionByName(often.join(F.broadcast(peopled), "region", "left_semi"))
-    rows = durable(rows)
+        peopled = rows.where("common").groupBy("region").agg(F.count("*").alias("m"), F.max("home").alias("any_home")).where("m > 1 AND any_home").select("region")
+        rows = rows.where("NOT common").unionByName(rows.where("common").join(F.broadcast(peopled), "region", "left_semi"))
+    rows = rows.drop("common")
     # those that share most of their pivots are the most central ones of their neighbourhood
-    met = durable(rows.groupBy("rep").agg(F.count("*").alias("met")))
+    met = durable(rows.groupBy("rep").agg(F.count("*").alias("met"), F.max("n").alias("n")).select("rep", (-F.col("met") / F.col("n")).alias("rare")))
     n_meet = met.count()
     if not n_meet:
-        return final.select("doc_id", "n_shingles", F.col("rep").alias("component_id"))
-    facts = durable(known.join(broadcast_if_small(met, n_meet, 24), F.col("doc_id") == F.col("rep")).groupBy("rep").agg(F.max("n").alias("n"), F.max("signature").alias("signature"), F.max("met").alias("met")))
-    facts = facts.withColumn("rare", -F.col("met") / F.col("n"))
-    regions = rows.join(broadcast_if_small(facts.drop("signature", "met"), n_meet, 40), "rep").withColumn("home", F.col("rest") > 0).withColumn("rest", F.abs("rest"))
-    regions = regions.withColumn("flat", F.lit(False))
-    comps, links, first, many = None, None, True, 64
+        return _named(final.withColumn("comp", F.col("rep")), was)
+    marks = durable(known.join(broadcast_if_small(met.select("rep"), n_meet, 16), F.col("doc_id") == F.col("rep"), "left_semi").select(F.col("doc_id").alias("rep"), "n", "signature"))
+    size = marks.agg(F.sum(F.length("signature") + 48)).first()[0] or 0
+    links = _Links(source, broadcast_if_small(marks, size, 1), words, percent)
+    regions = rows.join(broadcast_if_small(met, n_meet, 24), "rep")
+
+    heads = regions.groupBy("region").agg(F.min(F.struct("rare", "rep", "n", "rest", "home")).alias("head")).select("region", "head.*").withColumn("comp", F.col("rep"))
+    stars = durable(_met(rows.withColumn("comp", F.col("rep")), heads, percent).groupBy("a", "b").agg(F.count("*").alias("regions")))
+    # each document's pivot is the one that it shares most regions with
+    own = stars.select(F.explode(F.array("a", "b")).alias("one"), F.struct("regions", "a", "b").alias("pair")).groupBy("one").agg(F.max("pair").alias("pair"))
+    links.add(own.select("pair.a", "pair.b").distinct())
+
+    live = _live(regions, links)
+    few = live.where(f"m <= {SMALL}")
+    links.add(_met(few, few, percent).distinct())
+    regions, most = live.where(f"m > {SMALL}").drop("comp", "m"), FIRST
     while True:
-        live = regions.withColumn("comp", F.col("rep"))
-        if comps is not None:
-            live = regions.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-        state = live.groupBy("region").agg(F.count("*").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("home").alias("any_home")).where("lo < hi AND any_home")
-        live = live.join(state.select("region", "m"), "region") if not first else live.withColumn("m", F.lit(2))
-        live = durable(live)
+        live = _live(regions, links)
         if not live.limit(1).count():
             break
-        # the most central documents come first: those with the fewest shingles of their own
-        if first:
-            head = live.groupBy("region", "flat").agg(F.min(F.struct("rare", "rep", "n", "rest", "comp", "home")).alias("head"))
-            heads = head.select("region", "flat", "head.*")
-        else:
-            order = Window.partitionBy("region").orderBy("rare", "rep")
-            heads = live.where(f"m > {SMALL}").withColumn("k", F.row_number().over(order)).where(f"k <= {many}").where(f"flat OR k <= {PIVOTS}")
-        heads = durable(heads.select("region", "flat", F.col("rep").alias("p"), F.col("n").alias("pn"), F.col("rest").alias("prest"), F.col("comp").alias("pcomp"), F.col("home").alias("phome")))
-        may_link = F.expr(f"comp <> pcomp AND (home OR phome) AND (100 + {percent}) * least(rest, prest) >= {percent} * (n + pn)")
-        pairs = live.drop("flat").join(heads, "region").where(F.col("rep") != F.col("p")).where(may_link).select("rep", "p")
-        if not first:
-            few = live.where(f"m <= {SMALL}").drop("flat", "m", "rare")
-            other = few.select("region", F.col("rep").alias("p"), F.col("n").alias("pn"), F.col("rest").alias("prest"), F.col("comp").alias("pcomp"), F.col("home").alias("phome"))
-            pairs = pairs.unionByName(few.join(other, "region").where("rep < p").where(may_link).select("rep", "p"))
-        pairs = durable(pairs.groupBy(F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b")).agg(F.count("*").alias("regions")))
-        # each document's pair in the most regions is measured first: most other pairs are inside one component then
-        own = pairs.select(F.explode(F.array("a", "b")).alias("one"), F.struct("regions", "a", "b").alias("pair")).groupBy("one").agg(F.max("pair").alias("pair"))
-        chosen = durable(own.select("pair.a", "pair.b").distinct())
-        n_chosen = chosen.count()
-        for batch in (chosen, None):
-            if batch is None:
-                batch = pairs.select("a", "b").join(broadcast_if_small(chosen, n_chosen, 24), ["a", "b"], "left_anti")
-                if comps is not None:
-                    for side in "ab":
-                        names = broadcast_if_small(comps.select(F.col("node").alias(side), F.col("comp").alias(f"c{side}")), n_meet, 16)
-                        batch = batch.join(names, side, "left").withColumn(f"c{side}", F.coalesce(f"c{side}", side))
-                    batch = batch.where("ca <> cb").select("a", "b")
-            batch = durable(_near_enough(batch, facts, n_meet, percent))
-            if not batch.limit(1).count():
-                continue
-            found = durable(_measured(batch, source, words).where(f"100 * shared >= {percent} * either").select("a", "b"))
-            if found.limit(1).count():
-                links = found if links is None else links.unionByName(found)
-                comps = components(links)
-        left = live.drop("comp", "m") if first else live.where(f"m > {SMALL}").drop("comp", "m")
-        left = left.join(heads.select("region", F.col("p").alias("rep")), ["region", "rep"], "left_anti")
-        if not first:
-            whole = durable(left)
-            if not whole.limit(1).count():
-                break
-            left = whole.where("flat").unionByName(_cells(whole.where("NOT flat"), heads, facts, n_meet, percent))
-            many *= 8
-        regions, first = durable(left), False
-    if comps is None:
-        return final.select("doc_id", "n_shingles", F.col("rep").alias("component_id"))
-    result = final.join(broadcast_if_small(comps, n_meet, 16), F.col("rep") == F.col("node"), "left")
-    return result.select("doc_id", "n_shingles", F.coalesce("comp", "rep").alias("component_id"))
-
-
-def _cells(left: DataFrame, heads: DataFrame, facts: DataFrame, n_facts: int, percent: int) -> DataFrame:
-    """The documents of each region dealt to the cells of its pivots; a region that its pivots don't part stays whole
-    and is flat: its further pivots meet it only where the bound on the intersection lets them.
-
-    Distances are those of the signatures over the fewest classes. Of sets that link, it is at most
-    (100 - percent) / (100 + percent) of their sizes' sum, and sizes differ by 100 / percent at most.
-    """
-    reach = (100 - percent) / (100 + percent) * (1 + 100 / percent)
-    marks = broadcast_if_small(facts.select("rep", "signature"), n_facts, 200)
-    dealt = left.drop("flat").join(heads.select("region", "p"), "region").join(marks, "rep").join(marks.select(F.col("rep").alias("p"), F.col("signature").alias("mark")), "p")
-    columns = ["region", "rep", "p", "n", "rare", "rest", "home"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            d = pa.array([_apart(x, y, CLASSES // 8) for x, y in zip(batch.column(7).to_pylist(), batch.column(8).to_pylist())], pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:7], d], names=[*columns, "d"])
-
-    dealt = durable(dealt.select(*columns, "signature", "mark").mapInArrow(run, "region long, rep long, p long, n int, rare double, rest int, home boolean, d long"))
+        few, large = live.where(f"m <= {SMALL}"), live.where(f"m > {SMALL}")
+        sizes = large.groupBy("region", "comp").agg(F.count("*").alias("size")).groupBy("region").agg(F.max(F.struct("size", "comp")).alias("largest"), F.sum("size").alias("m"))
+        sizes = durable(sizes.select("region", F.col("largest.comp").alias("main"), (F.col("m") - F.col("largest.size") > most).alias("deep")))
+        order = Window.partitionBy("region").orderBy("rare", "rep")
+        heads = large.drop("m").join(sizes, "region").where("comp <> main").withColumn("k", F.row_number().over(order)).where(f"k <= {most}")
+        heads = durable(heads)
+        links.add(_met(large, heads, percent).unionByName(_met(few, few, percent)).distinct())
+        left = large.drop("comp", "m").join(sizes.where("deep").select("region"), "region").join(heads.select("region", "rep"), ["region", "rep"], "left_anti")
+        regions, most = _cells(durable(left), heads.where(f"deep AND k <= {PIVOTS}"), source, words, percent), most * 8
+    return _named(links.label(final), was)
+
+
+def _named(final: DataFrame, was: DataFrame | None) -> DataFrame:
+    """doc_id, n_shingles, component_id from rows with comp."""
+    if was is None:
+        return final.select("doc_id", "n_shingles", F.col("comp").alias("component_id"))
+    final = final.join(was, "doc_id", "left").select(F.coalesce("was", "doc_id").alias("doc_id"), "n_shingles", "comp")
+    least = final.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
+    return final.join(least, "comp").select("doc_id", "n_shingles", "component_id")
+
+
+def _cells(left: DataFrame, pivots: DataFrame, source: DataFrame, words: int, percent: int) -> DataFrame:
+    """The documents of each region dealt to the cells of its pivots by exact distances; a region that its pivots don't part stays whole."""
+    columns = ["rep", "n", "rest", "home", "rare"]
+    dealt = left.join(pivots.select("region", F.col("rep").alias("p")), "region").withColumn("a", F.least("rep", "p")).withColumn("b", F.greatest("rep", "p"))
+    pairs = durable(dealt.select("a", "b").distinct())
+    distances = _measured(pairs, pairs.count(), source, words).select("a", "b", (1 - F.col("shared") / F.col("either")).alias("d"))
+    dealt = durable(dealt.join(distances, ["a", "b"]).select("region", *columns, "p", "d"))
     nearest = dealt.groupBy("region", "rep").agg(F.min(F.struct("d", "p")).alias("near"))
-    dealt = dealt.join(nearest, ["region", "rep"]).where(F.col("d") <= F.col("near.d") + 2 * reach * F.col("n"))
-    dealt = durable(dealt.select("region", "rep", "n", "rare", "rest", (F.col("home") & (F.col("p") == F.col("near.p"))).alias("home"), F.xxhash64("region", "p").alias("cell")))
-    parted = dealt.groupBy("region").agg((F.count("*") <= 2 * F.sum(F.col("home").cast("int"))).alias("parted")).where("parted")
-    kept = ["rep", "n", "rare", "rest", "home"]
-    cells = dealt.join(parted, "region").select(F.col("cell").alias("region"), *kept, F.lit(False).alias("flat"))
-    whole = left.join(parted, "region", "left_anti").select("region", *kept, F.lit(True).alias("flat"))
-    return cells.unionByName(whole)
+    # 2e further away at most; the rest allows for rounding
+    dealt = dealt.join(nearest, ["region", "rep"]).where(F.col("d") <= F.col("near.d") + 2 * (100 - percent) / 100 + 1e-9)
+    dealt = durable(dealt.withColumn("home", F.col("home") & (F.col("p") == F.col("near.p"))).withColumn("nearest", F.col("p") == F.col("near.p")).select("region", *columns, "nearest", F.xxhash64("region", "p").alias("cell")))
+    parted = dealt.groupBy("region").agg((F.count("*") <= 2 * F.sum(F.col("nearest").cast("int"))).alias("parted")).where("parted").select("region")
+    cells = dealt.join(parted, "region").select(F.col("cell").alias("region"), *columns)
+    return durable(cells.unionByName(left.join(parted, "region", "left_anti").select("region", *columns)))

@@ -56,15 +56,25 @@ def family(spark, copies=60):
 def test_near_join_equals_brute_force(spark, docs, monkeypatch):
     rows, df = family(spark)
     expected = brute.near_components(rows)
-    for small_regions, pivots in ((128, 8), (3, 2)):
+    for small_regions, pivots, first in ((128, 8, 64), (3, 2, 2)):
         monkeypatch.setattr(near_join, "SMALL", small_regions)
         monkeypatch.setattr(near_join, "PIVOTS", pivots)
+        monkeypatch.setattr(near_join, "FIRST", first)
         assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_join.near_components(df).collect()} == expected
     monkeypatch.undo()
     real = [(r.doc_id, r.text) for r in docs.collect()]
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_join.near_components(docs).collect()} == brute.near_components(real)
 
 
+def test_near_join_repeated_ids_keep_their_own_sets(spark):
+    text = words(3, 100, 10**6)
+    near = [*text[:50], "changed", *text[51:]]
+    rows = [(5, " ".join(text)), (5, "some other short text of its own"), (7, " ".join(near)), (None, " ".join(near[:99])), (None, "x y"), (9, "x y"), (5, " ".join(text))]
+    df = spark.createDataFrame([(*r, 1, "c") for r in rows], "doc_id long, text string, rep int, comp string")
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in near_join.near_components(df).collect())
+    assert got == sorted([(5, 96, -1), (5, 3, 5), (7, 96, -1), (-1, 95, -1), (-1, 1, -1), (9, 1, -1), (5, 96, -1)])
+
+
 def test_near_join_odd_rows(odd, empty):
     got = near_join.near_components(odd).collect()
     assert len(got) == len(ODD) + 1
@@ -278,9 +288,9 @@ def test_token_files(spark, odd, docs, empty):
     for df in (odd, docs):
         place = simple8b.folder(spark, "test-ids")
         index = simple8b.write(df, place, shards=3)
-        rows = sorted(((r.doc_id, r.text or "") for r in df.collect()))
+        rows = sorted(((r.doc_id, r.h, r.text or "") for r in df.withColumn("h", F.xxhash64(F.coalesce("text", F.lit("")))).collect()))
         at, expected = 0, []
-        for i, t in rows:
+        for i, _, t in rows:
             ids = [*e.tokenizer.encode(t, add_special_tokens=False).ids, 0]
             expected.append((i, at, len(ids), zlib.crc32(np.array(ids, dtype="<u4").tobytes())))
             at += len(ids)
@@ -355,8 +365,11 @@ def test_segmentation_sample_has_the_exact_distribution():
 
 
 def test_segmentations_follow_the_row_only(odd, empty):
-    one = Counter((r.doc_id, r.sample, r.ids_crc32) for r in sampled_pieces.segmentations(odd).collect())
-    assert one == Counter((r.doc_id, r.sample, r.ids_crc32) for r in sampled_pieces.segmentations(odd.repartition(3)).collect())
+    one = Counter((r.doc_id, r.sample, tuple(r.ids)) for r in sampled_pieces.segmentations(odd).collect())
+    assert one == Counter((r.doc_id, r.sample, tuple(r.ids)) for r in sampled_pieces.segmentations(odd.repartition(3)).collect())
+    texts = {r.doc_id: r.text or "" for r in odd.where("key <> 'repeat'").collect()}
+    for r in sampled_pieces.decoded(sampled_pieces.segmentations(odd.where("key <> 'repeat'"))).collect():
+        assert r.text == texts[r.doc_id].replace("\u2581", " ") and r.text_crc32 == zlib.crc32(r.text.encode())
     assert sampled_pieces.segmentations(empty).count() == 0
 
 
