@@ -3,10 +3,15 @@ give smoothed probabilities of texts.
 
 Texts are read once. Each task turns its texts into blocks of a few million tokens: a vocabulary of word hashes and
 texts coded by places in it. A word's total count comes back to every block that has the word, by one shuffle of
-(word, block, count) rows, so no task holds the vocabulary of the corpus and none is sent for each token. The `FREQUENT`
-most frequent words are single symbols; other words are one symbol for each power of two of their count. Counts of
-symbol pairs over all training tokens feed the exchange: in each round Spark finds for every frequent word the class
-that raises the likelihood most, for a half of the words at a time, until a round doesn't raise it.
+(word, block, count) rows, so no task holds the vocabulary of the corpus and none is sent for each token.
+
+The exchange has two parts. The `FREQUENT` most frequent words are single symbols, and counts of symbol pairs over all
+training tokens feed rounds of exchange: in each Spark finds for every frequent word the class that raises the likelihood most,
+for a half of the words at a time, until a round doesn't raise it. At first all other words are in bands by the power of
+two of their count. Then every other word that occurs more than once is exchanged from its band to a class: its
+neighbours' classes are counted in the blocks, summed by one shuffle on the word, and the class that raises the likelihood
+most is chosen in the tasks and sent back to the word's places. So classes of all words are rows, never a table of
+the driver. Words seen once have no statistics of their own and share a class with unseen ones.
 
 A token after class a has probability (1 - u(a)) * P(class | a) * count / count of its class if it was seen, else u(a),
 the smoothed share of words seen once after a. All unseen words count as one, so each context's probabilities add up to 1.
@@ -32,7 +37,7 @@ from .common import durable, lower_ascii, prefix_hash, span_hash, text_chunks, w
 
 #: Tokens in a block at most (a longer text is a block of its own).
 BLOCK = 4_000_000
-FREQUENT, CLASSES, ROUNDS = 500, 60, 12
+FREQUENT, CLASSES, ROUNDS = 500, 80, 12
 #: Symbol 0 is the end; frequent words follow; then one symbol per power of two of the count.
 BANDS = 48
 END = np.uint64(0x1D8AF5C6E3B70924)
@@ -95,8 +100,8 @@ def _blocks(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, columns)
 
 
-def _totals(blocks: DataFrame) -> DataFrame:
-    """block, totals (training count of each of its words), leads (word, count) of the words that this block leads.
+def _totals(blocks: DataFrame, frequent: int) -> DataFrame:
+    """block, totals (training count of each of its words), leads (-count, word): the `frequent` most frequent words that this block leads.
 
     Each word is led by one block, so sums over all leads count every word once.
     """
@@ -107,10 +112,10 @@ def _totals(blocks: DataFrame) -> DataFrame:
     leads = F.when((F.col("first") == F.col("block")) & (F.col("total") > 0), F.col("total"))
     grouped = one.groupBy("block").agg(
         F.sort_array(F.collect_list(F.struct("place", "total"))).alias("found"),
-        F.count(leads).alias("n_words"), F.sum(F.coalesce(leads, F.lit(0))).alias("n_tokens"), F.count(F.when(leads == 1, 1)).alias("n_once"),
-        F.collect_list(F.when(leads >= 64, F.struct("word", "total"))).alias("leads"),
+        F.count(leads).alias("n_words"), F.sum(F.coalesce(leads, F.lit(0))).alias("n_tokens"),
+        F.slice(F.array_sort(F.collect_list(F.when(leads >= 2, F.struct((-F.col("total")).alias("order"), "word")))), 1, frequent).alias("leads"),
     )
-    return grouped.select("block", F.col("found.total").alias("totals"), "n_words", "n_tokens", "n_once", "leads")
+    return grouped.select("block", F.col("found.total").alias("totals"), "n_words", "n_tokens", "leads")
 
 
 def _symbols(words: np.ndarray, totals: np.ndarray, frequent: np.ndarray) -> np.ndarray:
@@ -123,35 +128,145 @@ def _symbols(words: np.ndarray, totals: np.ndarray, frequent: np.ndarray) -> np.
 
 
 def _coded(blocks: DataFrame, totals: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """block, ids, held, lengths, codes, totals, symbols."""
+    """block, ids, held, lengths, codes, totals, words, symbols."""
+    names = ["block", "ids", "held", "lengths", "codes", "totals", "words"]
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in frames:
             symbols = []
             for k in range(batch.num_rows):
-                words, own = (np.asarray(batch.column(i)[k].values) for i in (6, 5))
+                own, words = (np.asarray(batch.column(i)[k].values) for i in (5, 6))
                 symbols.append(_symbols(words.view(np.uint64), own, frequent))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(symbols, pa.list_(pa.int64()))], names=["block", "ids", "held", "lengths", "codes", "totals", "symbols"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(symbols, pa.list_(pa.int32()))], names=[*names, "symbols"])
+
+    joined = blocks.drop("counts").join(totals.select("block", "totals"), "block").select(*names)
+    return joined.mapInArrow(run, "block long, ids array<long>, held array<boolean>, lengths array<int>, codes binary, totals array<long>, words array<long>, symbols array<int>")
+
+
+def _tokens(batch: pa.RecordBatch, k: int, values: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the block in row `k`: the place of each token, the value (by place) of the list column `values`, and whether it trains."""
+    get = lambda name: batch.column(batch.schema.get_field_index(name))[k]
+    places = _places(get("codes").as_py())
+    held = get("held").values.to_numpy(zero_copy_only=False).astype(bool)
+    return places, np.asarray(get(values).values).astype(np.int64)[places], np.repeat(~held, np.asarray(get("lengths").values))
+
+
+def _pairs(coded: DataFrame, n: int, values: str) -> DataFrame:
+    """(a, b, n): how often value b of the column `values` follows a in the training texts; each text follows an end (the value 0 of symbols)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                _, of, trains = _tokens(batch, k, values)
+                # a block ends with an end
+                before = np.concatenate([of[-1:], of[:-1]])
+                count = np.bincount(before[trains] * n + of[trains], minlength=n * n)
+                there = np.flatnonzero(count)
+                yield pa.RecordBatch.from_arrays([pa.array(there // n), pa.array(there % n), pa.array(count[there])], names=["a", "b", "n"])
+
+    return coded.select("held", "lengths", "codes", values).mapInArrow(run, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+
+
+def _neighbours(coded: DataFrame, of: np.ndarray, frequent: int, n: int) -> DataFrame:
+    """word, block, place, slots, counts of every word that is to leave its band: how often which class stands before it
+    (slots from 0) and after it (slots from `n`) in the training texts of a block.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                symbols, words = (np.asarray(batch.column(batch.schema.get_field_index(x))[k].values) for x in ("symbols", "words"))
+                leaving = np.flatnonzero(symbols > frequent + 1)
+                places, own, trains = _tokens(batch, k, "symbols")
+                cls = of[own]
+                at = np.flatnonzero(trains & (own > frequent + 1))
+                row = np.searchsorted(leaving, places[at])
+                keys, count = np.unique(np.concatenate([row * (2 * n) + cls[at - 1], row * (2 * n) + n + cls[at + 1]]), return_counts=True)
+                offsets = pa.array(np.searchsorted(keys, np.arange(len(leaving) + 1) * (2 * n)).astype(np.int32))
+                columns = [
+                    pa.array(words[leaving]), pa.array(np.full(len(leaving), batch.column(0)[k].as_py())), pa.array(leaving.astype(np.int32)),
+                    pa.ListArray.from_arrays(offsets, pa.array((keys % (2 * n)).astype(np.int16))), pa.ListArray.from_arrays(offsets, pa.array(count.astype(np.int32))),
+                ]
+                out = pa.RecordBatch.from_arrays(columns, names=["word", "block", "place", "slots", "counts"])
+                for i in range(0, out.num_rows, 20_000):
+                    yield out.slice(i, 20_000)
+
+    columns = "word long, block long, place int, slots array<smallint>, counts array<int>"
+    return coded.select("block", "held", "lengths", "codes", "words", "symbols").mapInArrow(run, columns)
+
+
+def class_of(matrix: np.ndarray, classes: int, word: np.ndarray, slot: np.ndarray, count: np.ndarray, words: int) -> np.ndarray:
+    """The class among the first `classes` whose likelihood gains most by each of `words` words that joins it.
+
+    Entries (word, slot, count) are sorted by word: counts of the classes before it (slots from 0) and after it (from the matrix's size).
+    """
+    n, best = len(matrix), np.zeros(words, dtype=np.int16)
+    rows, columns = matrix.sum(1)[:classes], matrix.sum(0)[:classes]
+    before, after = matrix[:, :classes], np.ascontiguousarray(matrix[:classes].T)
+    step = max(1, 1_000_000 // classes)
+    start = 0
+    while start < len(word):
+        # whole words of about `step` entries
+        end = len(word) if start + step >= len(word) else int(np.searchsorted(word, word[start + step]))
+        if end <= start:
+            end = int(np.searchsorted(word, word[start], side="right"))
+        w, s, c = word[start:end], slot[start:end], count[start:end].astype(float)
+        right = s >= n
+        cells = np.where(right[:, None], after[s % n], before[s % n])
+        gain = _xlogx(cells + c[:, None]) - _xlogx(cells)
+        first = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
+        total = np.add.reduceat(gain, first, axis=0)
+        to_right, to_left = np.add.reduceat(np.where(right, c, 0), first)[:, None], np.add.reduceat(np.where(right, 0, c), first)[:, None]
+        total -= _xlogx(rows + to_right) - _xlogx(rows) + _xlogx(columns + to_left) - _xlogx(columns)
+        best[w[first]] = total.argmax(1)
+        start = end
+    return best
+
+
+def _assigned(neighbours: DataFrame, matrix: np.ndarray, classes: int) -> DataFrame:
+    """block, found (place, cls): the class of every word that leaves its band, at its places in the blocks."""
+
+    def whole(batch: pa.RecordBatch) -> pa.RecordBatch:
+        words = batch.column(0).to_numpy()
+        number = np.concatenate([[0], np.cumsum(words[1:] != words[:-1])])
+        of = np.repeat(number, batch.column(3).value_lengths().to_numpy())
+        keys, back = np.unique(of * (2 * len(matrix)) + batch.column(3).flatten().to_numpy(), return_inverse=True)
+        count = np.bincount(back, batch.column(4).flatten().to_numpy(), len(keys))
+        best = class_of(matrix, classes, keys // (2 * len(matrix)), keys % (2 * len(matrix)), count, int(number[-1]) + 1)
+        return pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(best[number])], names=["block", "place", "cls"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            joined = batch if rest is None else pa.concat_batches([rest, batch])
+            words = joined.column(0).to_numpy()
+            cut = int(np.searchsorted(words, words[-1])) if len(words) else 0
+            if cut:
+                yield whole(joined.slice(0, cut))
+            rest = joined.slice(cut)
+        if rest is not None and rest.num_rows:
+            yield whole(rest)
 
-    joined = blocks.drop("counts").join(totals.select("block", "totals"), "block").select("block", "ids", "held", "lengths", "codes", "totals", "words")
-    return joined.mapInArrow(run, "block long, ids array<long>, held array<boolean>, lengths array<int>, codes binary, totals array<long>, symbols array<long>")
+    one = neighbours.repartition("word").sortWithinPartitions("word").mapInArrow(run, "block long, place int, cls smallint")
+    return one.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("place", "cls"))).alias("found"))
 
 
-def _pairs(coded: DataFrame, n_symbols: int) -> DataFrame:
-    """(a, b, n): how often symbol b follows a in the training texts; each text follows an end."""
+def _classed(coded: DataFrame, assigned: DataFrame, of: np.ndarray) -> DataFrame:
+    """ids, held, lengths, codes, totals, classes (by place) of each block."""
+    kept = ["ids", "held", "lengths", "codes", "totals"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            classes = []
             for k in range(batch.num_rows):
-                lengths, held = (np.asarray(batch.column(i)[k].values.to_numpy(zero_copy_only=False)) for i in (1, 0))
-                symbols = np.asarray(batch.column(3)[k].values)[_places(batch.column(2)[k].as_py())]
-                before = np.concatenate([[0], symbols[:-1]])
-                trains = np.repeat(~held.astype(bool), lengths)
-                n = np.bincount(before[trains] * n_symbols + symbols[trains], minlength=n_symbols * n_symbols)
-                there = np.flatnonzero(n)
-                yield pa.RecordBatch.from_arrays([pa.array(there // n_symbols), pa.array(there % n_symbols), pa.array(n[there])], names=["a", "b", "n"])
+                own = of[np.asarray(batch.column(5)[k].values)]
+                if batch.column(6)[k].is_valid:
+                    own[np.asarray(batch.column(6)[k].values)] = np.asarray(batch.column(7)[k].values)
+                classes.append(own)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(classes, pa.list_(pa.int16()))], names=[*kept, "classes"])
 
-    return coded.select("held", "lengths", "codes", "symbols").mapInArrow(run, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    joined = coded.drop("words").join(assigned, "block", "left").select(*kept, "symbols", F.col("found.place").alias("places"), F.col("found.cls").alias("cls"))
+    return joined.mapInArrow(run, "ids array<long>, held array<boolean>, lengths array<int>, codes binary, totals array<long>, classes array<smallint>")
 
 
 def _xlogx(x: np.ndarray) -> np.ndarray:
@@ -237,22 +352,22 @@ def _exchange(pairs: DataFrame, start: np.ndarray, frequent: int, classes: int,
 
 @dataclass(frozen=True)
 class BrownModel:
-    """Word counts live in the coded blocks; this is what else the scores need."""
+    """Word counts and classes live in the blocks; this is what else the scores need."""
 
     n_tokens: int
     n_words: int
-    classes: np.ndarray
     transitions: np.ndarray
+    end: int
+    once: int
 
     def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """log10 of P(class | class before), of the share of unseen words after a class, and the counts of classes."""
         follows = self.transitions.sum(0)
         total = max(follows.sum(), 1.0)
         given = self.transitions.sum(1)
-        once = self.transitions[:, self.classes[-BANDS]]
         with np.errstate(divide="ignore"):
             moves = np.log10((self.transitions + PRIOR * follows[None, :] / total) / (given + PRIOR)[:, None])
-        unseen = (once + PRIOR * (follows[self.classes[-BANDS]] + 1) / (total + 2)) / (given + PRIOR)
+        unseen = (self.transitions[:, self.once] + PRIOR * (follows[self.once] + 1) / (follows.sum() + 2)) / (given + PRIOR)
         return moves, np.clip(unseen, 1e-9, 0.5), follows
 
 
@@ -260,21 +375,22 @@ def score(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col: str =
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row; learns where `held` (of doc_id) is false."""
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).select("doc_id", held.alias("held"), "text")
     blocks = durable(_blocks(source))
-    totals = durable(_totals(blocks))
-    sums = totals.agg(F.sum("n_words"), F.sum("n_tokens"), F.sum("n_once")).first()
+    totals = durable(_totals(blocks, frequent))
+    sums = totals.agg(F.sum("n_words"), F.sum("n_tokens")).first()
     n_words, n_tokens = int(sums[0] or 0), int(sums[1] or 0)
     end = int(np.array([END]).view(np.int64)[0])
-    top = totals.select(F.explode("leads").alias("lead")).select("lead.*").where(F.col("word") != end).orderBy(F.desc("total"), "word").limit(frequent).collect()
+    top = totals.select(F.explode("leads").alias("lead")).select("lead.*").where(F.col("word") != end).orderBy("order", "word").limit(frequent).collect()
     chosen = np.sort(np.array([r["word"] for r in top], dtype=np.int64).view(np.uint64))
     coded = durable(_coded(blocks, totals, chosen))
-    n_symbols = 1 + len(chosen) + BANDS
-    pairs = durable(_pairs(coded, n_symbols))
+    pairs = durable(_pairs(coded, 1 + len(chosen) + BANDS, "symbols"))
     # classes: of frequent words, dealt by rank at first; then the end; then one of each band
     by_rank = {r["word"]: k for k, r in enumerate(top)}
     k = min(classes, max(len(chosen), 1))
+    n = k + 1 + BANDS
     start = np.array([k, *(by_rank[int(w)] % k for w in chosen.view(np.int64)), *(k + 1 + np.arange(BANDS))])
-    of, matrix = _exchange(pairs, start, len(chosen), k, k + 1 + BANDS, rounds if len(chosen) else 0)
-    model = BrownModel(n_tokens, n_words, of, matrix)
+    of, matrix = _exchange(pairs, start, len(chosen), k, n, rounds if len(chosen) else 0)
+    classed = durable(_classed(coded, _assigned(_neighbours(coded, of, len(chosen), n), matrix, k), of))
+    model = BrownModel(n_tokens, n_words, _matrix(_pairs(classed, n, "classes"), np.arange(n), n), k, k + 1)
     moves, unseen, follows = model.tables()
     log_unseen, log_seen = np.log10(unseen), np.log10(1 - unseen)
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
@@ -283,10 +399,9 @@ def score(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col: str =
         for batch in batches:
             for row in range(batch.num_rows):
                 lengths = np.asarray(batch.column(2)[row].values)
-                places = _places(batch.column(3)[row].as_py())
-                totals_, symbols = (np.asarray(batch.column(i)[row].values) for i in (4, 5))
-                count, cls = totals_[places], model.classes[symbols][places]
-                before = np.concatenate([[model.classes[0]], cls[:-1]])
+                places, cls, _ = _tokens(batch, row, "classes")
+                count = np.asarray(batch.column(4)[row].values)[places]
+                before = np.concatenate([[model.end], cls[:-1]])
                 ends = np.cumsum(lengths)
                 seen = count > 0
                 with np.errstate(divide="ignore"):
@@ -299,4 +414,4 @@ def score(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col: str =
                     names=names,
                 )
 
-    return coded.select("ids", "held", "lengths", "codes", "totals", "symbols").mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return classed.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
