@@ -2,10 +2,11 @@
 
 Documents become pieces (tokenized once, only their lengths are kept); pieces of full length are sequences of their
 own. The others are dealt by hash to subproblems of about `ITEMS` pieces. For each one, several islands evolve
-populations of packings: crossover injects whole well-filled bins of another parent, removes the bins that hold a piece
-twice, and best-fits the displaced pieces; mutation dissolves the worst bins. Between epochs each island's elite migrates
-to its neighbour. Bins that are filled are final; where few fill exactly, the better-filled half of each subproblem's bins is
-final too. The pieces of the others go to the next level's fewer subproblems, until one is left. So the loss doesn't grow with the number of subproblems.
+populations of packings: crossover injects whole well-filled bins of another parent and removes the bins that hold a piece
+twice; mutation dissolves the worst bins. The displaced pieces first replace pieces of bins that get fuller so, and best fit
+places the others. Between epochs each island's elite migrates to its neighbour. Full bins and the better-filled half of
+each subproblem's bins are final; the pieces of the others go to the next level's fewer subproblems, until one is left.
+So the loss doesn't grow with the number of subproblems.
 
 Every group has a bounded size at any scale, and only lengths, ids and places are shuffled. All randomness is seeded by the
 subproblem, so a lost task gives the same result again.
@@ -32,9 +33,6 @@ LENGTH = 1024
 END_ID = 2
 ITEMS = 3000
 ISLANDS, EPOCHS, GENERATIONS, POPULATION = 2, 2, 4, 4
-#: Bins with at most so many free tokens are final before the last level. Where they hold under a tenth of the pieces, the
-#: better-filled half of each subproblem's bins is final as well.
-SLACK = 0
 
 
 def pieces(docs: DataFrame, path: str | None = None, length: int = LENGTH, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -98,6 +96,48 @@ def best_fit(sizes: list[int], items: list[int], bins: list[list[int]], capacity
     return found.all()
 
 
+def replaced(sizes: list[int], loose: list[int], bins: list[list[int]], capacity: int) -> tuple[list[list[int]], list[int]]:
+    """`bins` filled better by pieces of `loose`, and what is loose then.
+
+    One piece of a bin that isn't full gives way to one or two loose ones, or two pieces to one, where the bin is
+    fuller afterwards. What comes loose is smaller in sum than what went in.
+    """
+    loose = sorted(loose, key=sizes.__getitem__)
+    have = np.array([sizes[i] for i in loose], dtype=np.int64)
+    out = []
+    for members in bins:
+        free = capacity - sum(sizes[i] for i in members)
+        for _ in range(len(members)):
+            if not free or not len(have):
+                break
+            own = np.array([sizes[i] for i in members], dtype=np.int64)
+            # the best loose piece for each of the bin's, and for each two of them
+            gone = [(k,) for k in range(len(own))] + [(a, b) for b in range(len(own)) for a in range(b)] if len(own) < 12 else [(k,) for k in range(len(own))]
+            weight = np.array([own[list(g)].sum() for g in gone])
+            at = np.searchsorted(have, weight + free, side="right") - 1
+            gain = np.where(at >= 0, have[np.maximum(at, 0)] - weight, 0)
+            best = int(gain.argmax())
+            taken = [int(at[best])] if gain[best] > 0 else []
+            most = int(gain[best])
+            if most < free and len(have) > 1:
+                for k, w in enumerate(own.tolist()):
+                    second = np.searchsorted(have, w + free - have, side="right") - 1
+                    second = np.minimum(second, np.arange(len(have)) - 1)
+                    sums = np.where(second >= 0, have + have[np.maximum(second, 0)], 0) - w
+                    one = int(sums.argmax())
+                    if sums[one] > most:
+                        most, best, taken = int(sums[one]), k, [int(second[one]), one]
+            if not taken:
+                break
+            out_of = [members[k] for k in gone[best]]
+            members = [i for i in members if i not in out_of] + [loose[k] for k in taken]
+            loose = sorted([i for k, i in enumerate(loose) if k not in taken] + out_of, key=sizes.__getitem__)
+            have = np.array([sizes[i] for i in loose], dtype=np.int64)
+            free -= most
+        out.append(members)
+    return out, loose
+
+
 def fitness(sizes: list[int], bins: list[list[int]], capacity: int) -> tuple[int, int]:
     """Fewer bins are better; among equally many, the more uneven filling."""
     return -len(bins), sum(sum(sizes[i] for i in b) ** 2 for b in bins)
@@ -116,6 +156,7 @@ def crossover(sizes: list[int], into: list[list[int]], other: list[list[int]], c
             kept.append(b)
         else:
             loose += [i for i in b if i not in taken]
+    kept, loose = replaced(sizes, loose, kept, capacity)
     return best_fit(sizes, loose, kept, capacity)
 
 
@@ -125,7 +166,8 @@ def mutate(sizes: list[int], bins: list[list[int]], capacity: int, rng: np.rando
     worst = max(1, len(order) // 20)
     more = set((worst + rng.permutation(max(len(order) - worst, 0))[: max(1, len(order) // 20)]).tolist())
     loose = [i for k, b in enumerate(order) if k < worst or k in more for i in b]
-    return best_fit(sizes, loose, [b for k, b in enumerate(order) if k >= worst and k not in more], capacity)
+    kept, loose = replaced(sizes, loose, [b for k, b in enumerate(order) if k >= worst and k not in more], capacity)
+    return best_fit(sizes, loose, kept, capacity)
 
 
 def evolve(sizes: list[int], elites: list[list[list[int]]], capacity: int, seed: int, generations: int = GENERATIONS, population: int = POPULATION) -> list[list[int]]:
@@ -216,9 +258,8 @@ def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, end_id:
         if subproblems == 1:
             placed.append(found.select("pid", "sequence_id", "offset"))
             break
-        loose = F.col("free") > SLACK
-        if found.where(loose).count() > 0.9 * n:  # hardly anything fills a bin: only the worst-filled ones go on
-            loose = loose & F.col("late")
+        # bins with space in the worse-filled half go on: half of the pieces at most
+        loose = (F.col("free") > 0) & F.col("late")
         placed.append(found.where(~loose).select("pid", "sequence_id", "offset"))
         items = found.where(loose).select("pid", "length")
         level += 1

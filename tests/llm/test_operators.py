@@ -262,6 +262,15 @@ def test_packing_without_full_bins_loses_nothing_by_subproblem(spark, monkeypatc
     assert len({r.sequence_id for r in got}) == 100
 
 
+def test_genetic_search_beats_best_fit():
+    for low, high, gain in ((200, 700, 2), (256, 512, 8)):
+        sizes = np.random.default_rng(5).integers(low, high, 600).tolist()
+        fitted = packing.best_fit(sizes, list(range(600)), [], 1024)
+        found = packing.evolve(sizes, [packing.evolve(sizes, [], 1024, seed) for seed in (1, 2)], 1024, 3)
+        assert sorted(i for b in found for i in b) == list(range(600)) and all(sum(sizes[i] for i in b) <= 1024 for b in found)
+        assert len(found) <= len(fitted) - gain
+
+
 def test_genetic_operators_keep_all_pieces():
     rng = np.random.default_rng(1)
     sizes = rng.integers(1, 1000, 200).tolist()
@@ -337,6 +346,42 @@ def test_exchange_gain_equals_likelihood_difference():
         assert gain == pytest.approx(max(values) - values[of[w]], abs=1e-6) and (gain == 0 or values[best] == pytest.approx(max(values)))
 
 
+def test_tail_words_join_the_class_of_the_best_likelihood():
+    rng = np.random.default_rng(3)
+    n, classes, words = 9, 4, 30
+    matrix = rng.integers(0, 20, (n, n)).astype(float)
+    counts = rng.integers(0, 6, (words, 2 * n)) * (rng.random((words, 2 * n)) < 0.4)
+    counts[:, 0] += 1
+    w, slot = np.nonzero(counts)
+    best = brown_lm.class_of(matrix, classes, w, slot, counts[w, slot], words)
+    for i in range(words):
+        values = []
+        for c in range(classes):
+            moved = matrix.copy()
+            moved[:, c] += counts[i, :n]
+            moved[c, :] += counts[i, n:]
+            rows, columns = matrix.sum(1), matrix.sum(0)
+            rows[c] += counts[i, n:].sum()
+            columns[c] += counts[i, :n].sum()
+            x = lambda t: np.where(t > 0, t * np.log(np.maximum(t, 1e-300)), 0).sum()
+            # the cell of the class with itself takes both counts one after the other
+            both = x(matrix[:, c] + counts[i, :n]) - x(matrix[:, c]) + x(matrix[c] + counts[i, n:]) - x(matrix[c])
+            values.append(both - x(rows) + x(matrix.sum(1)) - x(columns) + x(matrix.sum(0)))
+        assert values[best[i]] == pytest.approx(max(values))
+
+
+def test_brown_probabilities_add_up():
+    rng = np.random.default_rng(4)
+    n = 6
+    moves, unseen, _ = brown_lm.BrownModel(100, 10, rng.integers(0, 30, (n, n)).astype(float), 3, 4).tables()
+    assert (10.0**moves).sum(1) == pytest.approx(np.ones(n)) and ((unseen > 0) & (unseen <= 0.5)).all()
+
+
+def test_brown_without_training_rows(docs):
+    rows = brown_lm.score(docs.limit(20), F.lit(True)).collect()
+    assert len(rows) == 20 and all(r.train_tokens == 0 and r.n_known == 0 and r.base_score == 0 and r.score == pytest.approx(r.n_tokens * math.log10(0.5)) for r in rows)
+
+
 def searched(texts, keys, k):
     v, out = sampled_pieces.vocabulary(sampled_pieces.default_path()), []
     for first, end, data, offsets in text_chunks(pa.array(texts)):
