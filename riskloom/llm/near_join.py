@@ -82,24 +82,29 @@ def _signature(s: np.ndarray) -> bytes:
     return np.packbits(np.bincount((s & np.uint64(classes - 1)).astype(np.int64), minlength=classes) & 1).tobytes()
 
 
-def _folded(signature: bytes, size: int) -> int:
-    """The signature over the fewest classes, `size` bytes of them, as a number; numbers of classes are powers of two."""
+def _folded(signature: bytes, size: int) -> bytes:
+    """The signature over fewer classes, `size` bytes of them; numbers of classes are powers of two."""
     value = np.frombuffer(signature, np.uint8)
-    return int.from_bytes(np.bitwise_xor.reduce(value.reshape(-1, size), axis=0).tobytes() if len(value) > size else signature)
+    return np.bitwise_xor.reduce(value.reshape(-1, size), axis=0).tobytes() if len(value) > size else signature
 
 
-def _apart(x: bytes, y: bytes, size: int | None = None) -> int:
+def _apart(x: bytes, y: bytes) -> int:
     """Lower bound of the symmetric difference of two sets: how many bits of their signatures differ."""
-    size = size or min(len(x), len(y))
-    return (_folded(x, size) ^ _folded(y, size)).bit_count()
+    size = min(len(x), len(y))
+    return (int.from_bytes(_folded(x, size)) ^ int.from_bytes(_folded(y, size))).bit_count()
+
+
+#: The signature over the fewest classes as columns of 64 bits each.
+_BITS = [f"s{i}" for i in range(CLASSES // 64)]
 
 
 def _described(source: DataFrame, words: int) -> DataFrame:
-    """Per document its number of shingles, a key of its set, and its signature; and rows (s, often) of frequent shingles.
+    """Per document its number of shingles, a key of its set, and its signature, whole and over the fewest classes; and
+    rows (s, often) of frequent shingles.
 
     A shingle that is in 0.1 % of all documents is so in some block of documents, and is found there.
     """
-    names = ["doc_id", "n", "key", "signature", "s", "often"]
+    names = ["doc_id", "n", "key", "signature", "s", "often", *_BITS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -110,7 +115,7 @@ def _described(source: DataFrame, words: int) -> DataFrame:
             much = count >= max(8, len(held) // 1000)
             m = int(much.sum())
             nothing = [pa.nulls(m, t) for t in (pa.int64(), pa.int32(), pa.binary(), pa.binary())]
-            return pa.RecordBatch.from_arrays([*nothing, pa.array(values[much].view(np.int64)), pa.array(count[much].astype(np.int64))], names=names)
+            return pa.RecordBatch.from_arrays([*nothing, pa.array(values[much].view(np.int64)), pa.array(count[much].astype(np.int64)), *[pa.nulls(m, pa.int64())] * len(_BITS)], names=names)
 
         for batch in batches:
             n, keys, signatures = [], [], []
@@ -124,12 +129,13 @@ def _described(source: DataFrame, words: int) -> DataFrame:
                     yield found()
                     held, size = [], 0
             m = batch.num_rows
-            columns = [batch.column(0), pa.array(n, pa.int32()), pa.array(keys, pa.binary()), pa.array(signatures, pa.binary()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64())]
+            bits = np.frombuffer(b"".join(_folded(x, CLASSES // 8) for x in signatures), np.int64).reshape(m, -1)
+            columns = [batch.column(0), pa.array(n, pa.int32()), pa.array(keys, pa.binary()), pa.array(signatures, pa.binary()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), *(pa.array(np.ascontiguousarray(x)) for x in bits.T)]
             yield pa.RecordBatch.from_arrays(columns, names=names)
         if held:
             yield found()
 
-    return source.mapInArrow(run, "doc_id long, n int, key binary, signature binary, s long, often long")
+    return source.mapInArrow(run, "doc_id long, n int, key binary, signature binary, s long, often long, " + ", ".join(f"{x} long" for x in _BITS))
 
 
 def _windows(source: DataFrame, words: int, percent: int, frequent: np.ndarray) -> DataFrame:
@@ -237,7 +243,7 @@ class _Links:
         self.comps: DataFrame | None = None
         self.nodes = 0
 
-    def add(self, pairs: DataFrame) -> None:
+    def measure(self, pairs: DataFrame) -> None:
         """Measure pairs (a, b) and keep those that link."""
         close = durable(_near_enough(pairs, self.marks, self.percent))
         n = close.count()
@@ -249,6 +255,19 @@ class _Links:
             self.comps = components(self.links)
             self.nodes = self.comps.count()
 
+    def settle(self, pairs: DataFrame) -> None:
+        """Find the components that pairs (a, b, apart) make: each document's nearest one is measured first, as most others
+        are inside one component then, and those that aren't afterwards.
+        """
+        left = durable(pairs.groupBy("a", "b").agg(F.min("apart").alias("apart")))
+        if left.limit(1).count():
+            near = left.select(F.explode(F.array("a", "b")).alias("one"), F.struct("apart", "a", "b").alias("pair")).groupBy("one").agg(F.min("pair").alias("pair"))
+            near = durable(near.select("pair.a", "pair.b").distinct())
+            self.measure(near)
+            rest = left.join(broadcast_if_small(near, near.count(), 32), ["a", "b"], "left_anti")
+            rest = self.label(self.label(rest, "a").withColumnRenamed("comp", "ca"), "b").where("ca <> comp")
+            self.measure(rest.select("a", "b"))
+
     def label(self, df: DataFrame, column: str = "rep") -> DataFrame:
         """`df` with column comp: the component of `column`."""
         if self.comps is None:
@@ -257,19 +276,24 @@ class _Links:
         return df.join(names, column, "left").withColumn("comp", F.coalesce("found", column)).drop("found")
 
 
-def _met(live: DataFrame, others: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of the pairs of a document and another one of its region that may link and are in different components."""
-    other = others.select("region", F.col("rep").alias("p"), F.col("n").alias("pn"), F.col("rest").alias("prest"), F.col("comp").alias("pcomp"), F.col("home").alias("phome"))
-    may_link = f"rep <> p AND comp <> pcomp AND (home OR phome) AND (100 + {percent}) * least(rest, prest) >= {percent} * (n + pn)"
-    met = live.select("region", "rep", "n", "rest", "comp", "home").join(other, "region").where(may_link)
-    return met.select(F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b"))
+def _met(live: DataFrame, others: DataFrame, percent: int, bits: list[str]) -> DataFrame:
+    """(a, b, apart) of the pairs of a document and another one of its region that may link and are in different components.
+
+    apart: how many of the signature's `bits` columns' bits differ, a lower bound of the symmetric difference.
+    """
+    other = others.select("region", *(F.col(x).alias(f"p_{x}") for x in ("rep", "n", "rest", "comp", "home", *bits)))
+    met = live.select("region", "rep", "n", "rest", "comp", "home", *bits).join(other, "region")
+    apart = F.expr(" + ".join(["0", *(f"bit_count({x} ^ p_{x})" for x in bits)]))
+    may_link = F.expr(f"rep <> p_rep AND comp <> p_comp AND (home OR p_home) AND (100 + {percent}) * least(rest, p_rest) >= {percent} * (n + p_n)")
+    met = met.where(may_link & ((100 + percent) * apart <= (100 - percent) * (F.col("n") + F.col("p_n"))))
+    return met.select(F.least("rep", "p_rep").alias("a"), F.greatest("rep", "p_rep").alias("b"), apart.alias("apart"))
 
 
-def _live(regions: DataFrame, links: _Links) -> DataFrame:
-    """The documents of the regions that hold several components, with their component and m, the region's size."""
+def _live(regions: DataFrame, links: _Links, bits: DataFrame) -> DataFrame:
+    """The documents of the regions that hold several components, with their component, signature and m, the region's size."""
     live = links.label(regions)
     state = live.groupBy("region").agg(F.count("*").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("home").alias("any_home")).where("lo < hi AND any_home")
-    return durable(live.join(state.select("region", "m"), "region"))
+    return durable(live.join(state.select("region", "m"), "region").join(bits, "rep"))
 
 
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
@@ -281,7 +305,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     described = durable(_described(source, words))
     counted = described.where("s IS NOT NULL").groupBy("s").agg(F.sum("often").alias("often")).orderBy(F.desc("often"), "s").limit(HEAVY).select("s").collect()
     frequent = np.array([r["s"] for r in reversed(counted)], dtype=np.int64).view(np.uint64)
-    source, known, was = _own_ids(source, described.where("s IS NULL").select("doc_id", "n", "key", "signature"), words)
+    source, known, was = _own_ids(source, described.where("s IS NULL").select("doc_id", "n", "key", "signature", *_BITS), words)
 
     # equal sets are one class; its smallest id stands for it
     classes = known.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).where("copies > 1")
@@ -304,23 +328,24 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     n_meet = met.count()
     if not n_meet:
         return _named(final.withColumn("comp", F.col("rep")), was)
-    marks = durable(known.join(broadcast_if_small(met.select("rep"), n_meet, 16), F.col("doc_id") == F.col("rep"), "left_semi").select(F.col("doc_id").alias("rep"), "n", "signature"))
+    marks = durable(known.join(broadcast_if_small(met.select("rep"), n_meet, 16), F.col("doc_id") == F.col("rep"), "left_semi").select(F.col("doc_id").alias("rep"), "n", "signature", *_BITS))
     size = marks.agg(F.sum(F.length("signature") + 48)).first()[0] or 0
-    links = _Links(source, broadcast_if_small(marks, size, 1), words, percent)
+    links = _Links(source, broadcast_if_small(marks.drop(*_BITS), size, 1), words, percent)
+    bits = broadcast_if_small(marks.select("rep", *_BITS), n_meet, 96)
     regions = rows.join(broadcast_if_small(met, n_meet, 24), "rep")
 
     heads = regions.groupBy("region").agg(F.min(F.struct("rare", "rep", "n", "rest", "home")).alias("head")).select("region", "head.*").withColumn("comp", F.col("rep"))
-    stars = durable(_met(rows.withColumn("comp", F.col("rep")), heads, percent).groupBy("a", "b").agg(F.count("*").alias("regions")))
+    stars = durable(_met(rows.withColumn("comp", F.col("rep")), heads, percent, []).groupBy("a", "b").agg(F.count("*").alias("regions")))
     # each document's pivot is the one that it shares most regions with
     own = stars.select(F.explode(F.array("a", "b")).alias("one"), F.struct("regions", "a", "b").alias("pair")).groupBy("one").agg(F.max("pair").alias("pair"))
-    links.add(own.select("pair.a", "pair.b").distinct())
+    links.measure(own.select("pair.a", "pair.b").distinct())
 
-    live = _live(regions, links)
+    live = _live(regions, links, bits)
     few = live.where(f"m <= {SMALL}")
-    links.add(_met(few, few, percent).distinct())
-    regions, most = live.where(f"m > {SMALL}").drop("comp", "m"), FIRST
+    links.settle(_met(few, few, percent, _BITS))
+    regions, most = live.where(f"m > {SMALL}").drop("comp", "m", *_BITS), FIRST
     while True:
-        live = _live(regions, links)
+        live = _live(regions, links, bits)
         if not live.limit(1).count():
             break
         few, large = live.where(f"m <= {SMALL}"), live.where(f"m > {SMALL}")
@@ -329,8 +354,8 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         order = Window.partitionBy("region").orderBy("rare", "rep")
         heads = large.drop("m").join(sizes, "region").where("comp <> main").withColumn("k", F.row_number().over(order)).where(f"k <= {most}")
         heads = durable(heads)
-        links.add(_met(large, heads, percent).unionByName(_met(few, few, percent)).distinct())
-        left = large.drop("comp", "m").join(sizes.where("deep").select("region"), "region").join(heads.select("region", "rep"), ["region", "rep"], "left_anti")
+        links.settle(_met(large, heads, percent, _BITS).unionByName(_met(few, few, percent, _BITS)))
+        left = large.drop("comp", "m", *_BITS).join(sizes.where("deep").select("region"), "region").join(heads.select("region", "rep"), ["region", "rep"], "left_anti")
         regions, most = _cells(durable(left), heads.where(f"deep AND k <= {PIVOTS}"), source, words, percent), most * 8
     return _named(links.label(final), was)
 
