@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.store import written
 from ..sources.world import DAY, World
 from .links import FANOUT, FANOUT_WINDOW, HALF_LIFE, RELIABILITY, RELIABLE_WEIGHT, RELIABLE_WINDOW, by_kind
 
@@ -20,12 +21,6 @@ PRIOR_CONFIRMED, PRIOR_ACCOUNTS = 1, 10
 _PREFIX = "case kind when 'ADDRESS' then 'ADR' when 'DEVICE' then 'DEV' else 'TOK' end"
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """Written to the checkpoint folder where there is one; else held by the session."""
-    sc = df.sparkSession.sparkContext
-    return df.checkpoint() if sc.getCheckpointDir() else df.persist()
-
-
 def _weight():
     return by_kind(RELIABILITY) * F.pow(F.lit(0.5), (F.col("t0") - F.col("last")) / DAY / by_kind(HALF_LIFE))
 
@@ -60,10 +55,10 @@ def components(w: World) -> DataFrame:
         found = found.join(count, "q").withColumn("rank", F.row_number().over(order) + F.col("n") - 1).where(f"rank < {MOST}")
         level += 1
         found = found.select("q", "self", "t0", "account", F.lit(level).alias("depth"), "rank", F.array_distinct(F.concat("b.kinds", F.array("b.kind"))).alias("kinds"), F.col("b.bottleneck").alias("bottleneck"))
-        frontier = _kept(found)
+        frontier = written(found)
         if not frontier.limit(1).count():
             return reached.drop("rank")
-        reached = _kept(reached.unionByName(frontier))
+        reached = written(reached.unionByName(frontier))
 
 
 def component_features(w: World) -> DataFrame:

@@ -1,16 +1,18 @@
 """Relationship evidence: other accounts' earlier uses of an order's identifiers, with decayed weights.
 
-The core is an as-of join: equality on the identifier shuffles, the time bound is part of the join condition. Uses are reduced
-to distinct (identifier, account, time) first, and each (order, identifier, account) to its first and last use by
-map-side aggregation after the join, so that the wide side never multiplies columns it doesn't need. A hot
-identifier is a skewed join key: AQE splits it, and `salted` splits it without AQE.
+The core is an as-of join: equality on the identifier shuffles, the time bound is part of the join condition. Each use lasts
+until the account's next one, so exactly one use of an account is its last before t0: the join gives one row per (order,
+identifier, other account) and nothing is grouped after it. Identifiers with many accounts are found first, by a running
+count over the beginnings and ends of uses, and an address that links nobody is kept out of the join. A hot identifier is a
+skewed join key: AQE splits it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.store import written
 from ..sources.world import DAY, World
 
 #: Base reliability and half-life in days, by kind (fixed values).
@@ -28,13 +30,6 @@ def by_kind(values: dict[str, float]) -> Column:
     return F.expr("case kind " + " ".join(f"when '{k}' then {v}D" for k, v in values.items()) + " end")
 
 
-def salted(left: DataFrame, right: DataFrame, keys: list[str], parts: int, condition: Column) -> DataFrame:
-    """Inner join of `left` with `right` on `keys` and `condition`, each key of `right` dealt to `parts` and `left` repeated for them."""
-    deal = F.pmod(F.xxhash64(*right.columns), F.lit(parts)).cast("int")
-    left = left.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    return left.join(right.withColumn("_part", deal), [*keys, "_part"]).where(condition).drop("_part")
-
-
 def query_uses(w: World) -> DataFrame:
     """q, self, t0, kind, ident, own_first: the identifiers of each order, with the account's own first use of it up to then."""
     own = w.edges.groupBy("kind", "ident", "c").agg(F.min("t").alias("own_first"))
@@ -53,9 +48,7 @@ def token_queries(w: World) -> DataFrame:
 def links(w: World, queries: DataFrame | None = None) -> DataFrame:
     """One row per (order, identifier, other account): first and last earlier use, whether sequential, reliability, weight, confirmed."""
     queries = query_uses(w) if queries is None else queries
-    others = w.edges.select("kind", "ident", F.col("c").alias("other"), "t")
-    met = queries.join(others, ["kind", "ident"]).where("other <> self and t < t0")
-    found = met.groupBy("q", "self", "t0", "kind", "ident", "own_first", "other").agg(F.min("t").alias("first"), F.max("t").alias("last"))
+    found = queries.join(_spans(w).withColumnRenamed("c", "other"), ["kind", "ident"]).where("other <> self and last < t0 and (next is null or next >= t0)").drop("next")
     # the order's own use lasts to t0, so only the other account can have been idle before
     sequential = (F.col("kind") == "DEVICE") & (F.col("first") < F.col("own_first")) & (F.col("last") + SEQUENTIAL_IDLE <= F.col("own_first"))
     found = found.withColumn("sequential", sequential)
@@ -71,33 +64,51 @@ def within(days: int) -> Column:
     return F.col("last") >= F.col("t0") - days * DAY
 
 
-def fanout(address_links: DataFrame) -> DataFrame:
-    """q, fanout: more than 25 accounts on the address in 90 days, the order's own included."""
-    return address_links.where("kind = 'ADDRESS'").groupBy("q").agg((F.count_if(F.col("last") >= F.col("t0") - FANOUT_WINDOW) + 1 > FANOUT).alias("fanout"))
+def _spans(w: World) -> DataFrame:
+    """kind, ident, c, last, next, first: every distinct use, until the account's next use; and the account's first one."""
+    of = Window.partitionBy("kind", "ident", "c").orderBy("t")
+    return w.edges.select("kind", "ident", "c", F.col("t").alias("last"), F.lead("t").over(of).alias("next"), F.first("t").over(of).alias("first"))
+
+
+def high_fanout(w: World) -> DataFrame:
+    """q: orders whose address has more than 25 accounts in the 90 days before, the order's own included.
+
+    An account is in the window from its use until 90 days after it or its next use, whichever is first; these spans don't
+    overlap, so a running sum of their beginnings and ends counts accounts, without pairs.
+    """
+    spans = _spans(w).where("kind = 'ADDRESS'").withColumn("end", F.least("next", F.col("last") + FANOUT_WINDOW))
+    steps = spans.select("ident", F.explode(F.array(F.struct(F.col("last").alias("t"), F.lit(1).alias("d")), F.struct(F.col("end").alias("t"), F.lit(-1).alias("d")))).alias("x"))
+    steps = steps.select("ident", "x.t", "x.d", F.lit(None).cast("long").alias("q"), F.lit(False).alias("own"))
+    before = Window.partitionBy("ident", "c").orderBy("t").rangeBetween(Window.unboundedPreceding, -1)
+    own = F.coalesce(F.max("t").over(before) >= F.col("t") - FANOUT_WINDOW, F.lit(False))
+    orders = w.uses.where("kind = 'ADDRESS'").select("ident", "t", F.lit(0).alias("d"), F.col("k").alias("q"), own.alias("own"))
+    running = Window.partitionBy("ident").orderBy("t").rangeBetween(Window.unboundedPreceding, -1)
+    counted = steps.unionByName(orders).withColumn("n", F.coalesce(F.sum("d").over(running), F.lit(0)))
+    return counted.where(F.col("q").isNotNull() & (F.col("n") - F.col("own").cast("int") + 1 > FANOUT)).select("q")
 
 
 def evidence(w: World) -> DataFrame:
     """k and the link features of devices, tokens and addresses of every order."""
-    all_links = links(w)
-    device = all_links.where("kind = 'DEVICE'").groupBy(F.col("q").alias("k")).agg(
+    queries = query_uses(w)
+    fan = written(high_fanout(w))
+    device = links(w, queries.where("kind = 'DEVICE'")).groupBy(F.col("q").alias("k")).agg(
         F.least(F.count_if(~F.col("sequential") & within(30)), F.lit(CAP_DEVICE_ACCOUNTS)).alias("device_others_30d"),
         F.sum(F.when(F.col("confirmed"), F.col("weight")).otherwise(0.0)).alias("device_confirmed_weight"), F.max("weight").alias("device_weight"),
         F.count_if("confirmed").alias("device_confirmed_peers"),
     )
     token = links(w, token_queries(w)).groupBy(F.col("q").alias("k")).agg(F.count_distinct(F.when(within(30), F.col("other"))).alias("token_others_30d"), F.max("weight").alias("token_weight"))
-    wide = all_links.where("kind = 'ADDRESS'").groupBy(F.col("q").alias("k")).agg(
-        (F.count_if(F.col("last") >= F.col("t0") - FANOUT_WINDOW) + 1 > FANOUT).alias("high_fanout"), F.sum(F.when(within(30), F.col("weight")).otherwise(0.0)).alias("address_weighted_30d"),
+    # an address with too many accounts counts for nothing
+    wide = links(w, queries.where("kind = 'ADDRESS'").join(fan, "q", "left_anti")).groupBy(F.col("q").alias("k")).agg(
+        F.sum(F.when(within(30), F.col("weight")).otherwise(0.0)).alias("address_weighted_30d"),
         F.sum(F.when(F.col("confirmed"), F.col("weight")).otherwise(0.0)).alias("address_confirmed_weight"), F.max("weight").alias("address_weight"),
     )
     flag = w.orders.select("k", "t0", F.col("address_id").alias("ident")).join(w.multi_tenant, "ident", "left").select("k", F.coalesce(F.col("since") < F.col("t0"), F.lit(False)).alias("address_multi_tenant"))
-    out = flag.join(device, "k", "left").join(token, "k", "left").join(wide, "k", "left")
-    fan = F.coalesce("high_fanout", F.lit(False))
+    out = flag.join(device, "k", "left").join(token, "k", "left").join(wide, "k", "left").join(fan.select(F.col("q").alias("k"), F.lit(True).alias("high_fanout")), "k", "left")
     zero = lambda name: F.coalesce(name, F.lit(0.0)).alias(name)
     none = lambda name: F.coalesce(name, F.lit(0)).cast("long").alias(name)
-    off = lambda name: F.when(fan, 0.0).otherwise(F.coalesce(name, F.lit(0.0))).alias(name)
     return out.select(
         "k", none("device_others_30d"), zero("device_confirmed_weight"), zero("device_weight"), none("device_confirmed_peers"), none("token_others_30d"), zero("token_weight"),
-        off("address_weighted_30d"), off("address_confirmed_weight"), off("address_weight"), fan.alias("high_fanout"), "address_multi_tenant",
+        zero("address_weighted_30d"), zero("address_confirmed_weight"), zero("address_weight"), F.coalesce("high_fanout", F.lit(False)).alias("high_fanout"), "address_multi_tenant",
     )
 
 
@@ -118,17 +129,20 @@ def new_device(w: World) -> DataFrame:
 
 def discounted(w: World) -> DataFrame:
     """q, kind, reason, weight: at most one discount per identifier, by precedence."""
-    found = links(w)
+    fan = written(high_fanout(w))
+    queries = query_uses(w)
+    wide = queries.where("kind = 'ADDRESS'").join(fan, "q", "left_semi").select("q", "kind", F.lit("HIGH_FANOUT_IDENTIFIER").alias("reason"), F.lit(0.0).alias("weight"))
+    found = links(w, queries.where("kind <> 'ADDRESS'").unionByName(queries.where("kind = 'ADDRESS'").join(fan, "q", "left_anti").select(queries.columns)))
     one = found.groupBy("q", "kind", "ident").agg(
         F.count("*").alias("n"), F.max("weight").alias("strongest"), F.max(F.col("confirmed").cast("int")).alias("any_confirmed"), F.max(F.col("multi_tenant").cast("int")).alias("mt"),
-        (F.count_if(F.col("last") >= F.col("t0") - FANOUT_WINDOW) + 1 > FANOUT).alias("fan"), F.max(F.when(F.col("sequential"), F.col("weight"))).alias("sequential"),
+        F.max(F.when(F.col("sequential"), F.col("weight"))).alias("sequential"),
         F.max(F.when((F.col("reliability") >= RELIABLE_WEIGHT) & (F.col("weight") < RELIABLE_WEIGHT), F.col("weight"))).alias("stale"),
     )
     address = F.col("kind") == "ADDRESS"
     reason = (
-        F.when(address & F.col("fan"), "HIGH_FANOUT_IDENTIFIER").when(address & (F.col("mt") == 1), "MULTI_TENANT_ADDRESS")
+        F.when(address & (F.col("mt") == 1), "MULTI_TENANT_ADDRESS")
         .when(address & (F.col("n") <= HOUSEHOLD) & (F.col("any_confirmed") == 0), "HOUSEHOLD_PATTERN")
         .when((F.col("kind") == "DEVICE") & F.col("sequential").isNotNull(), "SEQUENTIAL_DEVICE_USE").when(F.col("stale").isNotNull(), "STALE_RELATIONSHIP")
     )
-    weight = F.expr("case reason when 'HIGH_FANOUT_IDENTIFIER' then 0.0D when 'SEQUENTIAL_DEVICE_USE' then sequential when 'STALE_RELATIONSHIP' then stale else strongest end")
-    return one.withColumn("reason", reason).where("reason is not null").select("q", "kind", "reason", F.round(weight, 4).alias("weight"))
+    weight = F.expr("case reason when 'SEQUENTIAL_DEVICE_USE' then sequential when 'STALE_RELATIONSHIP' then stale else strongest end")
+    return wide.unionByName(one.withColumn("reason", reason).where("reason is not null").select("q", "kind", "reason", F.round(weight, 4).alias("weight")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.component import _kept
+from ..sources.store import written
 
 GENESIS = "0" * 64
 
@@ -19,7 +19,7 @@ def payload(df: DataFrame) -> DataFrame:
 def ranked(df: DataFrame, *order: str) -> DataFrame:
     """`df` with rank, from 0 by these columns: ranges are sorted in parallel, and only the ranges' sizes meet in one task."""
     place = F.monotonically_increasing_id()
-    placed = _kept(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_place", place)).withColumn("_part", F.shiftright("_place", 33))
+    placed = written(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_place", place)).withColumn("_part", F.shiftright("_place", 33))
     sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"))
     upto = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_offset"))

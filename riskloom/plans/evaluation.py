@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import fields
+from types import SimpleNamespace
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import component, history
+from ..operators import history
+from ..sources.store import written
 from ..sources.world import DAY, World
 from . import audit, policy
 from .policy import ACTIONS, Policy
@@ -20,16 +24,16 @@ def as_of(w: World) -> int:
     return (w.orders.agg(F.max("t0")).first()[0] or 0) + DAY
 
 
-def frame(w: World, split: str | None = None, with_component: bool = True) -> DataFrame:
+def frame(w: World, split: str | None = None) -> DataFrame:
     """Decided orders with their labels: one row per order (of a split)."""
-    df = policy.decide(policy.contexts(w, with_component)).join(history.labels(w, as_of(w)), "k").join(w.splits, "k")
+    df = policy.decide(policy.contexts(w)).join(history.labels(w, as_of(w)), "k").join(w.splits, "k")
     return df.where(F.col("split") == split) if split else df
 
 
 def average_precision(df: DataFrame, score: str = "p_abuse", label: str = "abuse_label") -> DataFrame:
     """One row: n, positives, average_precision; one step per distinct score. Running sums are taken inside ranges of scores, with the ranges' offsets."""
     by_score = df.where(F.col(label).isNotNull()).groupBy(score).agg(F.count("*").alias("n"), F.sum(label).alias("pos"))
-    placed = component._kept(by_score.repartitionByRange(F.desc(score)).withColumn("_part", F.spark_partition_id()))
+    placed = written(by_score.repartitionByRange(F.desc(score)).withColumn("_part", F.spark_partition_id()))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     sums = placed.groupBy("_part").agg(F.sum("n").alias("_n"), F.sum("pos").alias("_pos"))
     offsets = sums.select("_part", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in ("_n", "_pos")))
@@ -88,45 +92,52 @@ def realised(action: Column, y: Policy = Policy()) -> Column:
     return F.round(out, 4)
 
 
-def strategies(tau: tuple[float, float] = (0.7, 0.4)) -> Column:
+def strategies(tau: tuple = (0.7, 0.4)) -> Column:
     """All strategies' actions as an array of (strategy, action): the frame is read once for all of them."""
     named = {"POLICY": F.col("action"), "FIXED_THRESHOLD": policy.fixed_threshold(F.col("p_abuse"), *tau), "RULE_BASED": policy.rule_based(), "ALLOW_ALL": F.lit("ALLOW")}
     return F.array(*(F.struct(F.lit(n).alias("strategy"), a.alias("chosen")) for n, a in named.items()))
 
 
-def backtest(df: DataFrame, y: Policy = Policy(), tau: tuple[float, float] = (0.7, 0.4)) -> DataFrame:
-    """One row per strategy: realised cost per 1,000 orders, blocks and reviews, precision and expected recall."""
-    rows = df.where("abuse_label is not null").select("value", "clv", "abuse_label", "return_label", "returned_fraction", F.explode(strategies(tau)).alias("s")).select("*", "s.*")
-    rows = rows.withColumn("cost", realised(F.col("chosen"), y))
-    bad, good = F.col("abuse_label") == 1, F.col("abuse_label") == 0
-    caught = F.when(F.col("chosen") == "BLOCK", 1.0).when(F.col("chosen") == "MANUAL_REVIEW", y.review_detection_rate).when(F.col("chosen") == "PREPAID_ONLY", y.prepaid_deterrence_rate).otherwise(0.0)
-    out = rows.groupBy("strategy").agg(
-        F.count("*").alias("n"), F.sum(F.col("cost").cast("decimal(20,4)")).alias("cost"), F.count_if(good & (F.col("chosen") == "BLOCK")).alias("genuine_blocks"),
-        F.count_if(good & (F.col("chosen") != "ALLOW")).alias("friction"), F.count_if(F.col("chosen") == "MANUAL_REVIEW").alias("reviews"), F.count_if(F.col("chosen") == "BLOCK").alias("blocks"),
-        F.count_if(bad & (F.col("chosen") == "BLOCK")).alias("true_blocks"), F.sum(F.when(bad, caught)).alias("caught"), F.count_if(bad).alias("abusive"), F.count_if(good).alias("genuine"),
+def backtest(df: DataFrame, y: Policy = Policy(), tau: tuple = (0.7, 0.4), by: tuple[str, ...] = ()) -> DataFrame:
+    """One row per strategy (and value of `by`): realised cost, loss prevented against allowing all, blocks, friction and reviews,
+    cost per detected abuse, genuine revenue preserved, precision and expected recall.
+    """
+    inputs = ["value", "clv", "abuse_label", "return_label", "returned_fraction", *by, *(["y"] if "y" in df.columns else [])]
+    rows = df.where("abuse_label is not null").select(*inputs, F.explode(strategies(tau)).alias("s")).select("*", "s.*")
+    rows = rows.withColumn("cost", realised(F.col("chosen"), y)).withColumn("allowed", realised(F.lit("ALLOW"), y))
+    bad, good, chosen = F.col("abuse_label") == 1, F.col("abuse_label") == 0, F.col("chosen")
+    caught = F.when(chosen == "BLOCK", 1.0).when(chosen == "MANUAL_REVIEW", y.review_detection_rate).when(chosen == "PREPAID_ONLY", y.prepaid_deterrence_rate).otherwise(0.0)
+    total = lambda x, digits=4: F.sum(x.cast(f"decimal(20,{digits})"))
+    out = rows.groupBy(*by, "strategy").agg(
+        F.count("*").alias("n"), total(F.col("cost")).alias("cost"), total(F.when(bad, F.col("allowed") - F.col("cost")).otherwise(0.0)).alias("prevented"),
+        F.count_if(good & (chosen == "BLOCK")).alias("genuine_blocks"), F.count_if(good & (chosen != "ALLOW")).alias("friction"), F.count_if(chosen == "MANUAL_REVIEW").alias("reviews"),
+        F.count_if(chosen == "BLOCK").alias("blocks"), F.count_if(bad & (chosen == "BLOCK")).alias("true_blocks"), F.sum(F.when(bad, caught)).alias("caught"), F.count_if(bad).alias("abusive"),
+        F.count_if(good).alias("genuine"), total(F.when(good, F.col("value")).otherwise(0.0), 2).alias("revenue"), total(F.when(good & (chosen != "BLOCK"), F.col("value")).otherwise(0.0), 2).alias("preserved"),
     )
+    share = lambda a, b: F.round(F.try_divide(F.col(a).cast("double"), F.col(b).cast("double")), 6)
     return out.select(
-        "strategy", "n", F.round(F.col("cost").cast("double") / F.col("n") * 1000, 2).alias("cost_per_1000"), F.round(F.try_divide(F.col("genuine_blocks"), F.col("genuine")), 6).alias("genuine_block_rate"),
-        F.round(F.try_divide(F.col("friction"), F.col("genuine")), 6).alias("friction_rate"), F.round(F.col("reviews") / F.col("n") * 1000, 4).alias("reviews_per_1000"),
-        F.round(F.try_divide(F.col("true_blocks"), F.col("blocks")), 6).alias("block_precision"), F.round(F.try_divide(F.col("caught"), F.col("abusive")), 6).alias("expected_recall"),
+        *by, "strategy", "n", F.round(F.col("cost").cast("double") / F.col("n") * 1000, 2).alias("cost_per_1000"), F.round(F.col("prevented").cast("double"), 1).alias("loss_prevented"),
+        share("genuine_blocks", "genuine").alias("genuine_block_rate"), share("friction", "genuine").alias("friction_rate"), F.round(F.col("reviews") / F.col("n") * 1000, 4).alias("reviews_per_1000"),
+        F.round(F.try_divide(F.col("cost").cast("double"), F.col("caught")), 2).alias("cost_per_detected"), share("preserved", "revenue").alias("revenue_preserved"),
+        share("true_blocks", "blocks").alias("block_precision"), share("caught", "abusive").alias("expected_recall"),
     )
 
 
-def tune_thresholds(df: DataFrame, y: Policy = Policy(), steps: int = 20) -> DataFrame:
-    """tau_block, tau_review, cost: the cheapest pair of the grid; among ties the higher block, then review threshold.
+def tune_thresholds(df: DataFrame, y: Policy = Policy(), steps: int = 20, by: tuple[str, ...] = ()) -> DataFrame:
+    """tau_block, tau_review, cost: the cheapest pair of the grid, for each value of `by`; among ties the higher block, then review threshold.
 
     The grid is small; orders are reduced to sums by score cell first, so the grid never multiplies orders.
     """
     spark = df.sparkSession
     cell = F.least(F.floor(F.col("p_abuse") * steps + 1e-9), F.lit(steps - 1)).cast("int")
     cents = lambda a: F.sum(realised(F.lit(a), y).cast("decimal(20,4)")).alias(a.lower())
-    cells = df.where("abuse_label is not null").groupBy(cell.alias("cell")).agg(cents("ALLOW"), cents("MANUAL_REVIEW"), cents("BLOCK"))
+    cells = df.where("abuse_label is not null").groupBy(*by, cell.alias("cell")).agg(cents("ALLOW"), cents("MANUAL_REVIEW"), cents("BLOCK"))
     axis = spark.range(1, steps + 1).select(F.col("id").cast("int").alias("i"))
     grid = axis.withColumnRenamed("i", "b").join(F.broadcast(axis.withColumnRenamed("i", "r")), F.expr("r <= b"))
     cost = F.expr(f"case when b < {steps} and cell >= b then block when r < {steps} and cell >= r then manual_review else allow end")
-    priced = grid.crossJoin(F.broadcast(cells)).groupBy("b", "r").agg(F.sum(cost).alias("cost"))
-    best = priced.agg(F.min(F.struct("cost", (-F.col("b")).alias("nb"), (-F.col("r")).alias("nr"))).alias("x"))
-    return best.select((-F.col("x.nb") / steps).alias("tau_block"), (-F.col("x.nr") / steps).alias("tau_review"), F.round(F.col("x.cost").cast("double"), 2).alias("cost"))
+    priced = grid.crossJoin(F.broadcast(cells)).groupBy(*by, "b", "r").agg(F.sum(cost).alias("cost"))
+    best = priced.groupBy(*by).agg(F.min(F.struct("cost", (-F.col("b")).alias("nb"), (-F.col("r")).alias("nr"))).alias("x"))
+    return best.select(*by, (-F.col("x.nb") / steps).alias("tau_block"), (-F.col("x.nr") / steps).alias("tau_review"), F.round(F.col("x.cost").cast("double"), 2).alias("cost"))
 
 
 def guardrail_price(df: DataFrame, y: Policy = Policy()) -> DataFrame:
@@ -154,7 +165,7 @@ def cohorts(df: DataFrame) -> DataFrame:
 
 def label_sensitivity(df: DataFrame) -> DataFrame:
     """variant, average_precision with unresolved disputes taken as clean, as abuse, or left out."""
-    out = None
+    out, df = None, written(df.select("k", "p_abuse", "abuse_label", "abuse_status"))
     for name, value in (("excluded", None), ("as_0", 0), ("as_1", 1)):
         label = F.when(F.col("abuse_status") == "UNRESOLVED", F.lit(value).cast("int")).otherwise(F.col("abuse_label"))
         one = average_precision(df.withColumn("variant_label", label), label="variant_label").select(F.lit(name).alias("variant"), "n", "positives", "average_precision")
@@ -168,16 +179,27 @@ SENSITIVITY = {
 }
 
 
-def cost_sensitivity(w: World, df: DataFrame) -> DataFrame:
-    """parameter, factor, cost_per_1000 of the policy decided again under scaled assumptions; the true costs scale as well."""
-    out = None
-    keep = [c for c in df.columns if not c.startswith("cost_") and c not in ("action", "status", "n_counted", "g2", "g3", "g4", "g5")]
-    for name, values in SENSITIVITY.items():
-        for factor in (0.5, 1.5):
-            y = Policy().scaled(values, factor)
-            one = backtest(policy.decide(df.select(*keep), y), y).where("strategy = 'POLICY'").select(F.lit(name).alias("parameter"), F.lit(factor).alias("factor"), "cost_per_1000")
-            out = one if out is None else out.unionByName(one)
-    return out
+def scenarios(df: DataFrame) -> tuple[DataFrame, SimpleNamespace]:
+    """`df` once for each scaled policy, as columns parameter, factor and y (a struct of policy values), and y's values as columns."""
+    spark = df.sparkSession
+    names = [f.name for f in fields(Policy)]
+    rows = [(p, factor, *(float(getattr(y, n)) for n in names)) for p, values in SENSITIVITY.items() for factor in (0.5, 1.5) for y in [Policy().scaled(values, factor)]]
+    table = spark.createDataFrame(rows, "parameter string, factor double, " + ", ".join(f"`{n}` double" for n in names)).select("parameter", "factor", F.struct(*names).alias("y"))
+    return df.crossJoin(F.broadcast(table)), SimpleNamespace(**{n: F.col(f"y.{n}") for n in names})
+
+
+def cost_sensitivity(df: DataFrame) -> DataFrame:
+    """parameter, factor, strategy, cost_per_1000 of the last orders, decided again under scaled assumptions; the thresholds are
+    tuned again on the calibration orders, and the true costs scale as well. One pass over the frame for all scenarios.
+    """
+    keep = ["split", "p_abuse", "value", "clv", "abuse_label", "return_label", "returned_fraction", "return_rate", "matured_returns", "account_age_days", "payment_method"]
+    inputs = [c for c in df.columns if not c.startswith("cost_") and c not in ("action", "status", "n_counted", "g2", "g3", "g4", "g5")]
+    crossed, y = scenarios(written(df.where("split in ('CALIBRATION', 'TEST') and abuse_label is not null").select(*inputs)))
+    by = ("parameter", "factor")
+    tuned = written(tune_thresholds(crossed.where("split = 'CALIBRATION'"), y, by=by)).drop("cost")
+    decided = policy.decide(crossed.where("split = 'TEST'"), y).select(*by, "y", "action", *keep).join(F.broadcast(tuned), list(by), "left")
+    tau = (F.coalesce("tau_block", F.lit(1.0)), F.coalesce("tau_review", F.lit(1.0)))
+    return backtest(decided, y, tau, by).select(*by, "strategy", "cost_per_1000")
 
 
 def bootstrap_interval(df: DataFrame, resamples: int = 1000, score: str = "p_abuse", label: str = "abuse_label") -> DataFrame:

@@ -11,7 +11,7 @@ def _ident(kind: str, value: str) -> str:
 
 
 WORLD = f"""
-WITH ln AS (
+WITH RECURSIVE ln AS (
   SELECT l_orderkey AS k, l_partkey AS sku, l_partkey // 4 AS product, l_partkey % 4 AS variant, coalesce(p_type, 'OTHER') AS category,
          CAST(l_quantity AS BIGINT) AS qty, CAST(l_extendedprice AS DECIMAL(18,2)) AS amount, l_discount, l_returnflag = 'R' AS returned
   FROM lineitem LEFT JOIN part ON p_partkey = l_partkey
@@ -104,21 +104,71 @@ EVIDENCE = _QUERY_USES + _links("lk", "qu") + _links("tk", "qt") + f"""
   FROM o LEFT JOIN dev USING (k) LEFT JOIN tok USING (k) LEFT JOIN adr USING (k) LEFT JOIN mt ON mt.ident = o.address_id
 )"""
 
+_WEIGHT = lambda kind, t0, last: f"({_RELIABILITY} * pow(0.5::DOUBLE, ({t0} - {last}) / {DAY}::DOUBLE / {_HALF}))".replace("CASE kind", f"CASE {kind}")
+W = 90 * DAY
+
+#: Breadth-first search from every order at once; a level is one step of the recursion.
+COMPONENT = f"""
+, ed AS (SELECT DISTINCT kind, ident, c, t FROM uses
+), hot AS (SELECT ident FROM ed WHERE kind = 'ADDRESS' GROUP BY ident HAVING count(DISTINCT c) > 25
+), busy AS (
+  SELECT o.k AS bq, e.ident AS bident FROM o, ed e SEMI JOIN hot ON hot.ident = e.ident WHERE e.kind = 'ADDRESS' AND ((e.t < o.t0 AND e.t >= o.t0 - {W}) OR (e.c = o.c AND e.t <= o.t0)) GROUP BY ALL HAVING count(DISTINCT e.c) > 25
+), comp(q, self, t0, account, depth, rank, kinds, bottleneck) USING KEY (q, account) AS (
+  SELECT k, c, t0, c, 0, 0::BIGINT, []::VARCHAR[], 1.0::DOUBLE FROM o
+  UNION ALL
+  SELECT q, self, t0, account, depth, rank, kinds, bottleneck FROM (
+    SELECT x.q, x.self, x.t0, x.other AS account, x.depth + 1 AS depth, row_number() OVER (PARTITION BY x.q ORDER BY x.b.rank, x.b.node, x.other) + n.n - 1 AS rank, list_distinct(list_append(x.b.kinds, x.b.kind)) AS kinds, x.b.bottleneck AS bottleneck
+    FROM (
+      SELECT q, self, t0, depth, other, min(struct_pack(rank := rank, node := (CASE kind WHEN 'ADDRESS' THEN 'ADR:' WHEN 'DEVICE' THEN 'DEV:' ELSE 'TOK:' END) || ident, kind := kind, bottleneck := least(bottleneck, w, w2), kinds := kinds)) AS b
+      FROM (
+        SELECT *, {_WEIGHT("kind", "t0", "last2")} AS w2 FROM (SELECT q, self, t0, account, depth, rank, kinds, bottleneck, kind, ident, w, other, max(last2) AS last2 FROM (SELECT u.*, e.c AS other, e.t AS last2
+        FROM (
+          SELECT * FROM (
+            SELECT *, {_WEIGHT("kind", "t0", "last")} AS w FROM (SELECT q, self, t0, account, depth, rank, kinds, bottleneck, kind, ident, max(last) AS last FROM (
+              SELECT f.q, f.self, f.t0, f.account, f.depth, f.rank, f.kinds, f.bottleneck, e.kind, e.ident, e.t AS last FROM comp f JOIN ed e ON e.c = f.account AND e.t < f.t0 AND e.t >= f.t0 - {W}
+              UNION ALL SELECT f.q, f.self, f.t0, f.account, f.depth, f.rank, f.kinds, f.bottleneck, e.kind, e.ident, e.t FROM comp f JOIN uses e ON e.k = f.q AND f.depth = 0
+            ) GROUP BY ALL)
+          ) WHERE w >= 0.25
+        ) u LEFT JOIN mt ON mt.ident = u.ident JOIN ed e ON e.kind = u.kind AND e.ident = u.ident AND e.c <> u.account AND e.t < u.t0 AND e.t >= u.t0 - {W}
+        WHERE since IS NULL OR since >= u.t0) GROUP BY ALL)
+      ) m WHERE w2 >= 0.25 AND NOT EXISTS (SELECT 1 FROM recurring.comp p WHERE p.q = m.q AND p.account = m.other)
+        AND NOT (kind = 'ADDRESS' AND (q, ident) IN (SELECT (bq, bident) FROM busy))
+      GROUP BY q, self, t0, depth, other
+    ) x JOIN (SELECT q, count(*) AS n FROM recurring.comp GROUP BY q) n ON n.q = x.q
+  ) WHERE rank < 200
+)
+, near AS (
+  SELECT x.q, x.kinds, x.bottleneck, p.t0 >= x.t0 - {DAY} AS day, list_has_any(s.skus, p.skus) AS same
+  FROM comp x JOIN o p ON p.c = x.account AND p.t0 < x.t0 AND p.t0 >= x.t0 - {7 * DAY} JOIN o s ON s.k = x.q WHERE x.account <> x.self
+), bu AS (
+  SELECT q AS k, count(CASE WHEN day THEN 1 END) AS linked_orders_24h, count(CASE WHEN same THEN 1 END) AS same_sku_7d, list_sort(list_distinct(flatten(list(kinds)))) AS burst_kinds, max(bottleneck) AS burst_weight
+  FROM near WHERE day OR same GROUP BY q
+), fl AS (SELECT c, claimed AS t FROM o WHERE claimed IS NOT NULL UNION ALL SELECT c, flagged FROM o WHERE flagged IS NOT NULL
+), cl30 AS (SELECT x.q AS k, count(*) AS recent_claims_30d FROM comp x JOIN fl ON fl.c = x.account AND fl.t < x.t0 AND fl.t >= x.t0 - {30 * DAY} GROUP BY x.q
+), burst AS (
+  SELECT o.k, coalesce(linked_orders_24h, 0) AS linked_orders_24h, coalesce(same_sku_7d, 0) AS same_sku_7d, coalesce(recent_claims_30d, 0) AS recent_claims_30d,
+         coalesce(burst_kinds, []::VARCHAR[]) AS burst_kinds, coalesce(burst_weight, 0.0::DOUBLE) AS burst_weight
+  FROM o LEFT JOIN bu USING (k) LEFT JOIN cl30 USING (k)
+)"""
+
 _COSTS = """
 , cx AS (
-  SELECT o.k, o.c, o.t0, o.value, o.discount_pct, o.payment_method, h.* EXCLUDE (k, t0), ev.* EXCLUDE (k), clv.clv,
+  SELECT o.k, o.c, o.t0, o.value, o.discount_pct, o.payment_method, h.* EXCLUDE (k, t0), ev.* EXCLUDE (k), burst.* EXCLUDE (k), clv.clv, o.n_items,
          (matured_returns + 2) / (matured + 10) AS return_rate_smoothed, CASE WHEN matured > 0 THEN matured_returns / matured END AS return_rate
-  FROM o JOIN hist h USING (k) JOIN ev USING (k) JOIN clv USING (k)
+  FROM o JOIN hist h USING (k) JOIN ev USING (k) JOIN clv USING (k) JOIN burst USING (k)
 ), sc AS (
   SELECT *, round(1 / (1 + exp(-(-3.5 + 2.5 * device_confirmed_weight + 0.2 * device_others_30d + 0.4 * token_others_30d + 1.1 * claims_180d + 1.2 * address_confirmed_weight + 0.000004 * value))), 6) AS p_abuse,
          round(1 / (1 + exp(-(-1.4 + 3.0 * return_rate_smoothed + 0.03 * discount_pct + 0.15 * returns_90d))), 6) AS p_return
   FROM cx
 ), sg AS (
-  SELECT *, device_confirmed_weight >= 0.3 OR device_others_30d >= 3 AS s1, token_others_30d >= 2 AS s2, address_confirmed_weight >= 0.3 AND NOT address_multi_tenant AS s3, claims_180d >= 1 AS s5 FROM sc
+  SELECT *, device_confirmed_weight >= 0.3 OR device_others_30d >= 3 AS s1, token_others_30d >= 2 AS s2, address_confirmed_weight >= 0.3 AND NOT address_multi_tenant AS s3,
+         (linked_orders_24h >= 3 OR same_sku_7d >= 2) AND list_has_any(burst_kinds, ['DEVICE', 'PAYMENT_TOKEN']) AS s4, claims_180d >= 1 AS s5,
+         address_confirmed_weight >= 0.3 AS seen3, linked_orders_24h >= 3 OR same_sku_7d >= 2 AS seen4
+  FROM sc
 ), gd AS (
-  SELECT *, s1::INT + s2::INT + s3::INT + s5::INT AS n_counted,
-         (s1::INT + s2::INT + s3::INT + s5::INT) < 2 OR NOT (s1 OR s2 OR s5) AS g2, p_abuse < 0.70 AS g3,
-         (s1 OR s2 OR s3 OR s5) AND NOT ((s1 AND device_weight >= 0.3) OR (s2 AND token_weight >= 0.3) OR (s3 AND address_weight >= 0.3) OR s5) AS g4, p_abuse >= 0.40 AND value >= 10000 AS g5
+  SELECT *, s1::INT + s2::INT + s3::INT + s4::INT + s5::INT AS n_counted,
+         (s1::INT + s2::INT + s3::INT + s4::INT + s5::INT) < 2 OR NOT (s1 OR s2 OR s5) AS g2, p_abuse < 0.70 AS g3,
+         (s1 OR s2 OR s3 OR s4 OR s5) AND NOT ((s1 AND device_weight >= 0.3) OR (s2 AND token_weight >= 0.3) OR (s3 AND address_weight >= 0.3) OR (s4 AND burst_weight >= 0.3) OR s5) AS g4, p_abuse >= 0.40 AND value >= 10000 AS g5
   FROM sg
 ), co AS (
   SELECT *, round(p_abuse * (value * 0.85 + 150), 2) AS cost_allow,
@@ -136,7 +186,7 @@ _COSTS = """
   FROM b
 )"""
 
-DECISIONS = HISTORY + EVIDENCE + _COSTS
+DECISIONS = HISTORY + EVIDENCE + COMPONENT + _COSTS
 
 _AS_OF = f"(SELECT max(t0) + {DAY} FROM o)"
 _SEEN = ", ".join(f"CASE WHEN {c} < {_AS_OF} THEN {c} END AS {c}" for c in ("delivered", "returned", "claimed", "flagged", "resolved"))
@@ -191,6 +241,22 @@ ORACLES: dict[str, str] = {
       , r AS (SELECT *, CASE WHEN kind = 'ADDRESS' AND fan THEN 'HIGH_FANOUT_IDENTIFIER' WHEN kind = 'ADDRESS' AND m THEN 'MULTI_TENANT_ADDRESS' WHEN kind = 'ADDRESS' AND n <= 3 AND NOT ac THEN 'HOUSEHOLD_PATTERN'
                              WHEN kind = 'DEVICE' AND sq IS NOT NULL THEN 'SEQUENTIAL_DEVICE_USE' WHEN st IS NOT NULL THEN 'STALE_RELATIONSHIP' END AS reason FROM g)
       SELECT q, kind, reason, round(CASE reason WHEN 'HIGH_FANOUT_IDENTIFIER' THEN 0.0 WHEN 'SEQUENTIAL_DEVICE_USE' THEN sq WHEN 'STALE_RELATIONSHIP' THEN st ELSE strongest END, 4) AS weight FROM r WHERE reason IS NOT NULL""",
+    "component": WORLD + COMPONENT + """ SELECT q AS k, count(*) AS component_size, round((count(CASE WHEN bad THEN 1 END) + 1) / (count(*) + 10), 9) AS abuse_ratio,
+      round(coalesce(1 / (1 + min(CASE WHEN bad AND depth <= 6 THEN depth END)), 0.0), 9) AS proximity
+      FROM (SELECT x.*, account <> self AND coalesce(acc.confirmed < t0, false) AS bad FROM comp x LEFT JOIN acc ON acc.c = x.account) GROUP BY q""",
+    "burst": WORLD + COMPONENT + " SELECT k, linked_orders_24h, same_sku_7d, recent_claims_30d, array_to_string(burst_kinds, ',') AS burst_kinds, round(burst_weight, 9) AS burst_weight FROM burst",
+    "activity_metrics": DECISIONS + """ , ec AS (SELECT *, CASE WHEN (s1 AND device_weight >= 0.3) OR (s2 AND token_weight >= 0.3) OR (s3 AND address_weight >= 0.3) OR (s4 AND burst_weight >= 0.3) THEN 'STRONG' WHEN s1 OR s2 OR seen3 OR seen4 THEN 'WEAK_ONLY' ELSE 'NONE' END AS evidence,
+        CASE action WHEN 'ALLOW' THEN cost_allow WHEN 'PREPAID_ONLY' THEN cost_prepaid_only WHEN 'MANUAL_REVIEW' THEN cost_manual_review ELSE cost_block END AS chosen FROM dc)
+      SELECT count(*) AS decisions, count(CASE WHEN action = 'MANUAL_REVIEW' THEN 1 END) AS reviews, count(CASE WHEN action = 'BLOCK' THEN 1 END) AS blocks, round(CAST(sum(CAST(cost_allow - chosen AS DECIMAL(20,2))) AS DOUBLE), 2) AS expected_savings,
+        count(CASE WHEN evidence = 'WEAK_ONLY' THEN 1 END) AS weak_only FROM ec""",
+    "slope_check": """WITH grid AS (SELECT CASE WHEN i = 60 THEN 200000.0::DOUBLE ELSE 500.0 * pow(400.0::DOUBLE, i / 60) END AS value, CASE WHEN j = 60 THEN 100000.0::DOUBLE ELSE 2000.0 + 98000.0::DOUBLE * j / 60 END AS clv FROM range(61) a(i), range(61) b(j))
+      , slopes AS (SELECT *, round(value * 0.85 + 150, 2) AS a1, 0 AS a0, round(0.7 * (value * 0.5 + 150), 2) AS p1, round(0.08::DOUBLE * (0.3::DOUBLE * value) + 0.02::DOUBLE * clv + 30, 2) AS p0,
+               round((1 - 0.8::DOUBLE) * (value * 0.85 + 150) + 250, 2) AS m1, round(0.05::DOUBLE * (0.3::DOUBLE * value) + 0.03::DOUBLE * (0.3::DOUBLE * value + 0.6::DOUBLE * clv + 100) + 250, 2) AS m0, 0 AS b1, round(0.3::DOUBLE * value + 0.6::DOUBLE * clv + 100, 2) AS b0 FROM grid)
+      , gap AS (SELECT unnest([{'pair': 'ALLOW>PREPAID_ONLY', 'gap': round((a1 - a0) - (p1 - p0), 2)}, {'pair': 'PREPAID_ONLY>MANUAL_REVIEW', 'gap': round((p1 - p0) - (m1 - m0), 2)}, {'pair': 'MANUAL_REVIEW>BLOCK', 'gap': round((m1 - m0) - (b1 - b0), 2)}]) AS x FROM slopes)
+      SELECT x.pair AS pair, count(CASE WHEN x.gap < 0 THEN 1 END) AS violations, min(x.gap) AS least_gap FROM gap GROUP BY x.pair""",
+    "idempotent_scoring": WORLD + """ , rq AS (SELECT k AS request_id, k, c, value FROM o UNION ALL SELECT k + 1000000000000, k, c, CASE WHEN k % 7 = 0 THEN value + 1 ELSE value END FROM o WHERE k % 5 = 0)
+      , w AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY request_id) AS n, first_value(value) OVER (PARTITION BY k ORDER BY request_id) AS leader FROM rq)
+      SELECT request_id, w.k, CASE WHEN w.k % 3 = 0 THEN CASE WHEN w.value = s.value THEN 'REPLAYED' ELSE 'CONFLICT' END WHEN n = 1 THEN 'CREATED' WHEN leader = w.value THEN 'REPLAYED' ELSE 'CONFLICT' END AS outcome FROM w JOIN o s ON s.k = w.k""",
     "scores": DECISIONS + " SELECT k, p_abuse, p_return FROM sc",
     "guardrails": DECISIONS + " SELECT k, n_counted, g2, g3, g4, g5 FROM gd",
     "action_costs": DECISIONS + " SELECT k, round(cost_allow, 1) AS cost_allow, round(cost_prepaid_only, 1) AS cost_prepaid_only, round(cost_manual_review, 1) AS cost_manual_review, round(cost_block, 1) AS cost_block FROM co",
@@ -212,13 +278,20 @@ ORACLES: dict[str, str] = {
       , st AS (SELECT *, unnest([{{'s': 'POLICY', 'a': action}}, {{'s': 'FIXED_THRESHOLD', 'a': CASE WHEN p_abuse >= 0.7 THEN 'BLOCK' WHEN p_abuse >= 0.4 THEN 'MANUAL_REVIEW' ELSE 'ALLOW' END}},
           {{'s': 'RULE_BASED', 'a': CASE WHEN return_rate >= 0.5 AND matured_returns >= 5 THEN 'BLOCK' WHEN account_age_days < 30 AND value >= 15000 THEN 'MANUAL_REVIEW' WHEN payment_method = 'COD' AND value >= 5000 THEN 'PREPAID_ONLY' ELSE 'ALLOW' END}},
           {{'s': 'ALLOW_ALL', 'a': 'ALLOW'}}]) AS x FROM kn)
-      , pr AS (SELECT *, x.s AS strategy, x.a AS chosen, {_REAL.format(a='x.a')} AS cost FROM st)
+      , pr AS (SELECT *, x.s AS strategy, x.a AS chosen, {_REAL.format(a='x.a')} AS cost, {_REAL.format(a="'ALLOW'")} AS allowed,
+        CASE WHEN ab = 1 THEN CASE x.a WHEN 'BLOCK' THEN 1.0 WHEN 'MANUAL_REVIEW' THEN 0.8 WHEN 'PREPAID_ONLY' THEN 0.3 ELSE 0 END END AS caught FROM st)
       SELECT strategy, count(*) AS n, round(CAST(sum(CAST(cost AS DECIMAL(20,4))) AS DOUBLE) / count(*) * 1000, 2) AS cost_per_1000,
+        round(CAST(sum(CASE WHEN ab = 1 THEN CAST(allowed - cost AS DECIMAL(20,4)) ELSE 0 END) AS DOUBLE), 1) AS loss_prevented, round(CAST(sum(CAST(cost AS DECIMAL(20,4))) AS DOUBLE) / nullif(CAST(sum(caught) AS DOUBLE), 0), 2) AS cost_per_detected,
+        round(CAST(sum(CASE WHEN ab = 0 AND chosen <> 'BLOCK' THEN CAST(value AS DECIMAL(20,2)) ELSE 0 END) AS DOUBLE) / CAST(sum(CASE WHEN ab = 0 THEN CAST(value AS DECIMAL(20,2)) ELSE 0 END) AS DOUBLE), 6) AS revenue_preserved,
         round(count(CASE WHEN ab = 0 AND chosen = 'BLOCK' THEN 1 END) / count(CASE WHEN ab = 0 THEN 1 END), 6) AS genuine_block_rate,
         round(count(CASE WHEN ab = 0 AND chosen <> 'ALLOW' THEN 1 END) / count(CASE WHEN ab = 0 THEN 1 END), 6) AS friction_rate, round(count(CASE WHEN chosen = 'MANUAL_REVIEW' THEN 1 END) / count(*) * 1000, 4) AS reviews_per_1000,
         round(count(CASE WHEN ab = 1 AND chosen = 'BLOCK' THEN 1 END) / nullif(count(CASE WHEN chosen = 'BLOCK' THEN 1 END), 0), 6) AS block_precision,
-        round(sum(CASE WHEN ab = 1 THEN CASE chosen WHEN 'BLOCK' THEN 1.0 WHEN 'MANUAL_REVIEW' THEN 0.8 WHEN 'PREPAID_ONLY' THEN 0.3 ELSE 0 END END) / count(CASE WHEN ab = 1 THEN 1 END), 6) AS expected_recall
+        round(sum(caught) / count(CASE WHEN ab = 1 THEN 1 END), 6) AS expected_recall
       FROM pr GROUP BY strategy""",
+    "tune_thresholds": FRAME + _KNOWN + f""" , cells AS (SELECT least(CAST(floor(p_abuse * 20 + 1e-9) AS INT), 19) AS cell, sum(CAST({_REAL.format(a="'ALLOW'")} AS DECIMAL(20,4))) AS allow, sum(CAST({_REAL.format(a="'MANUAL_REVIEW'")} AS DECIMAL(20,4))) AS review, sum(CAST({_REAL.format(a="'BLOCK'")} AS DECIMAL(20,4))) AS block
+        FROM kn WHERE split = 'CALIBRATION' GROUP BY 1)
+      , pr AS (SELECT b, r, sum(CASE WHEN b < 20 AND cell >= b THEN block WHEN r < 20 AND cell >= r THEN review ELSE allow END) AS cost FROM range(1, 21) x(b), range(1, 21) z(r), cells WHERE r <= b GROUP BY b, r)
+      SELECT b / 20 AS tau_block, r / 20 AS tau_review, round(CAST(cost AS DOUBLE), 2) AS cost FROM pr ORDER BY pr.cost, b DESC, r DESC LIMIT 1""",
     "action_distribution": FRAME + " SELECT split, count(CASE WHEN action = 'ALLOW' THEN 1 END) AS n_allow, count(CASE WHEN action = 'PREPAID_ONLY' THEN 1 END) AS n_prepaid_only, count(CASE WHEN action = 'MANUAL_REVIEW' THEN 1 END) AS n_manual_review, count(CASE WHEN action = 'BLOCK' THEN 1 END) AS n_block FROM fr GROUP BY split",
     "label_counts": FRAME + " SELECT split, abuse_status, count(*) AS n, count(abuse_label) AS labelled FROM fr GROUP BY ALL",
     "risk_bands": FRAME + """ , bands(band, lo, hi) AS (VALUES (0, 0.0, 0.05), (1, 0.05, 0.15), (2, 0.15, 0.3), (3, 0.3, 0.5), (4, 0.5, 0.7), (5, 0.7, 1.01))

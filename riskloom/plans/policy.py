@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import component, history, links
+from ..sources.store import written
 from ..sources.world import DAY, World
 
 #: From the least severe to the most.
@@ -114,16 +115,13 @@ def scores(df: DataFrame) -> DataFrame:
     return df.withColumn("p_abuse", F.expr(f"round(1 / (1 + exp(-({z}))), 6)")).withColumn("p_return", F.expr(f"round(1 / (1 + exp(-({r}))), 6)"))
 
 
-def contexts(w: World, with_component: bool = True) -> DataFrame:
+def contexts(w: World) -> DataFrame:
     """All inputs of a decision, one row per order."""
     h = history.account_history(w)
     rates = history.return_rates(h).select("k", "return_rate_smoothed", "return_rate")
-    df = w.orders.select("k", "c", "t0", "value", "discount_pct", "payment_method").join(h, "k").join(rates, "k").join(history.customer_value(w), "k").join(links.evidence(w), "k")
-    if with_component:
-        # written once: each use would walk the components' levels again
-        df = df.join(component._kept(component.burst_features(w)), "k")
-    else:
-        df = df.withColumns({"linked_orders_24h": F.lit(0), "same_sku_7d": F.lit(0), "burst_weight": F.lit(0.0), "burst_kinds": F.array().cast("array<string>")})
+    df = w.orders.select("k", "c", "t0", "value", "discount_pct", "payment_method", "n_items").join(h, "k").join(rates, "k").join(history.customer_value(w), "k").join(links.evidence(w), "k")
+    # written once: each use would walk the components' levels again
+    df = df.join(written(component.burst_features(w)), "k")
     return scores(df)
 
 

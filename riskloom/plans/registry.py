@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import money
 from ..operators import component, history, links
+from ..sources.store import written
 from ..sources.world import World
 from . import audit, evaluation, models, policy, review
 
@@ -19,8 +20,8 @@ def _r(name: str, digits: int) -> Column:
     return F.round(name, digits).alias(name)
 
 
-def _decided(w: World, with_component: bool = True) -> DataFrame:
-    return policy.decide(policy.contexts(w, with_component))
+def _decided(w: World) -> DataFrame:
+    return policy.decide(policy.contexts(w))
 
 
 def _middle(w: World) -> int:
@@ -29,18 +30,18 @@ def _middle(w: World) -> int:
 
 
 def _chain_verified(decided: DataFrame) -> DataFrame:
-    chain = component._kept(audit.chained(audit.payload(decided)))
-    return audit.verify(chain, component._kept(audit.roots(chain)))
+    chain = written(audit.chained(audit.payload(decided)))
+    return audit.verify(chain, written(audit.roots(chain)))
 
 
-def _current_actions(w: World, with_component: bool = True) -> DataFrame:
-    d = _decided(w, with_component)
+def _current_actions(w: World) -> DataFrame:
+    d = written(_decided(w))
     overrides = d.where("k % 101 = 0 or (k % 103 = 0 and action <> 'BLOCK')").select("k", F.col("k").alias("seq"), F.expr("if(k % 101 = 0, 'ALLOW', 'MANUAL_REVIEW')").alias("new_action"))
     return audit.current_actions(d, overrides)
 
 
 def _attributions(w: World) -> DataFrame:
-    df = evaluation.frame(w, with_component=False)
+    df = evaluation.frame(w)
     train = df.where("split = 'TRAIN'").persist()
     model = models.fit_abuse(train)
     return models.ablation(model, df.where("split = 'TEST'"), models.reference_values(train))
@@ -48,14 +49,14 @@ def _attributions(w: World) -> DataFrame:
 
 def _trained(w: World) -> DataFrame:
     """Average precision of the trained abuse model on later orders."""
-    df = evaluation.frame(w, with_component=False).persist()
+    df = evaluation.frame(w).persist()
     model = models.fit_abuse(df.where("split = 'TRAIN'"))
     scored = models.predict(model, df.where("split = 'TEST'"), "score").withColumn("score", F.round("score", 9))
     return evaluation.average_precision(scored, score="score")
 
 
 def _trained_returns(w: World) -> DataFrame:
-    df = evaluation.frame(w, with_component=False).persist()
+    df = evaluation.frame(w).persist()
     model = models.fit_return(df.where("split = 'TRAIN'"))
     calibration = models.predict(model, df.where("split = 'CALIBRATION'"), "score")
     iso = models.calibrate_isotonic(calibration, "score", "return_label")
@@ -70,9 +71,7 @@ def _idempotent(w: World) -> DataFrame:
     return audit.score_batch(requests, stored, ["k", "c", "value"])
 
 
-#: One entry per query: from the world to a result. Queries that are compared with SQL leave out the burst signal, which needs
-#: components, as their SQL does; those without SQL, and all named _with_bursts, decide by the whole policy
-#: (thresholds, the bootstrap and trained models read columns alone, which bursts don't enter).
+#: One entry per query: from the world to a result.
 _WORLD: dict[str, Callable[[World], DataFrame]] = {
     "order_value": lambda w: w.orders.select("k", "value", "n_items", "discount_pct", "payment_method", "delivery_speed"),
     "primary_category": history.primary_category,
@@ -87,62 +86,54 @@ _WORLD: dict[str, Callable[[World], DataFrame]] = {
     "reuse_velocity": links.reuse_velocity,
     "new_device": links.new_device,
     "discounted_links": links.discounted,
-    "component": lambda w: component.component_features(w),
-    "burst": lambda w: component.burst_features(w).withColumn("burst_kinds", F.array_join("burst_kinds", ",")),
-    "scores": lambda w: policy.contexts(w, False).select("k", "p_abuse", "p_return"),
-    "guardrails": lambda w: policy.guarded(policy.contexts(w, False)).select("k", "n_counted", "g2", "g3", "g4", "g5"),
-    "action_costs": lambda w: _decided(w, False).select("k", *(_r(f"cost_{a.lower()}", 1) for a in policy.ACTIONS)),
-    "decide": lambda w: _decided(w, False).select("k", "value", "p_abuse", "cost_optimal", "action", "status"),
-    "decide_with_bursts": lambda w: _decided(w, True).select("k", "value", "p_abuse", "n_counted", "cost_optimal", "action", "status"),
-    "baselines": lambda w: policy.contexts(w, False).select("k", policy.fixed_threshold(F.col("p_abuse"), 0.7, 0.4).alias("fixed_threshold"), policy.rule_based().alias("rule_based"), F.lit("ALLOW").alias("allow_all")),
+    "component": lambda w: component.component_features(w).select("k", "component_size", _r("abuse_ratio", 9), _r("proximity", 9)),
+    "burst": lambda w: component.burst_features(w).withColumn("burst_kinds", F.array_join("burst_kinds", ",")).withColumn("burst_weight", F.round("burst_weight", 9)),
+    "scores": lambda w: policy.contexts(w).select("k", "p_abuse", "p_return"),
+    "guardrails": lambda w: policy.guarded(policy.contexts(w)).select("k", "n_counted", "g2", "g3", "g4", "g5"),
+    "action_costs": lambda w: _decided(w).select("k", *(_r(f"cost_{a.lower()}", 1) for a in policy.ACTIONS)),
+    "decide": lambda w: _decided(w).select("k", "value", "p_abuse", "cost_optimal", "action", "status"),
+    "baselines": lambda w: policy.contexts(w).select("k", policy.fixed_threshold(F.col("p_abuse"), 0.7, 0.4).alias("fixed_threshold"), policy.rule_based().alias("rule_based"), F.lit("ALLOW").alias("allow_all")),
     "slope_check": policy.slope_check,
-    "average_precision": lambda w: evaluation.average_precision(evaluation.frame(w, with_component=False)),
-    "brier": lambda w: evaluation.brier(evaluation.frame(w, with_component=False)),
-    "reliability": lambda w: evaluation.reliability(evaluation.frame(w, with_component=False)),
-    "calibration_error": lambda w: evaluation.calibration_error(evaluation.frame(w, with_component=False)),
-    "risk_bands": lambda w: evaluation.risk_bands(evaluation.frame(w, with_component=False)),
-    "backtest": lambda w: evaluation.backtest(evaluation.frame(w, with_component=False)),
-    "tune_thresholds": lambda w: evaluation.tune_thresholds(evaluation.frame(w, "CALIBRATION", False)),
-    "guardrail_price": lambda w: evaluation.guardrail_price(evaluation.frame(w, with_component=False)).withColumn("extra_cost", F.round("extra_cost", 1)),
-    "action_distribution": lambda w: evaluation.action_distribution(evaluation.frame(w, with_component=False)),
-    "label_counts": lambda w: evaluation.frame(w, with_component=False).groupBy("split", "abuse_status").agg(F.count("*").alias("n"), F.count("abuse_label").alias("labelled")),
-    "cohorts": lambda w: evaluation.cohorts(evaluation.frame(w, with_component=False)),
-    "label_sensitivity": lambda w: evaluation.label_sensitivity(evaluation.frame(w, with_component=False)),
-    "cost_sensitivity": lambda w: evaluation.cost_sensitivity(w, evaluation.frame(w)),
-    "bootstrap_interval": lambda w: evaluation.bootstrap_interval(evaluation.frame(w, with_component=False)),
-    "queue": lambda w: review.queue(_decided(w, False).where("action <> 'ALLOW'"), sort="p_abuse").select("k", "t0", "value", "p_abuse", "action"),
-    "queue_counts": lambda w: review.queue_counts(_decided(w, False)),
+    "average_precision": lambda w: evaluation.average_precision(evaluation.frame(w)),
+    "brier": lambda w: evaluation.brier(evaluation.frame(w)),
+    "reliability": lambda w: evaluation.reliability(evaluation.frame(w)),
+    "calibration_error": lambda w: evaluation.calibration_error(evaluation.frame(w)),
+    "risk_bands": lambda w: evaluation.risk_bands(evaluation.frame(w)),
+    "backtest": lambda w: evaluation.backtest(evaluation.frame(w)),
+    "tune_thresholds": lambda w: evaluation.tune_thresholds(evaluation.frame(w, "CALIBRATION")),
+    "guardrail_price": lambda w: evaluation.guardrail_price(evaluation.frame(w)).withColumn("extra_cost", F.round("extra_cost", 1)),
+    "action_distribution": lambda w: evaluation.action_distribution(evaluation.frame(w)),
+    "label_counts": lambda w: evaluation.frame(w).groupBy("split", "abuse_status").agg(F.count("*").alias("n"), F.count("abuse_label").alias("labelled")),
+    "cohorts": lambda w: evaluation.cohorts(evaluation.frame(w)),
+    "label_sensitivity": lambda w: evaluation.label_sensitivity(evaluation.frame(w)),
+    "cost_sensitivity": lambda w: evaluation.cost_sensitivity(evaluation.frame(w)),
+    "bootstrap_interval": lambda w: evaluation.bootstrap_interval(evaluation.frame(w)),
+    "queue": lambda w: review.queue(_decided(w).where("action <> 'ALLOW'"), sort="p_abuse").select("k", "t0", "value", "p_abuse", "action"),
+    "queue_counts": lambda w: review.queue_counts(_decided(w)),
     "activity_metrics": lambda w: review.activity(_decided(w)),
-    "checkout": lambda w: review.checkout(_decided(w, False)),
+    "checkout": lambda w: review.checkout(_decided(w)),
     "attempt_log": lambda w: review.attempt_log(w.table("events")),
     "as_of_snapshot": lambda w: review.snapshot(w, _middle(w)),
     "world_validation": review.validation,
-    "chain_verify": lambda w: _chain_verified(_decided(w, False)),
+    "chain_verify": lambda w: _chain_verified(_decided(w)),
     "idempotent_scoring": _idempotent,
-    "current_actions": lambda w: _current_actions(w, False),
+    "current_actions": lambda w: _current_actions(w),
     "placeholders": lambda w: w.table("customer").select("c_custkey", (money.is_placeholder("c_mktsegment") | money.is_placeholder((F.col("c_custkey") % 10).cast("string"))).alias("placeholder")),
     "hmac_ids": lambda w: w.table("customer").select("c_custkey", F.substring(money.hmac_sha256("secret", F.col("c_name")), 1, 32).alias("ident")),
     "money_text": lambda w: w.orders.select("k", money.rupees(F.col("value")).alias("rupees"), money.percent(F.col("discount_pct") / 100).alias("discount")),
-    "reason_codes": lambda w: models.explained(policy.contexts(w, False)),
+    "reason_codes": lambda w: models.explained(policy.contexts(w)),
     "attributions": _attributions,
     "train_abuse": _trained,
     "train_return": _trained_returns,
-    # the same over the whole policy
-    "guardrails_with_bursts": lambda w: policy.guarded(policy.contexts(w)).select("k", "n_counted", "g2", "g3", "g4", "g5"),
-    "backtest_with_bursts": lambda w: evaluation.backtest(evaluation.frame(w)),
-    "guardrail_price_with_bursts": lambda w: evaluation.guardrail_price(evaluation.frame(w)).withColumn("extra_cost", F.round("extra_cost", 1)),
-    "action_distribution_with_bursts": lambda w: evaluation.action_distribution(evaluation.frame(w)),
-    "cohorts_with_bursts": lambda w: evaluation.cohorts(evaluation.frame(w)),
-    "queue_with_bursts": lambda w: review.queue(_decided(w).where("action <> 'ALLOW'"), sort="p_abuse").select("k", "t0", "value", "p_abuse", "action"),
-    "queue_counts_with_bursts": lambda w: review.queue_counts(_decided(w)),
-    "checkout_with_bursts": lambda w: review.checkout(_decided(w)),
-    "chain_verify_with_bursts": lambda w: _chain_verified(_decided(w)),
-    "current_actions_with_bursts": _current_actions,
 }
 
 
-def _query(build: Callable[[World], DataFrame]) -> Query:
-    return lambda spark, sf_dir: build(World(spark, sf_dir))
+#: Queries that use the world's tables once; all others write the orders first and read those.
+_ONCE = {"order_value", "primary_category", "variants_same_product", "customer_value", "slope_check", "attempt_log", "placeholders", "hmac_ids", "money_text"}
 
 
-QUERIES: dict[str, Query] = {name: _query(build) for name, build in _WORLD.items()}
+def _query(name: str, build: Callable[[World], DataFrame]) -> Query:
+    return lambda spark, sf_dir: build(World(spark, sf_dir) if name in _ONCE else World(spark, sf_dir).kept())
+
+
+QUERIES: dict[str, Query] = {name: _query(name, build) for name, build in _WORLD.items()}

@@ -13,6 +13,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .store import written
+
 DAY = 86_400_000_000
 HOUR = 3_600_000_000
 KINDS = ("DEVICE", "ADDRESS", "PAYMENT_TOKEN")
@@ -33,6 +35,18 @@ class World:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def kept(self) -> World:
+        """This world with its orders and accounts written once, so that no plan on it reads or groups the lines again.
+
+        Events, uses and edges are narrow projections of the written orders. For plans that use them more than once.
+        """
+        orders = written(self.orders)
+        world = World(self.spark, self.sf_dir)
+        world.__dict__["orders"] = orders
+        world.__dict__["accounts"] = written(world.accounts)
+        world.__dict__["multi_tenant"] = written(world.multi_tenant)
+        return world
+
     @cached_property
     def lines(self) -> DataFrame:
         """k, sku, product, variant, category, qty, amount (price times quantity, in exact decimals), discount, returned."""

@@ -55,7 +55,7 @@ def test_realised_costs(spark, value, clv, back, share, bad, action, cost):
 def test_degraded_orders_have_no_score(spark, small):
     df = QUERIES["decide"](spark, small)
     assert df.where("action is null or status is null").count() == 0
-    base = policy.contexts(__import__("riskloom.sources.world", fromlist=["World"]).World(spark, small), False).limit(20).withColumn("p_abuse", F.lit(None).cast("double"))
+    base = policy.contexts(__import__("riskloom.sources.world", fromlist=["World"]).World(spark, small)).limit(20).withColumn("p_abuse", F.lit(None).cast("double"))
     rows = policy.decide(base).select("value", "action", "cost_optimal").collect()
     assert all(r["action"] == ("MANUAL_REVIEW" if r["value"] >= 5000 else "ALLOW") and r["cost_optimal"] is None for r in rows)
 
@@ -145,23 +145,6 @@ def test_stream_equals_batch(spark, small, tmp_path):
     assert found.exceptAll(batch).count() == 0 and batch.exceptAll(found).count() == 0
 
 
-def test_whole_policy_is_the_default(monkeypatch):
-    from riskloom.plans import registry
-
-    class Asked(Exception):
-        pass
-
-    def contexts(w, with_component=True):
-        raise Asked(with_component)
-
-    monkeypatch.setattr(policy, "contexts", contexts)
-    whole = [registry._decided, evaluation.frame, *(registry._WORLD[n] for n in ("activity_metrics", "cost_sensitivity", "guardrails_with_bursts", "backtest_with_bursts", "queue_with_bursts", "chain_verify_with_bursts"))]
-    for build in whole:
-        with pytest.raises(Asked) as asked:
-            build(None)
-        assert asked.value.args == (True,)
-
-
 def test_slope_grid_has_the_whole_range(spark):
     world = type("W", (), {"spark": spark})()
     y, (v, c) = policy.Policy(), (200000.0, 100000.0)
