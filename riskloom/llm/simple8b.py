@@ -41,7 +41,7 @@ COUNTS = np.array([240, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
 WIDTHS = np.array([0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
 BLOCK = 1 << 14
 MAGIC = b"S8B1"
-SHARD_BYTES = 32 << 20
+SHARD_BYTES = 16 << 20
 #: Values that are encoded, read or digested at a time, but for a longer document.
 RUN = 1 << 19
 _DOCUMENT = np.dtype([("id", "<i8"), ("count", "<u8")])
