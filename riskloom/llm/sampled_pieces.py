@@ -3,7 +3,7 @@
 The lattice of a text has all pieces of the vocabulary as arcs, with weights by rank (Zipf's law over the model's order
 of merges), and bytes for characters that have no piece. A word begins with its run of spaces, and pieces don't cross word
 starts, so the lattice is a chain of word lattices; each distinct word of a run of about `RUN` bytes of whole texts is built
-once, with its backward sums, and freed with the run. The distinct words of a long text bound its lattices, not its length.
+once, with its backward sums. A worker keeps the words' lattices up to `NODES` characters, then forgets them all.
 
 The search keeps, per text, a queue of sets of segmentations with their perturbed log probabilities. The root's is a
 Gumbel draw. Expanding a set samples the path that attains its maximum, and splits the rest by the first word that
@@ -37,6 +37,8 @@ LONGEST = 16
 SAMPLES = 4
 #: Bytes of text whose lattices are in memory at once, but for a longer text.
 RUN = 1 << 20
+#: Characters of distinct words whose lattices a worker keeps from run to run.
+NODES = 700_000
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
@@ -135,10 +137,17 @@ class Lattices:
                 ids.append(-chars[other].astype(np.int64) - 1)
                 weights.append(vocab.byte_weight * used)
             start = start[vocab.begins[(hashes & np.uint64((1 << 22) - 1)).astype(np.int64)]]
-        node = np.concatenate(nodes)
-        order = np.argsort(node, kind="stable")
-        node, self.length, self.id, weight = node[order], np.concatenate(lengths)[order].astype(np.int32), np.concatenate(ids)[order].astype(np.int32), np.concatenate(weights)[order]
-        self.arc_from = arc_from = np.searchsorted(node, np.arange(total + 1))
+        # arcs by node, the shorter ones first: each length's nodes are distinct
+        count = np.bincount(np.concatenate(nodes), minlength=total)
+        self.arc_from = arc_from = np.concatenate([[0], np.cumsum(count)])
+        size = int(arc_from[-1])
+        node = np.repeat(np.arange(total), count)
+        self.length, self.id, weight = np.empty(size, np.int32), np.empty(size, np.int32), np.empty(size)
+        free = arc_from[:-1].copy()
+        for at, n, piece, w in zip(nodes, lengths, ids, weights):
+            place = free[at]
+            self.length[place], self.id[place], weight[place] = n, piece, w
+            free[at] += 1
         # backward sums, by the distance to the word's end
         beta = np.zeros(total)
         by_left = np.argsort(self.left, kind="stable")
@@ -160,6 +169,16 @@ class Lattices:
         self.reach = node + np.minimum(share, 1.0)
         self.reach[arc_from[1:] - 1] = np.arange(total) + 1.0
 
+    def join(self, other: Lattices) -> None:
+        """Append the words of `other`."""
+        nodes, arcs = len(self.left), len(self.length)
+        self.first = np.concatenate([self.first, other.first + nodes])
+        self.left = np.concatenate([self.left, other.left])
+        self.arc_from = np.concatenate([self.arc_from[:-1], other.arc_from + arcs])
+        self.reach = np.concatenate([self.reach, other.reach + nodes])
+        for name in ("length", "id", "log"):
+            setattr(self, name, np.concatenate([getattr(self, name), getattr(other, name)]))
+
     def sample(self, word: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """A segmentation of each word, by its seed: log probabilities, the arcs word after word, and where each word's begin."""
         n = len(word)
@@ -169,7 +188,10 @@ class Lattices:
         count = np.zeros(n, dtype=np.int64)
         while len(live):
             draw = _uniform(seed[live] + np.uint64(taken * int(_C) & 0xFFFFFFFFFFFFFFFF))
-            arc = np.searchsorted(self.reach, node + draw, side="right")
+            # the first of the node's arcs that reaches the draw; few arcs, so it is found from the first on
+            arc, target, behind = self.arc_from[node], node + draw, np.arange(len(node))
+            while len(behind := behind[self.reach[arc[behind]] <= target[behind]]):
+                arc[behind] += 1
             log[live] += self.log[arc]
             count[live] += 1
             steps.append((live, arc))
@@ -205,9 +227,40 @@ class Lattices:
             node += int(self.length[arc])
 
 
+class Known:
+    """The lattices of the words that a worker has met."""
+
+    def __init__(self, vocab: Vocabulary) -> None:
+        self.vocab, self.keys, self.places, self.lattices = vocab, np.zeros(0, np.uint64), np.zeros(0, np.int64), None
+
+    def find(self, points: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[Lattices, np.ndarray]:
+        """Lattices that hold the words [begin, end) of `points`, and each word's place in them."""
+        if self.lattices is not None and len(self.lattices.left) > NODES:
+            self.__init__(self.vocab)
+        keys, first, back = np.unique(span_hash(prefix_hash(points), begin, end), return_index=True, return_inverse=True)
+        at = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
+        new = np.flatnonzero(self.keys[at] != keys) if len(self.keys) else np.arange(len(keys))
+        if len(new):
+            built = Lattices(self.vocab, points, begin[first[new]], end[first[new]])
+            known = len(self.keys)
+            if self.lattices is None:
+                self.lattices = built
+            else:
+                self.lattices.join(built)
+            joined = np.concatenate([self.keys, keys[new]])
+            order = np.argsort(joined)
+            self.keys, self.places = joined[order], np.concatenate([self.places, known + np.arange(len(new))])[order]
+        return self.lattices, self.places[np.searchsorted(self.keys, keys)][back]
+
+
+@lru_cache(maxsize=2)
+def known_words(path: str) -> Known:
+    return Known(vocabulary(path))
+
+
 def _uniform(x: np.ndarray) -> np.ndarray:
     """Numbers in [0, 1), by hash."""
-    return (mix(mix(x)) >> np.uint64(11)).astype(np.float64) * 2.0**-53
+    return (mix(x) >> np.uint64(11)).astype(np.float64) * 2.0**-53
 
 
 def _gumbel_below(mass: np.ndarray, bound: np.ndarray, draw: np.ndarray) -> np.ndarray:
@@ -224,9 +277,9 @@ def _rest(log: np.ndarray) -> np.ndarray:
         return np.where(p > 1 - 1e-12, -np.inf, np.log1p(-np.minimum(p, 1 - 1e-16)))
 
 
-def search(vocab: Vocabulary, data: np.ndarray, offsets: np.ndarray, keys: np.ndarray, k: int) -> Iterator[tuple[int, int, np.ndarray, float, float, float]]:
+def search(known: Known, data: np.ndarray, offsets: np.ndarray, keys: np.ndarray, k: int) -> Iterator[tuple[int, int, np.ndarray, float, float, float]]:
     """(text, sample, ids, log p, perturbed log p, kappa) of the sampled segmentations of a run of texts."""
-    texts = len(offsets) - 1
+    texts, vocab = len(offsets) - 1, known.vocab
     filled = np.flatnonzero(np.diff(offsets) > 0)
     points = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), dtype=np.uint32)
     counts = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[offsets]
@@ -241,8 +294,7 @@ def search(vocab: Vocabulary, data: np.ndarray, offsets: np.ndarray, keys: np.nd
     owner = np.searchsorted(text_begin, begin, side="right") - 1
     edges = np.searchsorted(owner, np.arange(len(filled) + 1))
     if len(begin):
-        _, first, back = np.unique(span_hash(prefix_hash(points), begin, end), return_index=True, return_inverse=True)
-        lattices = Lattices(vocab, points, begin[first], end[first])
+        lattices, back = known.find(points, begin, end)
     place = np.arange(len(begin)) - edges[owner]
     base = mix(keys[filled])[owner] + (place.astype(np.uint64) + np.uint64(1)) * _A if len(begin) else np.zeros(0, np.uint64)
     root = -np.log(-np.log(np.maximum(_uniform(mix(keys[filled]) ^ _B), 1e-300)))
@@ -363,16 +415,16 @@ def segmentations(docs: DataFrame, k: int = SAMPLES, path: str | None = None, id
     names = ["doc_id", "sample", "n_tokens", "log_prob", "perturbed", "inclusion", "ids", "text_crc32"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = vocabulary(path)
+        known = known_words(path)
         for batch in batches:
             for first, end, data, offsets in text_chunks(batch.column(2), RUN):
                 keys = batch.column(1).slice(first, end - first).to_numpy().view(np.uint64)
                 rows, samples, ids, scores = [], [], [], []
-                for text, sample, own, *score in search(vocab, data, offsets, keys, k):
+                for text, sample, own, *score in search(known, data, offsets, keys, k):
                     rows.append(first + text), samples.append(sample), ids.append(own), scores.append(score)
                 at = np.concatenate([[0], np.cumsum([len(x) for x in ids])])
                 flat = np.concatenate(ids)
-                decoded, ends = vocab.decode_many(flat.astype(np.int64), at)
+                decoded, ends = known.vocab.decode_many(flat.astype(np.int64), at)
                 scores = np.array(scores)
                 columns = [
                     batch.column(0).take(pa.array(rows, pa.int64())), pa.array(samples, pa.int32()), pa.array(np.diff(at)), pa.array(scores[:, 0]), pa.array(scores[:, 1]),

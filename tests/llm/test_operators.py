@@ -383,10 +383,10 @@ def test_brown_without_training_rows(docs):
 
 
 def searched(texts, keys, k):
-    v, out = sampled_pieces.vocabulary(sampled_pieces.default_path()), []
+    v, out = sampled_pieces.known_words(sampled_pieces.default_path()), []
     for first, end, data, offsets in text_chunks(pa.array(texts)):
         out += [(first + r[0], *r[1:]) for r in sampled_pieces.search(v, data, offsets, keys[first:end], k)]
-    return v, out
+    return v.vocab, out
 
 
 def test_segmentations_decode_and_differ():
