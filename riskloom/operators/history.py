@@ -33,8 +33,10 @@ def account_history(w: World) -> DataFrame:
     o = w.orders
     matured = f"delivered + {RETURN_WINDOW}"
     rows = o.select("c", "k", F.expr(
-        f"stack(5, 'order', t0, 0, 'return', returned, 0, 'claim', claimed, 0, 'claim', flagged, 0, 'matured', {matured}, if(returned <= {matured}, 1, 0)) as (what, t, flag)"
+        f"stack(3, 'order', t0, 0, 'return', returned, 0, 'matured', {matured}, if(returned <= {matured}, 1, 0)) as (what, t, flag)"
     )).where("t is not null")
+    claims = w.events.where("event_type in ('CLAIM_FILED', 'QC_FLAGGED')")
+    rows = rows.unionByName(claims.select("c", "k", F.lit("claim").alias("what"), "t", F.lit(0).alias("flag")))
     of = Window.partitionBy("c").orderBy("t")
 
     def count(what: str, days: int | None = None):
@@ -86,11 +88,11 @@ def labels(w: World, as_of: int) -> DataFrame:
     closed = f"delivered + {RETURN_WINDOW} < as_of"
     disputed = f"(claimed between delivered and delivered + {60 * DAY} or flagged between delivered and delivered + {60 * DAY})"
     settled = f"resolved between delivered and delivered + {60 * DAY}"
-    status = f"case when delivered is null then 'NOT_MATURED' when {settled} then if(k % 2 = 0, 'CONFIRMED', 'CLEARED') when not (delivered + {60 * DAY} < as_of) then 'NOT_MATURED' when {disputed} then 'UNRESOLVED' else 'NO_CLAIM' end"
+    status = f"case when delivered is null then 'NOT_MATURED' when {settled} then if(confirmed is not null, 'CONFIRMED', 'CLEARED') when not (delivered + {60 * DAY} < as_of) then 'NOT_MATURED' when {disputed} then 'UNRESOLVED' else 'NO_CLAIM' end"
     o = o.withColumn("return_label", F.expr(f"case when delivered is null or not ({closed}) then null when {back} then 1 else 0 end")).withColumn("abuse_status", F.expr(status))
     return o.select(
         "k", "return_label",
-        F.expr("case when return_label = 1 then case when k % 12 = 0 then 'EXCHANGE' when fraction < 1 then 'PARTIAL' else 'FULL' end when return_label = 0 then 'NONE' end").alias("return_type"),
+        F.expr("case when return_label = 1 then case when exchanged then 'EXCHANGE' when fraction < 1 then 'PARTIAL' else 'FULL' end when return_label = 0 then 'NONE' end").alias("return_type"),
         F.expr("case when return_label = 1 then fraction when return_label = 0 then 0.0D end").alias("returned_fraction"), "abuse_status",
         F.expr("case abuse_status when 'CONFIRMED' then 1 when 'CLEARED' then 0 when 'NO_CLAIM' then 0 end").alias("abuse_label"),
     )

@@ -78,7 +78,7 @@ def high_fanout(w: World) -> DataFrame:
     """
     spans = _spans(w).where("kind = 'ADDRESS'").withColumn("end", F.least("next", F.col("last") + FANOUT_WINDOW))
     steps = spans.select("ident", F.explode(F.array(F.struct(F.col("last").alias("t"), F.lit(1).alias("d")), F.struct(F.col("end").alias("t"), F.lit(-1).alias("d")))).alias("x"))
-    steps = steps.select("ident", "x.t", "x.d", F.lit(None).cast("long").alias("q"), F.lit(False).alias("own"))
+    steps = steps.select("ident", "x.t", "x.d", F.lit(None).cast(w.uses.schema["k"].dataType).alias("q"), F.lit(False).alias("own"))
     before = Window.partitionBy("ident", "c").orderBy("t").rangeBetween(Window.unboundedPreceding, -1)
     own = F.coalesce(F.max("t").over(before) >= F.col("t") - FANOUT_WINDOW, F.lit(False))
     orders = w.uses.where("kind = 'ADDRESS'").select("ident", "t", F.lit(0).alias("d"), F.col("k").alias("q"), own.alias("own"))

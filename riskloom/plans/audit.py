@@ -11,9 +11,9 @@ GENESIS = "0" * 64
 
 
 def payload(df: DataFrame) -> DataFrame:
-    """Canonical text of a decision: sorted keys, fixed decimals."""
-    text = F.concat(F.lit('{"action":"'), "action", F.lit('","order":"ORD-'), "k", F.lit('","p":'), F.format_number(F.col("p_abuse"), 6), F.lit("}"))
-    return df.select("k", "t0", text.alias("payload"))
+    """The canonical record of a decision."""
+    kept = ["k", "c", "t0", "value", "clv", "p_abuse", "p_return", "cost_allow", "cost_prepaid_only", "cost_manual_review", "cost_block", "g2", "g3", "g4", "g5", "cost_optimal", "action", "status"]
+    return canonical(df.select(*(c for c in kept if c in df.columns)))
 
 
 def ranked(df: DataFrame, *order: str) -> DataFrame:
@@ -33,7 +33,10 @@ def chained(records: DataFrame, block: int = 1000) -> DataFrame:
     A chain is serial by definition. Records are hashed into blocks that chain inside, in parallel over blocks; the first
     record of a block is linked to the number of its block, and `roots` chains the blocks' last hashes.
     """
-    numbered = ranked(records, "t0", "k").withColumnRenamed("rank", "seq").withColumn("block", F.expr(f"cast(seq div {block} as long)"))
+    return _hashed(ranked(records, "t0", "k").withColumnRenamed("rank", "seq").withColumn("block", F.expr(f"cast(seq div {block} as long)")))
+
+
+def _hashed(numbered: DataFrame) -> DataFrame:
     rows = numbered.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("seq", "k", "payload"))).alias("r"))
     start = F.sha2(F.concat(F.lit(GENESIS), F.col("block").cast("string")), 256)
     hashes = F.expr("aggregate(r, named_struct('h', s, 'out', cast(array() as array<string>)), (a, x) -> named_struct('h', sha2(concat(a.h, x.payload), 256), 'out', array_append(a.out, sha2(concat(a.h, x.payload), 256))), a -> a.out)")
@@ -100,3 +103,67 @@ def current_actions(decisions: DataFrame, overrides: DataFrame) -> DataFrame:
     """k, action, current_action: the newest override stands; nothing is updated in place."""
     last = overrides.groupBy("k").agg(F.max_by("new_action", "seq").alias("new_action"))
     return decisions.join(last, "k", "left").select("k", "action", F.coalesce("new_action", "action").alias("current_action"))
+
+
+def canonical(df: DataFrame, money: tuple[str, ...] = ("value", "clv", "cost_allow", "cost_prepaid_only", "cost_manual_review", "cost_block")) -> DataFrame:
+    """k, t0, payload: a row as JSON with sorted keys and no spaces; amounts to two decimals, other fractions to six."""
+    kinds = dict(df.dtypes)
+    one = lambda c: F.col(c).cast("decimal(28,2)") if c in money else F.col(c).cast("decimal(28,6)") if kinds[c] in ("double", "float") else F.col(c)
+    return df.select("k", "t0", F.to_json(F.struct(*(one(c).alias(c) for c in sorted(df.columns))), {"ignoreNullFields": "false"}).alias("payload"))
+
+
+def append(chain: DataFrame, records: DataFrame, block: int = 1000) -> DataFrame:
+    """The chain with `records` (k, t0, payload) after its last row, in blocks of their own; one writer at a time."""
+    last = chain.agg(F.coalesce(F.max("seq"), F.lit(-1)).alias("_seq"), F.coalesce(F.max("block"), F.lit(-1)).alias("_block"))
+    more = ranked(records, "t0", "k").withColumnRenamed("rank", "seq").crossJoin(F.broadcast(last))
+    more = more.withColumn("block", F.col("_block") + 1 + F.expr(f"cast(seq div {block} as long)")).withColumn("seq", F.col("_seq") + 1 + F.col("seq"))
+    return chain.unionByName(_hashed(more.select("block", "seq", "k", "payload")))
+
+
+def events_of(events: DataFrame, event_id: str | None = None, order: str | None = None) -> DataFrame:
+    """Audit events by id, or of an order by seq."""
+    df = events.where(F.col("event_id") == event_id) if event_id is not None else events
+    return (df.where(F.col("k") == order) if order is not None else df).orderBy("seq")
+
+
+def overrides(decisions: DataFrame, requests: DataFrame) -> DataFrame:
+    """seq, k, outcome, warning, previous_action of each request (seq, k, expected_action, new_action, reason), in the order of seq.
+
+    A request applies if it expects the action that stands then; blocking without corroboration (g2) needs independent
+    evidence as its reason, and is warned of. Each order's requests are folded by themselves.
+    """
+    step = """aggregate(r, named_struct('now', action, 'out', cast(array() as array<struct<seq:bigint,outcome:string,warning:string,previous_action:string>>)), (a, x) ->
+        named_struct('now', if(x.expected_action = a.now and not (x.new_action = 'BLOCK' and g2 and x.reason <> 'INDEPENDENT_EVIDENCE_OF_ABUSE'), x.new_action, a.now),
+          'out', concat(a.out, array(named_struct('seq', x.seq,
+            'outcome', case when x.expected_action <> a.now then 'CONFLICT' when x.new_action = 'BLOCK' and g2 and x.reason <> 'INDEPENDENT_EVIDENCE_OF_ABUSE' then 'REJECTED' else 'APPLIED' end,
+            'warning', if(x.expected_action = a.now and x.new_action = 'BLOCK' and g2 and x.reason = 'INDEPENDENT_EVIDENCE_OF_ABUSE', 'G2', null), 'previous_action', a.now)))), a -> a.out)"""
+    fields = F.struct(F.col("seq").cast("long").alias("seq"), "expected_action", "new_action", "reason")
+    asked = requests.groupBy("k").agg(F.sort_array(F.collect_list(fields)).alias("r"))
+    return asked.join(decisions.select("k", "action", "g2"), "k").select("k", F.explode(F.expr(step)).alias("x")).select("x.seq", "k", "x.outcome", "x.warning", "x.previous_action")
+
+
+def appeals(requests: DataFrame, opened_before: int = 0, year: int = 2026) -> DataFrame:
+    """seq, k, outcome, reference of appeal requests (seq, k): an order has one open appeal; references are numbered in order."""
+    first = F.row_number().over(Window.partitionBy("k").orderBy("seq")) == 1
+    asked = requests.select("seq", "k", F.when(first, "OPENED").otherwise("CONFLICT").alias("outcome"))
+    number = ranked(asked.where("outcome = 'OPENED'"), "seq").select("seq", "k", "outcome", F.concat(F.lit(f"APL-{year}-"), F.lpad((F.col("rank") + opened_before + 1).cast("string"), 6, "0")).alias("reference"))
+    return number.unionByName(asked.where("outcome = 'CONFLICT'").withColumn("reference", F.lit(None).cast("string")))
+
+
+def seeded(df: DataFrame, n: int = 250, seed: int = 20260901) -> DataFrame:
+    """The rows to start a review with: all that aren't allowed, the likeliest `n` if they are more, else filled up to `n` by a sample."""
+    flagged = df.where("action <> 'ALLOW'").orderBy(F.desc("p_abuse"), "k").limit(n)
+    draw = F.xxhash64(F.lit(seed), "k")
+    rest = df.where("action = 'ALLOW'").withColumn("_draw", draw).orderBy("_draw", "k").limit(n).drop("_draw")
+    both = flagged.withColumn("_first", F.lit(0)).unionByName(rest.withColumn("_first", F.lit(1)))
+    return both.orderBy("_first", F.xxhash64(F.lit(seed), "k"), "k").limit(n).drop("_first")
+
+
+def decision_sink(folder: str):
+    """For foreachBatch: a batch's decisions and their events go to folders named by the batch, so a repeated batch replaces them."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        for name, df in (("decisions", batch), ("events", canonical(batch).withColumn("event_type", F.lit("DECISION_CREATED")))):
+            df.write.mode("overwrite").parquet(f"{folder}/{name}/batch={batch_id}")
+
+    return write

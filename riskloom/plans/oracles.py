@@ -316,3 +316,92 @@ ORACLES: dict[str, str] = {
     "placeholders": r"""SELECT c_custkey, lower(c_mktsegment) IN ('unknown', 'none', 'test') OR regexp_full_match(CAST(c_custkey % 10 AS VARCHAR), '0+') AS placeholder FROM customer""",
     "current_actions": DECISIONS + " SELECT k, action, CASE WHEN k % 101 = 0 THEN 'ALLOW' WHEN k % 103 = 0 AND action <> 'BLOCK' THEN 'MANUAL_REVIEW' ELSE action END AS current_action FROM dc",
 }
+
+_TRUTH = ", tr AS (SELECT c, CASE WHEN c % 10 = 9 THEN 'SHARED_HOUSE' WHEN c % 16 IN (4, 5, 6, 7) THEN 'RING' ELSE 'NORMAL' END AS archetype, CASE WHEN c % 10 <> 9 AND c % 16 IN (4, 5, 6, 7) THEN 'R' || ((c // 16) % 5) END AS ring FROM acc), ft AS (SELECT fr.*, archetype, ring FROM fr JOIN tr USING (c))"
+_MIDDLE = "(SELECT (min(t0) + max(t0)) // 2 FROM o)"
+
+
+def _summary(by: str, source: str) -> str:
+    return f""" , s AS (SELECT {by}, p_abuse, count(*) AS n, sum(abuse_label) AS pos FROM {source} WHERE abuse_label IS NOT NULL GROUP BY ALL)
+      , st AS (SELECT *, sum(pos) OVER w AS hits, sum(n) OVER w AS seen FROM s WINDOW w AS (PARTITION BY {by} ORDER BY p_abuse DESC ROWS UNBOUNDED PRECEDING))
+      , ap AS (SELECT {by}, round(sum(pos * hits / seen) / nullif(sum(pos), 0), 6) AS average_precision FROM st GROUP BY {by})
+      , fg AS (SELECT {by}, count(*) AS n, CAST(sum(abuse_label) AS BIGINT) AS positives, round(sum(abuse_label) / count(*), 6) AS prevalence, round(avg(pow(p_abuse - abuse_label, 2)), 6) AS brier FROM {source} WHERE abuse_label IS NOT NULL GROUP BY {by})
+      SELECT * FROM fg JOIN ap USING ({by})"""
+
+
+_DISCOUNTED = """ , nd AS (SELECT q AS k, count(*) AS n_discounted FROM (
+        SELECT q, kind, ident, count(*) AS n, bool_or(confirmed) AS ac, bool_or(multi_tenant) AS m, count(CASE WHEN last >= t0 - 7776000000000 THEN 1 END) + 1 > 25 AS fan, max(CASE WHEN sequential THEN weight END) AS sq, max(CASE WHEN reliability >= 0.25 AND weight < 0.25 THEN weight END) AS st FROM lk GROUP BY q, kind, ident)
+        WHERE (kind = 'ADDRESS' AND (fan OR m OR (n <= 3 AND NOT ac))) OR (kind = 'DEVICE' AND sq IS NOT NULL) OR st IS NOT NULL GROUP BY q)
+      , cf AS (SELECT q AS k, count(*) AS component_size, count(CASE WHEN bad THEN 1 END) AS n_bad, min(CASE WHEN bad AND depth <= 6 THEN depth END) AS hops FROM (SELECT x.*, account <> self AND coalesce(acc.confirmed < t0, false) AS bad FROM comp x LEFT JOIN acc ON acc.c = x.account) GROUP BY q)
+      , va AS (SELECT k, max(n) AS n_variants FROM (SELECT k, product, count(DISTINCT variant) AS n FROM ln GROUP BY ALL) GROUP BY k)
+      , ex AS (SELECT dc.*, coalesce(n_discounted, 0) AS n_discounted, component_size, n_bad, hops, n_variants, (n_bad + 1) / (component_size + 10) AS abuse_ratio FROM dc JOIN cf USING (k) LEFT JOIN nd USING (k) LEFT JOIN va USING (k))"""
+_PL = lambda n, one, many: f"CASE WHEN {n} = 1 THEN '{one}' ELSE '{many}' END"
+
+ORACLES |= {
+    "event_labels": WORLD + LABELS + " SELECT 'ORD-' || k AS order_id, return_label, return_type, round(returned_fraction, 9) AS returned_fraction, abuse_status, abuse_label FROM lb",
+    "log_violations": "SELECT rule, 0 AS violations FROM (VALUES ('duplicate_accounts'), ('duplicate_identifiers'), ('duplicate_orders'), ('duplicate_order_lines'), ('duplicate_order_events'), ('order_before_account'), ('order_without_account'), ('event_before_order'), ('event_without_order'), ('line_without_order'), ('token_iff_prepaid')) AS t(rule)",
+    "log_snapshot": WORLD + f""" , m AS (SELECT {_MIDDLE} AS clock)
+      SELECT 'accounts' AS table, (SELECT count(*) FROM acc, m WHERE created < clock) AS rows UNION ALL SELECT 'identifiers', (SELECT count(DISTINCT ident) FROM uses) UNION ALL SELECT 'orders', (SELECT count(*) FROM o, m WHERE t0 < clock)
+      UNION ALL SELECT 'order_lines', (SELECT count(*) FROM ln JOIN o USING (k), m WHERE t0 < clock) UNION ALL SELECT 'order_events', (SELECT count(CASE WHEN delivered < clock THEN 1 END) + count(CASE WHEN returned < clock THEN 1 END) + count(CASE WHEN claimed < clock THEN 1 END) + count(CASE WHEN flagged < clock THEN 1 END) + count(CASE WHEN resolved < clock THEN 1 END) FROM o, m)""",
+    "log_fingerprint": WORLD + " , p AS (SELECT CAST(CAST('0x' || substr(sha256('ACC-' || c || '|' || created), 1, 15) AS BIGINT) AS HUGEINT) AS v FROM acc) SELECT count(*) AS rows, sha256(count(*) || ':' || CAST(sum(v) AS VARCHAR)) AS fingerprint FROM p",
+    "latest_identifiers": WORLD + f" , b AS (SELECT *, 'ORD-' || k AS oid FROM o WHERE t0 < {_MIDDLE}) SELECT 'ACC-' || c AS account_id, arg_max(device_id, (t0, oid)) AS device_id, arg_max(address_id, (t0, oid)) AS address_id, arg_max(token_id, (t0, oid)) FILTER (WHERE token_id IS NOT NULL) AS payment_token_id FROM b GROUP BY c",
+    "new_accounts": WORLD + f" SELECT 'ACC-' || c AS account_id FROM acc WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.c = acc.c AND o.t0 < {_MIDDLE})",
+    "log_decide": DECISIONS + " SELECT 'ORD-' || k AS k, value, p_abuse, action FROM dc",
+    "reason_texts": DECISIONS + _DISCOUNTED + f""" , rs AS (SELECT k, action, cost_optimal, n_discounted, account_age_days, prior_orders, claims_180d, list_filter([
+          CASE WHEN device_confirmed_weight >= 0.3 THEN {{'c': 'GRAPH_DEVICE_CONFIRMED_LINK', 't': device_confirmed_peers || ' ' || {_PL('device_confirmed_peers', 'account', 'accounts')} || ' with confirmed abuse used the same device before.'}} END,
+          CASE WHEN token_others_30d >= 2 THEN {{'c': 'GRAPH_TOKEN_REUSE', 't': token_others_30d || ' other ' || {_PL('token_others_30d', 'account', 'accounts')} || ' paid with the same method within 30 days.'}} END,
+          CASE WHEN abuse_ratio >= 0.25 AND component_size >= 4 THEN {{'c': 'GRAPH_COMMUNITY_RISK', 't': 'The account is linked to ' || component_size || ' ' || {_PL('component_size', 'account', 'accounts')} || ', ' || n_bad || ' with confirmed abuse.'}} END,
+          CASE WHEN device_others_30d >= 3 THEN {{'c': 'GRAPH_DEVICE_SHARED', 't': device_others_30d || ' other ' || {_PL('device_others_30d', 'account', 'accounts')} || ' used the device within 30 days.'}} END,
+          CASE WHEN linked_orders_24h >= 3 THEN {{'c': 'TEMPORAL_BURST', 't': linked_orders_24h || ' ' || {_PL('linked_orders_24h', 'order', 'orders')} || ' of linked accounts within 24 hours.'}} END,
+          CASE WHEN same_sku_7d >= 2 THEN {{'c': 'SAME_SKU_COORDINATION', 't': same_sku_7d || ' ' || {_PL('same_sku_7d', 'order', 'orders')} || ' of linked accounts for the same item within a week.'}} END,
+          CASE WHEN claims_180d >= 1 THEN {{'c': 'ACCOUNT_PRIOR_SUSPICIOUS_CLAIM', 't': claims_180d || ' ' || {_PL('claims_180d', 'claim', 'claims')} || ' of the account ' || {_PL('claims_180d', 'was', 'were')} || ' flagged within 180 days.'}} END,
+          CASE WHEN n_variants >= 2 THEN {{'c': 'RETURN_SIZE_BRACKETING', 't': n_variants || ' variants of one product are in the order.'}} END,
+          CASE WHEN return_rate_smoothed >= 0.4 THEN {{'c': 'RETURN_HIGH_HISTORY', 't': matured_returns || ' of ' || matured || ' delivered ' || {_PL('matured', 'order', 'orders')} || ' came back.'}} END,
+          CASE WHEN account_age_days < 30 AND value >= 10000 THEN {{'c': 'NEW_ACCOUNT_HIGH_VALUE', 't': 'The account is new and the order is large.'}} END], x -> x IS NOT NULL) AS r FROM ex)
+      SELECT k, array_to_string(list_transform(r, x -> x.c), ',') AS reasons, array_to_string(list_transform(r, x -> x.t), ' ') AS text,
+        concat_ws(',', CASE WHEN account_age_days >= 365 AND prior_orders >= 10 AND claims_180d = 0 THEN 'MITIGATING_ESTABLISHED_ACCOUNT' END, CASE WHEN n_discounted >= 1 THEN 'MITIGATING_DISCOUNTED_LINKS' END) AS mitigating,
+        CASE WHEN action = cost_optimal THEN 'MIN_EXPECTED_COST' ELSE 'MIN_EXPECTED_COST_WITHIN_GUARDRAILS' END AS rule FROM rs""",
+    "cost_rows": DECISIONS + """ , u AS (SELECT k, unnest([{'action': 'ALLOW', 's': 0, 't': cost_allow, 'e': CASE WHEN g5 THEN 'G5' ELSE '' END}, {'action': 'PREPAID_ONLY', 's': 1, 't': cost_prepaid_only, 'e': ''}, {'action': 'MANUAL_REVIEW', 's': 2, 't': cost_manual_review, 'e': ''},
+        {'action': 'BLOCK', 's': 3, 't': cost_block, 'e': concat_ws(',', CASE WHEN g2 THEN 'G2' END, CASE WHEN g3 THEN 'G3' END, CASE WHEN g4 THEN 'G4' END)}]) AS x FROM dc)
+      SELECT k, x.action AS action, x.e = '' AS feasible, x.e AS excluded_by, CAST(row_number() OVER (PARTITION BY k ORDER BY x.t, x.s) AS INT) AS rank FROM u""",
+    "risk_summary": DECISIONS + _DISCOUNTED + """ , z AS (SELECT *, concat_ws(', ', CASE WHEN s1 THEN 'device' END, CASE WHEN s2 THEN 'payment token' END, CASE WHEN s3 THEN 'address' END, CASE WHEN s4 THEN 'temporal burst' END) AS kinds FROM ex)
+      SELECT k, CASE WHEN n_bad > 0 THEN 'Linked to ' || component_size || CASE WHEN component_size = 1 THEN ' account' ELSE ' accounts' END || ', ' || n_bad || ' with confirmed abuse' WHEN kinds <> '' THEN 'Relationship evidence: ' || kinds WHEN n_discounted > 0 THEN 'Shared identifiers count less' ELSE 'No relationship evidence' END AS summary FROM z""",
+    "graph_summary": DECISIONS + _DISCOUNTED + " SELECT k, component_size, n_bad AS confirmed_accounts, CAST(hops AS INT) AS hops, NOT ((s1 AND device_weight >= 0.3) OR (s2 AND token_weight >= 0.3) OR (s3 AND address_weight >= 0.3) OR (s4 AND burst_weight >= 0.3)) AND (s1 OR s2 OR seen3 OR seen4) AS weak_evidence_only FROM ex",
+    "order_detail": DECISIONS + """ SELECT k, value, action, CASE WHEN p_abuse >= 0.7 THEN 'BLOCK' WHEN p_abuse >= 0.4 THEN 'MANUAL_REVIEW' ELSE 'ALLOW' END AS fixed_threshold,
+      CASE WHEN return_rate >= 0.5 AND matured_returns >= 5 THEN 'BLOCK' WHEN account_age_days < 30 AND value >= 15000 THEN 'MANUAL_REVIEW' WHEN payment_method = 'COD' AND value >= 5000 THEN 'PREPAID_ONLY' ELSE 'ALLOW' END AS rule_based,
+      (SELECT count(*) FROM ln WHERE ln.k = dc.k) AS n_lines, prior_orders AS earlier_orders, (SELECT count(*) FROM o p WHERE p.c = dc.c AND p.returned < dc.t0) AS earlier_returns,
+      (SELECT max(t) FROM (SELECT c, t0 AS t FROM o UNION ALL SELECT c, delivered FROM o UNION ALL SELECT c, returned FROM o UNION ALL SELECT c, claimed FROM o UNION ALL SELECT c, flagged FROM o UNION ALL SELECT c, resolved FROM o) p WHERE p.c = dc.c AND p.t < dc.t0) AS last_seen FROM dc WHERE k % 100 = 0""",
+    "account_past": WORLD + """ , al AS (SELECT c, k, 'ORDER' AS what, t0 AS t FROM o UNION ALL SELECT c, k, 'DELIVERED', delivered FROM o UNION ALL SELECT c, k, 'RETURNED', returned FROM o UNION ALL SELECT c, k, 'CLAIM_FILED', claimed FROM o UNION ALL SELECT c, k, 'QC_FLAGGED', flagged FROM o UNION ALL SELECT c, k, 'RESOLVED', resolved FROM o)
+      SELECT o.k, al.what, al.k AS of, al.t FROM o JOIN al ON al.c = o.c AND al.t < o.t0 WHERE o.k % 100 = 0""",
+    "decision_failures": WORLD + " SELECT count(*) AS n, 0 AS failed, 0 AS bad_inputs FROM o",
+    "admission": WORLD + f" , r AS (SELECT CASE WHEN t0 > {_MIDDLE} + {100 * DAY} THEN 'FUTURE' WHEN k % 7 = 0 THEN 'UNKNOWN_ACCOUNT' WHEN t0 <= {_MIDDLE} THEN 'TOO_OLD' END AS rejected FROM o) SELECT rejected, count(*) AS n FROM r GROUP BY rejected",
+    "requests": WORLD + """ , g AS (SELECT k, bool_and(amount / qty > 0 AND amount / qty <= 500000) AS price, bool_and(qty BETWEEN 1 AND 20) AS quantity, count(*) BETWEEN 1 AND 50 AS n FROM ln GROUP BY k)
+      SELECT 'ORD-' || o.k AS order_id, concat_ws(',', CASE WHEN length(o.k::VARCHAR) < 3 THEN 'order_id' END, CASE WHEN length(o.c::VARCHAR) < 3 THEN 'account_id' END, CASE WHEN NOT n THEN 'line_count' END, CASE WHEN NOT price THEN 'price' END, CASE WHEN NOT quantity THEN 'quantity' END) AS failed FROM o JOIN g ON g.k = o.k""",
+    "override_outcomes": DECISIONS + """ , f AS (SELECT k, action, g2, NOT g2 OR k % 100 = 0 AS ok FROM dc WHERE k % 50 = 0)
+      SELECT k * 2 AS seq, k, CASE WHEN ok THEN 'APPLIED' ELSE 'REJECTED' END AS outcome, CASE WHEN g2 AND k % 100 = 0 THEN 'G2' END AS warning, action AS previous_action FROM f
+      UNION ALL SELECT k * 2 + 1, k, CASE WHEN ok OR action = 'BLOCK' THEN 'APPLIED' ELSE 'CONFLICT' END, NULL, CASE WHEN ok THEN 'BLOCK' ELSE action END FROM f""",
+    "appeals": WORLD + """ , a AS (SELECT k AS seq, k // 20 AS k, row_number() OVER (PARTITION BY k // 20 ORDER BY k) AS n FROM o WHERE k % 10 = 0)
+      SELECT seq, k, CASE WHEN n = 1 THEN 'OPENED' ELSE 'CONFLICT' END AS outcome, CASE WHEN n = 1 THEN 'APL-2026-' || lpad(CAST(row_number() OVER (PARTITION BY n = 1 ORDER BY seq) AS VARCHAR), 6, '0') END AS reference FROM a""",
+    "seeded": DECISIONS + " SELECT least(count(*), 250) AS n, least(count(CASE WHEN action <> 'ALLOW' THEN 1 END), 250) AS flagged FROM dc",
+    "summary_by_split": FRAME + _summary("split", "fr"),
+    "equal_width_error": FRAME + """ , eb AS (SELECT split, least(CAST(floor((p_abuse - 0.05::DOUBLE) / ((1 - 0.05::DOUBLE) / 10)) AS BIGINT), 9) AS bin, count(*) AS n, avg(p_abuse) AS p, avg(abuse_label) AS rate FROM fr WHERE abuse_label IS NOT NULL AND p_abuse >= 0.05 GROUP BY 1, 2)
+      SELECT split, CAST(sum(n) AS BIGINT) AS n, round(sum(n * abs(p - rate)) / sum(n), 5) AS error FROM eb GROUP BY split""",
+    "bands_by_split": FRAME + """ , bands(band, lo, hi) AS (VALUES (0, 0.0, 0.05), (1, 0.05, 0.15), (2, 0.15, 0.3), (3, 0.3, 0.5), (4, 0.5, 0.7), (5, 0.7, 1.01)), sps(split) AS (VALUES ('CALIBRATION'), ('TEST'))
+      SELECT sps.split, CAST(band AS INT) AS band, count(abuse_label) AS n, CAST(sum(abuse_label) AS BIGINT) AS positives, round(sum(abuse_label) / nullif(count(abuse_label), 0), 6) AS rate
+      FROM bands CROSS JOIN sps LEFT JOIN fr ON fr.split = sps.split AND p_abuse >= lo AND p_abuse < hi AND abuse_label IS NOT NULL GROUP BY ALL""",
+    "cohort_metrics": FRAME + _TRUTH + """ , x AS (SELECT p_abuse, abuse_label, unnest([{'f': 'account_age', 'c': CASE WHEN account_age_days < 30 THEN '<30' WHEN account_age_days <= 365 THEN '30-365' ELSE '>365' END}, {'f': 'value', 'c': CASE WHEN value < 2000 THEN '<2k' WHEN value <= 10000 THEN '2-10k' ELSE '>10k' END},
+        {'f': 'payment', 'c': CASE WHEN payment_method = 'COD' THEN 'COD' ELSE 'PREPAID' END}, {'f': 'multi_tenant', 'c': CASE WHEN address_multi_tenant THEN 'yes' ELSE 'no' END}, {'f': 'archetype', 'c': archetype}]) AS z FROM ft)
+      , y AS (SELECT p_abuse, abuse_label, z.f AS family, z.c AS cohort FROM x)""" + _summary("family, cohort", "y"),
+    "ring_actions": FRAME + _TRUTH + " SELECT ring, count(CASE WHEN action = 'ALLOW' THEN 1 END) AS n_allow, count(CASE WHEN action = 'PREPAID_ONLY' THEN 1 END) AS n_prepaid_only, count(CASE WHEN action = 'MANUAL_REVIEW' THEN 1 END) AS n_manual_review, count(CASE WHEN action = 'BLOCK' THEN 1 END) AS n_block FROM ft WHERE ring IS NOT NULL GROUP BY ring",
+    "ring_recall": FRAME + _TRUTH + " SELECT count(*) AS n, count(CASE WHEN p_abuse >= 0.5 THEN 1 END) AS caught, round(count(CASE WHEN p_abuse >= 0.5 THEN 1 END) / nullif(count(*), 0), 6) AS recall FROM ft WHERE ring = 'R3' AND abuse_label = 1",
+    "archetype_backtest": FRAME + _TRUTH + f""" , kn AS (SELECT *, abuse_label::DOUBLE AS ab, CASE WHEN return_label = 1 THEN coalesce(returned_fraction, 1.0) ELSE 1.0 END AS sh FROM ft WHERE abuse_label IS NOT NULL), pr AS (SELECT *, {_REAL.format(a='action')} AS cost FROM kn)
+      SELECT archetype, count(*) AS n, round(CAST(sum(CAST(cost AS DECIMAL(20,4))) AS DOUBLE) / count(*) * 1000, 2) AS cost_per_1000, round(count(CASE WHEN ab = 0 AND action = 'BLOCK' THEN 1 END) / count(CASE WHEN ab = 0 THEN 1 END), 6) AS genuine_block_rate,
+        round(count(CASE WHEN ab = 0 AND action <> 'ALLOW' THEN 1 END) / count(CASE WHEN ab = 0 THEN 1 END), 6) AS friction_rate FROM pr GROUP BY archetype""",
+    "separation": DECISIONS + " SELECT count(*) AS n, round(coalesce(corr(p_abuse, p_return), 0), 6) AS correlation FROM sc",
+    "guardrail_overlap": DECISIONS + " SELECT count(CASE WHEN g2 OR g3 OR g4 THEN 1 END) AS avoided_blocks, count(CASE WHEN g2::INT + g3::INT + g4::INT >= 2 THEN 1 END) AS several FROM dc WHERE cost_optimal = 'BLOCK'",
+    "identifier_labels": WORLD + " SELECT DISTINCT ident, CASE kind WHEN 'DEVICE' THEN 'Device' WHEN 'ADDRESS' THEN 'Address' ELSE 'Payment Token' END || ' ••' || right(ident, 4) AS label FROM uses",
+    "world_figures": WORLD + """ , tr AS (SELECT c, 'R' || ((c // 16) % 5) AS ring FROM acc WHERE c % 10 <> 9 AND c % 16 IN (4, 5, 6, 7))
+      , b AS (SELECT o.*, EXISTS (SELECT 1 FROM o p WHERE p.c = o.c AND p.t0 < o.t0 AND p.claimed IS NOT NULL) AS before FROM o)
+      SELECT count(*) AS orders, count(DISTINCT c) AS accounts, round(avg((returned IS NOT NULL)::INT), 6) AS return_rate, round(avg((claimed IS NOT NULL)::INT), 6) AS claim_rate, round(avg(before::INT), 6) AS prior_claim_share,
+        (SELECT median(n) FROM (SELECT ring, count(*) AS n FROM o JOIN tr USING (c) GROUP BY ring)) AS median_ring_orders FROM b""",
+}

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from ..functions import money
 from ..operators import component, history, links
 from ..sources.store import written
+from ..sources import log
 from ..sources.world import World
-from . import audit, evaluation, models, policy, review
+from . import audit, evaluation, explain, guards, models, order_view, policy, report, review
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -40,6 +41,23 @@ def _current_actions(w: World) -> DataFrame:
     return audit.current_actions(d, overrides)
 
 
+def _log_snapshot(w: World) -> DataFrame:
+    """table, rows of the log at the middle of its time."""
+    out = None
+    for name, df in log.snapshot(log.of_world(w), _middle(w)).tables().items():
+        one = df.agg(F.count("*").alias("rows")).select(F.lit(name).alias("table"), "rows")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _override_outcomes(w: World) -> DataFrame:
+    """Two requests for every 50th order: one expects the decision and blocks, the next expects a block and allows."""
+    d = written(_decided(w).where("k % 50 = 0"))
+    first = d.select((F.col("k") * 2).alias("seq"), "k", F.col("action").alias("expected_action"), F.lit("BLOCK").alias("new_action"), F.expr("if(k % 100 = 0, 'INDEPENDENT_EVIDENCE_OF_ABUSE', 'OTHER')").alias("reason"))
+    second = d.select((F.col("k") * 2 + 1).alias("seq"), "k", F.lit("BLOCK").alias("expected_action"), F.lit("ALLOW").alias("new_action"), F.lit("OTHER").alias("reason"))
+    return audit.overrides(d, first.unionByName(second))
+
+
 def _attributions(w: World) -> DataFrame:
     df = evaluation.frame(w)
     train = df.where("split = 'TRAIN'").persist()
@@ -125,11 +143,47 @@ _WORLD: dict[str, Callable[[World], DataFrame]] = {
     "attributions": _attributions,
     "train_abuse": _trained,
     "train_return": _trained_returns,
+    "event_labels": lambda w: log.labels(log.of_world(w), evaluation.as_of(w)).withColumn("returned_fraction", F.round("returned_fraction", 9)),
+    "log_violations": lambda w: log.violations(log.of_world(w)),
+    "log_snapshot": _log_snapshot,
+    "log_fingerprint": lambda w: log.fingerprint(log.of_world(w).accounts.select("account_id", "created_at")),
+    "latest_identifiers": lambda w: log.latest_identifiers(log.of_world(w), _middle(w)),
+    "new_accounts": lambda w: log.new_accounts(log.of_world(w), _middle(w)).select("account_id"),
+    "log_decide": lambda w: policy.decide(policy.contexts(log.LogWorld(log.of_world(w)).kept())).select("k", "value", "p_abuse", "action"),
+    "reason_texts": lambda w: explain.assessed(w).select("k", F.array_join(F.transform("reasons", lambda r: r["code"]), ",").alias("reasons"), F.array_join(F.transform("mitigating", lambda r: r["code"]), ",").alias("mitigating"), F.array_join(F.transform("reasons", lambda r: r["text"]), " ").alias("text"), "rule"),
+    "cost_rows": lambda w: (d := _decided(w)).select("k", F.explode(explain.cost_rows(d)).alias("x")).select("k", "x.action", "x.feasible", F.array_join("x.excluded_by", ",").alias("excluded_by"), "x.rank"),
+    "policy_texts": lambda w: _decided(w).select("k", explain.policy_text().alias("text")),
+    "risk_summary": lambda w: explain.evidence(w).select("k", order_view.risk_summary().alias("summary")),
+    "graph_summary": lambda w: order_view.graph_summary(explain.evidence(w)),
+    "order_detail": lambda w: order_view.detail(w, _decided(w), w.orders.where("k % 100 = 0")).select("k", "value", "action", "fixed_threshold", "rule_based", F.size("lines").cast("long").alias("n_lines"), "earlier_orders", "earlier_returns", "last_seen"),
+    "account_past": lambda w: order_view.past(w, w.orders.where("k % 100 = 0")),
+    "assumptions": lambda w: order_view.assumptions(w.spark).select("name", "value"),
+    "build_options": lambda w: order_view.options(w, _middle(w)),
+    "link_reasons": order_view.link_reasons,
+    "decision_failures": lambda w: _decided(w).agg(F.count("*").alias("n"), F.count_if(F.size(guards.decision_failures()) > 0).alias("failed"), F.count_if(F.size(guards.context_failures()) > 0).alias("bad_inputs")),
+    "admission": lambda w: guards.admission((x := log.of_world(w)).orders.select("order_id", F.when(F.expr("substring(order_id, 5) % 7 = 0"), "ACC-NONE").otherwise(F.col("account_id")).alias("account_id"), "placed_at"), x.accounts, _middle(w) + 86_400_000_000 * 100, _middle(w)).groupBy("rejected").agg(F.count("*").alias("n")),
+    "requests": lambda w: (x := log.of_world(w)).orders.join(x.order_lines.groupBy("order_id").agg(F.collect_list(F.struct("unit_price_inr", "quantity")).alias("lines")), "order_id").select("order_id", F.array_join(guards.request_failures(), ",").alias("failed")),
+    "override_outcomes": _override_outcomes,
+    "appeals": lambda w: audit.appeals(w.orders.where("k % 10 = 0").select(F.col("k").alias("seq"), F.expr("k div 20").alias("k"))),
+    "seeded": lambda w: audit.seeded(_decided(w)).agg(F.count("*").alias("n"), F.count_if(F.col("action") != "ALLOW").alias("flagged")),
+    "summary_by_split": lambda w: report.summary(evaluation.frame(w), ["split"]),
+    "equal_width_error": lambda w: report.equal_width_error(evaluation.frame(w), ["split"]),
+    "bands_by_split": lambda w: report.bands_by_split(evaluation.frame(w)),
+    "cohort_metrics": lambda w: report.cohort_metrics(report.with_truth(evaluation.frame(w), w)),
+    "ring_actions": lambda w: report.ring_actions(report.with_truth(evaluation.frame(w), w)),
+    "ring_recall": lambda w: report.ring_recall(report.with_truth(evaluation.frame(w), w)),
+    "archetype_backtest": lambda w: evaluation.backtest(report.with_truth(evaluation.frame(w), w), by=("archetype",)).where("strategy = 'POLICY'").select("archetype", "n", "cost_per_1000", "genuine_block_rate", "friction_rate"),
+    "link_uplift": lambda w: report.uplift(written(evaluation.frame(w))),
+    "separation": lambda w: report.separation(policy.contexts(w)),
+    "guardrail_overlap": lambda w: report.guardrail_overlap(_decided(w)),
+    "world_figures": report.world_figures,
+    "keyed_ids": lambda w: w.table("customer").select("c_custkey", money.keyed_id("secret", "ACC", F.col("c_name"), 10).alias("account_id"), money.uuid5("6ba7b810-9dad-11d1-80b4-00c04fd430c8", F.col("c_name")).alias("uuid"), F.round(money.logit(F.col("c_acctbal") / 10000), 9).alias("logit")),
+    "identifier_labels": lambda w: w.uses.select("kind", "ident").distinct().select("ident", money.masked(F.col("kind"), F.col("ident")).alias("label")),
 }
 
 
 #: Queries that use the world's tables once; all others write the orders first and read those.
-_ONCE = {"order_value", "primary_category", "variants_same_product", "customer_value", "slope_check", "attempt_log", "placeholders", "hmac_ids", "money_text"}
+_ONCE = {"order_value", "primary_category", "variants_same_product", "customer_value", "slope_check", "attempt_log", "placeholders", "hmac_ids", "money_text", "assumptions", "keyed_ids"}
 
 
 def _query(name: str, build: Callable[[World], DataFrame]) -> Query:

@@ -85,6 +85,7 @@ class World:
             F.expr("c % 10 in (7, 8)").alias("shared_address"),
             F.expr(f"if(k % 33 <> 0, t0 + (2 + k % 6) * {DAY} + 10 * {HOUR}, null)").alias("delivered"),
             F.expr("returned_amount > 0 and k % 3 = 0").alias("goes_back"), F.expr("cast(returned_amount as double) / cast(gross as double)").alias("fraction"),
+            F.expr("k % 12 = 0").alias("exchanged"),
         )
         o = o.withColumn("returned", F.expr(f"if(goes_back, delivered + (1 + k % 35) * {DAY}, null)")).withColumn("claimed", F.expr(f"if(k % 23 = 1, delivered + (k % 5) * {DAY} + {HOUR}, null)"))
         o = o.withColumn("flagged", F.expr(f"if((k div 3) % 9 = 0, returned + 3 * {DAY}, null)"))
