@@ -28,6 +28,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
@@ -41,19 +42,20 @@ FREQUENT, CLASSES, ROUNDS = 500, 80, 12
 #: Symbol 0 is the end; frequent words follow; then one symbol per power of two of the count.
 BANDS = 48
 END = np.uint64(0x1D8AF5C6E3B70924)
+_ENTRY = np.dtype([("slot", "<u2"), ("count", "<u4")])
 #: Strength of the class frequencies in class transitions.
 PRIOR = 20.0
 
 
-def _codes(places: np.ndarray) -> bytes:
-    """Places as compressed byte planes; frequent words have small places, so the upper planes are almost empty."""
-    planes = places.astype("<u4").view(np.uint8).reshape(-1, 4).T
+def _packed(values: np.ndarray, kind: str = "<i4") -> bytes:
+    """Whole numbers as compressed byte planes; most are small, so the upper planes are almost empty."""
+    planes = values.astype(kind).view(np.uint8).reshape(len(values), -1).T
     return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
 
 
-def _places(codes: bytes) -> np.ndarray:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(codes), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(raw.T).view("<u4").ravel().astype(np.int64)
+def _unpacked(packed: bytes, kind: str = "<i4") -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(raw.T).view(kind).ravel()
 
 
 def _blocks(docs: DataFrame) -> DataFrame:
@@ -73,7 +75,7 @@ def _blocks(docs: DataFrame) -> DataFrame:
             places = place[back]
             trains = np.repeat(~np.array(held, dtype=bool), n)
             counts = np.bincount(places[trains], minlength=len(words))
-            row = {"block": [number], "ids": [ids], "held": [held], "lengths": [n.tolist()], "codes": [_codes(places)], "words": [words[order].view(np.int64)], "counts": [counts]}
+            row = {"block": [number], "ids": [ids], "held": [held], "lengths": [n.tolist()], "codes": [_packed(places)], "words": [words[order].view(np.int64)], "counts": [counts]}
             return pa.RecordBatch.from_pydict(row, schema=schema)
 
         schema = pa.schema({"block": pa.int64(), "ids": pa.list_(pa.int64()), "held": pa.list_(pa.bool_()), "lengths": pa.list_(pa.int32()), "codes": pa.binary(), "words": pa.list_(pa.int64()), "counts": pa.list_(pa.int64())})
@@ -128,27 +130,26 @@ def _symbols(words: np.ndarray, totals: np.ndarray, frequent: np.ndarray) -> np.
 
 
 def _coded(blocks: DataFrame, totals: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """block, ids, held, lengths, codes, totals, words, symbols."""
+    """block, ids, held, lengths, codes, totals, words, symbols; codes, totals and symbols are packed."""
     names = ["block", "ids", "held", "lengths", "codes", "totals", "words"]
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in frames:
-            symbols = []
             for k in range(batch.num_rows):
                 own, words = (np.asarray(batch.column(i)[k].values) for i in (5, 6))
-                symbols.append(_symbols(words.view(np.uint64), own, frequent))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(symbols, pa.list_(pa.int32()))], names=[*names, "symbols"])
+                packed = [pa.array([_packed(own, "<i8")]), batch.column(6).slice(k, 1), pa.array([_packed(_symbols(words.view(np.uint64), own, frequent))])]
+                yield pa.RecordBatch.from_arrays([*(c.slice(k, 1) for c in batch.columns[:5]), *packed], names=[*names, "symbols"])
 
     joined = blocks.drop("counts").join(totals.select("block", "totals"), "block").select(*names)
-    return joined.mapInArrow(run, "block long, ids array<long>, held array<boolean>, lengths array<int>, codes binary, totals array<long>, words array<long>, symbols array<int>")
+    return joined.mapInArrow(run, "block long, ids array<long>, held array<boolean>, lengths array<int>, codes binary, totals binary, words array<long>, symbols binary")
 
 
 def _tokens(batch: pa.RecordBatch, k: int, values: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of the block in row `k`: the place of each token, the value (by place) of the list column `values`, and whether it trains."""
+    """Of the block in row `k`: the place of each token, the value (by place) of the packed column `values`, and whether it trains."""
     get = lambda name: batch.column(batch.schema.get_field_index(name))[k]
-    places = _places(get("codes").as_py())
+    places = _unpacked(get("codes").as_py())
     held = get("held").values.to_numpy(zero_copy_only=False).astype(bool)
-    return places, np.asarray(get(values).values).astype(np.int64)[places], np.repeat(~held, np.asarray(get("lengths").values))
+    return places, _unpacked(get(values).as_py())[places], np.repeat(~held, np.asarray(get("lengths").values))
 
 
 def _pairs(coded: DataFrame, n: int, values: str) -> DataFrame:
@@ -168,30 +169,37 @@ def _pairs(coded: DataFrame, n: int, values: str) -> DataFrame:
 
 
 def _neighbours(coded: DataFrame, of: np.ndarray, frequent: int, n: int) -> DataFrame:
-    """word, block, place, slots, counts of every word that is to leave its band: how often which class stands before it
-    (slots from 0) and after it (slots from `n`) in the training texts of a block.
+    """word, block, place, entries of every word that is to leave its band: packed (slot, count), how often which class stands
+    before it (slots from 0) and after it (slots from `n`) in the training texts of a block.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                symbols, words = (np.asarray(batch.column(batch.schema.get_field_index(x))[k].values) for x in ("symbols", "words"))
+                words = np.asarray(batch.column(batch.schema.get_field_index("words"))[k].values)
+                symbols = _unpacked(batch.column(batch.schema.get_field_index("symbols"))[k].as_py())
                 leaving = np.flatnonzero(symbols > frequent + 1)
+                row_of = np.full(len(symbols), -1, dtype=np.int32)
+                row_of[leaving] = np.arange(len(leaving), dtype=np.int32) * (2 * n)
                 places, own, trains = _tokens(batch, k, "symbols")
-                cls = of[own]
                 at = np.flatnonzero(trains & (own > frequent + 1))
-                row = np.searchsorted(leaving, places[at])
-                keys, count = np.unique(np.concatenate([row * (2 * n) + cls[at - 1], row * (2 * n) + n + cls[at + 1]]), return_counts=True)
-                offsets = pa.array(np.searchsorted(keys, np.arange(len(leaving) + 1) * (2 * n)).astype(np.int32))
-                columns = [
-                    pa.array(words[leaving]), pa.array(np.full(len(leaving), batch.column(0)[k].as_py())), pa.array(leaving.astype(np.int32)),
-                    pa.ListArray.from_arrays(offsets, pa.array((keys % (2 * n)).astype(np.int16))), pa.ListArray.from_arrays(offsets, pa.array(count.astype(np.int32))),
-                ]
-                out = pa.RecordBatch.from_arrays(columns, names=["word", "block", "place", "slots", "counts"])
+                cls, row = of[own].astype(np.int32), row_of[places[at]]
+                keys = np.concatenate([row + cls[at - 1], row + n + cls[at + 1]])
+                del places, own, trains, cls, at, row
+                keys.sort()
+                first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+                count, keys = np.diff(np.append(first, len(keys))), keys[first]
+                # entries (slot, count) of 16 and 32 bits as bytes
+                entries = np.empty(len(keys), dtype=_ENTRY)
+                entries["slot"], entries["count"] = keys % (2 * n), count
+                offsets = (np.searchsorted(keys, np.arange(len(leaving) + 1) * (2 * n)) * _ENTRY.itemsize).astype(np.int32)
+                packed = pa.Array.from_buffers(pa.binary(), len(leaving), [None, pa.py_buffer(offsets), pa.py_buffer(entries)])
+                columns = [pa.array(words[leaving]), pa.array(np.full(len(leaving), batch.column(0)[k].as_py(), np.int64)), pa.array(leaving.astype(np.int32)), packed]
+                out = pa.RecordBatch.from_arrays(columns, names=["word", "block", "place", "entries"])
                 for i in range(0, out.num_rows, 20_000):
                     yield out.slice(i, 20_000)
 
-    columns = "word long, block long, place int, slots array<smallint>, counts array<int>"
+    columns = "word long, block long, place int, entries binary"
     return coded.select("block", "held", "lengths", "codes", "words", "symbols").mapInArrow(run, columns)
 
 
@@ -229,9 +237,10 @@ def _assigned(neighbours: DataFrame, matrix: np.ndarray, classes: int) -> DataFr
     def whole(batch: pa.RecordBatch) -> pa.RecordBatch:
         words = batch.column(0).to_numpy()
         number = np.concatenate([[0], np.cumsum(words[1:] != words[:-1])])
-        of = np.repeat(number, batch.column(3).value_lengths().to_numpy())
-        keys, back = np.unique(of * (2 * len(matrix)) + batch.column(3).flatten().to_numpy(), return_inverse=True)
-        count = np.bincount(back, batch.column(4).flatten().to_numpy(), len(keys))
+        sizes = pc.binary_length(batch.column(3)).to_numpy(zero_copy_only=False) // _ENTRY.itemsize
+        entries = np.frombuffer(b"".join(batch.column(3).to_pylist()), _ENTRY)
+        keys, back = np.unique(np.repeat(number, sizes) * (2 * len(matrix)) + entries["slot"], return_inverse=True)
+        count = np.bincount(back, entries["count"], len(keys))
         best = class_of(matrix, classes, keys // (2 * len(matrix)), keys % (2 * len(matrix)), count, int(number[-1]) + 1)
         return pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(best[number])], names=["block", "place", "cls"])
 
@@ -252,21 +261,19 @@ def _assigned(neighbours: DataFrame, matrix: np.ndarray, classes: int) -> DataFr
 
 
 def _classed(coded: DataFrame, assigned: DataFrame, of: np.ndarray) -> DataFrame:
-    """ids, held, lengths, codes, totals, classes (by place) of each block."""
+    """ids, held, lengths, codes, totals, classes (by place) of each block; the last three are packed."""
     kept = ["ids", "held", "lengths", "codes", "totals"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            classes = []
             for k in range(batch.num_rows):
-                own = of[np.asarray(batch.column(5)[k].values)]
+                own = of[_unpacked(batch.column(5)[k].as_py())]
                 if batch.column(6)[k].is_valid:
                     own[np.asarray(batch.column(6)[k].values)] = np.asarray(batch.column(7)[k].values)
-                classes.append(own)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(classes, pa.list_(pa.int16()))], names=[*kept, "classes"])
+                yield pa.RecordBatch.from_arrays([*(c.slice(k, 1) for c in batch.columns[:5]), pa.array([_packed(own)])], names=[*kept, "classes"])
 
     joined = coded.drop("words").join(assigned, "block", "left").select(*kept, "symbols", F.col("found.place").alias("places"), F.col("found.cls").alias("cls"))
-    return joined.mapInArrow(run, "ids array<long>, held array<boolean>, lengths array<int>, codes binary, totals array<long>, classes array<smallint>")
+    return joined.mapInArrow(run, "ids array<long>, held array<boolean>, lengths array<int>, codes binary, totals binary, classes binary")
 
 
 def _xlogx(x: np.ndarray) -> np.ndarray:
@@ -399,19 +406,23 @@ def score(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col: str =
         for batch in batches:
             for row in range(batch.num_rows):
                 lengths = np.asarray(batch.column(2)[row].values)
-                places, cls, _ = _tokens(batch, row, "classes")
-                count = np.asarray(batch.column(4)[row].values)[places]
-                before = np.concatenate([[model.end], cls[:-1]])
-                ends = np.cumsum(lengths)
-                seen = count > 0
-                with np.errstate(divide="ignore"):
-                    emit = np.log10(np.maximum(count, 1) / np.maximum(follows[cls], 1))
-                    value = np.where(seen, log_seen[before] + moves[before, cls] + emit, log_unseen[before])
-                base = np.log10((count + 1.0) / (n_tokens + n_words + 1.0))
-                add = lambda x: np.add.reduceat(x, np.concatenate([[0], ends[:-1]]))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[row].values, batch.column(1)[row].values, pa.array(lengths.astype(np.int64)), pa.array(add(seen.astype(np.int64))), pa.array(np.full(len(lengths), n_tokens)), pa.array(add(base)), pa.array(add(value))],
-                    names=names,
-                )
+                places, classes_, _ = _tokens(batch, row, "classes")
+                totals_ = _unpacked(batch.column(4)[row].as_py(), "<i8")
+                ends = np.concatenate([[0], np.cumsum(lengths)])
+                a = 0
+                while a < len(lengths):  # texts of about half a million tokens at a time
+                    b = max(a + 1, int(np.searchsorted(ends, ends[a] + 500_000, side="right")) - 1)
+                    part = slice(ends[a], ends[b])
+                    count, cls = totals_[places[part]], classes_[part]
+                    before = np.concatenate([[model.end], cls[:-1]])  # the text before ends with an end
+                    seen = count > 0
+                    with np.errstate(divide="ignore"):
+                        emit = np.log10(np.maximum(count, 1) / np.maximum(follows[cls], 1))
+                        value = np.where(seen, log_seen[before] + moves[before, cls] + emit, log_unseen[before])
+                    base = np.log10((count + 1.0) / (n_tokens + n_words + 1.0))
+                    add = lambda x: np.add.reduceat(x, ends[a:b] - ends[a])  # noqa: E731, B023
+                    own = [pa.array(lengths[a:b].astype(np.int64)), pa.array(add(seen.astype(np.int64))), pa.array(np.full(b - a, n_tokens)), pa.array(add(base)), pa.array(add(value))]
+                    yield pa.RecordBatch.from_arrays([batch.column(0)[row].values.slice(a, b - a), batch.column(1)[row].values.slice(a, b - a), *own], names=names)
+                    a = b
 
     return classed.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
