@@ -12,7 +12,7 @@ Jaccard distance is a metric on finite sets of word shingles; sets link within d
 2. Document pivots. The most central document of each region is its pivot. Each document is measured against the pivot
    it shares most regions with: exact distances within e are links, and most of a region is one component then.
 3. Documents of one component need no comparison, nor do regions of one component. Small regions compare all pairs that
-   may link. In a large region all documents outside its largest component become pivots, which meet the whole region, and
+   may link. In a large region first the most central documents are pivots for those outside its largest component; then all documents outside its largest component become pivots, which meet the whole region, and
    the region is done; if there are too many of them, some are pivots of Voronoi cells: by exact Jaccard distances a document
    goes to the cell of its nearest pivot, and by the triangle inequality to every cell whose pivot is at most 2e further
    away. Cells are regions of the next round. A region that its pivots don't part stays whole, without the pivots that it has met,
@@ -50,7 +50,7 @@ SMALL = 256
 FIRST = 512
 PIVOTS = 16
 #: Least number of classes of the shingle hash in a signature; a power of two.
-CLASSES = 512
+CLASSES = 1024
 
 
 def shingle_sets(column: pa.Array, words: int) -> Iterator[np.ndarray]:
@@ -349,6 +349,10 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if not live.limit(1).count():
             break
         few, large = live.where(f"m <= {SMALL}"), live.where(f"m > {SMALL}")
+        # some central pivots first: what links at all mostly links to one of them
+        central = large.withColumn("k", F.row_number().over(Window.partitionBy("region").orderBy("rare", "rep"))).where(f"k <= {PIVOTS}")
+        links.measure(_met(large, central, percent, _BITS).select("a", "b").distinct())
+        large = links.label(large.drop("comp"))
         sizes = large.groupBy("region", "comp").agg(F.count("*").alias("size")).groupBy("region").agg(F.max(F.struct("size", "comp")).alias("largest"), F.sum("size").alias("m"))
         sizes = durable(sizes.select("region", F.col("largest.comp").alias("main"), (F.col("m") - F.col("largest.size") > most).alias("deep")))
         order = Window.partitionBy("region").orderBy("rare", "rep")
