@@ -65,6 +65,11 @@ def _drop_tables() -> None:
             return
 
 
+def new_name() -> str:
+    """A column name that no table has."""
+    return f"_{uuid.uuid4().hex}"
+
+
 def broadcast_if_small(df: DataFrame, rows: int, row_bytes: int, limit_bytes: int = 8 << 20) -> DataFrame:
     """`df` with a broadcast hint if its checked size is within `limit_bytes`; otherwise Spark shuffles it."""
     return F.broadcast(df) if rows * row_bytes <= limit_bytes else df

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import JAVA_SPACE, broadcast_if_small, durable
+from .common import JAVA_SPACE, broadcast_if_small, durable, new_name
 
 
 def normalised(text: Column) -> Column:
@@ -74,10 +74,11 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs` that stay, with all their columns: one row of each group of equal texts."""
     # written once: the keys must be the same in every pass
-    rows = durable(docs.withColumn("_row", F.monotonically_increasing_id()))
-    groups = exact_groups(rows, id_col, text_col, row_col="_row")
-    dropped = durable(groups.where("row <> keep_row").select(F.col("row").alias("_dropped")))
-    left = rows.join(broadcast_if_small(dropped, dropped.count(), 16), rows["_row"] == F.col("_dropped"), "left_anti")
+    key = new_name()
+    rows = durable(docs.withColumn(key, F.monotonically_increasing_id()))
+    groups = exact_groups(rows, id_col, text_col, row_col=key)
+    dropped = durable(groups.where("row <> keep_row").select(F.col("row").alias(key)))
+    left = rows.join(broadcast_if_small(dropped, dropped.count(), 16), key, "left_anti")
     return left.select(*docs.columns)
 
 

@@ -18,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -139,16 +140,21 @@ def _scan(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[bytes, list[t
         if b"AKIA" in text:
             spans += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 16]
         spans += [(a, 2, b) for a, b in hexes.get(i, ())]
-        base = [(a, b) for a, _, b in spans]
+        base = _merged([(a, b) for a, _, b in spans])
+        begins, ends = [a for a, _ in base], [b for _, b in base]
         for start, end in long.get(i, ()):
             for a, b in _random_spans(text, start, end):
-                over = [(x, y) for x, y in base if x < b and a < y]
+                over = base[bisect_right(ends, a) : bisect_left(begins, b)]
                 spans += [(x, 3, y) for x, y in _without(a, b, over) if not over or y - x >= REST]
         yield text, sorted(spans)
 
 
-def _points(text: bytes, at: int) -> int:
-    return len(text[:at].decode())
+def _in_points(text: bytes, spans: list[tuple[int, int, int]]) -> list[dict]:
+    """The spans with places in code points; one pass over the text, whatever their number."""
+    if not spans:
+        return []
+    upto = np.concatenate([[0], np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)])
+    return [{"kind": KINDS[k], "start": int(upto[a]), "end": int(upto[b])} for a, k, b in spans]
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -161,7 +167,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
             found = []
             for _, _, data, offsets in text_chunks(batch.column(1)):
                 for text, spans in _scan(data, offsets):
-                    found.append([{"kind": KINDS[k], "start": _points(text, a), "end": _points(text, b)} for a, k, b in spans])
+                    found.append(_in_points(text, spans))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(span))], names=["doc_id", "spans"])
 
     kind = source.schema["doc_id"].dataType.simpleString()
@@ -185,9 +191,11 @@ def redact(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars",
                             merged[-1][1] = max(b, merged[-1][1])
                         else:
                             merged.append([a, b])
-                    for a, b in reversed(merged):
-                        text = text[:a] + mask.encode() + text[b:]
-                    out.append(text.decode())
+                    parts, done = [], 0
+                    for a, b in merged:
+                        parts += [text[done:a], mask.encode()]
+                        done = b
+                    out.append(b"".join([*parts, text[done:]]).decode())
             valid = batch.column(at).is_valid().to_pylist()
             out = [x if ok else None for x, ok in zip(out, valid)]
             columns = list(batch.columns)
