@@ -1,7 +1,11 @@
 """Corpus pipeline: drop low-quality documents, exact copies and near copies, mask secrets, pack into sequences.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept; all but the last return the
-columns of `documents`. Between stages the rows are written once as Parquet and read again.
+columns of `documents`, and further ones as they are. Between stages the rows are written once as Parquet and read again.
+
+Null and empty texts count as empty: they have the classifier's score of no evidence, are one group of exact copies, have no
+near copies and no secrets, and are one end token to pack. Ids may repeat or be null; stages work by row. Empty tables give
+empty results.
 """
 
 from __future__ import annotations
@@ -10,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.llm import compression_quality, exact_dedup, near_join, packing, secret_scan
-from riskloom.llm.common import broadcast_if_small, durable, id_remainder
+from riskloom.llm.common import broadcast_if_small, durable, id_remainder, new_name
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,9 +30,20 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest id of each component of near-duplicate documents."""
-    found = durable(near_join.near_components(docs).where("component_id <> doc_id").select(F.col("doc_id").alias("_near")))
-    return docs.join(broadcast_if_small(found, found.count(), 16), docs["doc_id"] == F.col("_near"), "left_anti")
+    """One row, of the smallest id, of each component of near-duplicate documents. Rows that share an id are documents of their own."""
+    key, columns = "doc_id", docs.columns
+    if docs.groupBy("doc_id").count().where("count > 1").limit(1).count():
+        key = new_name()
+        docs = durable(docs.withColumn(key, F.monotonically_increasing_id()))
+    found = durable(near_join.near_components(docs, id_col=key).select(F.col("doc_id").alias(key), "component_id"))
+    if key == "doc_id":
+        dropped = found.where("component_id <> doc_id").select(key)
+    else:
+        ids = found.join(docs.select(key, F.col("doc_id").alias("id")), key)
+        stays = ids.groupBy("component_id").agg(F.min(F.struct("id", F.col(key).alias("row"))).alias("stays"))
+        dropped = ids.join(stays, "component_id").where(F.col(key) != F.col("stays.row")).select(key)
+    dropped = durable(dropped)
+    return docs.join(broadcast_if_small(dropped, dropped.count(), 16), key, "left_anti").select(*columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
