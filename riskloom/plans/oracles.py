@@ -357,8 +357,8 @@ ORACLES |= {
           CASE WHEN claims_180d >= 1 THEN {{'c': 'ACCOUNT_PRIOR_SUSPICIOUS_CLAIM', 't': claims_180d || ' ' || {_PL('claims_180d', 'claim', 'claims')} || ' of the account ' || {_PL('claims_180d', 'was', 'were')} || ' flagged within 180 days.'}} END,
           CASE WHEN n_variants >= 2 THEN {{'c': 'RETURN_SIZE_BRACKETING', 't': n_variants || ' variants of one product are in the order.'}} END,
           CASE WHEN return_rate_smoothed >= 0.4 THEN {{'c': 'RETURN_HIGH_HISTORY', 't': matured_returns || ' of ' || matured || ' delivered ' || {_PL('matured', 'order', 'orders')} || ' came back.'}} END,
-          CASE WHEN account_age_days < 30 AND value >= 10000 THEN {{'c': 'NEW_ACCOUNT_HIGH_VALUE', 't': 'The account is new and the order is large.'}} END], x -> x IS NOT NULL) AS r FROM ex)
-      SELECT k, array_to_string(list_transform(r, x -> x.c), ',') AS reasons, array_to_string(list_transform(r, x -> x.t), ' ') AS text,
+          CASE WHEN account_age_days < 30 AND value >= 10000 THEN {{'c': 'NEW_ACCOUNT_HIGH_VALUE', 't': 'The account is new and the order is large.'}} END], lambda x: x IS NOT NULL) AS r FROM ex)
+      SELECT k, array_to_string(list_transform(r, lambda x: x.c), ',') AS reasons, array_to_string(list_transform(r, lambda x: x.t), ' ') AS text,
         concat_ws(',', CASE WHEN account_age_days >= 365 AND prior_orders >= 10 AND claims_180d = 0 THEN 'MITIGATING_ESTABLISHED_ACCOUNT' END, CASE WHEN n_discounted >= 1 THEN 'MITIGATING_DISCOUNTED_LINKS' END) AS mitigating,
         CASE WHEN action = cost_optimal THEN 'MIN_EXPECTED_COST' ELSE 'MIN_EXPECTED_COST_WITHIN_GUARDRAILS' END AS rule FROM rs""",
     "cost_rows": DECISIONS + """ , u AS (SELECT k, unnest([{'action': 'ALLOW', 's': 0, 't': cost_allow, 'e': CASE WHEN g5 THEN 'G5' ELSE '' END}, {'action': 'PREPAID_ONLY', 's': 1, 't': cost_prepaid_only, 'e': ''}, {'action': 'MANUAL_REVIEW', 's': 2, 't': cost_manual_review, 'e': ''},

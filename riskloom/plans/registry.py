@@ -59,28 +59,40 @@ def _override_outcomes(w: World) -> DataFrame:
 
 
 def _attributions(w: World) -> DataFrame:
-    df = evaluation.frame(w)
-    train = df.where("split = 'TRAIN'").persist()
+    df = written(evaluation.frame(w))
+    train = written(df.where("split = 'TRAIN'"))
     model = models.fit_abuse(train)
     return models.ablation(model, df.where("split = 'TEST'"), models.reference_values(train))
 
 
 def _trained(w: World) -> DataFrame:
     """Average precision of the trained abuse model on later orders."""
-    df = evaluation.frame(w).persist()
+    df = written(evaluation.frame(w))
     model = models.fit_abuse(df.where("split = 'TRAIN'"))
     scored = models.predict(model, df.where("split = 'TEST'"), "score").withColumn("score", F.round("score", 9))
     return evaluation.average_precision(scored, score="score")
 
 
 def _trained_returns(w: World) -> DataFrame:
-    df = evaluation.frame(w).persist()
+    df = written(evaluation.frame(w))
     model = models.fit_return(df.where("split = 'TRAIN'"))
     calibration = models.predict(model, df.where("split = 'CALIBRATION'"), "score")
     iso = models.calibrate_isotonic(calibration, "score", "return_label")
     return iso.transform(models.predict(model, df.where("split = 'TEST'"), "score")).select("k", "score", "score_calibrated", "return_label")
 
 
+def _without_links(w: World) -> DataFrame:
+    """model, average_precision of the sigmoid-calibrated abuse model, and of one trained without link features."""
+    df, out = written(evaluation.frame(w)), None
+    for name, features in (("full", models.ABUSE), ("without_links", [f for f in models.ABUSE if f not in models.GRAPH])):
+        model = models.fit_abuse(df.where("split = 'TRAIN'"), features)
+        calibrated = models.calibrate_sigmoid(models.predict(model, df.where("split = 'CALIBRATION'"), "score"), "score", "abuse_label")
+        scored = calibrated(models.predict(model, df.where("split = 'TEST'"), "score")).withColumn("score", F.round("score_calibrated", 9))
+        one = evaluation.average_precision(scored, score="score").select(F.lit(name).alias("model"), "n", "positives", "average_precision")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def _idempotent(w: World) -> DataFrame:
     """Every third order was decided before; every fifth request comes twice, every seventh of these with another value."""
     requests = w.orders.select(F.col("k").alias("request_id"), "k", "c", "value").unionByName(
@@ -143,6 +155,7 @@ _WORLD: dict[str, Callable[[World], DataFrame]] = {
     "attributions": _attributions,
     "train_abuse": _trained,
     "train_return": _trained_returns,
+    "train_without_links": _without_links,
     "event_labels": lambda w: log.labels(log.of_world(w), evaluation.as_of(w)).withColumn("returned_fraction", F.round("returned_fraction", 9)),
     "log_violations": lambda w: log.violations(log.of_world(w)),
     "log_snapshot": _log_snapshot,

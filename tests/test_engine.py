@@ -200,3 +200,90 @@ def test_average_precision_over_ranges(spark):
     found = evaluation.average_precision(spark.createDataFrame([(p, int(y)) for p, y in rows], "p_abuse double, abuse_label int"))
     assert tuple(found.first()) == (400, pos, round(want / pos, 6))
     assert "SinglePartition" not in "".join(x for x in found._jdf.queryExecution().executedPlan().toString().split("\n") if "p_abuse" in x)
+
+
+def test_log_round_trip_and_errors(spark, small, tmp_path):
+    from riskloom.sources import log
+    from riskloom.sources.world import World
+
+    made = log.of_world(World(spark, small))
+    log.write(made, str(tmp_path / "log"))
+    back = log.read(spark, str(tmp_path / "log"))
+    for name, df in made.tables().items():
+        assert log.fingerprint(df.select(*log.KEYS[name])).collect() == log.fingerprint(back.tables()[name].select(*log.KEYS[name])).collect()
+    with pytest.raises(log.LogError):
+        log.read(spark, str(tmp_path / "none"))
+    assert log.history(back).orders.where("source <> 'HISTORY'").count() == 0
+
+
+def test_log_labels_use_the_first_events(spark):
+    from riskloom.sources import log
+
+    day = 86_400_000_000
+    orders = spark.createDataFrame([("A", 0), ("B", 0), ("C", 0), ("D", 0), ("E", 0)], "order_id string, placed_at long")
+    rows = [
+        (1, "A", "DELIVERED", 1), (2, "A", "DELIVERED", 40), (3, "A", "EXCHANGE_REQUESTED", 20), (4, "A", "RETURN_REQUESTED", 25), (5, "A", "ABUSE_CLEARED", 30), (6, "A", "ABUSE_CONFIRMED", 35),
+        (7, "B", "RETURN_REQUESTED", 0), (8, "B", "DELIVERED", 2), (9, "B", "CLAIM_FILED", 3), (10, "C", "DELIVERED", 95), (11, "D", "DELIVERED", 1), (12, "D", "RETURN_REQUESTED", 31), (13, "D", "ABUSE_CONFIRMED", 62),
+    ]
+    events = spark.createDataFrame([(i, o, e, t * day, 0.5 if i == 4 else None) for i, o, e, t in rows], log.SCHEMAS["order_events"])
+    got = {r.order_id: tuple(r)[1:] for r in log.labels(log.EventLog(None, None, orders, None, events), 100 * day).collect()}
+    assert got == {"A": (1, "EXCHANGE", 1.0, "CLEARED", 0), "B": (0, "NONE", 0.0, "UNRESOLVED", None), "C": (None, None, None, "NOT_MATURED", None), "D": (1, "FULL", 1.0, "NO_CLAIM", 0), "E": (None, None, None, "NOT_MATURED", None)}
+
+
+def test_identifiers_that_are_known(spark):
+    from riskloom.sources import log
+
+    bad = log.rejected_ids("secret")
+    df = spark.createDataFrame([("0" * 32,), ("a" * 32,), (bad[0],), ("short",), (None,)], "i string")
+    assert [r[0] for r in df.select(log.known_identifier(F.col("i"), bad)).collect()] == [False, True, False, False, False]
+
+
+def test_catalog_rejects_what_it_cant_evaluate(tmp_path):
+    from riskloom.plans import explain
+
+    assert len(explain.catalog()) == 12
+    for predicate in ("f(x) > 1", "a or b", "1 < x < 2", "x > 'a'", "x ="):
+        with pytest.raises(explain.CatalogError):
+            explain.checked(predicate)
+    (tmp_path / "c.toml").write_text('[[codes]]\ncode = "A"\n')
+    with pytest.raises(explain.CatalogError):
+        explain.catalog(str(tmp_path / "c.toml"))
+
+
+def test_words_and_templates(spark):
+    from riskloom.plans import explain
+
+    df = spark.createDataFrame([(1, ["a"]), (3, ["a", "b"]), (0, ["a", "b", "c"])], "n int, w array<string>")
+    rows = df.select(explain.filled("{n} {n:claim|claims}.", {"n": F.col("n")}), explain.joined_words(F.col("w"))).collect()
+    assert [tuple(r) for r in rows] == [("1 claim.", "a"), ("3 claims.", "a and b"), ("0 claims.", "a, b and c")]
+
+
+def test_overrides_are_optimistic(spark):
+    from riskloom.plans import audit
+
+    d = spark.createDataFrame([(1, "ALLOW", True), (2, "BLOCK", False)], "k long, action string, g2 boolean")
+    asked = [(1, 1, "ALLOW", "BLOCK", "OTHER"), (2, 1, "ALLOW", "BLOCK", "INDEPENDENT_EVIDENCE_OF_ABUSE"), (3, 1, "ALLOW", "BLOCK", "OTHER"), (4, 2, "BLOCK", "ALLOW", "OTHER")]
+    r = spark.createDataFrame(asked, "seq long, k long, expected_action string, new_action string, reason string")
+    got = {x.seq: (x.outcome, x.warning, x.previous_action) for x in audit.overrides(d, r).collect()}
+    assert got == {1: ("REJECTED", None, "ALLOW"), 2: ("APPLIED", "G2", "ALLOW"), 3: ("CONFLICT", None, "BLOCK"), 4: ("APPLIED", None, "BLOCK")}
+
+
+def test_appended_records_verify(spark):
+    from riskloom.plans import audit
+
+    rows = lambda a, b: spark.createDataFrame([(i, i * 10, f"p{i}") for i in range(a, b)], "k long, t0 long, payload string")
+    chain = audit.append(audit.chained(rows(0, 25), 10), rows(25, 37), 10)
+    out = audit.verify(chain).first()
+    assert (out.rows_checked, out.broken) == (37, 0) and sorted(r.seq for r in chain.select("seq").collect()) == list(range(37))
+    assert audit.verify(chain.where("block <> 1")).first().broken > 0
+
+
+def test_uuid5(spark):
+    import uuid
+
+    from riskloom.functions import money
+
+    space = "6ba7b810-9dad-11d1-80b4-00c04fd430c8"
+    names = ["a", "order é", ""]
+    got = [r[0] for r in spark.createDataFrame([(n,) for n in names], "n string").select(money.uuid5(space, F.col("n"))).collect()]
+    assert got == [str(uuid.uuid5(uuid.UUID(space), n)) for n in names]
