@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -65,6 +68,30 @@ def _drop_tables() -> None:
             return
 
 
+_tables: list = []
+
+
+def worker_table(build: Callable) -> Callable:
+    """`build` called once per worker process and argument; `forget_tables` frees what it made."""
+    cached = lru_cache(maxsize=1)(build)
+    _tables.append(cached)
+    return cached
+
+
+def forget_tables() -> None:
+    """Free the tables that operators before have left in this worker process; called where a task needs none of them."""
+    if not any(t.cache_info().currsize for t in _tables):
+        return
+    for t in _tables:
+        t.cache_clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another libc
+        return
+
+
 def new_name() -> str:
     """A column name that no table has."""
     return f"_{uuid.uuid4().hex}"

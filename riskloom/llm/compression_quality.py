@@ -21,6 +21,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import forget_tables
+
 #: Bytes of text that are compressed at a time.
 PIECE = 2048
 LEVEL = 3
@@ -104,6 +106,7 @@ def score(docs: DataFrame, model: CompressionModel, id_col: str = "doc_id", text
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_tables()
         for batch in batches:
             texts = batch.column(1).cast(pa.large_binary()).fill_null(b"")
             d = model.differences([x.as_py() for x in texts])
@@ -116,6 +119,7 @@ def good_documents(docs: DataFrame, model: CompressionModel, id_col: str = "doc_
     """The rows of `docs` whose score reaches `least`, with all their columns, in one pass without a shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_tables()
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(text_col)).cast(pa.large_binary()).fill_null(b"")
             yield batch.filter(pa.array(model.scores(model.differences([x.as_py() for x in texts])) >= least))

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, durable, lower_ascii, prefix_hash, sequence_hash, span_hash, text_chunks, word_spans
+from .common import broadcast_if_small, durable, forget_tables, lower_ascii, prefix_hash, sequence_hash, span_hash, text_chunks, word_spans
 from .components import components
 
 #: At most so many frequent shingles are moved to the end of the order.
@@ -107,6 +107,7 @@ def _described(source: DataFrame, words: int) -> DataFrame:
     names = ["doc_id", "n", "key", "signature", "s", "often", *_BITS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_tables()
         held: list[np.ndarray] = []
         size = 0
 
@@ -148,6 +149,7 @@ def _windows(source: DataFrame, words: int, percent: int, frequent: np.ndarray)
     by_hash, rank = np.sort(frequent), np.argsort(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_tables()
         for batch in batches:
             regions, rests, lights, lengths, sizes = [], [], [], [], []
             for s in shingle_sets(batch.column(1), words):

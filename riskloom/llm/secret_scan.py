@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import byte_class, runs, text_chunks
+from .common import byte_class, forget_tables, runs, text_chunks
 
 KINDS = ("assign", "access", "hex", "entropy")
 ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE)
@@ -180,6 +180,7 @@ def redact(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars",
     lengths = length_col in schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_tables()
         for batch in batches:
             at = batch.schema.get_field_index(text_col)
             out: list[str | None] = []

@@ -10,13 +10,12 @@ pattern. Texts with white space other than ASCII are encoded whole, as cutting t
 from __future__ import annotations
 
 import re
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import regex
 
-from .common import prefix_hash, span_hash, text_chunks
+from .common import prefix_hash, span_hash, text_chunks, worker_table
 
 #: Classes of bytes: white space 0, letters 1, digits 2, other ASCII 3; 9 is an apostrophe or unknown.
 _CLASS = np.full(256, 9, dtype=np.uint8)
@@ -156,7 +155,7 @@ class Encoder:
         return np.concatenate(parts), np.array([len(p) for p in parts], dtype=np.int64)
 
 
-@lru_cache(maxsize=2)
+@worker_table
 def encoder(path: str) -> Encoder:
     """One encoder per worker process and vocabulary file."""
     return Encoder(path)
