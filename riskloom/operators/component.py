@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..sources.store import written
 from ..sources.world import DAY, World
-from .links import FANOUT, FANOUT_WINDOW, HALF_LIFE, RELIABILITY, RELIABLE_WEIGHT, RELIABLE_WINDOW, by_kind
+from .links import FANOUT, FANOUT_WINDOW, HALF_LIFE, RELIABILITY, RELIABLE_WEIGHT, RELIABLE_WINDOW, _spans, by_kind, span_steps
 
 MOST = 200
 MAX_HOPS = 6
@@ -25,6 +25,18 @@ def _weight():
     return by_kind(RELIABILITY) * F.pow(F.lit(0.5), (F.col("t0") - F.col("last")) / DAY / by_kind(HALF_LIFE))
 
 
+def _busy(wide: DataFrame, steps: DataFrame, edges: DataFrame) -> DataFrame:
+    """(q, ident) of the addresses with too many accounts in the window before t0, by a running count; the own account counts
+    as well if it used the address at any time up to then.
+    """
+    points = wide.select("ident", F.col("t0").alias("t")).distinct().withColumns({"d": F.lit(0), "asked": F.lit(True)})
+    running = Window.partitionBy("ident").orderBy("t").rangeBetween(Window.unboundedPreceding, -1)
+    counts = steps.withColumn("asked", F.lit(False)).unionByName(points).withColumn("n", F.coalesce(F.sum("d").over(running), F.lit(0))).where("asked").select("ident", F.col("t").alias("t0"), "n")
+    own = wide.join(edges.where("kind = 'ADDRESS'").select("ident", F.col("c").alias("self"), "t"), ["ident", "self"]).where("t <= t0")
+    own = own.groupBy("q", "ident").agg((~F.bool_or((F.col("t") < F.col("t0")) & (F.col("t") >= F.col("t0") - FANOUT_WINDOW))).cast("int").alias("more"))
+    return wide.join(counts, ["ident", "t0"]).join(own, ["q", "ident"], "left").where(F.col("n") + F.coalesce("more", F.lit(0)) > FANOUT).select("q", "ident")
+
+
 def components(w: World) -> DataFrame:
     """q, self, t0, account, depth, kinds, bottleneck: the accounts of each order's component, the own one included."""
     edges = w.edges
@@ -32,6 +44,9 @@ def components(w: World) -> DataFrame:
     own = w.uses.select(F.col("k").alias("q"), "kind", "ident", F.col("t").alias("last"))
     reached = start.select("q", "self", "t0", F.col("self").alias("account"), F.lit(0).alias("depth"), F.lit(0).cast("long").alias("rank"), F.array().cast("array<string>").alias("kinds"), F.lit(1.0).alias("bottleneck"))
     frontier, level = reached, 0
+    spans = _spans(w).where("kind = 'ADDRESS'")
+    hot = written(spans.groupBy("ident").agg(F.count_distinct("c").alias("n")).where(f"n > {FANOUT}").select("ident"))
+    steps = written(span_steps(spans.join(hot, "ident", "left_semi")))
     while True:
         uses = frontier.join(edges.withColumnRenamed("c", "account"), "account").where(f"t < t0 and t >= t0 - {RELIABLE_WINDOW}").select("q", "self", "t0", "account", "rank", "kinds", "bottleneck", "kind", "ident", F.col("t").alias("last"))
         if level == 0:
@@ -43,8 +58,7 @@ def components(w: World) -> DataFrame:
         met = met.groupBy("q", "self", "t0", "account", "rank", "kinds", "bottleneck", "kind", "ident", "w", "other").agg(F.max("t").alias("last"))
         # an address with too many accounts in the window links nobody; the own account counts if it ever used it
         wide = met.where("kind = 'ADDRESS'").select("q", "self", "t0", "ident").distinct()
-        busy = wide.join(edges.where("kind = 'ADDRESS'").select("ident", "c", "t"), "ident").where(f"(t < t0 and t >= t0 - {FANOUT_WINDOW}) or (c = self and t <= t0)")
-        busy = busy.groupBy("q", "ident").agg(F.count_distinct("c").alias("n")).where(f"n > {FANOUT}").select("q", "ident")
+        busy = _busy(wide.join(hot, "ident", "left_semi"), steps, edges)
         met = met.withColumn("w2", _weight()).where(f"w2 >= {RELIABLE_WEIGHT}").join(busy, ["q", "ident"], "left_anti")
         met = met.join(reached.select("q", F.col("account").alias("other")), ["q", "other"], "left_anti")
         node = F.concat_ws(":", F.expr(_PREFIX), "ident")

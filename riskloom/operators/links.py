@@ -70,15 +70,21 @@ def _spans(w: World) -> DataFrame:
     return w.edges.select("kind", "ident", "c", F.col("t").alias("last"), F.lead("t").over(of).alias("next"), F.first("t").over(of).alias("first"))
 
 
+def span_steps(spans: DataFrame) -> DataFrame:
+    """ident, t, d: an account counts (+1) after its use, and no more (-1) after its next use or 90 days."""
+    end = F.least("next", F.col("last") + FANOUT_WINDOW)
+    both = F.array(F.struct(F.col("last").alias("t"), F.lit(1).alias("d")), F.struct(end.alias("t"), F.lit(-1).alias("d")))
+    return spans.select("ident", F.explode(both).alias("x")).select("ident", "x.t", "x.d")
+
+
 def high_fanout(w: World) -> DataFrame:
     """q: orders whose address has more than 25 accounts in the 90 days before, the order's own included.
 
     An account is in the window from its use until 90 days after it or its next use, whichever is first; these spans don't
     overlap, so a running sum of their beginnings and ends counts accounts, without pairs.
     """
-    spans = _spans(w).where("kind = 'ADDRESS'").withColumn("end", F.least("next", F.col("last") + FANOUT_WINDOW))
-    steps = spans.select("ident", F.explode(F.array(F.struct(F.col("last").alias("t"), F.lit(1).alias("d")), F.struct(F.col("end").alias("t"), F.lit(-1).alias("d")))).alias("x"))
-    steps = steps.select("ident", "x.t", "x.d", F.lit(None).cast(w.uses.schema["k"].dataType).alias("q"), F.lit(False).alias("own"))
+    steps = span_steps(_spans(w).where("kind = 'ADDRESS'"))
+    steps = steps.select("ident", "t", "d", F.lit(None).cast(w.uses.schema["k"].dataType).alias("q"), F.lit(False).alias("own"))
     before = Window.partitionBy("ident", "c").orderBy("t").rangeBetween(Window.unboundedPreceding, -1)
     own = F.coalesce(F.max("t").over(before) >= F.col("t") - FANOUT_WINDOW, F.lit(False))
     orders = w.uses.where("kind = 'ADDRESS'").select("ident", "t", F.lit(0).alias("d"), F.col("k").alias("q"), own.alias("own"))
