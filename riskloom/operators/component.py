@@ -72,7 +72,9 @@ def components(w: World) -> DataFrame:
         frontier = written(found)
         if not frontier.limit(1).count():
             return reached.drop("rank")
-        reached = written(reached.unionByName(frontier))
+        # every level is a written table; now and then they become one, so that plans stay short
+        reached = reached.unionByName(frontier)
+        reached = written(reached) if level % 4 == 0 else reached
 
 
 def component_features(w: World) -> DataFrame:
