@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import durable
-from .token_ids import default_path, encoder
+from .token_ids import default_path, encoder, text_parts
 
 LENGTH = 1024
 END_ID = 2
@@ -41,7 +41,7 @@ def pieces(docs: DataFrame, path: str | None = None, length: int = LENGTH, end_i
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in text_parts(whole)):
             ids, offsets = encoder(path).encode(batch.column(1))
             of, number, start, size, crc = [], [], [], [], []
             for i in range(batch.num_rows):

@@ -28,13 +28,12 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import durable, shared_dir
-from .token_ids import default_path, encoder
+from .token_ids import default_path, encoder, text_parts
 
 #: Values per word and bits per value of each selector (fixed by the published format).
 COUNTS = np.array([240, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
@@ -246,7 +245,7 @@ def write(docs: DataFrame, uri: str, path: str | None = None, end_id: int = 0, s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId()
-        rows = (part for batch in batches for part in _parts(batch))
+        rows = (part for batch in batches for part in text_parts(batch))
         first = next(rows, None)
         if first is None:
             return
@@ -278,16 +277,6 @@ def write(docs: DataFrame, uri: str, path: str | None = None, end_id: int = 0, s
     return files.join(runs, "run").select("file", "shard", "documents", "n_values", first.alias("first"))
 
 
-def _parts(batch: pa.RecordBatch, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch (id, text) with about `most` bytes of text each, but for a longer text."""
-    ends = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False).astype(np.int64))
-    a = 0
-    while a < len(ends):
-        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most, side="right")))
-        yield batch.slice(a, b - a)
-        a = b
-
-
 def _opened(index: DataFrame, uri: str, columns: str, rows: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], dict]) -> DataFrame:
     """`rows` of (ids, starts, counts, values) for every run of documents in the shards of `index`, in parallel by shard."""
     names = [c.split()[0] for c in columns.split(", ")]

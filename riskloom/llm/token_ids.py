@@ -10,9 +10,11 @@ pattern. Texts with white space other than ASCII are encoded whole, as cutting t
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 from .common import prefix_hash, span_hash, text_chunks, worker_table
@@ -38,7 +40,7 @@ def default_path() -> str:
 class Encoder:
     """Encodes Arrow columns of text; keeps the ids of the units it has seen, up to `most` units (some 40 bytes each)."""
 
-    def __init__(self, path: str, most: int = 1_200_000) -> None:
+    def __init__(self, path: str, most: int = 500_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -159,3 +161,13 @@ class Encoder:
 def encoder(path: str) -> Encoder:
     """One encoder per worker process and vocabulary file."""
     return Encoder(path)
+
+
+def text_parts(batch: pa.RecordBatch, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch (id, text) with about `most` bytes of text each, but for a longer text."""
+    ends = np.cumsum(pc.binary_length(batch.column(1)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    a = 0
+    while a < len(ends):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most, side="right")))
+        yield batch.slice(a, b - a)
+        a = b
