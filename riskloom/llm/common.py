@@ -58,6 +58,11 @@ def durable(df: DataFrame) -> DataFrame:
 _written: list[tuple[SparkSession, str]] = []
 
 
+def note_table(spark: SparkSession, path: str) -> None:
+    """Remember a folder of the shared one, which goes when the driver ends."""
+    _written.append((spark, path))
+
+
 @atexit.register
 def _drop_tables() -> None:
     for spark, path in _written:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import brown_lm, compression_quality, contextual_pii, exact_dedup, near_join, packing, repetition, sampled_pieces, secret_scan, simple8b
+from . import brown_lm, collocations, compression_quality, contextual_pii, exact_dedup, near_join, packing, repetition, sampled_pieces, secret_scan, simple8b, spelling, suffix_dedup
 from .common import id_remainder
 
 
@@ -60,6 +60,18 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan(_table(spark, sf_dir, "documents")))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_table(spark, sf_dir, "documents"))
+
+
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.report(_table(spark, sf_dir, "documents"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_sampled_pieces": op1_sampled_pieces,
     "op2_brown_lm": op2_brown_lm,
@@ -71,6 +83,9 @@ QUERIES = {
     "op8_compression_quality": op8_compression_quality,
     "op9_contextual_pii": op9_contextual_pii,
     "op10_secret_scan": op10_secret_scan,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_suffix_dedup": op12_suffix_dedup,
+    "op13_collocations": op13_collocations,
 }
 
-ORACLES = {"op6_exact_dedup": exact_dedup.ORACLE}
+ORACLES = {"op6_exact_dedup": exact_dedup.ORACLE, "op13_collocations": collocations.ORACLE}

@@ -1,6 +1,8 @@
 """Plain Python forms of the operators, for tests on small tables."""
 
+import hashlib
 import re
+import zlib
 from collections import Counter
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -86,3 +88,66 @@ def repetition(text):
     count = Counter(grams)
     covered = {i + d for i, g in enumerate(grams) if count[g] > 1 for d in range(3)}
     return [len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), dup, len(covered)]
+
+
+def spelling(rows):
+    """(word, form, root, n, n_near, form_n) of (id, text) rows."""
+    count = Counter()
+    for i, t in rows:
+        for w in re.findall("[A-Za-z\u00c0-\u00ff]+", t or ""):
+            w = w.translate(LOWER)
+            h = zlib.crc32(f"{'' if i is None else i}:{w}".encode())
+            count[w[: h % len(w)] + w[h % len(w) + 1 :] if h % 31 == 0 else w] += 1
+    known = {w: n for w, n in count.items() if len(w) >= 7 and n >= 2}
+    cut = lambda w: {w[:k] + w[k + 1 :] for k in range(len(w))}
+    near = lambda a, b: a != b and (sum(x != y for x, y in zip(a, b)) == 1 if len(a) == len(b) else b in cut(a) or a in cut(b))
+    where = {}
+    for w in known:
+        for k in {w, *cut(w)}:
+            where.setdefault(k, []).append(w)
+    out = {}
+    for w, n in known.items():
+        found = {x for k in {w, *cut(w)} for x in where[k] if near(w, x)}
+        best = min(found, key=lambda x: (-known[x], x), default=None)
+        out[w] = (best if best and known[best] >= 10 * n else None, n, len(found))
+    def root(w):
+        return root(out[w][0]) if out[w][0] else w
+
+    return [(w, form, root(w), n, k, known[form] if form else None) for w, (form, n, k) in out.items()]
+
+
+def repeated(rows, length=50):
+    """(id, bytes, removed, spans, what is left) of (id, text) rows."""
+    first, out = {}, []
+    for i, t in rows:
+        b = (t or "").encode()
+        for p in range(len(b) - length + 1 if i is not None else 0):
+            first[b[p : p + length]] = min(i, first.get(b[p : p + length], i))
+    for i, t in rows:
+        b = (t or "").encode()
+        gone = bytearray(len(b))
+        for p in range(len(b) - length + 1 if i is not None else 0):
+            if first[b[p : p + length]] < i:
+                gone[p : p + length] = b"\1" * length
+        kept = bytes(x for x, g in zip(b, gone) if not g)
+        out.append((i, len(b), sum(gone), len(re.findall(b"\1+", bytes(gone))), hashlib.sha256(kept).hexdigest()))
+    return out
+
+
+def collocations(rows, least=100):
+    """(lang, rank, phrase, a, l, r, n, score) of (lang, text) rows."""
+    f, n = Counter(), Counter()
+    for lang, t in rows:
+        lang = lang or "und"
+        for piece in re.split("[.,;:!?\\x0A-\\x0D]", (t or "").translate(LOWER)):
+            w = re.findall("[^\\x20\\x09]+", piece)
+            n[lang] += len(w)
+            f.update((lang, tuple(w[i : i + k])) for k in range(1, 6) for i in range(len(w) - k + 1))
+    good = {p: a for p, a in f.items() if a >= least}
+    dead = {(lang, w[i : i + k]) for (lang, w), a in good.items() for k in range(1, len(w)) for i in range(len(w) - k + 1) if a >= f[lang, w[i : i + k]]}
+    scored = {}
+    for (lang, w), a in good.items():
+        if len(w) > 1 and (lang, w) not in dead:
+            score, k = min((1000 * a * n[lang] // (f[lang, w[:k]] * f[lang, w[k:]]), k) for k in range(1, len(w)))
+            scored.setdefault(lang, []).append((-score, -a, " ".join(w).encode(), f[lang, w[:k]], f[lang, w[k:]]))
+    return [(lang, rank, p.decode(), -a, x, y, n[lang], -s) for lang, rows in scored.items() for rank, (s, a, p, x, y) in enumerate(sorted(rows)[:2000], 1)]
