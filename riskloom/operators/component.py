@@ -1,14 +1,20 @@
 """The component of accounts that are reliably linked to an order's account, as of the order's time.
 
-A breadth-first search for all orders at once: each level joins the frontier to the identifiers that its accounts used
-within the reliable window, and these to their other accounts. Levels are written out, and the loop ends on an empty
-frontier. Ranks keep the order of discovery (parent, then identifier, then account), which decides the kinds of links and the
-weakest weight on the path; at most `MOST` accounts are kept per order, as the definition says.
+A use of an identifier links reliably until its weight has decayed or the account's next use takes its place: one span a
+use. Spans of two accounts on one identifier that overlap are a pair with a beginning and an end; multi-tenant flags and times
+at which an address has too many accounts are cut out of the spans before pairs are made, so a busy address makes none.
+Pairs are written once. The breadth-first search runs for all orders at once: each level is one join of the frontier's
+accounts to the pairs with a time bound. Only orders that have found an account at a level go on to the next one.
+
+Ranks keep the order of discovery (parent, then identifier, then account), which decides the kinds of links, the
+weakest weight on the path and the parent; at most `MOST` accounts are kept per order, as the definition says.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.store import written
@@ -19,76 +25,129 @@ MOST = 200
 MAX_HOPS = 6
 PRIOR_CONFIRMED, PRIOR_ACCOUNTS = 1, 10
 _PREFIX = "case kind when 'ADDRESS' then 'ADR' when 'DEVICE' then 'DEV' else 'TOK' end"
+#: Days after which a use of each kind no longer links reliably, a day added; the weight itself decides.
+_REACH = {k: min(RELIABLE_WINDOW / DAY, HALF_LIFE[k] * math.log2(RELIABILITY[k] / RELIABLE_WEIGHT)) + 1 for k in RELIABILITY}
+
+
+def _weight(last: str) -> Column:
+    return by_kind(RELIABILITY) * F.pow(F.lit(0.5), (F.col("t0") - F.col(last)) / DAY / by_kind(HALF_LIFE))
 
 
-def _weight():
-    return by_kind(RELIABILITY) * F.pow(F.lit(0.5), (F.col("t0") - F.col("last")) / DAY / by_kind(HALF_LIFE))
+def _reliable(last: str, weight: str) -> Column:
+    return (F.col(weight) >= RELIABLE_WEIGHT) & (F.col(last) >= F.col("t0") - RELIABLE_WINDOW)
 
 
-def _busy(wide: DataFrame, steps: DataFrame, edges: DataFrame) -> DataFrame:
-    """(q, ident) of the addresses with too many accounts in the window before t0, by a running count; the own account counts
-    as well if it used the address at any time up to then.
+def _quiet(spans: DataFrame) -> DataFrame:
+    """ident, lo, hi, full of addresses that ever have more than `FANOUT` accounts: the times (lo, hi] with at most that many in the window, and
+    whether that number is reached, so that one account more is too many.
     """
-    points = wide.select("ident", F.col("t0").alias("t")).distinct().withColumns({"d": F.lit(0), "asked": F.lit(True)})
-    running = Window.partitionBy("ident").orderBy("t").rangeBetween(Window.unboundedPreceding, -1)
-    counts = steps.withColumn("asked", F.lit(False)).unionByName(points).withColumn("n", F.coalesce(F.sum("d").over(running), F.lit(0))).where("asked").select("ident", F.col("t").alias("t0"), "n")
-    own = wide.join(edges.where("kind = 'ADDRESS'").select("ident", F.col("c").alias("self"), "t"), ["ident", "self"]).where("t <= t0")
-    own = own.groupBy("q", "ident").agg((~F.bool_or((F.col("t") < F.col("t0")) & (F.col("t") >= F.col("t0") - FANOUT_WINDOW))).cast("int").alias("more"))
-    return wide.join(counts, ["ident", "t0"]).join(own, ["q", "ident"], "left").where(F.col("n") + F.coalesce("more", F.lit(0)) > FANOUT).select("q", "ident")
+    hot = spans.groupBy("ident").agg(F.count_distinct("c").alias("n")).where(f"n > {FANOUT}").select("ident")
+    steps = span_steps(spans.join(hot, "ident", "left_semi")).groupBy("ident", "t").agg(F.sum("d").alias("d"))
+    by = Window.partitionBy("ident").orderBy("t")
+    level = F.when(F.col("n") > FANOUT, 2).when(F.col("n") == FANOUT, 1).otherwise(0)
+    counted = steps.withColumn("n", F.sum("d").over(by)).withColumn("level", level)
+    counted = counted.withColumn("before", F.lag("level").over(by)).where("before is null or before <> level")
+    counted = counted.withColumn("hi", F.lead("t").over(by)).select("ident", F.col("t").alias("lo"), F.coalesce("hi", F.lit((1 << 63) - 1)).alias("hi"), "level")
+    return counted.where("level < 2").select("ident", "lo", "hi", (F.col("level") == 1).alias("full"))
 
 
-def components(w: World) -> DataFrame:
-    """q, self, t0, account, depth, kinds, bottleneck: the accounts of each order's component, the own one included."""
-    edges = w.edges
-    start = w.orders.select(F.col("k").alias("q"), F.col("c").alias("self"), "t0")
-    own = w.uses.select(F.col("k").alias("q"), "kind", "ident", F.col("t").alias("last"))
-    reached = start.select("q", "self", "t0", F.col("self").alias("account"), F.lit(0).alias("depth"), F.lit(0).cast("long").alias("rank"), F.array().cast("array<string>").alias("kinds"), F.lit(1.0).alias("bottleneck"))
-    frontier, level = reached, 0
-    spans = _spans(w).where("kind = 'ADDRESS'")
-    hot = written(spans.groupBy("ident").agg(F.count_distinct("c").alias("n")).where(f"n > {FANOUT}").select("ident"))
-    steps = written(span_steps(spans.join(hot, "ident", "left_semi")))
+def reliable_spans(w: World) -> DataFrame:
+    """kind, ident, c, t, lo, hi, full: each use with the times (lo, hi] at which it may link."""
+    end = F.least("next", F.col("last") + (by_kind(_REACH) * DAY).cast("long"))
+    spans = _spans(w).select("kind", "ident", "c", F.col("last").alias("t"), F.col("last").alias("lo"), end.alias("hi"))
+    spans = spans.join(w.multi_tenant, "ident", "left").withColumn("hi", F.least("hi", "since")).drop("since").where("lo < hi")
+    addresses = _spans(w).where("kind = 'ADDRESS'")
+    quiet = written(_quiet(addresses))
+    hot = quiet.select("ident").distinct().withColumn("hot", F.lit(True))
+    marked = spans.join(hot, "ident", "left")
+    cut = marked.where("hot and kind = 'ADDRESS'").drop("hot", "lo").join(quiet.withColumnRenamed("hi", "until"), "ident").withColumn("lo", F.greatest("lo", "t")).withColumn("hi", F.least("hi", "until")).where("lo < hi")
+    plain = marked.where("hot is null or kind <> 'ADDRESS'").select("kind", "ident", "c", "t", "lo", "hi", F.lit(False).alias("full"))
+    return plain.unionByName(cut.select(plain.columns))
+
+
+def pairs(spans: DataFrame) -> DataFrame:
+    """account, other, kind, ident, last, last2, lo, hi, full: two accounts' spans of an identifier, at the times (lo, hi] of both."""
+    one = spans.select("kind", "ident", F.col("c").alias("account"), F.col("t").alias("last"), "lo", "hi", "full")
+    two = spans.select("kind", "ident", F.col("c").alias("other"), F.col("t").alias("last2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+    met = one.join(two, ["kind", "ident"]).where("account <> other and lo < hi2 and lo2 < hi")
+    return met.select("account", "other", "kind", "ident", "last", "last2", F.greatest("lo", "lo2").alias("lo"), F.least("hi", "hi2").alias("hi"), "full")
+
+
+def _not_full(met: DataFrame, w: World) -> DataFrame:
+    """Without rows on an address that has `FANOUT` accounts, where the order's own account used it before the window and so is one more."""
+    own = w.edges.where("kind = 'ADDRESS'").select("ident", F.col("c").alias("self"), "t")
+    asked = met.where("full").select("q", "self", "t0", "ident").distinct().join(own, ["ident", "self"]).where("t <= t0")
+    more = asked.groupBy("q", "ident").agg((~F.bool_or((F.col("t") < F.col("t0")) & (F.col("t") >= F.col("t0") - FANOUT_WINDOW))).alias("busy")).where("busy").drop("busy")
+    return met.where("not full").unionByName(met.where("full").join(more, ["q", "ident"], "left_anti").select(met.columns))
+
+
+def search(w: World, keys: DataFrame | None = None) -> DataFrame:
+    """q, self, t0, account, depth, kinds, bottleneck, parent, ident, rank: the accounts of each order's component (of the orders
+    `keys`, with k), the own one included; parent and ident are how an account was reached.
+    """
+    o = w.orders if keys is None else w.orders.join(keys.select("k"), "k", "left_semi")
+    spans = written(reliable_spans(w))
+    linked = written(pairs(spans))
+    start = o.select(F.col("k").alias("q"), F.col("c").alias("self"), "t0", "device_id", "address_id", "token_id")
+    nothing = lambda c: F.lit(None).cast(w.orders.schema[c].dataType)
+    reached = start.select("q", "self", "t0", F.col("self").alias("account"), F.lit(0).alias("depth"), F.lit(0).cast("long").alias("rank"), F.array().cast("array<string>").alias("kinds"), F.lit(1.0).alias("bottleneck"), nothing("c").alias("parent"), F.lit(None).cast("string").alias("ident"))
+    many = lambda t0: F.col("lo") < F.col(t0)
+    # the order's own uses are at its own time; the account's other identifiers are as old as its last use
+    kind_ident = F.expr("stack(3, 'DEVICE', device_id, 'ADDRESS', address_id, 'PAYMENT_TOKEN', token_id) as (kind, ident)")
+    own = start.select("q", "self", "t0", kind_ident).where("ident is not null").join(w.multi_tenant, "ident", "left").where("since is null or since >= t0").drop("since")
+    own = own.join(spans.withColumnRenamed("c", "other"), ["kind", "ident"]).where(many("t0") & (F.col("t0") <= F.col("hi")) & (F.col("other") != F.col("self")))
+    columns = ["q", "self", "t0", "account", "other", "rank", "n", "kinds", "bottleneck", "kind", "ident", "last", "last2", "full"]
+    own = own.select("q", "self", "t0", F.col("self").alias("account"), "other", F.lit(0).cast("long").alias("rank"), F.lit(1).cast("long").alias("n"), F.array().cast("array<string>").alias("kinds"), F.lit(1.0).alias("bottleneck"), "kind", "ident", F.col("t0").alias("last"), F.col("t").alias("last2"), "full")
+    first = start.join(linked.withColumnRenamed("account", "self"), "self").where(many("t0") & (F.col("t0") <= F.col("hi")))
+    mine = F.coalesce(F.col("ident") == F.expr("case kind when 'DEVICE' then device_id when 'ADDRESS' then address_id else token_id end"), F.lit(False))
+    first = first.where(~mine).select("q", "self", "t0", F.col("self").alias("account"), "other", F.lit(0).cast("long").alias("rank"), F.lit(1).cast("long").alias("n"), F.array().cast("array<string>").alias("kinds"), F.lit(1.0).alias("bottleneck"), "kind", "ident", "last", "last2", "full")
+    met, level, parts = own.unionByName(first).select(columns), 0, [reached]
+    has_full = bool(spans.where("full").limit(1).count())
     while True:
-        uses = frontier.join(edges.withColumnRenamed("c", "account"), "account").where(f"t < t0 and t >= t0 - {RELIABLE_WINDOW}").select("q", "self", "t0", "account", "rank", "kinds", "bottleneck", "kind", "ident", F.col("t").alias("last"))
-        if level == 0:
-            uses = uses.unionByName(frontier.drop("depth").join(own, "q").select(uses.columns))
-        uses = uses.groupBy("q", "self", "t0", "account", "rank", "kinds", "bottleneck", "kind", "ident").agg(F.max("last").alias("last")).withColumn("w", _weight()).where(f"w >= {RELIABLE_WEIGHT}").drop("last")
-        uses = uses.join(w.multi_tenant, "ident", "left").where("since is null or since >= t0").drop("since")
-        others = edges.select("kind", "ident", F.col("c").alias("other"), "t")
-        met = uses.join(others, ["kind", "ident"]).where(f"other <> account and t < t0 and t >= t0 - {RELIABLE_WINDOW}")
-        met = met.groupBy("q", "self", "t0", "account", "rank", "kinds", "bottleneck", "kind", "ident", "w", "other").agg(F.max("t").alias("last"))
-        # an address with too many accounts in the window links nobody; the own account counts if it ever used it
-        wide = met.where("kind = 'ADDRESS'").select("q", "self", "t0", "ident").distinct()
-        busy = _busy(wide.join(hot, "ident", "left_semi"), steps, edges)
-        met = met.withColumn("w2", _weight()).where(f"w2 >= {RELIABLE_WEIGHT}").join(busy, ["q", "ident"], "left_anti")
-        met = met.join(reached.select("q", F.col("account").alias("other")), ["q", "other"], "left_anti")
+        met = met.withColumns({"w": _weight("last"), "w2": _weight("last2")}).where(_reliable("last", "w") & _reliable("last2", "w2"))
+        met = _not_full(met, w) if has_full else met
+        if level:
+            seen = parts[1].select("q", F.col("account").alias("other"))
+            for p in parts[2:]:
+                seen = seen.unionByName(p.select("q", F.col("account").alias("other")))
+            met = met.where("other <> self").join(seen, ["q", "other"], "left_anti")
         node = F.concat_ws(":", F.expr(_PREFIX), "ident")
-        best = F.min(F.struct("rank", node.alias("node"), "kind", F.least("bottleneck", "w", "w2").alias("bottleneck"), "kinds")).alias("b")
+        best = F.min(F.struct("rank", node.alias("node"), "kind", F.least("bottleneck", "w", "w2").alias("bottleneck"), "kinds", "account", "ident", "n")).alias("b")
         found = met.groupBy("q", "self", "t0", F.col("other").alias("account")).agg(best)
-        order = Window.partitionBy("q").orderBy("b.rank", "b.node", "account")
-        count = reached.groupBy("q").agg(F.count("*").alias("n"))
-        found = found.join(count, "q").withColumn("rank", F.row_number().over(order) + F.col("n") - 1).where(f"rank < {MOST}")
         level += 1
-        found = found.select("q", "self", "t0", "account", F.lit(level).alias("depth"), "rank", F.array_distinct(F.concat("b.kinds", F.array("b.kind"))).alias("kinds"), F.col("b.bottleneck").alias("bottleneck"))
+        of = Window.partitionBy("q")
+        found = found.withColumn("rank", F.row_number().over(of.orderBy("b.rank", "b.node", "account")) + F.col("b.n") - 1).where(f"rank < {MOST}")
+        found = found.select("q", "self", "t0", "account", F.lit(level).alias("depth"), "rank", F.array_distinct(F.concat("b.kinds", F.array("b.kind"))).alias("kinds"), F.col("b.bottleneck").alias("bottleneck"), F.col("b.account").alias("parent"), F.col("b.ident").alias("ident"), (F.col("b.n") + F.count("*").over(of)).alias("n"))
         frontier = written(found)
         if not frontier.limit(1).count():
-            return reached.drop("rank")
-        # every level is a written table; now and then they become one, so that plans stay short
-        reached = reached.unionByName(frontier)
-        reached = written(reached) if level % 4 == 0 else reached
+            break
+        parts.append(frontier.drop("n"))
+        met = frontier.drop("ident", "parent", "depth").join(linked, "account").where(many("t0") & (F.col("t0") <= F.col("hi"))).select(columns)
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def components(w: World) -> DataFrame:
+    """The search from every order of `w`, made once for all plans on it."""
+    if "_components" not in w.__dict__:
+        w.__dict__["_components"] = search(w)
+    return w.__dict__["_components"]
 
 
-def component_features(w: World) -> DataFrame:
-    """k, component_size, abuse_ratio, proximity: of every order's component; the own confirmation is no evidence."""
+def component_features(w: World, reached: DataFrame | None = None) -> DataFrame:
+    """k, component_size, n_bad, abuse_ratio, proximity: of every order's component; the own confirmation is no evidence."""
     confirmed = w.accounts.select(F.col("c").alias("account"), "confirmed")
-    all_ = components(w).join(confirmed, "account", "left").withColumn("bad", (F.col("account") != F.col("self")) & F.coalesce(F.col("confirmed") < F.col("t0"), F.lit(False)))
+    all_ = (components(w) if reached is None else reached).join(confirmed, "account", "left").withColumn("bad", (F.col("account") != F.col("self")) & F.coalesce(F.col("confirmed") < F.col("t0"), F.lit(False)))
     one = all_.groupBy(F.col("q").alias("k")).agg(F.count("*").alias("component_size"), F.count_if("bad").alias("n_bad"), F.min(F.when(F.col("bad") & (F.col("depth") <= MAX_HOPS), F.col("depth"))).alias("hops"))
     ratio = (F.col("n_bad") + PRIOR_CONFIRMED) / (F.col("component_size") + PRIOR_ACCOUNTS)
-    return one.select("k", "component_size", ratio.alias("abuse_ratio"), F.coalesce(1 / (1 + F.col("hops")), F.lit(0.0)).alias("proximity"))
+    return one.select("k", "component_size", "n_bad", ratio.alias("abuse_ratio"), F.coalesce(1 / (1 + F.col("hops")), F.lit(0.0)).alias("proximity"))
 
 
-def burst_features(w: World) -> DataFrame:
+def burst_features(w: World, reached: DataFrame | None = None) -> DataFrame:
     """k, linked_orders_24h, same_sku_7d, burst_kinds, burst_weight, recent_claims_30d of every order's component."""
-    all_ = components(w)
+    all_ = components(w) if reached is None else reached
     skus = w.orders.select(F.col("k").alias("q"), "skus")
     peers = w.orders.select(F.col("c").alias("account"), F.col("t0").alias("t"), F.col("skus").alias("theirs"))
     near = all_.where("account <> self").join(peers, "account").where(f"t < t0 and t >= t0 - {7 * DAY}").join(skus, "q")
@@ -96,5 +155,6 @@ def burst_features(w: World) -> DataFrame:
     burst = near.groupBy(F.col("q").alias("k")).agg(F.count_if("day").alias("linked_orders_24h"), F.count_if("same").alias("same_sku_7d"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("kinds")))).alias("burst_kinds"), F.max("bottleneck").alias("burst_weight"))
     flags = w.events.where("event_type in ('CLAIM_FILED', 'QC_FLAGGED')").select(F.col("c").alias("account"), "t")
     claims = all_.join(flags, "account").where(f"t < t0 and t >= t0 - {30 * DAY}").groupBy(F.col("q").alias("k")).agg(F.count("*").alias("recent_claims_30d"))
-    out = w.orders.select("k").join(burst, "k", "left").join(claims, "k", "left")
+    start = w.orders.select("k") if reached is None else all_.where("depth = 0").select(F.col("q").alias("k"))
+    out = start.join(burst, "k", "left").join(claims, "k", "left")
     return out.select("k", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("linked_orders_24h", "same_sku_7d", "recent_claims_30d")), F.coalesce("burst_kinds", F.array().cast("array<string>")).alias("burst_kinds"), F.coalesce("burst_weight", F.lit(0.0)).alias("burst_weight"))

@@ -29,25 +29,28 @@ def variants_same_product(w: World) -> DataFrame:
 
 
 def account_history(w: World) -> DataFrame:
-    """k and prior_orders, returns_90d, claims_180d, matured, matured_returns, account_age_days."""
-    o = w.orders
-    matured = f"delivered + {RETURN_WINDOW}"
-    rows = o.select("c", "k", F.expr(
-        f"stack(3, 'order', t0, 0, 'return', returned, 0, 'matured', {matured}, if(returned <= {matured}, 1, 0)) as (what, t, flag)"
-    )).where("t is not null")
-    claims = w.events.where("event_type in ('CLAIM_FILED', 'QC_FLAGGED')")
-    rows = rows.unionByName(claims.select("c", "k", F.lit("claim").alias("what"), "t", F.lit(0).alias("flag")))
+    """k and prior_orders, returns_90d, claims_180d, matured, matured_returns, account_age_days.
+
+    A delivery's state begins and ends, so an order matures by a step of 1 at the end of its return window and, if it is
+    delivered once more, stops being mature by a step of -1 then. Sums of the steps before t0 are the counts as of t0.
+    """
+    rows = w.orders.select("c", "k", F.lit("order").alias("what"), F.col("t0").alias("t"), F.lit(0).alias("step"), F.lit(0).alias("flag"))
+    matured, back = f"delivered + {RETURN_WINDOW}", f"if(returned <= delivered + {RETURN_WINDOW}, 1, 0)"
+    steps = w.deliveries.where(f"until is null or {matured} < until")
+    steps = steps.select("c", "k", F.expr(f"stack(2, 'matured', {matured}, 1, {back}, 'matured', until, -1, -{back}) as (what, t, step, flag)")).where("t is not null")
+    kind = F.when(F.col("event_type") == "RETURNED", "return").when(F.col("event_type").isin("CLAIM_FILED", "QC_FLAGGED"), "claim")
+    events = w.events.select("c", "k", kind.alias("what"), "t", F.lit(0).alias("step"), F.lit(0).alias("flag")).where("what is not null")
+    rows = rows.unionByName(steps).unionByName(events)
     of = Window.partitionBy("c").orderBy("t")
 
-    def count(what: str, days: int | None = None):
+    def total(value, days: int | None = None):
         frame = of.rangeBetween(Window.unboundedPreceding if days is None else -days * DAY, -1)
-        return F.coalesce(F.sum(F.when(F.col("what") == what, 1).otherwise(0)).over(frame), F.lit(0)).cast("long")
+        return F.coalesce(F.sum(value).over(frame), F.lit(0)).cast("long")
 
-    before = of.rangeBetween(Window.unboundedPreceding, -1)
+    one = lambda what: F.when(F.col("what") == what, 1).otherwise(0)
     rows = rows.withColumns({
-        "prior_orders": count("order"), "returns_90d": count("return", 90), "claims_180d": count("claim", 180), "matured": count("matured"),
-        "matured_returns": F.coalesce(F.sum(F.when(F.col("what") == "matured", F.col("flag")).otherwise(0)).over(before), F.lit(0)).cast("long"),
-    }).where("what = 'order'").drop("what", "flag")
+        "prior_orders": total(one("order")), "returns_90d": total(one("return"), 90), "claims_180d": total(one("claim"), 180), "matured": total(F.col("step")), "matured_returns": total(F.col("flag")),
+    }).where("what = 'order'").drop("what", "step", "flag")
     age = ((F.col("t") - F.col("created")) / DAY).alias("account_age_days")
     return rows.join(w.accounts.drop("confirmed"), "c").select("k", "prior_orders", "returns_90d", "claims_180d", "matured", "matured_returns", age)
 
@@ -61,14 +64,14 @@ def return_rates(history: DataFrame) -> DataFrame:
 def customer_value(w: World) -> DataFrame:
     """k, clv, basis: expected margin of 36 months from matured orders of the last year that weren't returned.
 
-    As of t0 an order is in from its maturity until it is returned or a year old, so signed amounts at these times add up
-    in one running sum per account. Amounts are exact decimals: sums don't depend on their order.
+    As of t0 an order is in from its maturity until it is returned, delivered once more or a year old, so signed amounts at
+    these times add up in one running sum per account. Amounts are exact decimals: sums don't depend on their order.
     """
-    o = w.orders.select("c", "k", "t0", F.col("value").cast("decimal(18,2)").alias("value"), (F.col("delivered") + RETURN_WINDOW).alias("matured"), "returned")
-    # it counts at times after `matured` and up to a year after t0, and not after `returned`
-    left = F.least(F.col("t0") + 365 * DAY, F.coalesce("returned", F.col("t0") + 365 * DAY))
-    o = o.withColumn("left", left)
-    rows = o.select("c", "k", F.expr("stack(3, 'order', t0, cast(0 as decimal(18,2)), 'in', if(matured < left, matured, null), value, 'out', if(matured < left, left, null), -value) as (what, t, amount)")).where("t is not null")
+    orders = w.orders.select("c", "k", F.lit("order").alias("what"), F.col("t0").alias("t"), F.lit(0).cast("decimal(18,2)").alias("amount"))
+    # an order is in at times after its maturity, up to a year after t0, and not after its return or its next delivery
+    year = F.col("t0") + 365 * DAY
+    states = w.deliveries.select("c", "k", F.col("value").cast("decimal(18,2)").alias("value"), (F.col("delivered") + RETURN_WINDOW).alias("matured"), F.least(year, F.coalesce("returned", year), F.coalesce("until", year)).alias("left")).where("matured < left")
+    rows = orders.unionByName(states.select("c", "k", F.expr("stack(2, 'in', matured, value, 'out', left, cast(-value as decimal(18,2))) as (what, t, amount)")))
     running = Window.partitionBy("c").orderBy("t").rangeBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("sum", F.coalesce(F.sum("amount").over(running), F.lit(0)).cast("double")).where("what = 'order'")
     rows = rows.join(w.accounts, "c").withColumn("tenure", F.greatest((F.col("t") - F.col("created")) / DAY, F.lit(0.0)))

@@ -8,12 +8,12 @@ from types import SimpleNamespace
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import history
 from ..sources.store import written
 from ..sources.world import DAY, World
 from . import audit, policy
 from .policy import ACTIONS, Policy
 
+#: Normal quantile of a two-sided interval of 95 % (fixed value).
 Z = 1.959963984540054
 #: Risk bands [low, high), the last one closed (fixed values).
 BANDS = ((0.0, 0.05), (0.05, 0.15), (0.15, 0.30), (0.30, 0.50), (0.50, 0.70), (0.70, 1.0))
@@ -26,8 +26,18 @@ def as_of(w: World) -> int:
 
 def frame(w: World, split: str | None = None) -> DataFrame:
     """Decided orders with their labels: one row per order (of a split)."""
-    df = policy.decide(policy.contexts(w)).join(history.labels(w, as_of(w)), "k").join(w.splits, "k")
-    return df.where(F.col("split") == split) if split else df
+    keys = w.splits.where(F.col("split") == split) if split else None
+    return labelled(policy.decide(policy.contexts(w, keys)), w)
+
+
+def labelled(df: DataFrame, w: World) -> DataFrame:
+    """`df` with each order's labels and split."""
+    return df.join(w.labels(as_of(w)), "k").join(w.splits, "k")
+
+
+def scored_frame(w: World) -> DataFrame:
+    """Scored orders with their labels, for what reads no decision."""
+    return labelled(policy.scored(w), w)
 
 
 def average_precision(df: DataFrame, score: str = "p_abuse", label: str = "abuse_label") -> DataFrame:

@@ -337,6 +337,13 @@ _DISCOUNTED = """ , nd AS (SELECT q AS k, count(*) AS n_discounted FROM (
       , ex AS (SELECT dc.*, coalesce(n_discounted, 0) AS n_discounted, component_size, n_bad, hops, n_variants, (n_bad + 1) / (component_size + 10) AS abuse_ratio FROM dc JOIN cf USING (k) LEFT JOIN nd USING (k) LEFT JOIN va USING (k))"""
 _PL = lambda n, one, many: f"CASE WHEN {n} = 1 THEN '{one}' ELSE '{many}' END"
 
+def _eventful(sql: str) -> str:
+    """The SQL of a log in which orders are delivered and resolved once more: the latest delivery before an order counts, and the first confirmation."""
+    later = f"(CASE WHEN b.k % 5 = 0 AND b.delivered + {35 * DAY} < a.t0 THEN b.delivered + {35 * DAY} ELSE b.delivered END)"
+    sql = sql.replace("b.delivered +", f"{later} +")
+    return sql.replace("CASE WHEN k % 2 = 0 THEN resolved END AS confirmed", f"CASE WHEN k % 2 = 0 THEN resolved WHEN k % 3 = 0 THEN resolved + {5 * DAY} END AS confirmed")
+
+
 ORACLES |= {
     "event_labels": WORLD + LABELS + " SELECT 'ORD-' || k AS order_id, return_label, return_type, round(returned_fraction, 9) AS returned_fraction, abuse_status, abuse_label FROM lb",
     "log_violations": "SELECT rule, 0 AS violations FROM (VALUES ('duplicate_accounts'), ('duplicate_identifiers'), ('duplicate_orders'), ('duplicate_order_lines'), ('duplicate_order_events'), ('order_before_account'), ('order_without_account'), ('event_before_order'), ('event_without_order'), ('line_without_order'), ('token_iff_prepaid')) AS t(rule)",
@@ -347,6 +354,10 @@ ORACLES |= {
     "latest_identifiers": WORLD + f" , b AS (SELECT *, 'ORD-' || k AS oid FROM o WHERE t0 < {_MIDDLE}) SELECT 'ACC-' || c AS account_id, arg_max(device_id, (t0, oid)) AS device_id, arg_max(address_id, (t0, oid)) AS address_id, arg_max(token_id, (t0, oid)) FILTER (WHERE token_id IS NOT NULL) AS payment_token_id FROM b GROUP BY c",
     "new_accounts": WORLD + f" SELECT 'ACC-' || c AS account_id FROM acc WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.c = acc.c AND o.t0 < {_MIDDLE})",
     "log_decide": DECISIONS + " SELECT 'ORD-' || k AS k, value, p_abuse, action FROM dc",
+    "log_history": _eventful(HISTORY + LABELS) + " SELECT k, prior_orders, returns_90d, claims_180d, matured, matured_returns, round(account_age_days, 6) AS account_age_days, round(clv, 4) AS clv, return_label, abuse_status FROM hist JOIN clv USING (k) JOIN lb USING (k)",
+    "log_backtest": _eventful(ORACLES["backtest"]),
+    "log_splits": WORLD + f""" , dy AS (SELECT (t0 - (SELECT min(t0) // {DAY} * {DAY} FROM o)) // {DAY} + 1 AS day FROM o)
+      SELECT CASE WHEN day <= 200 THEN 'TRAIN' WHEN day <= 230 THEN 'GAP' WHEN day <= 275 THEN 'CALIBRATION' WHEN day <= 305 THEN 'GAP' WHEN day <= 365 THEN 'TEST' ELSE 'RECENT' END AS split, count(*) AS n FROM dy GROUP BY 1""",
     "reason_texts": DECISIONS + _DISCOUNTED + f""" , rs AS (SELECT k, action, cost_optimal, n_discounted, account_age_days, prior_orders, claims_180d, list_filter([
           CASE WHEN device_confirmed_weight >= 0.3 THEN {{'c': 'GRAPH_DEVICE_CONFIRMED_LINK', 't': device_confirmed_peers || ' ' || {_PL('device_confirmed_peers', 'account', 'accounts')} || ' with confirmed abuse used the same device before.'}} END,
           CASE WHEN token_others_30d >= 2 THEN {{'c': 'GRAPH_TOKEN_REUSE', 't': token_others_30d || ' other ' || {_PL('token_others_30d', 'account', 'accounts')} || ' paid with the same method within 30 days.'}} END,

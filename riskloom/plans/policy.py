@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import component, history, links
-from ..sources.store import written
 from ..sources.world import DAY, World
 
 #: From the least severe to the most.
@@ -95,7 +94,7 @@ def cheapest(cost: dict[str, Column], allowed: dict[str, Column], tolerance: flo
 
 
 def signals() -> dict[str, tuple[Column, Column, Column]]:
-    """Of each signal: observed, counted, weight (0 if not observed)."""
+    """Of each signal: observed, counted, weight (0 if not observed). Thresholds are fixed values."""
     c = F.col
     seen = {
         "DEVICE": (c("device_confirmed_weight") >= 0.3) | (c("device_others_30d") >= 3), "PAYMENT_TOKEN": c("token_others_30d") >= 2,
@@ -115,14 +114,19 @@ def scores(df: DataFrame) -> DataFrame:
     return df.withColumn("p_abuse", F.expr(f"round(1 / (1 + exp(-({z}))), 6)")).withColumn("p_return", F.expr(f"round(1 / (1 + exp(-({r}))), 6)"))
 
 
-def contexts(w: World) -> DataFrame:
-    """All inputs of a decision, one row per order."""
+def scored(w: World, keys: DataFrame | None = None) -> DataFrame:
+    """All inputs of the scores, one row per order (of `keys`, with k); links of accounts further away aren't read."""
     h = history.account_history(w)
     rates = history.return_rates(h).select("k", "return_rate_smoothed", "return_rate")
-    df = w.orders.select("k", "c", "t0", "value", "discount_pct", "payment_method", "n_items").join(h, "k").join(rates, "k").join(history.customer_value(w), "k").join(links.evidence(w), "k")
-    # written once: each use would walk the components' levels again
-    df = df.join(written(component.burst_features(w)), "k")
-    return scores(df)
+    o = w.orders.select("k", "c", "t0", "value", "discount_pct", "payment_method", "n_items")
+    o = o if keys is None else o.join(keys.select("k"), "k", "left_semi")
+    return scores(o.join(h, "k").join(rates, "k").join(history.customer_value(w), "k").join(links.evidence(w), "k"))
+
+
+def contexts(w: World, keys: DataFrame | None = None) -> DataFrame:
+    """All inputs of a decision, one row per order (of `keys`): the scores' inputs and the bursts of the order's component."""
+    reached = None if keys is None else component.search(w, keys)
+    return scored(w, keys).join(component.burst_features(w, reached), "k")
 
 
 def guarded(df: DataFrame, y: Policy = Policy(), graph_age: Column | None = None) -> DataFrame:

@@ -21,8 +21,8 @@ def _r(name: str, digits: int) -> Column:
     return F.round(name, digits).alias(name)
 
 
-def _decided(w: World) -> DataFrame:
-    return policy.decide(policy.contexts(w))
+def _decided(w: World, keys: DataFrame | None = None) -> DataFrame:
+    return policy.decide(policy.contexts(w, keys))
 
 
 def _middle(w: World) -> int:
@@ -50,16 +50,29 @@ def _log_snapshot(w: World) -> DataFrame:
     return out
 
 
+def _eventful(w: World) -> World:
+    """The world as a log in which events repeat."""
+    return log.LogWorld(log.eventful(log.of_world(w)), truth=w.truth.withColumn("account_id", F.concat(F.lit("ACC-"), "c"))).kept()
+
+
+def _log_history(w: World) -> DataFrame:
+    """What the repeated events of a log change: maturity, value, and labels by the first events."""
+    x = _eventful(w)
+    h, values, known = history.account_history(x), history.customer_value(x), x.labels(evaluation.as_of(x))
+    out = h.join(values, "k").join(known, "k").select("k", "prior_orders", "returns_90d", "claims_180d", "matured", "matured_returns", _r("account_age_days", 6), _r("clv", 4), "return_label", "abuse_status")
+    return out.withColumn("k", F.expr("cast(substring(k, 5) as bigint)"))
+
+
 def _override_outcomes(w: World) -> DataFrame:
     """Two requests for every 50th order: one expects the decision and blocks, the next expects a block and allows."""
-    d = written(_decided(w).where("k % 50 = 0"))
+    d = written(_decided(w, w.orders.where("k % 50 = 0")))
     first = d.select((F.col("k") * 2).alias("seq"), "k", F.col("action").alias("expected_action"), F.lit("BLOCK").alias("new_action"), F.expr("if(k % 100 = 0, 'INDEPENDENT_EVIDENCE_OF_ABUSE', 'OTHER')").alias("reason"))
     second = d.select((F.col("k") * 2 + 1).alias("seq"), "k", F.lit("BLOCK").alias("expected_action"), F.lit("ALLOW").alias("new_action"), F.lit("OTHER").alias("reason"))
     return audit.overrides(d, first.unionByName(second))
 
 
 def _attributions(w: World) -> DataFrame:
-    df = written(evaluation.frame(w))
+    df = written(evaluation.scored_frame(w))
     train = written(df.where("split = 'TRAIN'"))
     model = models.fit_abuse(train)
     return models.ablation(model, df.where("split = 'TEST'"), models.reference_values(train))
@@ -67,14 +80,14 @@ def _attributions(w: World) -> DataFrame:
 
 def _trained(w: World) -> DataFrame:
     """Average precision of the trained abuse model on later orders."""
-    df = written(evaluation.frame(w))
+    df = written(evaluation.scored_frame(w))
     model = models.fit_abuse(df.where("split = 'TRAIN'"))
     scored = models.predict(model, df.where("split = 'TEST'"), "score").withColumn("score", F.round("score", 9))
     return evaluation.average_precision(scored, score="score")
 
 
 def _trained_returns(w: World) -> DataFrame:
-    df = written(evaluation.frame(w))
+    df = written(evaluation.scored_frame(w))
     model = models.fit_return(df.where("split = 'TRAIN'"))
     calibration = models.predict(model, df.where("split = 'CALIBRATION'"), "score")
     iso = models.calibrate_isotonic(calibration, "score", "return_label")
@@ -83,7 +96,7 @@ def _trained_returns(w: World) -> DataFrame:
 
 def _without_links(w: World) -> DataFrame:
     """model, average_precision of the sigmoid-calibrated abuse model, and of one trained without link features."""
-    df, out = written(evaluation.frame(w)), None
+    df, out = written(evaluation.scored_frame(w)), None
     for name, features in (("full", models.ABUSE), ("without_links", [f for f in models.ABUSE if f not in models.GRAPH])):
         model = models.fit_abuse(df.where("split = 'TRAIN'"), features)
         calibrated = models.calibrate_sigmoid(models.predict(model, df.where("split = 'CALIBRATION'"), "score"), "score", "abuse_label")
@@ -109,7 +122,7 @@ _WORLD: dict[str, Callable[[World], DataFrame]] = {
     "account_history": lambda w: history.account_history(w).withColumn("account_age_days", F.round("account_age_days", 6)),
     "return_rates": lambda w: history.return_rates(history.account_history(w)).select("k", _r("return_rate_smoothed", 9), _r("return_rate", 9)),
     "customer_value": lambda w: history.customer_value(w).select("k", _r("clv", 4), "basis"),
-    "labels": lambda w: history.labels(w, evaluation.as_of(w)).withColumn("returned_fraction", F.round("returned_fraction", 9)),
+    "labels": lambda w: w.labels(evaluation.as_of(w)).withColumn("returned_fraction", F.round("returned_fraction", 9)),
     "splits": lambda w: w.splits,
     "links": lambda w: links.links(w).select("q", "kind", "ident", "other", "first", "last", "sequential", "multi_tenant", "confirmed", _r("weight", 9)),
     "link_evidence": lambda w: (e := links.evidence(w)).select(*(_r(c, 9) if t == "double" else c for c, t in e.dtypes)),
@@ -118,26 +131,26 @@ _WORLD: dict[str, Callable[[World], DataFrame]] = {
     "discounted_links": links.discounted,
     "component": lambda w: component.component_features(w).select("k", "component_size", _r("abuse_ratio", 9), _r("proximity", 9)),
     "burst": lambda w: component.burst_features(w).withColumn("burst_kinds", F.array_join("burst_kinds", ",")).withColumn("burst_weight", F.round("burst_weight", 9)),
-    "scores": lambda w: policy.contexts(w).select("k", "p_abuse", "p_return"),
+    "scores": lambda w: policy.scored(w).select("k", "p_abuse", "p_return"),
     "guardrails": lambda w: policy.guarded(policy.contexts(w)).select("k", "n_counted", "g2", "g3", "g4", "g5"),
     "action_costs": lambda w: _decided(w).select("k", *(_r(f"cost_{a.lower()}", 1) for a in policy.ACTIONS)),
     "decide": lambda w: _decided(w).select("k", "value", "p_abuse", "cost_optimal", "action", "status"),
-    "baselines": lambda w: policy.contexts(w).select("k", policy.fixed_threshold(F.col("p_abuse"), 0.7, 0.4).alias("fixed_threshold"), policy.rule_based().alias("rule_based"), F.lit("ALLOW").alias("allow_all")),
+    "baselines": lambda w: policy.scored(w).select("k", policy.fixed_threshold(F.col("p_abuse"), 0.7, 0.4).alias("fixed_threshold"), policy.rule_based().alias("rule_based"), F.lit("ALLOW").alias("allow_all")),
     "slope_check": policy.slope_check,
-    "average_precision": lambda w: evaluation.average_precision(evaluation.frame(w)),
-    "brier": lambda w: evaluation.brier(evaluation.frame(w)),
-    "reliability": lambda w: evaluation.reliability(evaluation.frame(w)),
-    "calibration_error": lambda w: evaluation.calibration_error(evaluation.frame(w)),
-    "risk_bands": lambda w: evaluation.risk_bands(evaluation.frame(w)),
+    "average_precision": lambda w: evaluation.average_precision(evaluation.scored_frame(w)),
+    "brier": lambda w: evaluation.brier(evaluation.scored_frame(w)),
+    "reliability": lambda w: evaluation.reliability(evaluation.scored_frame(w)),
+    "calibration_error": lambda w: evaluation.calibration_error(evaluation.scored_frame(w)),
+    "risk_bands": lambda w: evaluation.risk_bands(evaluation.scored_frame(w)),
     "backtest": lambda w: evaluation.backtest(evaluation.frame(w)),
     "tune_thresholds": lambda w: evaluation.tune_thresholds(evaluation.frame(w, "CALIBRATION")),
     "guardrail_price": lambda w: evaluation.guardrail_price(evaluation.frame(w)).withColumn("extra_cost", F.round("extra_cost", 1)),
     "action_distribution": lambda w: evaluation.action_distribution(evaluation.frame(w)),
-    "label_counts": lambda w: evaluation.frame(w).groupBy("split", "abuse_status").agg(F.count("*").alias("n"), F.count("abuse_label").alias("labelled")),
+    "label_counts": lambda w: w.labels(evaluation.as_of(w)).join(w.splits, "k").groupBy("split", "abuse_status").agg(F.count("*").alias("n"), F.count("abuse_label").alias("labelled")),
     "cohorts": lambda w: evaluation.cohorts(evaluation.frame(w)),
-    "label_sensitivity": lambda w: evaluation.label_sensitivity(evaluation.frame(w)),
+    "label_sensitivity": lambda w: evaluation.label_sensitivity(evaluation.scored_frame(w)),
     "cost_sensitivity": lambda w: evaluation.cost_sensitivity(evaluation.frame(w)),
-    "bootstrap_interval": lambda w: evaluation.bootstrap_interval(evaluation.frame(w)),
+    "bootstrap_interval": lambda w: evaluation.bootstrap_interval(evaluation.scored_frame(w)),
     "queue": lambda w: review.queue(_decided(w).where("action <> 'ALLOW'"), sort="p_abuse").select("k", "t0", "value", "p_abuse", "action"),
     "queue_counts": lambda w: review.queue_counts(_decided(w)),
     "activity_metrics": lambda w: review.activity(_decided(w)),
@@ -151,7 +164,7 @@ _WORLD: dict[str, Callable[[World], DataFrame]] = {
     "placeholders": lambda w: w.table("customer").select("c_custkey", (money.is_placeholder("c_mktsegment") | money.is_placeholder((F.col("c_custkey") % 10).cast("string"))).alias("placeholder")),
     "hmac_ids": lambda w: w.table("customer").select("c_custkey", F.substring(money.hmac_sha256("secret", F.col("c_name")), 1, 32).alias("ident")),
     "money_text": lambda w: w.orders.select("k", money.rupees(F.col("value")).alias("rupees"), money.percent(F.col("discount_pct") / 100).alias("discount")),
-    "reason_codes": lambda w: models.explained(policy.contexts(w)),
+    "reason_codes": lambda w: models.explained(policy.scored(w)),
     "attributions": _attributions,
     "train_abuse": _trained,
     "train_return": _trained_returns,
@@ -163,12 +176,15 @@ _WORLD: dict[str, Callable[[World], DataFrame]] = {
     "latest_identifiers": lambda w: log.latest_identifiers(log.of_world(w), _middle(w)),
     "new_accounts": lambda w: log.new_accounts(log.of_world(w), _middle(w)).select("account_id"),
     "log_decide": lambda w: policy.decide(policy.contexts(log.LogWorld(log.of_world(w)).kept())).select("k", "value", "p_abuse", "action"),
+    "log_history": lambda w: _log_history(w),
+    "log_backtest": lambda w: evaluation.backtest(evaluation.frame(_eventful(w))),
+    "log_splits": lambda w: _eventful(w).splits.groupBy("split").agg(F.count("*").alias("n")),
     "reason_texts": lambda w: explain.assessed(w).select("k", F.array_join(F.transform("reasons", lambda r: r["code"]), ",").alias("reasons"), F.array_join(F.transform("mitigating", lambda r: r["code"]), ",").alias("mitigating"), F.array_join(F.transform("reasons", lambda r: r["text"]), " ").alias("text"), "rule"),
     "cost_rows": lambda w: (d := _decided(w)).select("k", F.explode(explain.cost_rows(d)).alias("x")).select("k", "x.action", "x.feasible", F.array_join("x.excluded_by", ",").alias("excluded_by"), "x.rank"),
     "policy_texts": lambda w: _decided(w).select("k", explain.policy_text().alias("text")),
     "risk_summary": lambda w: explain.evidence(w).select("k", order_view.risk_summary().alias("summary")),
     "graph_summary": lambda w: order_view.graph_summary(explain.evidence(w)),
-    "order_detail": lambda w: order_view.detail(w, _decided(w), w.orders.where("k % 100 = 0")).select("k", "value", "action", "fixed_threshold", "rule_based", F.size("lines").cast("long").alias("n_lines"), "earlier_orders", "earlier_returns", "last_seen"),
+    "order_detail": lambda w: order_view.detail(w, _decided(w, w.orders.where("k % 100 = 0")), w.orders.where("k % 100 = 0")).select("k", "value", "action", "fixed_threshold", "rule_based", F.size("lines").cast("long").alias("n_lines"), "earlier_orders", "earlier_returns", "last_seen"),
     "account_past": lambda w: order_view.past(w, w.orders.where("k % 100 = 0")),
     "assumptions": lambda w: order_view.assumptions(w.spark).select("name", "value"),
     "build_options": lambda w: order_view.options(w, _middle(w)),
@@ -179,15 +195,15 @@ _WORLD: dict[str, Callable[[World], DataFrame]] = {
     "override_outcomes": _override_outcomes,
     "appeals": lambda w: audit.appeals(w.orders.where("k % 10 = 0").select(F.col("k").alias("seq"), F.expr("k div 20").alias("k"))),
     "seeded": lambda w: audit.seeded(_decided(w)).agg(F.count("*").alias("n"), F.count_if(F.col("action") != "ALLOW").alias("flagged")),
-    "summary_by_split": lambda w: report.summary(evaluation.frame(w), ["split"]),
-    "equal_width_error": lambda w: report.equal_width_error(evaluation.frame(w), ["split"]),
-    "bands_by_split": lambda w: report.bands_by_split(evaluation.frame(w)),
-    "cohort_metrics": lambda w: report.cohort_metrics(report.with_truth(evaluation.frame(w), w)),
+    "summary_by_split": lambda w: report.summary(evaluation.scored_frame(w), ["split"]),
+    "equal_width_error": lambda w: report.equal_width_error(evaluation.scored_frame(w), ["split"]),
+    "bands_by_split": lambda w: report.bands_by_split(evaluation.scored_frame(w)),
+    "cohort_metrics": lambda w: report.cohort_metrics(report.with_truth(evaluation.scored_frame(w), w)),
     "ring_actions": lambda w: report.ring_actions(report.with_truth(evaluation.frame(w), w)),
-    "ring_recall": lambda w: report.ring_recall(report.with_truth(evaluation.frame(w), w)),
+    "ring_recall": lambda w: report.ring_recall(report.with_truth(evaluation.scored_frame(w), w)),
     "archetype_backtest": lambda w: evaluation.backtest(report.with_truth(evaluation.frame(w), w), by=("archetype",)).where("strategy = 'POLICY'").select("archetype", "n", "cost_per_1000", "genuine_block_rate", "friction_rate"),
-    "link_uplift": lambda w: report.uplift(written(evaluation.frame(w))),
-    "separation": lambda w: report.separation(policy.contexts(w)),
+    "link_uplift": lambda w: report.uplift(written(evaluation.scored_frame(w))),
+    "separation": lambda w: report.separation(policy.scored(w)),
     "guardrail_overlap": lambda w: report.guardrail_overlap(_decided(w)),
     "world_figures": report.world_figures,
     "keyed_ids": lambda w: w.table("customer").select("c_custkey", money.keyed_id("secret", "ACC", F.col("c_name"), 10).alias("account_id"), money.uuid5("6ba7b810-9dad-11d1-80b4-00c04fd430c8", F.col("c_name")).alias("uuid"), F.round(money.logit(F.col("c_acctbal") / 10000), 9).alias("logit")),

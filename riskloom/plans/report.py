@@ -61,13 +61,8 @@ def cohort_metrics(df: DataFrame) -> DataFrame:
     return summary(rows, ["family", "cohort"])
 
 
-def truth(w: World) -> DataFrame:
-    """c, archetype, ring: what an account is by construction; for evaluation only."""
-    return w.accounts.select("c", F.expr("case when c % 10 = 9 then 'SHARED_HOUSE' when c % 16 in (4, 5, 6, 7) then 'RING' else 'NORMAL' end").alias("archetype"), F.expr("if(c % 10 <> 9 and c % 16 in (4, 5, 6, 7), concat('R', (c div 16) % 5), null)").alias("ring"))
-
-
 def with_truth(df: DataFrame, w: World) -> DataFrame:
-    return df.join(truth(w), "c", "left")
+    return df.join(w.truth, "c", "left")
 
 
 def ring_actions(df: DataFrame) -> DataFrame:
@@ -109,7 +104,7 @@ def world_figures(w: World) -> DataFrame:
         F.count("*").alias("orders"), F.count_distinct("c").alias("accounts"), F.round(F.avg(F.col("returned").isNotNull().cast("int")), 6).alias("return_rate"),
         F.round(F.avg(F.col("claimed").isNotNull().cast("int")), 6).alias("claim_rate"), F.round(F.avg((F.col("before") > 0).cast("int")), 6).alias("prior_claim_share"),
     )
-    rings = w.orders.join(truth(w), "c").where("ring is not null").groupBy("ring").count().agg(F.median("count").alias("median_ring_orders"))
+    rings = w.orders.join(w.truth, "c").where("ring is not null").groupBy("ring").count().agg(F.median("count").alias("median_ring_orders"))
     return figures.crossJoin(rings)
 
 

@@ -128,7 +128,7 @@ def fingerprint(df: DataFrame) -> DataFrame:
 
 
 def outcomes(log: EventLog, before: int | None = None) -> DataFrame:
-    """order_id and, of its events (before an instant): first and last delivery, first return or exchange, first dispute of each
+    """order_id and, of its events (before an instant): first delivery, first return or exchange, first dispute of each
     kind, first resolution and confirmation, and what came back.
     """
     e = log.order_events.join(log.orders.select("order_id", "placed_at"), "order_id").where("occurred_at >= placed_at")
@@ -137,7 +137,7 @@ def outcomes(log: EventLog, before: int | None = None) -> DataFrame:
     at = lambda *kinds: F.when(F.col("event_type").isin(*kinds), F.col("occurred_at"))
     first = lambda value, *kinds: F.min_by(value, F.when(F.col("event_type").isin(*kinds), F.struct("occurred_at", "event_id")))
     return e.groupBy("order_id").agg(
-        F.min(at("DELIVERED")).alias("delivered"), F.max(at("DELIVERED")).alias("last_delivered"), F.min(at(*BACK)).alias("returned"), first("event_type", *BACK).alias("back"),
+        F.min(at("DELIVERED")).alias("delivered"), F.min(at(*BACK)).alias("returned"), first("event_type", *BACK).alias("back"),
         first("returned_value_fraction", *BACK).alias("fraction"), F.min(at("CLAIM_FILED")).alias("claimed"), F.min(at("QC_FLAGGED")).alias("flagged"),
         F.min(at(*RESOLUTIONS)).alias("resolved"), first("event_type", *RESOLUTIONS).alias("resolution"), F.min(at("ABUSE_CONFIRMED")).alias("confirmed"),
     )
@@ -174,9 +174,9 @@ def labels(log: EventLog, as_of: int, window: int = 30 * DAY, dispute: int = 60
     )
 
 
-def split_of(t: Column, first_day: int, demo: Column | None = None) -> Column:
+def split_of(t: Column, first_day: Column, demo: Column | None = None) -> Column:
     """The split of an instant by its day, from 1 on the first day of history; accounts made by hand are always RECENT."""
-    day = F.floor((t - F.lit(first_day)) / DAY) + 1
+    day = F.floor((t - first_day) / DAY) + 1
     out = F.lit("RECENT")
     for name, last in reversed(SPLIT_DAYS):
         out = F.when(day <= last, name).otherwise(out)
@@ -222,17 +222,44 @@ def rejected_ids(secret: str) -> list[str]:
 class LogWorld(World):
     """A log in the shape of the order world: keys k and c are the log's ids."""
 
-    def __init__(self, log: EventLog, secret: str | None = None) -> None:
+    def __init__(self, log: EventLog, secret: str | None = None, truth: DataFrame | None = None) -> None:
         super().__init__(log.orders.sparkSession, "")
         object.__setattr__(self, "log", log)
+        object.__setattr__(self, "secret", secret)
         object.__setattr__(self, "rejected", rejected_ids(secret) if secret else None)
+        object.__setattr__(self, "known_truth", truth)
 
     def kept(self) -> World:
-        world = LogWorld(self.log)
-        object.__setattr__(world, "rejected", self.rejected)
-        for name in ("orders", "accounts", "multi_tenant"):
-            world.__dict__[name] = written(getattr(world, name))
-        return world
+        return KeptLogWorld(self.log, self.secret, self.known_truth)
+
+    @cached_property
+    def deliveries(self) -> DataFrame:
+        """A later delivery of an order takes the place of the one before, from its own time on."""
+        of = self.log.orders.select(F.col("order_id"), F.col("account_id").alias("c"), F.col("placed_at").alias("t0"), F.col("order_value_inr").alias("value"))
+        e = self.log.order_events.join(of, "order_id").where("occurred_at >= t0")
+        first = F.min(F.when(F.col("event_type").isin(*BACK), F.col("occurred_at"))).over(Window.partitionBy("order_id"))
+        seen = e.withColumn("returned", first).where("event_type = 'DELIVERED'").select("order_id", "c", "t0", "value", "returned", F.col("occurred_at").alias("delivered")).distinct()
+        until = F.lead("delivered").over(Window.partitionBy("order_id").orderBy("delivered"))
+        return seen.withColumn("until", until).withColumnRenamed("order_id", "k")
+
+    @cached_property
+    def truth(self) -> DataFrame:
+        """The table that was given with the log (account_id, archetype, ring); without one nothing is known of any account."""
+        if self.known_truth is None:
+            return self.log.accounts.select(F.col("account_id").alias("c"), F.lit("UNKNOWN").alias("archetype"), F.lit(None).cast("string").alias("ring"))
+        return self.known_truth.select(F.col("account_id").alias("c"), "archetype", "ring")
+
+    def labels(self, as_of: int) -> DataFrame:
+        """By the first events inside the windows; see the function `labels`."""
+        return labels(self.log, as_of).withColumnRenamed("order_id", "k")
+
+    @cached_property
+    def splits(self) -> DataFrame:
+        """By the order's day, counted from the day of the first order."""
+        first = self.log.orders.agg(F.min("placed_at").alias("first")).select((F.col("first") - F.pmod("first", F.lit(DAY))).alias("first"))
+        demo = self.log.accounts.select("account_id", (F.col("source") == "DEMO").alias("demo"))
+        days = self.log.orders.join(demo, "account_id", "left").crossJoin(F.broadcast(first))
+        return days.select(F.col("order_id").alias("k"), split_of(F.col("placed_at"), F.col("first"), F.coalesce("demo", F.lit(False))).alias("split"))
 
     @cached_property
     def lines(self) -> DataFrame:
@@ -243,7 +270,7 @@ class LogWorld(World):
     def orders(self) -> DataFrame:
         skus = self.lines.groupBy("k").agg(F.sort_array(F.collect_set("sku")).alias("skus"))
         flags = self.log.identifiers.where("multi_tenant_set_at is not null").select(F.col("identifier_id").alias("address_id"), F.lit(True).alias("shared_address"))
-        found = outcomes(self.log).withColumnRenamed("order_id", "k").withColumn("exchanged", F.coalesce(F.col("back") == "EXCHANGE_REQUESTED", F.lit(False))).drop("back", "resolution", "last_delivered")
+        found = outcomes(self.log).withColumnRenamed("order_id", "k").withColumn("exchanged", F.coalesce(F.col("back") == "EXCHANGE_REQUESTED", F.lit(False))).drop("back", "resolution")
         known = lambda c: F.when(known_identifier(F.col(c), self.rejected), F.col(c))
         o = self.log.orders.select(
             F.col("order_id").alias("k"), F.col("account_id").alias("c"), F.col("placed_at").alias("t0"), F.col("order_value_inr").alias("value"), "discount_pct", "n_items", "delivery_speed", "payment_method",
@@ -268,6 +295,22 @@ class LogWorld(World):
         return self.log.identifiers.where("multi_tenant_set_at is not null").select(F.col("identifier_id").alias("ident"), F.col("multi_tenant_set_at").alias("since"))
 
 
+class KeptLogWorld(LogWorld):
+    """A log's world that writes what several plans read, each table at its first use."""
+
+    @cached_property
+    def orders(self) -> DataFrame:
+        return written(LogWorld.orders.func(self))
+
+    @cached_property
+    def accounts(self) -> DataFrame:
+        return written(LogWorld.accounts.func(self))
+
+    @cached_property
+    def multi_tenant(self) -> DataFrame:
+        return written(LogWorld.multi_tenant.func(self))
+
+
 def of_world(w: World) -> EventLog:
     """The star tables' world as a log. Ids are text; the two dispute times, returns and resolutions become events."""
     o = w.orders
@@ -286,3 +329,14 @@ def of_world(w: World) -> EventLog:
     events = o.select("k", "fraction", F.expr(stack)).where("occurred_at is not null")
     events = events.select((F.col("k") * 5 + F.col("n")).alias("event_id"), order.alias("order_id"), "event_type", "occurred_at", F.when(F.col("n") == 1, F.col("fraction")).alias("returned_value_fraction"))
     return EventLog(accounts, identifiers, orders, lines, events)
+
+
+def eventful(log: EventLog) -> EventLog:
+    """A log of `of_world` in which every fifth order is delivered twice, and every third one that was resolved is resolved again, the other way."""
+    number = F.expr("cast(substring(order_id, 5) as bigint)")
+    e = log.order_events.withColumn("n", number)
+    again = e.where("event_type = 'DELIVERED' and n % 5 = 0").withColumn("occurred_at", F.col("occurred_at") + 35 * DAY)
+    other = F.when(F.col("event_type") == "ABUSE_CONFIRMED", "ABUSE_CLEARED").otherwise("ABUSE_CONFIRMED")
+    turned = e.where(F.col("event_type").isin(*RESOLUTIONS) & (F.col("n") % 3 == 0)).withColumn("event_type", other).withColumn("occurred_at", F.col("occurred_at") + 5 * DAY)
+    more = again.unionByName(turned).withColumn("event_id", -1 - F.col("event_id"))
+    return replace(log, order_events=log.order_events.unionByName(more.drop("n")))

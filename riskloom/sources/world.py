@@ -36,16 +36,11 @@ class World:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
     def kept(self) -> World:
-        """This world with its orders and accounts written once, so that no plan on it reads or groups the lines again.
+        """This world with its orders, accounts and flags written when they are first read, so that no plan on it reads or groups the lines again.
 
         Events, uses and edges are narrow projections of the written orders. For plans that use them more than once.
         """
-        orders = written(self.orders)
-        world = World(self.spark, self.sf_dir)
-        world.__dict__["orders"] = orders
-        world.__dict__["accounts"] = written(world.accounts)
-        world.__dict__["multi_tenant"] = written(world.multi_tenant)
-        return world
+        return KeptWorld(self.spark, self.sf_dir)
 
     @cached_property
     def lines(self) -> DataFrame:
@@ -103,6 +98,17 @@ class World:
         kinds = "'DELIVERED', delivered, 'RETURNED', returned, 'CLAIM_FILED', claimed, 'QC_FLAGGED', flagged, 'RESOLVED', resolved"
         return self.orders.select("k", "c", F.expr(f"stack(5, {kinds}) as (event_type, t)")).where("t is not null")
 
+    @cached_property
+    def deliveries(self) -> DataFrame:
+        """k, c, t0, value, returned, delivered, until: each order's state of delivery, which holds from `delivered` to `until` (null: for good)."""
+        return self.orders.where("delivered is not null").select("k", "c", "t0", "value", "returned", "delivered", F.lit(None).cast("long").alias("until"))
+
+    @cached_property
+    def truth(self) -> DataFrame:
+        """c, archetype, ring: what an account is by construction; for evaluation only."""
+        kind = "case when c % 10 = 9 then 'SHARED_HOUSE' when c % 16 in (4, 5, 6, 7) then 'RING' else 'NORMAL' end"
+        return self.accounts.select("c", F.expr(kind).alias("archetype"), F.expr("if(c % 10 <> 9 and c % 16 in (4, 5, 6, 7), concat('R', (c div 16) % 5), null)").alias("ring"))
+
     @cached_property
     def uses(self) -> DataFrame:
         """k, c, kind, ident, t: every use of an identifier by an order."""
@@ -120,6 +126,12 @@ class World:
         nth = F.row_number().over(Window.partitionBy("ident").orderBy("first", "c"))
         return first.withColumn("n", nth).where("n = 8").select("ident", (F.col("first") + 7 * DAY).alias("since"))
 
+    def labels(self, as_of: int) -> DataFrame:
+        """Labels of every order as known at `as_of`."""
+        from ..operators import history
+
+        return history.labels(self, as_of)
+
     @cached_property
     def splits(self) -> DataFrame:
         """k, split: by the order's place in the time span."""
@@ -127,3 +139,19 @@ class World:
         share = "(t0 - lo) / (hi - lo)"
         case = "case " + " ".join(f"when {share} < {end} then '{name}'" for name, end in SPLITS if end) + f" else '{SPLITS[-1][0]}' end"
         return self.orders.crossJoin(F.broadcast(span)).select("k", F.expr(case).alias("split"))
+
+
+class KeptWorld(World):
+    """A world that writes what several plans read, each table at its first use."""
+
+    @cached_property
+    def orders(self) -> DataFrame:
+        return written(World.orders.func(self))
+
+    @cached_property
+    def accounts(self) -> DataFrame:
+        return written(World.accounts.func(self))
+
+    @cached_property
+    def multi_tenant(self) -> DataFrame:
+        return written(World.multi_tenant.func(self))
