@@ -12,7 +12,7 @@ from ..operators import component, history, links
 from ..sources.store import written
 from ..sources import log
 from ..sources.world import World
-from . import audit, evaluation, explain, guards, models, order_view, policy, report, review
+from . import audit, boosting, evaluation, explain, guards, models, order_view, policy, report, review
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -71,39 +71,72 @@ def _override_outcomes(w: World) -> DataFrame:
     return audit.overrides(d, first.unionByName(second))
 
 
+#: Fewer trees than the fixed number for the registered queries, at a rate to match.
+_SETTINGS = models.Settings(trees=40, rate=0.2)
+
+
+def _features(w: World) -> DataFrame:
+    return written(evaluation.labelled(models.features(w), w))
+
+
+def _points(w: World, frame: DataFrame) -> DataFrame:
+    """k, variant, delta of the last orders by a trained, calibrated abuse model."""
+    trained = models.train(frame, _SETTINGS)
+    return models.ablation(trained.abuse, frame.where("split = 'TEST'"), trained.vector["values"], explain.GROUPS, trained.calibrate["abuse"])
+
+
 def _attributions(w: World) -> DataFrame:
-    df = written(evaluation.scored_frame(w))
-    train = written(df.where("split = 'TRAIN'"))
-    model = models.fit_abuse(train)
-    return models.ablation(model, df.where("split = 'TEST'"), models.reference_values(train))
+    return _points(w, _features(w))
+
+
+def _explained(w: World) -> DataFrame:
+    """Reasons of the last orders with the points of a trained model, the redundancy of each and the dominant group."""
+    frame = _features(w)
+    points = written(_points(w, frame).select("k", F.col("variant").alias("feature"), F.col("delta").alias("pp")))
+    out = explain.assessed(w, points).join(frame.where("split = 'TEST'").select("k"), "k", "left_semi")
+    codes = F.array_join(F.transform("reasons", lambda r: F.concat(r["code"], F.when(r["redundant"], "*").otherwise(""))), ",")
+    return out.select("k", codes.alias("reasons"), "dominant_group", "prediction_text")
 
 
 def _trained(w: World) -> DataFrame:
-    """Average precision of the trained abuse model on later orders."""
-    df = written(evaluation.scored_frame(w))
-    model = models.fit_abuse(df.where("split = 'TRAIN'"))
-    scored = models.predict(model, df.where("split = 'TEST'"), "score").withColumn("score", F.round("score", 9))
-    return evaluation.average_precision(scored, score="score")
+    """model, average_precision on later orders: boosted trees, and a logistic model of the same numbers."""
+    df = _features(w)
+    known, later = df.where("split = 'TRAIN'"), df.where("split = 'TEST'")
+    numbers = [f for f in models.ABUSE if f != "primary_category"]
+    scored = {"trees": boosting.predict(models.fit(models.SPECS["abuse"], known, settings=_SETTINGS), later), "logistic": models.fit_logistic(known, numbers)(later, "score")}
+    return _compared({name: x.withColumn("score", F.round("score", 9)) for name, x in scored.items()})
+
+
+def _compared(scored: dict[str, DataFrame]) -> DataFrame:
+    out = None
+    for name, x in scored.items():
+        one = evaluation.average_precision(x, score="score").select(F.lit(name).alias("model"), "n", "positives", "average_precision")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def _trained_returns(w: World) -> DataFrame:
-    df = written(evaluation.scored_frame(w))
-    model = models.fit_return(df.where("split = 'TRAIN'"))
-    calibration = models.predict(model, df.where("split = 'CALIBRATION'"), "score")
-    iso = models.calibrate_isotonic(calibration, "score", "return_label")
-    return iso.transform(models.predict(model, df.where("split = 'TEST'"), "score")).select("k", "score", "score_calibrated", "return_label")
+    df = _features(w)
+    model = models.fit(models.SPECS["return"], df.where("split = 'TRAIN'"), settings=_SETTINGS)
+    curve = models.calibrate_isotonic(boosting.predict(model, df.where("split = 'CALIBRATION'")), "score", "return_label")
+    return curve(boosting.predict(model, df.where("split = 'TEST'"))).select("k", "score", "score_calibrated", "return_label")
 
 
 def _without_links(w: World) -> DataFrame:
     """model, average_precision of the sigmoid-calibrated abuse model, and of one trained without link features."""
-    df, out = written(evaluation.scored_frame(w)), None
-    for name, features in (("full", models.ABUSE), ("without_links", [f for f in models.ABUSE if f not in models.GRAPH])):
-        model = models.fit_abuse(df.where("split = 'TRAIN'"), features)
-        calibrated = models.calibrate_sigmoid(models.predict(model, df.where("split = 'CALIBRATION'"), "score"), "score", "abuse_label")
-        scored = calibrated(models.predict(model, df.where("split = 'TEST'"), "score")).withColumn("score", F.round("score_calibrated", 9))
-        one = evaluation.average_precision(scored, score="score").select(F.lit(name).alias("model"), "n", "positives", "average_precision")
-        out = one if out is None else out.unionByName(one)
-    return out
+    df, scored = _features(w), {}
+    for name, names in (("full", models.ABUSE), ("without_links", tuple(f for f in models.ABUSE if f not in models.GRAPH))):
+        model = models.fit(models.SPECS["abuse"], df.where("split = 'TRAIN'"), names, _SETTINGS)
+        curve = models.calibrate_sigmoid(boosting.predict(model, df.where("split = 'CALIBRATION'")), "score", "abuse_label")
+        scored[name] = curve(boosting.predict(model, df.where("split = 'TEST'"))).withColumn("score", F.round("score_calibrated", 9))
+    return _compared(scored)
+
+
+def _reference(w: World) -> DataFrame:
+    """feature, number, level of the reference vector of the calibration orders."""
+    values = models.reference(evaluation.labelled(models.features(w), w).where("split = 'CALIBRATION'"), {})["values"]
+    rows = [(f, None, v) if isinstance(v, str) else (f, round(v, 6), None) for f, v in sorted(values.items())]
+    return w.spark.createDataFrame(rows, "feature string, number double, level string")
 
 
 def _idempotent(w: World) -> DataFrame:
@@ -164,8 +197,10 @@ _WORLD: dict[str, Callable[[World], DataFrame]] = {
     "placeholders": lambda w: w.table("customer").select("c_custkey", (money.is_placeholder("c_mktsegment") | money.is_placeholder((F.col("c_custkey") % 10).cast("string"))).alias("placeholder")),
     "hmac_ids": lambda w: w.table("customer").select("c_custkey", F.substring(money.hmac_sha256("secret", F.col("c_name")), 1, 32).alias("ident")),
     "money_text": lambda w: w.orders.select("k", money.rupees(F.col("value")).alias("rupees"), money.percent(F.col("discount_pct") / 100).alias("discount")),
-    "reason_codes": lambda w: models.explained(policy.scored(w)),
+    "reason_codes": lambda w: explain.assessed(w).select("k", F.array_join(F.transform(F.concat("reasons", "mitigating"), lambda r: F.concat_ws(":", r["code"], r["strength"])), ",").alias("reasons")),
     "attributions": _attributions,
+    "explained_points": _explained,
+    "reference_vector": _reference,
     "train_abuse": _trained,
     "train_return": _trained_returns,
     "train_without_links": _without_links,
