@@ -4,8 +4,8 @@ Each stage takes (spark, docs, sf_dir) and works on all rows that its predecesso
 columns of `documents`, and further ones as they are. Between stages the rows are written once as Parquet and read again.
 
 Null and empty texts count as empty: they have the classifier's score of no evidence, are one group of exact copies, have no
-near copies and no secrets, and are one end token to pack. Ids may repeat or be null; stages work by row. Empty tables give
-empty results.
+near copies and no secrets, and are one end token to pack. Ids may repeat, be negative or null; stages work by row. Empty
+tables give empty results.
 """
 
 from __future__ import annotations
@@ -30,19 +30,17 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row, of the smallest id, of each component of near-duplicate documents. Rows that share an id are documents of their own."""
-    key, columns = "doc_id", docs.columns
-    if docs.groupBy("doc_id").count().where("count > 1").limit(1).count():
-        key = new_name()
-        docs = durable(docs.withColumn(key, F.monotonically_increasing_id()))
+    """One row, of the smallest id, of each component of near-duplicate documents; a null id is larger than all others.
+
+    Every row is a document of its own, whatever its id: rows get keys in the order of their ids, so a component's smallest key is
+    the row that stays. Ids and all other columns are returned as they are.
+    """
+    key, columns = new_name(), docs.columns
+    # keys rise with the ids: ranges are sorted in parallel, and a key is its partition's number and the place in it
+    ordered = docs.repartitionByRange(F.asc_nulls_last("doc_id")).sortWithinPartitions(F.asc_nulls_last("doc_id"))
+    docs = durable(ordered.withColumn(key, F.monotonically_increasing_id()))
     found = durable(near_join.near_components(docs, id_col=key).select(F.col("doc_id").alias(key), "component_id"))
-    if key == "doc_id":
-        dropped = found.where("component_id <> doc_id").select(key)
-    else:
-        ids = found.join(docs.select(key, F.col("doc_id").alias("id")), key)
-        stays = ids.groupBy("component_id").agg(F.min(F.struct("id", F.col(key).alias("row"))).alias("stays"))
-        dropped = ids.join(stays, "component_id").where(F.col(key) != F.col("stays.row")).select(key)
-    dropped = durable(dropped)
+    dropped = durable(found.where(F.col("component_id") != F.col(key)).select(key))
     return docs.join(broadcast_if_small(dropped, dropped.count(), 16), key, "left_anti").select(*columns)
 
 
