@@ -3,7 +3,7 @@
 A byte goes if a string of `LENGTH` bytes that covers it also starts in a document of a smaller id. Sorting a suffix of every
 byte would write the text fifty times over, so only suffixes at anchors are sorted:
 
-1. Anchors. The anchor of a window of 50 bytes is its k-gram of the smallest hash (the leftmost one). Equal windows have
+1. Anchors. The anchor of a window of 50 bytes is its k-gram of the smallest hash. Equal windows have
    equal anchors, and consecutive windows mostly share one, so there is an anchor for every 16 bytes. The windows of one anchor
    are a run; its bytes are the run's content.
 2. Who shares. Entries (anchor, content, document) go in packed blobs to buckets by the anchor's hash. Of runs with equal
@@ -54,34 +54,57 @@ _G = (1 << 48) - 1
 _ALL = (1 << (LENGTH - GRAM + 1)) - 1
 
 
+def _gram_hashes(data: np.ndarray) -> np.ndarray:
+    """A hash of the `GRAM` bytes from each place on, out of three overlapping 8-byte words."""
+    n = len(data) - GRAM + 1
+    words = np.ndarray((len(data) - 7,), "<u8", buffer=np.ascontiguousarray(data), strides=(1,))
+    h = words[:n] * np.uint64(0x9E3779B97F4A7C15)
+    h ^= h >> np.uint64(29)
+    h += words[8 : 8 + n]
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(32)
+    h += words[GRAM - 8 : GRAM - 8 + n]
+    h *= np.uint64(0x94D049BB133111EB)
+    h ^= h >> np.uint64(31)
+    return h
+
+
 def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Of all texts: the runs' first and last window, anchor, the anchor's hash, the content's 48-bit hash, and the text."""
+    """Of all texts: the runs' first and last window, anchor, the anchor's hash, the content's 48-bit hash, and the text.
+
+    A run has one anchor hash and at most as many windows as contain a k-gram. Where its k-gram repeats, its first place counts.
+    """
     empty = np.zeros(0, np.int64)
     if len(data) < LENGTH:
         return empty, empty, empty, empty.astype(np.uint64), empty.astype(np.uint64), empty
     prefix = prefix_hash(data)
-    at = np.arange(len(data) - GRAM + 1)
-    h = span_hash(prefix, at, at + GRAM)
-    least, place = h, at
+    h = _gram_hashes(data)
     width, covered = LENGTH - GRAM + 1, 1
+    least = h
     while covered < width:
         step = min(covered, width - covered)
-        take = least[step:] < least[:-step]
-        place = np.where(take, place[step:], place[:-step])
-        least = np.where(take, least[step:], least[:-step])
+        least = np.minimum(least[step:], least[:-step])
         covered += step
-    n = len(place)
+    n = len(least)
     change = np.zeros(n + 1, np.int32)
     np.add.at(change, np.clip(offsets[1:] - LENGTH + 1, offsets[:-1], n), 1)
     np.add.at(change, np.minimum(offsets[1:], n), -1)
     valid = np.cumsum(change[:n]) == 0
-    new = valid.copy()
-    new[1:] &= ~valid[:-1] | (place[1:] != place[:-1])
-    last = valid.copy()
-    last[:-1] &= ~valid[1:] | (place[1:] != place[:-1])
-    s, e = np.flatnonzero(new), np.flatnonzero(last)
-    a = place[s]
-    return s, e, a, h[a], span_hash(prefix, s, e + LENGTH) & np.uint64(_G), np.searchsorted(offsets, s, side="right") - 1
+    other = np.ones(n + 1, bool)
+    other[1:-1] = (least[1:] != least[:-1]) | ~(valid[1:] & valid[:-1])
+    s, e = np.flatnonzero(other[:-1] & valid), np.flatnonzero(other[1:] & valid)
+    long = e - s >= width
+    if long.any():
+        pieces = (e - s) // width + 1
+        of = np.repeat(np.arange(len(s)), pieces)
+        s = s[of] + width * (np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+        e = np.minimum(e[of], s + width - 1)
+    value = least[s]
+    a, open_ = s.copy(), np.flatnonzero(h[s] != value)
+    while len(open_):
+        a[open_] += 1
+        open_ = open_[h[a[open_]] != value[open_]]
+    return s, e, a, value, span_hash(prefix, s, e + LENGTH) & np.uint64(_G), np.searchsorted(offsets, s, side="right") - 1
 
 
 def _pack(values: np.ndarray, width: int) -> bytes:
@@ -150,7 +173,7 @@ def _heavy(parts: DataFrame, documents: int) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for h, _, ids, docs in _chunks(batches):
-            order = np.lexsort((ids, h))
+            order = np.argsort(h, kind="stable")  # a document's anchors stand together
             h, ids = h[order], ids[order]
             h = h[_first(h, ids)]
             at = np.flatnonzero(_first(h))
@@ -178,21 +201,21 @@ def _entries(parts: DataFrame, heavy: np.ndarray, buckets: int, n_parts: int) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for h, g, ids, _ in _chunks(batches):
-            order = np.lexsort((ids, g, h))
+            order = np.argsort(g)
             h, g, ids = h[order], g[order], ids[order]
-            keep = _first(h, g, ids)
-            h, g, ids = h[keep], g[keep], ids[keep]
-            least = _first(h, g)
+            at = np.flatnonzero(_first(h, g))
+            group = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(g))))
+            best = np.minimum.reduceat(ids, at) if len(at) else ids
             rows = []
-            gone = np.flatnonzero(~least)
+            gone = np.flatnonzero(ids != best[group])
             to = ids[gone] % n_parts
             gone = gone[np.argsort(to, kind="stable")]
             for x in np.split(gone, np.flatnonzero(np.diff(np.sort(to))) + 1) if len(gone) else []:
                 rows.append((buckets + int(ids[x[0]] % n_parts), False, b"", _pack(g[x], 6), _pack_ids(ids[x])))
-            h, g, ids = h[least], g[least], ids[least]
+            h, g, ids = h[at], g[at], best
             common = _is_in(h, heavy)
             to = np.where(common, g % np.uint64(buckets), h % np.uint64(buckets)).astype(np.int64) * 2 + common
-            order = np.argsort(to, kind="stable")
+            order = np.argsort(to.astype(np.uint16) if buckets < 1 << 15 else to, kind="stable")
             for x in np.split(order, np.flatnonzero(np.diff(to[order])) + 1) if len(order) else []:
                 rows.append((int(to[x[0]] >> 1), bool(to[x[0]] & 1), _pack(h[x] // np.uint64(buckets), 5), _pack(g[x], 6), _pack_ids(ids[x])))
             if rows:
@@ -386,13 +409,15 @@ def _kept(parts: DataFrame, decided: DataFrame, digest: bool) -> DataFrame:
                 slot = _slot(values[owner], content)
                 hit = np.flatnonzero(_is_in(slot, slots) & known[owner])
                 mask = masks[np.searchsorted(slots, slot[hit])]
-                n = e[hit] - s[hit] + 1
-                of = np.repeat(np.arange(len(hit)), n)
+                some = mask != np.uint64(_ALL)
+                s, e, mask = s[hit], e[hit], mask
+                n = (e - s + 1)[some]
+                of = np.repeat(np.flatnonzero(some), n)
                 t = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                p = (s[hit][of] + t)[(mask[of] >> t.astype(np.uint64)) & np.uint64(1) > 0]
-                cover = np.zeros(len(data) + 1, np.int64)
-                np.add.at(cover, p, 1)
-                np.add.at(cover, p + LENGTH, -1)
+                p = (s[of] + t)[(mask[of] >> t.astype(np.uint64)) & np.uint64(1) > 0]
+                cover = np.zeros(len(data) + 1, np.int32)
+                np.add.at(cover, np.concatenate([s[~some], p]), 1)
+                np.add.at(cover, np.concatenate([e[~some], p]) + LENGTH, -1)
                 gone = np.cumsum(cover[:-1]) > 0
                 begins = gone.copy()
                 begins[1:] &= ~gone[:-1]
@@ -437,7 +462,8 @@ def repeated(docs: DataFrame, digest: bool) -> DataFrame:
     n_asked = asked.agg(F.coalesce(F.sum(F.expr("octet_length(g) div 6")), F.lit(0))).first()[0]
     whole = decided.where("kind = 0").select("part", "g", "d", F.lit(None).cast("binary").alias("m"))
     if n_asked:
-        suffixes = _suffixes(parts, asked.select("part", "g", "d")).repartitionByRange(max(1, -(-n_asked // RANGE)), "suffix", "before", "doc_id")
+        # written, so that drawing the splitters doesn't make them a second time
+        suffixes = durable(_suffixes(parts, asked.select("part", "g", "d"))).repartitionByRange(max(1, -(-n_asked // RANGE)), "suffix", "before", "doc_id")
         compared = durable(_compared(suffixes, n_parts))
         edges = compared.where("window is not null")
         first = edges.groupBy("window").agg(F.min("doc_id").alias("first"))
