@@ -18,6 +18,7 @@ and further columns don't matter; texts without words and empty tables give noth
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from operator import itemgetter
@@ -28,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import byte_class, durable, lower_ascii, mix, prefix_hash, runs, sequence_hash, span_hash, text_chunks
+from .common import broadcast_if_small, byte_class, durable, lower_ascii, mix, prefix_hash, runs, sequence_hash, span_hash, text_chunks
 
 LONGEST = 5
 LEAST = 100
@@ -170,6 +171,24 @@ def _candidates(docs: DataFrame, cells: int, bits: np.ndarray) -> DataFrame:
     return docs.mapInArrow(run, "lang string, phrase string").distinct()
 
 
+_built: dict[str, dict] = {}
+
+
+def _automata(key: str, langs: list[str], phrases: list[str]) -> dict:
+    """The automaton of each language of a shard; a worker process keeps those of one shard from task to task."""
+    import ahocorasick
+
+    if key not in _built:
+        _built.clear()
+        found: dict = {}
+        for i, (lang, phrase) in enumerate(zip(langs, phrases)):
+            found.setdefault(lang, ahocorasick.Automaton()).add_word(f" {phrase} ", i)
+        for a in found.values():
+            a.make_automaton()
+        _built[key] = found
+    return _built[key]
+
+
 def _counts(docs: DataFrame, candidates: DataFrame) -> DataFrame:
     """lang, phrase, f: the occurrences of each candidate, counted by automata."""
     sc = docs.sparkSession.sparkContext
@@ -197,15 +216,9 @@ def _counts(docs: DataFrame, candidates: DataFrame) -> DataFrame:
         row = shards.where(F.col("shard") == shard).first()
         patterns = sc.broadcast((row["langs"], row["phrases"]))
 
-        def run(batches: Iterator[pa.RecordBatch], patterns=patterns) -> Iterator[pa.RecordBatch]:
-            import ahocorasick
-
+        def run(batches: Iterator[pa.RecordBatch], patterns=patterns, key=uuid.uuid4().hex) -> Iterator[pa.RecordBatch]:
             langs, phrases = patterns.value
-            automata: dict = {}
-            for i, (lang, phrase) in enumerate(zip(langs, phrases)):
-                automata.setdefault(lang, ahocorasick.Automaton()).add_word(f" {phrase} ", i)
-            for a in automata.values():
-                a.make_automaton()
+            automata = _automata(key, langs, phrases)
             total: Counter = Counter()
             for batch in batches:
                 for first, end, data, offsets in text_chunks(batch.column(1)):
@@ -234,14 +247,16 @@ def collocations(docs: DataFrame) -> DataFrame:
     words, bits = _sketch(docs, cells)
     words = durable(words)
     counts = durable(_counts(docs, durable(_candidates(docs, cells, bits))).where(f"f >= {LEAST}"))
+    row = counts.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("lang") + F.octet_length("phrase") + 40), F.lit(0)).alias("bytes")).first()
+    small = lambda df: broadcast_if_small(df, row["bytes"], 1)
     parts = counts.withColumn("w", F.split("phrase", " "))
     phrases = parts.where("size(w) > 1")
     inside = "flatten(transform(sequence(2, size(w) - 1), k -> transform(sequence(1, size(w) - k + 1), i -> array_join(slice(w, i, k), ' '))))"
     longer = phrases.where("size(w) > 2").select("lang", F.explode(F.array_distinct(F.expr(inside))).alias("phrase"), "f").groupBy("lang", "phrase").agg(F.max("f").alias("longer"))
-    kept = phrases.join(longer, ["lang", "phrase"], "left").where("longer is null or 100 * longer < 100 * f").drop("longer")
+    kept = phrases.join(small(longer), ["lang", "phrase"], "left").where("longer is null or 100 * longer < 100 * f").drop("longer")
     cuts = kept.select("lang", "phrase", F.col("f").alias("a"), F.explode(F.expr("transform(sequence(1, size(w) - 1), k -> struct(k, array_join(slice(w, 1, k), ' ') as head, array_join(slice(w, k + 1, size(w)), ' ') as tail))")).alias("cut")).select("lang", "phrase", "a", "cut.*")
     of = lambda name, f: counts.select("lang", F.col("phrase").alias(name), F.col("f").alias(f))
-    cuts = cuts.join(of("head", "l"), ["lang", "head"]).join(of("tail", "r"), ["lang", "tail"]).join(words, "lang")
+    cuts = cuts.join(small(of("head", "l")), ["lang", "head"]).join(small(of("tail", "r")), ["lang", "tail"]).join(words, "lang")
     whole = lambda c: f"cast({c} as decimal(38,0))"
     cuts = cuts.withColumn("score", F.expr(f"cast((1000 * {whole('a')} * {whole('n')}) div (cast(l as decimal(19,0)) * cast(r as decimal(19,0))) as bigint)"))
     lowest = cuts.groupBy("lang", "phrase").agg(F.min(F.struct("score", "k", "a", "l", "r", "n")).alias("c")).select("lang", "phrase", "c.*")
