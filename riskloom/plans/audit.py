@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from ..sources.store import written
 
 GENESIS = "0" * 64
+#: Most nodes below a node of the tree over a chain's blocks.
+FAN = 256
+#: Columns that are stored beside a payload and must equal it, and those that are amounts.
+CHECKED = ("c", "t0", "value", "clv", "p_abuse", "p_return", "cost_allow", "cost_block", "cost_optimal", "action", "status")
+MONEY = ("value", "clv", "cost_allow", "cost_prepaid_only", "cost_manual_review", "cost_block")
 
 
 def payload(df: DataFrame) -> DataFrame:
@@ -31,12 +36,12 @@ def chained(records: DataFrame, block: int = 1000) -> DataFrame:
     """seq, prev_hash, event_hash: each record's hash covers the one before it.
 
     A chain is serial by definition. Records are hashed into blocks that chain inside, in parallel over blocks; the first
-    record of a block is linked to the number of its block, and `roots` chains the blocks' last hashes.
+    record of a block is linked to the number of its block, and `roots` is a tree over the blocks' last hashes.
     """
-    return _hashed(ranked(records, "t0", "k").withColumnRenamed("rank", "seq").withColumn("block", F.expr(f"cast(seq div {block} as long)")))
+    return hashed(ranked(records, "t0", "k").withColumnRenamed("rank", "seq").withColumn("block", F.expr(f"cast(seq div {block} as long)")))
 
 
-def _hashed(numbered: DataFrame) -> DataFrame:
+def hashed(numbered: DataFrame) -> DataFrame:
     rows = numbered.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("seq", "k", "payload"))).alias("r"))
     start = F.sha2(F.concat(F.lit(GENESIS), F.col("block").cast("string")), 256)
     hashes = F.expr("aggregate(r, named_struct('h', s, 'out', cast(array() as array<string>)), (a, x) -> named_struct('h', sha2(concat(a.h, x.payload), 256), 'out', array_append(a.out, sha2(concat(a.h, x.payload), 256))), a -> a.out)")
@@ -45,23 +50,47 @@ def _hashed(numbered: DataFrame) -> DataFrame:
     return rows.select("block", F.explode(F.arrays_zip("r", F.col("hashes").alias("event_hash"), prev.alias("prev_hash"))).alias("z")).select("block", "z.r.*", "z.prev_hash", "z.event_hash")
 
 
-def roots(chain: DataFrame) -> DataFrame:
-    """block, the hash that covers all blocks up to it, and the block's first and last seq: one row per block.
+def leaves(chain: DataFrame) -> DataFrame:
+    """level (0), node (the block), hash (its last one), first_seq, last_seq: one row per block."""
+    return chain.groupBy(F.col("block").alias("node")).agg(F.max_by("event_hash", "seq").alias("hash"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq")).select(F.lit(0).alias("level"), "node", "hash", "first_seq", "last_seq")
+
+
+def _above(nodes: DataFrame) -> DataFrame:
+    """The next level of the tree: each node's hash covers the numbers and hashes of at most `FAN` nodes."""
+    part = F.array_sort(F.collect_list(F.struct("node", "hash")))
+    text = F.array_join(F.transform(part, lambda x: F.concat_ws(":", x["node"].cast("string"), x["hash"])), ",")
+    return nodes.groupBy((F.col("level") + 1).alias("level"), F.expr(f"node div {FAN}").alias("node")).agg(F.sha2(text, 256).alias("hash"), F.min("first_seq").alias("first_seq"), F.max("last_seq").alias("last_seq"))
+
+
+def tree(nodes: DataFrame) -> DataFrame:
+    """The leaves and all levels above them, up to one node."""
+    level = written(nodes)
+    out = level
+    while level.where("node > 0").limit(1).count():
+        level = written(_above(level))
+        out = out.unionByName(level)
+    return out
 
-    To be kept apart from the chain: they show what the chain alone can't, such as a lost end or a block hashed anew.
+
+def tree_top(nodes: DataFrame) -> str | None:
+    """The hash of the top; None without nodes."""
+    row = tree(nodes).agg(F.max_by("hash", "level")).first()
+    return row[0]
+
+
+def roots(chain: DataFrame) -> DataFrame:
+    """The tree over the chain's blocks, to be kept apart from the chain: it shows what the chain alone can't, such as a lost end or a
+    block hashed anew.
     """
-    last = chain.groupBy("block").agg(F.max_by("event_hash", "seq").alias("h"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
-    one = last.agg(F.sort_array(F.collect_list(F.struct("block", "h", "first_seq", "last_seq"))).alias("r"))
-    hashes = F.expr(f"aggregate(r, named_struct('h', '{GENESIS}', 'out', cast(array() as array<string>)), (a, x) -> named_struct('h', sha2(concat(a.h, x.h), 256), 'out', array_append(a.out, sha2(concat(a.h, x.h), 256))), a -> a.out)")
-    return one.select(F.explode(F.arrays_zip("r", hashes.alias("root"))).alias("z")).select("z.r.block", "z.root", "z.r.first_seq", "z.r.last_seq")
+    return tree(leaves(chain))
 
 
 def verify(chain: DataFrame, recorded: DataFrame | None = None) -> DataFrame:
     """rows_checked, broken, first_broken_seq: broken rows and blocks; parallel over blocks.
 
     A row is broken if its hash, its link to the row before or its number doesn't hold. A block is if it doesn't go on where
-    the one before ends, or, given the `recorded` roots, if it isn't what was recorded, or is missing. Rows lost at the end
-    of the chain show only against recorded roots.
+    the one before ends, or, given the `recorded` tree, if it isn't what was recorded, or is missing; so is a node of the recorded
+    tree that doesn't cover the nodes below it. Rows lost at the end of the chain show only against a recorded tree.
     """
     order = Window.partitionBy("block").orderBy("seq")
     before, number = F.lag("event_hash").over(order), F.lag("seq").over(order)
@@ -75,17 +104,33 @@ def verify(chain: DataFrame, recorded: DataFrame | None = None) -> DataFrame:
     blocks = blocks.join(ends, "block", "left").withColumn("wrong", F.col("first") != F.coalesce("next", F.lit(0)))
     at = F.col("first")
     if recorded is not None:
-        linked = recorded.join(recorded.select((F.col("block") + 1).alias("block"), F.col("root").alias("prev_root")), "block", "left")
-        blocks = blocks.join(linked, "block", "full")
-        same = (F.sha2(F.concat(F.coalesce("prev_root", F.lit(GENESIS)), "h"), 256) == F.col("root")) & (F.col("first") == F.col("first_seq")) & (F.col("last") == F.col("last_seq"))
+        kept = recorded.where("level = 0").select(F.col("node").alias("block"), F.col("hash").alias("root"), "first_seq", "last_seq")
+        blocks = blocks.join(kept, "block", "full")
+        same = (F.col("h") == F.col("root")) & (F.col("first") == F.col("first_seq")) & (F.col("last") == F.col("last_seq"))
         blocks = blocks.withColumn("wrong", F.coalesce("wrong", F.lit(True)) | ~F.coalesce(same, F.lit(False)))
         at = F.coalesce("first_seq", "first")
+        again = _above(recorded).join(recorded.select("level", "node", F.col("hash").alias("stored")), ["level", "node"], "full").where("level > 0")
+        top = recorded.agg(F.max("level").alias("top"))
+        nodes = again.crossJoin(F.broadcast(top)).where("level <= top and (stored is null or hash is null or hash <> stored)").select(
+            F.col("node").alias("block"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("bad_rows"), F.lit(None).cast("long").alias("bad_seq"), F.lit(True).alias("wrong"), F.coalesce("first_seq", F.lit(0)).cast("long").alias("at"))
+        blocks = blocks.withColumn("at", at).select(*nodes.columns).unionByName(nodes)
+        at = F.col("at")
     return blocks.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("rows_checked"), F.coalesce(F.sum(F.coalesce("bad_rows", F.lit(0)) + F.col("wrong").cast("long")), F.lit(0)).alias("broken"),
         F.min(F.least("bad_seq", F.when(F.col("wrong"), at))).alias("first_broken_seq"),
     )
 
 
+def column_faults(events: DataFrame) -> DataFrame:
+    """column, n, first_seq: stored columns that differ from what the payload says, though the payload and its hash may be whole."""
+    present = [c for c in CHECKED if c in events.columns]
+    kinds = dict(events.dtypes)
+    schema = ", ".join(f"`{c}` {_kind(c, kinds[c])}" for c in present)
+    parsed = events.withColumn("_said", F.from_json("payload", schema))
+    differ = F.array_compact(F.array(*(F.when(~F.col(c).cast(_kind(c, kinds[c])).eqNullSafe(F.col("_said")[c]), F.lit(c)) for c in present)))
+    return parsed.select("seq", F.explode(differ).alias("column")).groupBy("column").agg(F.count("*").alias("n"), F.min("seq").alias("first_seq"))
+
+
 def score_batch(requests: DataFrame, decisions: DataFrame, fingerprint: list[str]) -> DataFrame:
     """outcome per request: CREATED for new orders, REPLAYED for an equal request of a decided one, CONFLICT otherwise."""
     print_ = F.sha2(F.concat_ws("|", *fingerprint), 256)
@@ -105,11 +150,16 @@ def current_actions(decisions: DataFrame, overrides: DataFrame) -> DataFrame:
     return decisions.join(last, "k", "left").select("k", "action", F.coalesce("new_action", "action").alias("current_action"))
 
 
-def canonical(df: DataFrame, money: tuple[str, ...] = ("value", "clv", "cost_allow", "cost_prepaid_only", "cost_manual_review", "cost_block")) -> DataFrame:
+def _kind(column: str, kind: str) -> str:
+    """The type that a column has in a payload: amounts to two decimals, other fractions to six."""
+    return "decimal(28,2)" if column in MONEY else "decimal(28,6)" if kind in ("double", "float") else kind
+
+
+def canonical(df: DataFrame) -> DataFrame:
     """k, t0, payload: a row as JSON with sorted keys and no spaces; amounts to two decimals, other fractions to six."""
     kinds = dict(df.dtypes)
-    one = lambda c: F.col(c).cast("decimal(28,2)") if c in money else F.col(c).cast("decimal(28,6)") if kinds[c] in ("double", "float") else F.col(c)
-    return df.select("k", "t0", F.to_json(F.struct(*(one(c).alias(c) for c in sorted(df.columns))), {"ignoreNullFields": "false"}).alias("payload"))
+    row = F.struct(*(F.col(c).cast(_kind(c, kinds[c])).alias(c) for c in sorted(df.columns)))
+    return df.select("k", "t0", F.to_json(row, {"ignoreNullFields": "false"}).alias("payload"))
 
 
 def append(chain: DataFrame, records: DataFrame, block: int = 1000) -> DataFrame:
@@ -117,7 +167,7 @@ def append(chain: DataFrame, records: DataFrame, block: int = 1000) -> DataFrame
     last = chain.agg(F.coalesce(F.max("seq"), F.lit(-1)).alias("_seq"), F.coalesce(F.max("block"), F.lit(-1)).alias("_block"))
     more = ranked(records, "t0", "k").withColumnRenamed("rank", "seq").crossJoin(F.broadcast(last))
     more = more.withColumn("block", F.col("_block") + 1 + F.expr(f"cast(seq div {block} as long)")).withColumn("seq", F.col("_seq") + 1 + F.col("seq"))
-    return chain.unionByName(_hashed(more.select("block", "seq", "k", "payload")))
+    return chain.unionByName(hashed(more.select("block", "seq", "k", "payload")))
 
 
 def events_of(events: DataFrame, event_id: str | None = None, order: str | None = None) -> DataFrame:
@@ -157,13 +207,3 @@ def seeded(df: DataFrame, n: int = 250, seed: int = 20260901) -> DataFrame:
     rest = df.where("action = 'ALLOW'").withColumn("_draw", draw).orderBy("_draw", "k").limit(n).drop("_draw")
     both = flagged.withColumn("_first", F.lit(0)).unionByName(rest.withColumn("_first", F.lit(1)))
     return both.orderBy("_first", F.xxhash64(F.lit(seed), "k"), "k").limit(n).drop("_first")
-
-
-def decision_sink(folder: str):
-    """For foreachBatch: a batch's decisions and their events go to folders named by the batch, so a repeated batch replaces them."""
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        for name, df in (("decisions", batch), ("events", canonical(batch).withColumn("event_type", F.lit("DECISION_CREATED")))):
-            df.write.mode("overwrite").parquet(f"{folder}/{name}/batch={batch_id}")
-
-    return write

@@ -354,6 +354,7 @@ ORACLES |= {
     "latest_identifiers": WORLD + f" , b AS (SELECT *, 'ORD-' || k AS oid FROM o WHERE t0 < {_MIDDLE}) SELECT 'ACC-' || c AS account_id, arg_max(device_id, (t0, oid)) AS device_id, arg_max(address_id, (t0, oid)) AS address_id, arg_max(token_id, (t0, oid)) FILTER (WHERE token_id IS NOT NULL) AS payment_token_id FROM b GROUP BY c",
     "new_accounts": WORLD + f" SELECT 'ACC-' || c AS account_id FROM acc WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.c = acc.c AND o.t0 < {_MIDDLE})",
     "log_decide": DECISIONS + " SELECT 'ORD-' || k AS k, value, p_abuse, action FROM dc",
+    "chain_columns": DECISIONS + " SELECT * FROM (SELECT 'value' AS column, count(CASE WHEN k % 97 = 0 THEN 1 END) AS n FROM dc UNION ALL SELECT 'action', count(CASE WHEN k % 89 = 0 THEN 1 END) FROM dc) WHERE n > 0",
     "log_history": _eventful(HISTORY + LABELS) + " SELECT k, prior_orders, returns_90d, claims_180d, matured, matured_returns, round(account_age_days, 6) AS account_age_days, round(clv, 4) AS clv, return_label, abuse_status FROM hist JOIN clv USING (k) JOIN lb USING (k)",
     "log_backtest": _eventful(ORACLES["backtest"]),
     "log_splits": WORLD + f""" , dy AS (SELECT (t0 - (SELECT min(t0) // {DAY} * {DAY} FROM o)) // {DAY} + 1 AS day FROM o)

@@ -35,6 +35,14 @@ def _chain_verified(decided: DataFrame) -> DataFrame:
     return audit.verify(chain, written(audit.roots(chain)))
 
 
+def _chain_columns(w: World) -> DataFrame:
+    """column, n of stored columns that were changed beside whole payloads: every 97th order's value and every 89th one's action."""
+    d = written(_decided(w))
+    events = audit.chained(audit.payload(d)).join(d.select("k", *audit.CHECKED), "k")
+    changed = events.withColumn("value", F.expr("if(k % 97 = 0, value + 1, value)")).withColumn("action", F.expr("if(k % 89 = 0, concat(action, '*'), action)"))
+    return audit.column_faults(changed).select("column", "n")
+
+
 def _current_actions(w: World) -> DataFrame:
     d = written(_decided(w))
     overrides = d.where("k % 101 = 0 or (k % 103 = 0 and action <> 'BLOCK')").select("k", F.col("k").alias("seq"), F.expr("if(k % 101 = 0, 'ALLOW', 'MANUAL_REVIEW')").alias("new_action"))
@@ -192,6 +200,7 @@ _WORLD: dict[str, Callable[[World], DataFrame]] = {
     "as_of_snapshot": lambda w: review.snapshot(w, _middle(w)),
     "world_validation": review.validation,
     "chain_verify": lambda w: _chain_verified(_decided(w)),
+    "chain_columns": _chain_columns,
     "idempotent_scoring": _idempotent,
     "current_actions": lambda w: _current_actions(w),
     "placeholders": lambda w: w.table("customer").select("c_custkey", (money.is_placeholder("c_mktsegment") | money.is_placeholder((F.col("c_custkey") % 10).cast("string"))).alias("placeholder")),
