@@ -100,13 +100,3 @@ def link_reasons(w: World) -> DataFrame:
         .when(F.col("sequential"), "SEQUENTIAL_DEVICE_USE").when(stale, "STALE_RELATIONSHIP")
     )
     return found.select("q", "kind", "ident", "other", reason.alias("reason"))
-
-
-def ego_nodes(w: World, reached: DataFrame, most: int = 40) -> DataFrame:
-    """q, account, depth, confirmed: of each order's component the `most` accounts to draw: the own one, then confirmed ones, then
-    the nearest; the parents of a drawn account are nearer than it, so they come before it.
-    """
-    bad = w.accounts.select(F.col("c").alias("account"), "confirmed")
-    rows = reached.join(bad, "account", "left").withColumn("confirmed", F.coalesce(F.col("confirmed") < F.col("t0"), F.lit(False)))
-    order = Window.partitionBy("q").orderBy("depth", F.desc("confirmed"), F.desc("bottleneck"), "account")
-    return rows.withColumn("n", F.row_number().over(order)).where(f"n <= {most}").select("q", "account", "depth", "confirmed", "bottleneck")

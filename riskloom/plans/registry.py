@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import money
-from ..operators import component, history, links
+from ..operators import component, ego, history, links
 from ..sources.store import written
 from ..sources import log
 from ..sources.world import World
@@ -228,6 +228,7 @@ _WORLD: dict[str, Callable[[World], DataFrame]] = {
     "policy_texts": lambda w: _decided(w).select("k", explain.policy_text().alias("text")),
     "risk_summary": lambda w: explain.evidence(w).select("k", order_view.risk_summary().alias("summary")),
     "graph_summary": lambda w: order_view.graph_summary(explain.evidence(w)),
+    "ego_graph": lambda w: ego.ego(w, w.orders.where("k % 100 = 0")).select(F.col("q").alias("k"), "shown", "total", F.array_join(F.transform("nodes", lambda n: F.concat_ws(":", n["kind"], n["id"], F.coalesce(n["parent"], F.lit("")), n["depth"].cast("string"))), ",").alias("nodes")),
     "order_detail": lambda w: order_view.detail(w, _decided(w, w.orders.where("k % 100 = 0")), w.orders.where("k % 100 = 0")).select("k", "value", "action", "fixed_threshold", "rule_based", F.size("lines").cast("long").alias("n_lines"), "earlier_orders", "earlier_returns", "last_seen"),
     "account_past": lambda w: order_view.past(w, w.orders.where("k % 100 = 0")),
     "assumptions": lambda w: order_view.assumptions(w.spark).select("name", "value"),
