@@ -192,6 +192,7 @@ _WORLD: dict[str, Callable[[World], DataFrame]] = {
     "label_sensitivity": lambda w: evaluation.label_sensitivity(evaluation.scored_frame(w)),
     "cost_sensitivity": lambda w: evaluation.cost_sensitivity(evaluation.frame(w)),
     "bootstrap_interval": lambda w: evaluation.bootstrap_interval(evaluation.scored_frame(w)),
+    "intervals_by_split": lambda w: evaluation.bootstrap_interval(evaluation.scored_frame(w), by=("split",)).select("split", _r("low", 9), _r("high", 9)),
     "queue": lambda w: review.queue(_decided(w).where("action <> 'ALLOW'"), sort="p_abuse").select("k", "t0", "value", "p_abuse", "action"),
     "queue_counts": lambda w: review.queue_counts(_decided(w)),
     "activity_metrics": lambda w: review.activity(_decided(w)),
