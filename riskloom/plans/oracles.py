@@ -354,6 +354,13 @@ ORACLES |= {
     "latest_identifiers": WORLD + f" , b AS (SELECT *, 'ORD-' || k AS oid FROM o WHERE t0 < {_MIDDLE}) SELECT 'ACC-' || c AS account_id, arg_max(device_id, (t0, oid)) AS device_id, arg_max(address_id, (t0, oid)) AS address_id, arg_max(token_id, (t0, oid)) FILTER (WHERE token_id IS NOT NULL) AS payment_token_id FROM b GROUP BY c",
     "new_accounts": WORLD + f" SELECT 'ACC-' || c AS account_id FROM acc WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.c = acc.c AND o.t0 < {_MIDDLE})",
     "log_decide": DECISIONS + " SELECT 'ORD-' || k AS k, value, p_abuse, action FROM dc",
+    "slope_orders": HISTORY + """, gr AS (SELECT o.value, least(greatest(clv, 2000.0), 100000.0) AS clv FROM clv JOIN o USING (k))
+      , slopes AS (SELECT *, round(value * 0.85 + 150, 2) AS a1, 0 AS a0, round(0.7 * (value * 0.5 + 150), 2) AS p1, round(0.08::DOUBLE * (0.3::DOUBLE * value) + 0.02::DOUBLE * clv + 30, 2) AS p0,
+               round((1 - 0.8::DOUBLE) * (value * 0.85 + 150) + 250, 2) AS m1, round(0.05::DOUBLE * (0.3::DOUBLE * value) + 0.03::DOUBLE * (0.3::DOUBLE * value + 0.6::DOUBLE * clv + 100) + 250, 2) AS m0, 0 AS b1, round(0.3::DOUBLE * value + 0.6::DOUBLE * clv + 100, 2) AS b0 FROM gr)
+      , gap AS (SELECT unnest([{'pair': 'ALLOW>PREPAID_ONLY', 'gap': round((a1 - a0) - (p1 - p0), 2)}, {'pair': 'PREPAID_ONLY>MANUAL_REVIEW', 'gap': round((p1 - p0) - (m1 - m0), 2)}, {'pair': 'MANUAL_REVIEW>BLOCK', 'gap': round((m1 - m0) - (b1 - b0), 2)}]) AS x FROM slopes)
+      SELECT x.pair AS pair, count(*) AS orders, count(CASE WHEN x.gap < 0 THEN 1 END) AS violations FROM gap GROUP BY x.pair""",
+    "activity_rates": WORLD + """ SELECT count(*) AS decisions, round(count(CASE WHEN k % 7 = 0 THEN 1 END) / count(*), 6) AS override_rate, round(count(CASE WHEN k % 10 <> 0 THEN 1 END) / count(*), 6) AS explanation_coverage,
+      round(count(CASE WHEN k % 13 <> 0 AND k % 17 <> 0 THEN 1 END) / count(*), 6) AS version_traceability FROM o""",
     "chain_columns": DECISIONS + " SELECT * FROM (SELECT 'value' AS column, count(CASE WHEN k % 97 = 0 THEN 1 END) AS n FROM dc UNION ALL SELECT 'action', count(CASE WHEN k % 89 = 0 THEN 1 END) FROM dc) WHERE n > 0",
     "log_history": _eventful(HISTORY + LABELS) + " SELECT k, prior_orders, returns_90d, claims_180d, matured, matured_returns, round(account_age_days, 6) AS account_age_days, round(clv, 4) AS clv, return_label, abuse_status FROM hist JOIN clv USING (k) JOIN lb USING (k)",
     "log_backtest": _eventful(ORACLES["backtest"]),

@@ -58,6 +58,19 @@ class Policy:
         return replace(self, **{n: min(1.0, getattr(self, n) * factor) if n.endswith("_rate") else getattr(self, n) * factor for n in names})
 
 
+def totals_at(p: float, value: float, clv: float, y: Policy = Policy()) -> dict[str, float]:
+    """Each action's expected cost for plain numbers."""
+    q, clv = 1 - p, min(max(clv, y.clv_floor), y.clv_cap)
+    margin, loss = y.gross_margin_rate * value, lambda recovery: value * (1 - recovery) + y.reverse_logistics_cost
+    false_block = margin + y.block_churn_rate * clv + y.block_support_cost
+    return {
+        "ALLOW": p * loss(y.allow_recovery_rate),
+        "PREPAID_ONLY": p * (1 - y.prepaid_deterrence_rate) * loss(y.prepaid_recovery_rate) + q * (y.prepaid_abandonment_rate * margin + y.prepaid_churn_rate * clv + y.prepaid_friction_cost),
+        "MANUAL_REVIEW": p * (1 - y.review_detection_rate) * loss(y.allow_recovery_rate) + q * (y.review_abandonment_rate * margin + y.review_false_cancel_rate * false_block) + y.review_cost,
+        "BLOCK": q * false_block,
+    }
+
+
 def costs(p: Column, value: Column, clv: Column, y: Policy = Policy()) -> dict[str, tuple[Column, Column, Column]]:
     """Expected abusive, genuine and operational cost of each action; the return probability is no input."""
     q = 1 - p
@@ -187,3 +200,12 @@ def slope_check(w: World, y: Policy = Policy(), steps: int = 61, least: float =
     slope = {a: one[a] - zero[a] for a in ACTIONS}
     pairs = F.array(*(F.struct(F.lit(f"{a}>{b}").alias("pair"), F.round(slope[a] - slope[b], 2).alias("gap")) for a, b in zip(ACTIONS, ACTIONS[1:])))
     return grid.select(F.explode(pairs).alias("x")).select("x.*").groupBy("pair").agg(F.count_if(F.col("gap") < 0).alias("violations"), F.min("gap").alias("least_gap"))
+
+
+def slope_orders(df: DataFrame, y: Policy = Policy()) -> DataFrame:
+    """pair, orders, violations: over the decided orders' own values, how often costs rise faster with p for the more severe of two actions."""
+    at = lambda p: totals(F.lit(p), F.col("value"), F.col("clv"), y)
+    zero, one = at(0.0), at(1.0)
+    slope = {a: one[a] - zero[a] for a in ACTIONS}
+    pairs = F.array(*(F.struct(F.lit(f"{a}>{b}").alias("pair"), (F.round(slope[a] - slope[b], 2) < 0).alias("bad")) for a, b in zip(ACTIONS, ACTIONS[1:])))
+    return df.select(F.explode(pairs).alias("x")).groupBy("x.pair").agg(F.count("*").alias("orders"), F.count_if("x.bad").alias("violations"))

@@ -43,6 +43,14 @@ def _chain_columns(w: World) -> DataFrame:
     return audit.column_faults(changed).select("column", "n")
 
 
+def _rates(w: World) -> DataFrame:
+    """Rates over a log of records in which every 7th order was overridden, twice every 14th, every 10th lacks an explanation, and every 13th names another model."""
+    o = w.orders.select("k")
+    overridden = o.where("k % 7 = 0").unionByName(o.where("k % 14 = 0"))
+    records = o.select("k", F.lit("v1.0").alias("policy_version"), F.lit("m1").alias("model_version"), (F.col("k") % 10 != 0).alias("explained"), F.lit("v1.0").alias("said_policy"), F.expr("case when k % 13 = 0 then 'm2' when k % 17 = 0 then null else 'm1' end").alias("said_model"))
+    return review.rates(o, overridden, records)
+
+
 def _current_actions(w: World) -> DataFrame:
     d = written(_decided(w))
     overrides = d.where("k % 101 = 0 or (k % 103 = 0 and action <> 'BLOCK')").select("k", F.col("k").alias("seq"), F.expr("if(k % 101 = 0, 'ALLOW', 'MANUAL_REVIEW')").alias("new_action"))
@@ -178,6 +186,7 @@ _WORLD: dict[str, Callable[[World], DataFrame]] = {
     "decide": lambda w: _decided(w).select("k", "value", "p_abuse", "cost_optimal", "action", "status"),
     "baselines": lambda w: policy.scored(w).select("k", policy.fixed_threshold(F.col("p_abuse"), 0.7, 0.4).alias("fixed_threshold"), policy.rule_based().alias("rule_based"), F.lit("ALLOW").alias("allow_all")),
     "slope_check": policy.slope_check,
+    "slope_orders": lambda w: policy.slope_orders(history.customer_value(w).join(w.orders.select("k", "value"), "k")),
     "average_precision": lambda w: evaluation.average_precision(evaluation.scored_frame(w)),
     "brier": lambda w: evaluation.brier(evaluation.scored_frame(w)),
     "reliability": lambda w: evaluation.reliability(evaluation.scored_frame(w)),
@@ -196,6 +205,7 @@ _WORLD: dict[str, Callable[[World], DataFrame]] = {
     "queue": lambda w: review.queue(_decided(w).where("action <> 'ALLOW'"), sort="p_abuse").select("k", "t0", "value", "p_abuse", "action"),
     "queue_counts": lambda w: review.queue_counts(_decided(w)),
     "activity_metrics": lambda w: review.activity(_decided(w)),
+    "activity_rates": _rates,
     "checkout": lambda w: review.checkout(_decided(w)),
     "attempt_log": lambda w: review.attempt_log(w.table("events")),
     "as_of_snapshot": lambda w: review.snapshot(w, _middle(w)),

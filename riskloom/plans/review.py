@@ -48,6 +48,20 @@ def activity(df: DataFrame) -> DataFrame:
     )
 
 
+def rates(decided: DataFrame, overridden: DataFrame, records: DataFrame) -> DataFrame:
+    """One row: decisions, override_rate, explanation_coverage, version_traceability.
+
+    `overridden` has the k of applied overrides; `records` (k, policy_version, model_version, explained, said_policy, said_model) are
+    the audit records: one is traceable if it names both versions and its stored ones are these.
+    """
+    n = decided.agg(F.count("*").alias("decisions"))
+    over = overridden.select("k").distinct().agg(F.count("*").alias("overridden"))
+    whole = F.coalesce((F.col("said_policy") == F.col("policy_version")) & (F.col("said_model") == F.col("model_version")), F.lit(False))
+    said = records.agg(F.count("*").alias("records"), F.count_if("explained").alias("explained"), F.count_if(whole).alias("traceable"))
+    share = lambda a, b: F.round(F.coalesce(F.try_divide(F.col(a), F.col(b)), F.lit(0.0)), 6)
+    return n.crossJoin(over).crossJoin(said).select("decisions", share("overridden", "decisions").alias("override_rate"), share("explained", "decisions").alias("explanation_coverage"), share("traceable", "records").alias("version_traceability"))
+
+
 def checkout(df: DataFrame) -> DataFrame:
     """k, outcome: allowed and reviewed orders look alike to the customer."""
     case = F.create_map(*(F.lit(x) for pair in OUTCOMES.items() for x in pair))
@@ -63,14 +77,23 @@ def event_micros(events: DataFrame) -> DataFrame:
 def attempt_log(events: DataFrame) -> DataFrame:
     """event_id, attempts_24h (this one included), carts_24h (distinct, this one's included) of every attempt.
 
-    A distinct count over a sliding range: a cart counts where its latest attempt before is older than the window's start,
-    that is, one joined row per (attempt, cart) within a day; users bound the join.
+    A cart is in the window from an attempt on until the user's next one with it, or for a day: these spans don't overlap, so
+    a running sum of their beginnings and ends counts the carts without pairs of attempts. The own cart is counted apart.
     """
     e = event_micros(events)
-    attempts = e.withColumn("attempts_24h", F.count("*").over(Window.partitionBy("user_id").orderBy("t").rangeBetween(-DAY, -1)) + 1)
-    other = e.select("user_id", F.col("t").alias("t2"), F.col("cart").alias("cart2"))
-    carts = e.select("event_id", "user_id", "t", "cart").join(other, "user_id").where(f"t2 < t and t2 >= t - {DAY} and cart2 <> cart").groupBy("event_id").agg(F.count_distinct("cart2").alias("more"))
-    return attempts.join(carts, "event_id", "left").select("event_id", "attempts_24h", (F.coalesce("more", F.lit(0)) + 1).alias("carts_24h"))
+    by = Window.partitionBy("user_id", "cart")
+    e = e.withColumn("next", F.lead("t").over(by.orderBy("t", "event_id"))).withColumn("last", F.max("t").over(by.orderBy("t").rangeBetween(Window.unboundedPreceding, -1)))
+    end = F.least("next", F.col("t") + DAY)
+    ends = e.where("cart is not null").select("user_id", end.alias("t"), F.lit(-1).alias("d"))
+    of = Window.partitionBy("user_id").orderBy("t")
+    rows = e.select("user_id", "t", F.when(F.col("cart").isNotNull(), 1).otherwise(0).alias("d"), "event_id", "cart", "last")
+    rows = rows.unionByName(ends.select("*", F.lit(None).cast(e.schema["event_id"].dataType).alias("event_id"), F.lit(None).cast("long").alias("cart"), F.lit(None).cast("long").alias("last")))
+    known = F.col("event_id").isNotNull()
+    rows = rows.withColumn("active", F.coalesce(F.sum("d").over(of.rangeBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    rows = rows.withColumn("attempts_24h", F.sum(known.cast("int")).over(of.rangeBetween(-DAY, -1))).where(known)
+    own = F.coalesce(F.col("last") >= F.col("t") - DAY, F.lit(False)).cast("int")
+    carts = F.when(F.col("cart").isNull(), 1).otherwise(F.col("active") - own + 1).cast("long")
+    return rows.select("event_id", (F.coalesce("attempts_24h", F.lit(0)) + 1).alias("attempts_24h"), carts.alias("carts_24h"))
 
 
 def snapshot(w: World, clock: int) -> DataFrame:
