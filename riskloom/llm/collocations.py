@@ -6,7 +6,7 @@
    only lets more candidates through.
 2. Candidates. A phrase is one if its cells and those of all phrases inside it reach the threshold. Distinct ones are
    gathered by Spark, and range-partitioned into shards of at most `SHARD` characters.
-3. Scan. One shard at a time is broadcast. Tasks build an automaton (Aho-Corasick) per language of its phrases, each
+3. Scan. Shards are broadcast, up to `SHARD` characters at a time. Tasks build an automaton (Aho-Corasick) per language of its phrases, each
    between spaces, and run it over the pieces, whose words stand between single spaces: a match can't begin or end
    inside a word, and matches that overlap share spaces. Counts are summed by Spark, and the threshold applies to these.
 4. Scores are decimals of 38 digits. A phrase's parts are frequent as well, so all counts come from the scan.
@@ -212,9 +212,16 @@ def _counts(docs: DataFrame, candidates: DataFrame) -> DataFrame:
     dealt = candidates.repartitionByRange(max(1, -(-letters // SHARD)), "lang", "phrase").mapInArrow(cut, "langs array<string>, phrases array<string>")
     shards = durable(dealt.withColumn("shard", F.monotonically_increasing_id()))
     found = None
-    for (shard,) in shards.select("shard").orderBy("shard").collect():
-        row = shards.where(F.col("shard") == shard).first()
-        patterns = sc.broadcast((row["langs"], row["phrases"]))
+    # ranges may be small: as many as fit are broadcast and scanned for together
+    waves: list[tuple[int, list[int]]] = []
+    for shard, size in shards.select("shard", F.expr("aggregate(phrases, 0, (a, x) -> a + length(x) + 2)").alias("size")).orderBy("shard").collect():
+        if waves and waves[-1][0] + size <= SHARD:
+            waves[-1] = (waves[-1][0] + size, [*waves[-1][1], shard])
+        else:
+            waves.append((size, [shard]))
+    for _, wave in waves:
+        rows = shards.where(F.col("shard").isin(wave)).collect()
+        patterns = sc.broadcast(([x for r in rows for x in r["langs"]], [x for r in rows for x in r["phrases"]]))
 
         def run(batches: Iterator[pa.RecordBatch], patterns=patterns, key=uuid.uuid4().hex) -> Iterator[pa.RecordBatch]:
             langs, phrases = patterns.value
