@@ -354,6 +354,14 @@ ORACLES |= {
     "latest_identifiers": WORLD + f" , b AS (SELECT *, 'ORD-' || k AS oid FROM o WHERE t0 < {_MIDDLE}) SELECT 'ACC-' || c AS account_id, arg_max(device_id, (t0, oid)) AS device_id, arg_max(address_id, (t0, oid)) AS address_id, arg_max(token_id, (t0, oid)) FILTER (WHERE token_id IS NOT NULL) AS payment_token_id FROM b GROUP BY c",
     "new_accounts": WORLD + f" SELECT 'ACC-' || c AS account_id FROM acc WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.c = acc.c AND o.t0 < {_MIDDLE})",
     "log_decide": DECISIONS + " SELECT 'ORD-' || k AS k, value, p_abuse, action FROM dc",
+    "numbered_events": WORLD + """, oe AS (SELECT 'ORD-' || k AS order_id, unnest([{'e': 'DELIVERED', 't': delivered}, {'e': CASE WHEN k % 12 = 0 THEN 'EXCHANGE_REQUESTED' ELSE 'RETURN_REQUESTED' END, 't': returned}, {'e': 'CLAIM_FILED', 't': claimed}, {'e': 'QC_FLAGGED', 't': flagged},
+        {'e': CASE WHEN confirmed IS NOT NULL THEN 'ABUSE_CONFIRMED' ELSE 'ABUSE_CLEARED' END, 't': resolved}]) AS x FROM o)
+      SELECT row_number() OVER (ORDER BY x.t, order_id, x.e) AS event_id, order_id, x.e AS event_type FROM oe WHERE x.t IS NOT NULL""",
+    "consistency": WORLD + """ SELECT * FROM (SELECT 'value' AS column, count(CASE WHEN k % 31 = 0 THEN 1 END) AS mismatches FROM o UNION ALL SELECT 'payment_method', count(CASE WHEN k % 37 = 0 THEN 1 END) FROM o UNION ALL SELECT 'n_items', 0 FROM (SELECT 1) UNION ALL SELECT 'token_id', 0 FROM (SELECT 1))""",
+    "joined_once": WORLD + " SELECT k, value, primary_category FROM o JOIN (SELECT k, arg_min(category, (-amount, category)) AS primary_category FROM (SELECT k, category, sum(amount) AS amount FROM ln GROUP BY ALL) GROUP BY k) USING (k)",
+    "audit_page": WORLD + " SELECT k * 2 + 1 AS seq, k, 'OVERRIDE_APPLIED' AS event_type, 'changed ' || k AS payload, (SELECT count(*) FROM o WHERE k % 40 = 0) AS total FROM o WHERE k % 40 = 0 ORDER BY k DESC LIMIT 10 OFFSET 10",
+    "records_read_back": WORLD + " SELECT k, value, CASE WHEN k % 5 <> 0 THEN 'made ' || k END AS record, CASE WHEN k % 5 <> 0 THEN k * 2 END AS created_seq FROM o WHERE k % 3 = 0",
+    "provenance": WORLD + LABELS + " , p AS (SELECT CAST(CAST('0x' || substr(sha256(CAST(k AS VARCHAR)), 1, 15) AS BIGINT) AS HUGEINT) AS v FROM lb WHERE abuse_label IS NOT NULL) SELECT count(*) AS rows, sha256(count(*) || ':' || CAST(sum(v) AS VARCHAR)) AS fingerprint FROM p",
     "slope_orders": HISTORY + """, gr AS (SELECT o.value, least(greatest(clv, 2000.0), 100000.0) AS clv FROM clv JOIN o USING (k))
       , slopes AS (SELECT *, round(value * 0.85 + 150, 2) AS a1, 0 AS a0, round(0.7 * (value * 0.5 + 150), 2) AS p1, round(0.08::DOUBLE * (0.3::DOUBLE * value) + 0.02::DOUBLE * clv + 30, 2) AS p0,
                round((1 - 0.8::DOUBLE) * (value * 0.85 + 150) + 250, 2) AS m1, round(0.05::DOUBLE * (0.3::DOUBLE * value) + 0.03::DOUBLE * (0.3::DOUBLE * value + 0.6::DOUBLE * clv + 100) + 250, 2) AS m0, 0 AS b1, round(0.3::DOUBLE * value + 0.6::DOUBLE * clv + 100, 2) AS b0 FROM gr)

@@ -43,6 +43,29 @@ def _chain_columns(w: World) -> DataFrame:
     return audit.column_faults(changed).select("column", "n")
 
 
+def _consistency(w: World) -> DataFrame:
+    """column, mismatches between the orders and a copy of them in which every 31st value and every 37th method differ."""
+    o = w.orders.select("k", "value", "payment_method", "n_items", "token_id")
+    copy = o.withColumn("value", F.expr("if(k % 31 = 0, value + 1, value)")).withColumn("payment_method", F.expr("if(k % 37 = 0, null, payment_method)"))
+    return guards.mismatches(o, copy, "k")
+
+
+def _events(w: World) -> DataFrame:
+    """seq, k, event_type, payload: an audit event for every order, and an override for every 40th."""
+    made = w.orders.select((F.col("k") * 2).alias("seq"), "k", F.lit("DECISION_CREATED").alias("event_type"), F.concat(F.lit("made "), "k").alias("payload"))
+    return made.unionByName(w.orders.where("k % 40 = 0").select((F.col("k") * 2 + 1).alias("seq"), "k", F.lit("OVERRIDE_APPLIED").alias("event_type"), F.concat(F.lit("changed "), "k").alias("payload")))
+
+
+def _audit_page(w: World) -> DataFrame:
+    """The second page of the overrides, newest first."""
+    return order_view.page(_events(w), event_type="OVERRIDE_APPLIED", limit=10, offset=10)
+
+
+def _read_back(w: World) -> DataFrame:
+    """Every third order with the record that was made with it; records of every fifth order are missing."""
+    return order_view.read_back(w.orders.where("k % 3 = 0").select("k", "value"), _events(w).where("k % 5 <> 0"))
+
+
 def _rates(w: World) -> DataFrame:
     """Rates over a log of records in which every 7th order was overridden, twice every 14th, every 10th lacks an explanation, and every 13th names another model."""
     o = w.orders.select("k")
@@ -212,6 +235,13 @@ _WORLD: dict[str, Callable[[World], DataFrame]] = {
     "world_validation": review.validation,
     "chain_verify": lambda w: _chain_verified(_decided(w)),
     "chain_columns": _chain_columns,
+    "numbered_events": lambda w: log.numbered(log.of_world(w).order_events).select("event_id", "order_id", "event_type"),
+    "consistency": _consistency,
+    "joined_once": lambda w: guards.one_to_one(w.orders.select("k", "value"), history.primary_category(w), "k"),
+    "audit_page": _audit_page,
+    "records_read_back": _read_back,
+    "provenance": lambda w: report.provenance(w.labels(evaluation.as_of(w)).where("abuse_label is not null")),
+    "identifier_ids": lambda w: w.table("customer").select("c_custkey", money.identifier_id("secret", F.lit("DEVICE"), F.expr("if(c_custkey % 9 = 0, ' N/A ', c_name)")).alias("ident"), money.quantised(F.col("c_acctbal") / 3).cast("double").alias("third")),
     "idempotent_scoring": _idempotent,
     "current_actions": lambda w: _current_actions(w),
     "placeholders": lambda w: w.table("customer").select("c_custkey", (money.is_placeholder("c_mktsegment") | money.is_placeholder((F.col("c_custkey") % 10).cast("string"))).alias("placeholder")),
