@@ -39,6 +39,8 @@ SHARD = 2 << 20
 #: Cells of a row of the sketch: a power of two from the first to the last of these, one for about 32 bytes of text.
 CELLS = (1 << 16, 1 << 24)
 BLOCK = 1 << 16
+#: Bytes of text of a task.
+TASK = 128 << 20
 
 _BREAK = byte_class(b".,;:!?\n\x0b\x0c\r")
 _BLANK = byte_class(b" \t")
@@ -251,6 +253,8 @@ def collocations(docs: DataFrame) -> DataFrame:
     docs = _input(docs)
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     cells = min(max(CELLS[0], 1 << (size // 32).bit_length()), CELLS[1])
+    # a task sends its whole sketch and a count of each pattern, so there are no more tasks than keep the cores busy, or than 128 MB of text need
+    docs = docs.coalesce(max(2 * docs.sparkSession.sparkContext.defaultParallelism, size // TASK))
     words, bits = _sketch(docs, cells)
     words = durable(words)
     counts = durable(_counts(docs, durable(_candidates(docs, cells, bits))).where(f"f >= {LEAST}"))
