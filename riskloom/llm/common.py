@@ -85,10 +85,13 @@ def worker_table(build: Callable) -> Callable:
 
 def forget_tables() -> None:
     """Free the tables that operators before have left in this worker process; called where a task needs none of them."""
-    if not any(t.cache_info().currsize for t in _tables):
-        return
     for t in _tables:
         t.cache_clear()
+    give_back()
+
+
+def give_back() -> None:
+    """Return memory that this process has freed to the machine."""
     gc.collect()
     pa.default_memory_pool().release_unused()
     try:

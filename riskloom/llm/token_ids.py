@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 
-from .common import prefix_hash, span_hash, text_chunks, worker_table
+from .common import forget_tables, give_back, prefix_hash, span_hash, text_chunks, worker_table
 
 #: Classes of bytes: white space 0, letters 1, digits 2, other ASCII 3; 9 is an apostrophe or unknown.
 _CLASS = np.full(256, 9, dtype=np.uint8)
@@ -159,8 +159,11 @@ class Encoder:
 
 @worker_table
 def encoder(path: str) -> Encoder:
-    """One encoder per worker process and vocabulary file."""
-    return Encoder(path)
+    """One encoder per worker process and vocabulary file; what reading the file took is given back."""
+    forget_tables()
+    made = Encoder(path)
+    give_back()
+    return made
 
 
 def text_parts(batch: pa.RecordBatch, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
