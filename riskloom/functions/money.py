@@ -10,7 +10,7 @@ PLACEHOLDERS = ("", "unknown", "null", "none", "nil", "na", "n/a", "undefined",
 
 
 def rupees(amount: Column) -> Column:
-    """Whole rupees with Indian grouping: 12345678 -> ₹1,23,45,678; the sign stands before the symbol."""
+    """Whole rupees with Indian grouping: 70654321 -> ₹7,06,54,321; the sign stands before the symbol."""
     digits = F.abs(F.round(amount, 0)).cast("decimal(30,0)").cast("string")
     grouped = F.transform(F.array(digits), lambda d: F.when(F.length(d) <= 3, d).otherwise(
         F.concat(F.reverse(F.regexp_replace(F.reverse(d.substr(F.lit(1), F.length(d) - 3)), r"(\d{2})(?=\d)", "$1,")), F.lit(","), d.substr(F.length(d) - 2, F.lit(3)))))[0]
@@ -18,7 +18,7 @@ def rupees(amount: Column) -> Column:
 
 
 def percent(p: Column) -> Column:
-    """0 -> 0%, below 0.1 % -> <0.1%, else one decimal; null outside [0, 1]."""
+    """0 -> 0%, below 0.1 % -> <0.1% (a fixed text), else one decimal; null outside [0, 1]."""
     return F.when((p < 0) | (p > 1), F.lit(None)).when(p == 0, "0%").when(p < 0.001, "<0.1%").otherwise(F.concat(F.format_number(p * 100, 1), F.lit("%")))
 
 

@@ -18,7 +18,7 @@ def failures(rules: dict[str, Column]) -> Column:
 
 
 def request_failures() -> Column:
-    """Of a request (order_id, account_id, lines, discount_pct, payment_method, payment_token_id): the rules that it breaks."""
+    """Of a request (order_id, account_id, lines, discount_pct, payment_method, payment_token_id): the rules that it breaks. Forms and limits are fixed values."""
     lines = F.col("lines")
     return failures({
         "order_id": F.col("order_id").rlike("^ORD-[A-Z0-9-]{3,40}$"), "account_id": F.col("account_id").rlike("^ACC-[A-Z0-9-]{3,40}$"), "line_count": F.size(lines).between(1, 50),

@@ -378,7 +378,7 @@ ORACLES |= {
           CASE WHEN device_confirmed_weight >= 0.3 THEN {{'c': 'GRAPH_DEVICE_CONFIRMED_LINK', 't': device_confirmed_peers || ' ' || {_PL('device_confirmed_peers', 'account', 'accounts')} || ' with confirmed abuse used the same device before.'}} END,
           CASE WHEN token_others_30d >= 2 THEN {{'c': 'GRAPH_TOKEN_REUSE', 't': token_others_30d || ' other ' || {_PL('token_others_30d', 'account', 'accounts')} || ' paid with the same method within 30 days.'}} END,
           CASE WHEN abuse_ratio >= 0.25 AND component_size >= 4 THEN {{'c': 'GRAPH_COMMUNITY_RISK', 't': 'The account is linked to ' || component_size || ' ' || {_PL('component_size', 'account', 'accounts')} || ', ' || n_bad || ' with confirmed abuse.'}} END,
-          CASE WHEN device_others_30d >= 3 THEN {{'c': 'GRAPH_DEVICE_SHARED', 't': device_others_30d || ' other ' || {_PL('device_others_30d', 'account', 'accounts')} || ' used the device within 30 days.'}} END,
+          CASE WHEN device_others_30d >= 3 THEN {{'c': 'GRAPH_DEVICE_SHARED', 't': 'In the last 30 days this device also served ' || device_others_30d || ' more ' || {_PL('device_others_30d', 'account', 'accounts')} || '.'}} END,
           CASE WHEN linked_orders_24h >= 3 THEN {{'c': 'TEMPORAL_BURST', 't': linked_orders_24h || ' ' || {_PL('linked_orders_24h', 'order', 'orders')} || ' of linked accounts within 24 hours.'}} END,
           CASE WHEN same_sku_7d >= 2 THEN {{'c': 'SAME_SKU_COORDINATION', 't': same_sku_7d || ' ' || {_PL('same_sku_7d', 'order', 'orders')} || ' of linked accounts for the same item within a week.'}} END,
           CASE WHEN claims_180d >= 1 THEN {{'c': 'ACCOUNT_PRIOR_SUSPICIOUS_CLAIM', 't': claims_180d || ' ' || {_PL('claims_180d', 'claim', 'claims')} || ' of the account ' || {_PL('claims_180d', 'was', 'were')} || ' flagged within 180 days.'}} END,
