@@ -237,11 +237,10 @@ def _own_ids(source: DataFrame, known: DataFrame, words: int) -> tuple[DataFrame
 
 
 class _Links:
-    """The links found so far, and the components that they make."""
+    """The components that the links found so far make."""
 
     def __init__(self, source: DataFrame, marks: DataFrame, words: int, percent: int) -> None:
         self.source, self.marks, self.words, self.percent = source, marks, words, percent
-        self.links: DataFrame | None = None
         self.comps: DataFrame | None = None
         self.nodes = 0
 
@@ -252,10 +251,24 @@ class _Links:
         if not n:
             return
         found = durable(_measured(close, n, self.source, self.words).where(f"100 * shared >= {self.percent} * either").select("a", "b"))
-        if found.limit(1).count():
-            self.links = found if self.links is None else self.links.unionByName(found)
-            self.comps = components(self.links)
-            self.nodes = self.comps.count()
+        self.link(found)
+
+    def link(self, found: DataFrame) -> None:
+        """Join the components that the new links (a, b) connect. Links inside a component change nothing, and those found before
+        are in the components already, so each link is followed once only.
+        """
+        new = durable(self.label(self.label(found, "a").withColumnRenamed("comp", "ca"), "b").where("ca <> comp").select(F.least("ca", "comp").alias("a"), F.greatest("ca", "comp").alias("b")).distinct())
+        if not new.limit(1).count():
+            return
+        joined = components(new)
+        if self.comps is None:
+            self.comps = joined
+        else:
+            moved = joined.select(F.col("node").alias("comp"), F.col("comp").alias("to"))
+            known = self.comps.join(moved, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp"))
+            # a component is one of its own nodes, so what is no node yet was a document by itself
+            self.comps = durable(known.unionByName(joined.join(self.comps.select("node"), "node", "left_anti").select("node", "comp")))
+        self.nodes = self.comps.count()
 
     def settle(self, pairs: DataFrame) -> None:
         """Find the components that pairs (a, b, apart) make: each document's nearest one is measured first, as most others
