@@ -110,6 +110,11 @@ def broadcast_if_small(df: DataFrame, rows: int, row_bytes: int, limit_bytes: in
     return F.broadcast(df) if rows * row_bytes <= limit_bytes else df
 
 
+def gathered(df: DataFrame, rows: int, each: int = 1 << 16) -> DataFrame:
+    """`df` of at most `rows` rows, just grouped or made of small tables, in as many tasks as these rows need."""
+    return df.coalesce(1 + rows // each)
+
+
 def id_remainder(column: str, divisor: int):
     """crc32 of the id written as text, modulo `divisor`; a null id counts as an empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % divisor

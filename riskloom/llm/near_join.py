@@ -37,15 +37,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, durable, forget_tables, lower_ascii, prefix_hash, sequence_hash, span_hash, text_chunks, word_spans
+from .common import broadcast_if_small, durable, forget_tables, gathered, lower_ascii, prefix_hash, sequence_hash, span_hash, text_chunks, word_spans
 from .components import components
 
 #: At most so many frequent shingles are moved to the end of the order.
 HEAVY = 1 << 16
 #: Shingles counted at a time; one in at least 8 and 0.1 % of the documents of such a block is a frequent one there.
 BLOCK = 1 << 21
-#: Regions of at most so many documents compare all pairs that may link; larger ones use at most so many documents as
-#: pivots at first, and so many of these as pivots of cells.
+#: Regions of at most `ALL` documents join all pairs that may link, those of at most `SMALL` compare them in a block; larger
+#: ones use at most `FIRST` documents as pivots at first, and `PIVOTS` of these as pivots of cells.
+ALL = 32
 SMALL = 256
 FIRST = 512
 PIVOTS = 16
@@ -250,24 +251,26 @@ class _Links:
         n = close.count()
         if not n:
             return
-        found = durable(_measured(close, n, self.source, self.words).where(f"100 * shared >= {self.percent} * either").select("a", "b"))
-        self.link(found)
+        self.link(_measured(close, n, self.source, self.words).where(f"100 * shared >= {self.percent} * either").select("a", "b"), n)
 
-    def link(self, found: DataFrame) -> None:
-        """Join the components that the new links (a, b) connect. Links inside a component change nothing, and those found before
-        are in the components already, so each link is followed once only.
+    def link(self, found: DataFrame, most: int | None = None) -> None:
+        """Join the components that the new links (a, b) connect, of which there are `most` at most. Links inside a component change
+        nothing, and those found before are in the components already, so each link is followed once only.
         """
-        new = durable(self.label(self.label(found, "a").withColumnRenamed("comp", "ca"), "b").where("ca <> comp").select(F.least("ca", "comp").alias("a"), F.greatest("ca", "comp").alias("b")).distinct())
-        if not new.limit(1).count():
+        new = self.label(self.label(found, "a").withColumnRenamed("comp", "ca"), "b").where("ca <> comp").select(F.least("ca", "comp").alias("a"), F.greatest("ca", "comp").alias("b")).distinct()
+        new = durable(new if most is None else gathered(new, most))
+        n = new.count()
+        if not n:
             return
         joined = components(new)
         if self.comps is None:
             self.comps = joined
         else:
-            moved = joined.select(F.col("node").alias("comp"), F.col("comp").alias("to"))
+            moved = broadcast_if_small(joined.select(F.col("node").alias("comp"), F.col("comp").alias("to")), 2 * n, 16)
             known = self.comps.join(moved, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp"))
             # a component is one of its own nodes, so what is no node yet was a document by itself
-            self.comps = durable(known.unionByName(joined.join(self.comps.select("node"), "node", "left_anti").select("node", "comp")))
+            before = broadcast_if_small(self.comps.select("node"), self.nodes, 16)
+            self.comps = durable(gathered(known.unionByName(joined.join(before, "node", "left_anti").select("node", "comp")), self.nodes + 2 * n))
         self.nodes = self.comps.count()
 
     def settle(self, pairs: DataFrame) -> None:
@@ -304,6 +307,62 @@ def _met(live: DataFrame, others: DataFrame, percent: int, bits: list[str]) -> D
     return met.select(F.least("rep", "p_rep").alias("a"), F.greatest("rep", "p_rep").alias("b"), apart.alias("apart"))
 
 
+def _block_pairs(heads: DataFrame, others: DataFrame, percent: int, forest: bool) -> DataFrame:
+    """(a, b) of the pairs of a head and another document of its block that `_met` would give; with `forest` as many of them as
+    join what all of them would join, the least apart first: fewer than the block has components.
+
+    Both have region, block, rep, n, rest, comp, home and the bits. A block has some `SMALL` others, and heads come in lots.
+    """
+    columns = ["region", "block", "rep", "n", "rest", "comp", "home", *_BITS]
+    both = heads.select(*columns, F.lit(True).alias("head")).unionByName(others.select(*columns, F.lit(False).alias("head")))
+
+    def run(block: pa.Table) -> pa.Table:
+        rep, n, rest, comp = (block[x].to_numpy().astype(np.int64) for x in ("rep", "n", "rest", "comp"))
+        home, head = (block[x].to_numpy() for x in ("home", "head"))
+        bits = np.stack([block[x].to_numpy() for x in _BITS]).view(np.uint64)  # of signed numbers the absolute value's bits are counted
+        other, x, y, weight = np.flatnonzero(~head), [], [], []
+        for lot in np.split(at := np.flatnonzero(head), range(SMALL, len(at), SMALL)):
+            i, j = lot[:, None], other[None, :]
+            sizes = n[i] + n[j]
+            may = (comp[i] != comp[j]) & (home[i] | home[j]) & ((100 + percent) * np.minimum(rest[i], rest[j]) >= percent * sizes)
+            if not may.any():
+                continue
+            apart = np.zeros(may.shape, np.int64)
+            for word in bits:
+                apart += np.bitwise_count(word[i] ^ word[j])
+            one, two = np.nonzero(may & ((100 + percent) * apart <= (100 - percent) * sizes))
+            x.append(lot[one]), y.append(other[two]), weight.append(apart[one, two])
+        if not x:
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        order = np.argsort(np.concatenate(weight), kind="stable")
+        x, y = np.concatenate(x)[order], np.concatenate(y)[order]
+        if forest:
+            chosen = _spanning(comp[x], comp[y])
+            x, y = x[chosen], y[chosen]
+        return pa.table({"a": np.minimum(rep[x], rep[y]), "b": np.maximum(rep[x], rep[y])})
+
+    return both.groupBy("region", "block").applyInArrow(run, "a long, b long")
+
+
+def _spanning(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Places of the edges (x, y) that make a minimal spanning forest, where the edges rise by weight (Boruvka's method)."""
+    names, ends = np.unique(np.stack([x, y]), return_inverse=True)
+    (x, y), name = ends.reshape(2, -1), np.arange(len(names))
+    at, out = np.arange(len(x)), []
+    while True:
+        apart = name[x[at]] != name[y[at]]
+        at = at[apart]
+        if not len(at):
+            return np.sort(np.array(out, dtype=np.int64))
+        # each component's least edge
+        _, first = np.unique(np.stack([name[x[at]], name[y[at]]], axis=1).ravel(), return_index=True)
+        for k in np.unique(first // 2):
+            p, q = name[x[at[k]]], name[y[at[k]]]
+            if p != q:
+                out.append(int(at[k]))
+                name[name == q] = p
+
+
 def _live(regions: DataFrame, links: _Links, bits: DataFrame) -> DataFrame:
     """The documents of the regions that hold several components, with their component, signature and m, the region's size."""
     live = links.label(regions)
@@ -356,9 +415,9 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links.measure(own.select("pair.a", "pair.b").distinct())
 
     live = _live(regions, links, bits)
-    few = live.where(f"m <= {SMALL}")
+    few = live.where(f"m <= {ALL}")
     links.settle(_met(few, few, percent, _BITS))
-    regions, most = live.where(f"m > {SMALL}").drop("comp", "m", *_BITS), FIRST
+    regions, most, first = live.where(f"m > {ALL}").drop("comp", "m", *_BITS), FIRST, True
     while True:
         live = _live(regions, links, bits)
         if not live.limit(1).count():
@@ -369,13 +428,26 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         links.measure(_met(large, central, percent, _BITS).select("a", "b").distinct())
         large = links.label(large.drop("comp"))
         sizes = large.groupBy("region", "comp").agg(F.count("*").alias("size")).groupBy("region").agg(F.max(F.struct("size", "comp")).alias("largest"), F.sum("size").alias("m"))
-        sizes = durable(sizes.select("region", F.col("largest.comp").alias("main"), (F.col("m") - F.col("largest.size") > most).alias("deep")))
+        sizes = durable(sizes.select("region", F.col("largest.comp").alias("main"), (F.col("m") - F.col("largest.size") > most).alias("deep"), F.ceil(F.col("m") / SMALL).alias("blocks")))
+        sizes = broadcast_if_small(sizes, sizes.count(), 32)
         order = Window.partitionBy("region").orderBy("rare", "rep")
         heads = large.drop("m").join(sizes, "region").where("comp <> main").withColumn("k", F.row_number().over(order)).where(f"k <= {most}")
         heads = durable(heads)
-        links.settle(_met(large, heads, percent, _BITS).unionByName(_met(few, few, percent, _BITS)))
+        # every document outside the largest component meets the blocks of its region; those of a small one are a block
+        few = few.withColumn("block", F.lit(0).cast("long"))
+        others = large.join(sizes.select("region", "blocks"), "region").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks"))
+        meeting = heads.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        columns = ["region", "block", "rep", "n", "rest", "home", *_BITS]
+        meeting, others = (x.select(*columns).unionByName(few.select(*columns)) for x in (meeting, others))
+        for forest in (True, False):  # what a forest's edges don't link is compared whole
+            links.measure(_block_pairs(links.label(meeting), links.label(others), percent, forest).distinct())
         left = large.drop("comp", "m", *_BITS).join(sizes.where("deep").select("region"), "region").join(heads.select("region", "rep"), ["region", "rep"], "left_anti")
-        regions, most = _cells(durable(left), heads.where(f"deep AND k <= {PIVOTS}"), source, words, percent), most * 8
+        left = durable(left)
+        if not left.limit(1).count():
+            break
+        # at first mostly few are outside the largest component now
+        regions = left if first else _cells(left, heads.where(f"deep AND k <= {PIVOTS}"), source, words, percent)
+        most, first = most * 8, False
     return _named(links.label(final), was)
 
 
