@@ -18,7 +18,10 @@ no sequences.
 from __future__ import annotations
 
 import zlib
+from bisect import insort_right
 from collections.abc import Iterator
+from functools import lru_cache
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -90,49 +93,68 @@ def best_fit(sizes: list[int], items: list[int], bins: list[list[int]], capacity
     """`bins` with `items` added, the largest first, each to the fullest bin that takes it."""
     found = Bins(sizes, capacity)
     for members in bins:
-        found.add(list(members), capacity - sum(sizes[i] for i in members))
+        found.add(list(members), capacity - sum(map(sizes.__getitem__, members)))
     for item in sorted(items, key=sizes.__getitem__, reverse=True):
         found.fit(item)
     return found.all()
 
 
+@lru_cache(maxsize=None)
+def _choices(n: int) -> tuple[list[tuple[int, ...]], np.ndarray, np.ndarray]:
+    """What may give way of a bin's `n` pieces: one, or two if they are few; and the places of both of these."""
+    pairs = [(a, b) for b in range(n) for a in range(b)] if n < 12 else []
+    return [(k,) for k in range(n)] + pairs, np.array([a for a, _ in pairs], np.int64), np.array([b for _, b in pairs], np.int64)
+
+
 def replaced(sizes: list[int], loose: list[int], bins: list[list[int]], capacity: int) -> tuple[list[list[int]], list[int]]:
     """`bins` filled better by pieces of `loose`, and what is loose then.
 
     One piece of a bin that isn't full gives way to one or two loose ones, or two pieces to one, where the bin is
     fuller afterwards. What comes loose is smaller in sum than what went in.
     """
-    loose = sorted(loose, key=sizes.__getitem__)
+    size = sizes.__getitem__
+    loose = sorted(loose, key=size)
     have = np.array([sizes[i] for i in loose], dtype=np.int64)
     out = []
     for members in bins:
-        free = capacity - sum(sizes[i] for i in members)
+        free = capacity - sum(map(size, members))
         for _ in range(len(members)):
             if not free or not len(have):
                 break
-            own = np.array([sizes[i] for i in members], dtype=np.int64)
+            own = list(map(size, members))
             # the best loose piece for each of the bin's, and for each two of them
-            gone = [(k,) for k in range(len(own))] + [(a, b) for b in range(len(own)) for a in range(b)] if len(own) < 12 else [(k,) for k in range(len(own))]
-            weight = np.array([own[list(g)].sum() for g in gone])
-            at = np.searchsorted(have, weight + free, side="right") - 1
+            gone, one, two = _choices(len(own))
+            weight = np.array(own, dtype=np.int64)
+            weight = np.concatenate([weight, weight[one] + weight[two]])
+            at = have.searchsorted(weight + free, side="right") - 1
             gain = np.where(at >= 0, have[np.maximum(at, 0)] - weight, 0)
             best = int(gain.argmax())
             taken = [int(at[best])] if gain[best] > 0 else []
             most = int(gain[best])
             if most < free and len(have) > 1:
-                for k, w in enumerate(own.tolist()):
-                    second = np.searchsorted(have, w + free - have, side="right") - 1
-                    second = np.minimum(second, np.arange(len(have)) - 1)
-                    sums = np.where(second >= 0, have + have[np.maximum(second, 0)], 0) - w
+                before = np.arange(len(have)) - 1
+                for k, w in enumerate(own):
+                    if most == free:  # nothing is better than a full bin
+                        break
+                    # the larger one of two that are better, and all that a smaller one fits beside
+                    low = max(1, int(have.searchsorted((w + most) // 2, side="right")))
+                    high = int(have.searchsorted(w + free - have[0], side="right"))
+                    if low >= high:
+                        continue
+                    second = np.minimum(have.searchsorted(w + free - have[low:high], side="right") - 1, before[low:high])
+                    sums = have[low:high] + have[second]
                     one = int(sums.argmax())
-                    if sums[one] > most:
-                        most, best, taken = int(sums[one]), k, [int(second[one]), one]
+                    if sums[one] - w > most:
+                        most, best, taken = int(sums[one]) - w, k, [int(second[one]), one + low]
             if not taken:
                 break
             out_of = [members[k] for k in gone[best]]
             members = [i for i in members if i not in out_of] + [loose[k] for k in taken]
-            loose = sorted([i for k, i in enumerate(loose) if k not in taken] + out_of, key=sizes.__getitem__)
-            have = np.array([sizes[i] for i in loose], dtype=np.int64)
+            for k in sorted(taken, reverse=True):
+                del loose[k]
+            for i in out_of:
+                insort_right(loose, i, key=size)
+            have = np.fromiter(map(size, loose), np.int64, len(loose))
             free -= most
         out.append(members)
     return out, loose
@@ -140,7 +162,7 @@ def replaced(sizes: list[int], loose: list[int], bins: list[list[int]], capacity
 
 def fitness(sizes: list[int], bins: list[list[int]], capacity: int) -> tuple[int, int]:
     """Fewer bins are better; among equally many, the more uneven filling."""
-    return -len(bins), sum(sum(sizes[i] for i in b) ** 2 for b in bins)
+    return -len(bins), sum(sum(map(sizes.__getitem__, b)) ** 2 for b in bins)
 
 
 def crossover(sizes: list[int], into: list[list[int]], other: list[list[int]], capacity: int, rng: np.random.Generator) -> list[list[int]]:
@@ -174,18 +196,18 @@ def evolve(sizes: list[int], elites: list[list[list[int]]], capacity: int, seed:
     """The best packing after some generations from `elites` and random best-fit packings; stops at the lower bound."""
     rng = np.random.default_rng(seed)
     least = -(-sum(sizes) // capacity)
-    rank = lambda bins: fitness(sizes, bins, capacity)
+    ranked = lambda bins: (fitness(sizes, bins, capacity), bins)
     people = list(elites) or [best_fit(sizes, list(range(len(sizes))), [], capacity)]
     while len(people) < population:
         people.append(mutate(sizes, people[0], capacity, rng))
-    people.sort(key=rank, reverse=True)
+    people = sorted(map(ranked, people), key=itemgetter(0), reverse=True)
     for _ in range(generations):
-        if len(people[0]) <= least:
+        if len(people[0][1]) <= least:
             break
         a, b = sorted(rng.permutation(len(people))[:2].tolist())
-        children = [crossover(sizes, people[a], people[b], capacity, rng), mutate(sizes, people[0], capacity, rng)]
-        people = sorted([*people, *children], key=rank, reverse=True)[:population]
-    return people[0]
+        children = [crossover(sizes, people[a][1], people[b][1], capacity, rng), mutate(sizes, people[0][1], capacity, rng)]
+        people = sorted([*people, *map(ranked, children)], key=itemgetter(0), reverse=True)[:population]
+    return people[0][1]
 
 
 def _as_numbers(bins: list[list[int]], n: int) -> np.ndarray:

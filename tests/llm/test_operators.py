@@ -434,3 +434,18 @@ def test_pipeline(spark, small, docs):
     assert {r.doc_id for r in corpus_pipeline.run(spark, small).select("doc_id").distinct().collect()} == kept
     texts = ["".join(brute.WORD.findall(r.text)) for r in step.collect()]
     assert len(texts) == len(set(texts))
+
+
+def test_packing_search_stops_at_full_bins_with_the_same_result(monkeypatch):
+    rng, fits = random.Random(4), []
+    sizes = [rng.randrange(1, 300) for _ in range(400)]
+    found = packing.best_fit(sizes, list(range(300)), [], 1024)
+    real = packing.np.minimum
+    monkeypatch.setattr(packing.np, "minimum", lambda *x: fits.append(1) or real(*x))
+    bins, loose = packing.replaced(sizes, list(range(300, 400)), [b[:-1] for b in found] + [[b[-1]] for b in found], 1024)
+    monkeypatch.undo()
+    assert sorted([*loose, *(i for b in bins for i in b)]) == list(range(400))
+    assert all(sum(sizes[i] for i in b) <= 1024 for b in bins)
+    assert hashlib.md5(repr((bins, loose)).encode()).hexdigest() == "bb493a8cc550f1f64c2c563b54fe19a0"  # as before
+    # a bin that one pair fills needs no further pairs: 147 searches before
+    assert len(fits) < 100
