@@ -167,9 +167,9 @@ def fitness(sizes: list[int], bins: list[list[int]], capacity: int) -> tuple[int
 
 def crossover(sizes: list[int], into: list[list[int]], other: list[list[int]], capacity: int, rng: np.random.Generator) -> list[list[int]]:
     """`into` with some well-filled bins of `other` injected; bins that share a piece with them dissolve, and best fit places the displaced pieces."""
-    good = [b for b in other if sum(sizes[i] for i in b) >= capacity - 8]
+    good = [b for b in other if sum(map(sizes.__getitem__, b)) >= capacity - 8]
     if not good:
-        good = sorted(other, key=lambda b: -sum(sizes[i] for i in b))[: max(1, len(other) // 4)]
+        good = sorted(other, key=lambda b: -sum(map(sizes.__getitem__, b)))[: max(1, len(other) // 4)]
     chosen = [good[i] for i in rng.permutation(len(good))[: max(1, len(good) // 3)]]
     taken = {i for b in chosen for i in b}
     kept, loose = list(chosen), []
@@ -184,7 +184,7 @@ def crossover(sizes: list[int], into: list[list[int]], other: list[list[int]], c
 
 def mutate(sizes: list[int], bins: list[list[int]], capacity: int, rng: np.random.Generator) -> list[list[int]]:
     """The worst-filled bins and a few others dissolve, and best fit places their pieces anew."""
-    order = sorted(bins, key=lambda b: sum(sizes[i] for i in b))
+    order = sorted(bins, key=lambda b: sum(map(sizes.__getitem__, b)))
     worst = max(1, len(order) // 20)
     more = set((worst + rng.permutation(max(len(order) - worst, 0))[: max(1, len(order) // 20)]).tolist())
     loose = [i for k, b in enumerate(order) if k < worst or k in more for i in b]
