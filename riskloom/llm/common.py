@@ -55,6 +55,14 @@ def durable(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop(table: DataFrame) -> None:
+    """Delete a table of `durable` that nothing reads any more before the driver ends."""
+    files = table.inputFiles()
+    if files:
+        place = table.sparkSession._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        place.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
+
+
 _written: list[tuple[SparkSession, str]] = []
 
 

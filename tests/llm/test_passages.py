@@ -125,3 +125,22 @@ def test_collocations_equal_brute_force(spark, monkeypatch, shard):
     df = table(spark, rows, ["lang", "text"])
     same(collocations.collocations(df), brute.collocations(rows))
     same(collocations.collocations(df.where("false")), [])
+
+
+def test_collocations_read_the_text_once(spark, monkeypatch):
+    """However many phrases are frequent, there are as many passes: none for each lot of them."""
+    monkeypatch.setattr(collocations, "SHARD", 2000)
+
+    def jobs(phrases):
+        line = " ".join(f"w{i}" for i in range(phrases))
+        group = f"collocations-{phrases}"
+        spark.sparkContext.setJobGroup(group, group)
+        try:
+            rows = collocations.collocations(table(spark, [("en", line)] * 100, ["lang", "text"])).collect()
+            return len(rows), len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+    (few, jobs_of_few), (many, jobs_of_many) = jobs(50), jobs(1500)
+    assert few < many
+    assert jobs_of_many <= jobs_of_few + 20
