@@ -5,6 +5,7 @@ import pytest
 from riskloom.operators import history
 from riskloom.plans import evaluation, policy, report
 from riskloom.sources import log
+from riskloom.sources.world import World
 
 DAY = 86_400_000_000
 
@@ -56,3 +57,16 @@ def test_truth_is_an_input(spark, repeated):
         assert {r["cohort"] for r in report.cohort_metrics(frame).where("family = 'archetype'").collect()} == kinds
         assert report.ring_recall(frame).first()["n"] == 0
         assert report.world_figures(w).first()["orders"] == 7
+
+
+def test_events_meet_their_orders_once(spark, small):
+    """Outcomes, deliveries and events read one written table, and a plan without categories doesn't read the parts."""
+    x = log.LogWorld(log.of_world(World(spark, small).kept())).kept()
+    for df in (x.deliveries, x.events):
+        assert "Join" not in df._jdf.queryExecution().optimizedPlan().toString()
+    skus = x.lines.select("k", "sku")
+    assert "p_type" not in skus._jdf.queryExecution().optimizedPlan().toString()
+    plain = log.LogWorld(log.of_world(World(spark, small).kept()))
+    for name in ("deliveries", "events", "orders"):
+        one, other = getattr(x, name), getattr(plain, name)
+        assert sorted(map(str, one.select(other.columns).collect())) == sorted(map(str, other.collect()))
